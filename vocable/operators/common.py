@@ -13,12 +13,13 @@ def col(x) -> Column:
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a global aggregate (exactly one row) to every row.
 
-    The right side is one row by construction (an ungrouped ``agg``), so the
-    broadcast is bounded; the join is an equi-join on a constant key.
+    The one-row frame becomes a scalar subquery: Spark runs it once, before
+    the main stage, and inlines the value; no join and no broadcast exchange.
     """
-    return (df.withColumn("_one", F.lit(0))
-            .join(F.broadcast(one_row.withColumn("_one", F.lit(0))), "_one")
-            .drop("_one"))
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_s")).scalar()
+    out = df.withColumn("_s", packed)
+    return out.select("*", *[F.col("_s")[c].alias(c) for c in cols]).drop("_s")
 
 
 def r6(c) -> Column:

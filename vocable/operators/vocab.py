@@ -67,6 +67,31 @@ def attach_vocab(df: DataFrame, vocab: DataFrame) -> DataFrame:
     return attach_scalars(df, vocab_map(vocab))
 
 
+def vocab_lut(vocab: DataFrame, max_size: int = MAX_VOCAB_FOR_MAP) -> Column:
+    """Dense lookup array indexed by code point + 1 → id (null where absent).
+
+    The vocabulary is a character set, so it is small; its size is checked
+    before it is collected, and the array length is bounded by the largest
+    code point (at most 0x110000).  ``element_at`` on an array is O(1), where a
+    map lookup scans the keys.
+    """
+    singles = vocab.where(F.length("ch") == 1).select(F.ascii("ch").alias("cp"), "id")
+    n = singles.count()
+    if n > max_size:
+        raise ValueError(f"vocabulary has {n} characters, more than {max_size}")
+    rows = singles.collect()
+    lut = [None] * ((max((r.cp for r in rows), default=-1)) + 1)
+    for r in rows:
+        lut[r.cp] = r.id
+    return F.array(*[F.lit(x).cast("long") for x in lut]) if lut else F.array().cast("array<long>")
+
+
+def encode_chars_lut(text: Column, lut: Column) -> Column:
+    """J22 with a code-point table: unknown characters are dropped."""
+    return F.filter(F.transform(chars(text), lambda c: F.try_element_at(lut, F.ascii(c) + 1)),
+                    lambda x: x.isNotNull())
+
+
 def encode_chars(text: Column, vmap: Column) -> Column:
     """Ids of the characters of ``text``; characters not in the map are dropped."""
     return F.filter(F.transform(chars(text), lambda c: F.try_element_at(vmap, c)), lambda x: x.isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vocable.functions.text import basic_cleaners
 from vocable.operators.filters import length_bounds
-from vocable.operators.vocab import attach_vocab, build_vocabulary, encode_chars
+from vocable.operators.vocab import build_vocabulary, encode_chars_lut, vocab_lut
 from vocable.plans.position import with_position
 from vocable.sources.tables import samples
 
@@ -27,19 +27,23 @@ def encoded_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       basic_cleaners(F.col("text")).alias("clean"))
     kept = length_bounds(s, MIN_TEXT_LEN, MAX_TEXT_LEN, MIN_AUDIO_LEN, MAX_AUDIO_LEN)
     vocab = build_vocabulary(kept, "clean")
-    enc = attach_vocab(kept, vocab)
-    return enc.select("doc_id", "audio_length", encode_chars(F.col("clean"), F.col("_vmap")).alias("ids"))
+    lut = vocab_lut(vocab)
+    return kept.select("doc_id", "audio_length", encode_chars_lut(F.col("clean"), lut).alias("ids"))
 
 
 def batch_report(spark: SparkSession, sf_dir: str, batch_size: int = BATCH_SIZE) -> DataFrame:
     enc = encoded_samples(spark, sf_dir)
-    ordered = with_position(enc, ["audio_length", "doc_id"])
+    # Reduce each row to its measures before ordering: the sort and the cached
+    # positioned frame then carry four longs per row, not the id arrays.
+    per_row = enc.select("doc_id", "audio_length", F.size("ids").cast("long").alias("n_ids"),
+                         F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("row_id_sum"))
+    ordered = with_position(per_row, ["audio_length", "doc_id"])
     b = ordered.withColumn("batch_id", F.expr(f"pos div {batch_size}"))
     per_batch = b.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.max(F.size("ids")).cast("long").alias("max_len"),
-        F.sum(F.size("ids")).cast("long").alias("sum_len"),
-        F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda acc, x: acc + x)).alias("id_sum"),
+        F.max("n_ids").alias("max_len"),
+        F.sum("n_ids").alias("sum_len"),
+        F.sum("row_id_sum").alias("id_sum"),
     )
     return per_batch.select(
         "batch_id", "n_rows", "max_len", "sum_len",

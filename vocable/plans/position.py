@@ -3,20 +3,23 @@
 ``row_number() over (order by k)`` moves every row into one task.  Instead:
 
 1. range-partition on the order key and sort inside each partition;
-2. tag each row with ``monotonically_increasing_id`` (partition index in the
-   upper bits, local index in the lower bits);
-3. count rows per partition (a table with one row per partition) and turn the
-   counts into start offsets;
-4. broadcast that tiny table back: ``pos = offset + local index``.
-
-Both branches read the same range exchange (Spark reuses it), so the data is
-shuffled once and no action runs at planning time.  The order key must be a
-total order (give a unique tie-breaker), otherwise equal keys could be
-numbered differently on a recomputation.
+2. tag each row with its partition id and ``monotonically_increasing_id``
+   (partition index in the upper bits, local index in the lower bits);
+3. persist that tagged frame, so both uses below read the same partitioning
+   (range bounds come from sampling; two separate computations could differ);
+4. count rows per partition (one row per partition) and turn the counts into
+   start offsets;
+5. broadcast that tiny table back: ``pos = offset + local index``.
+
+If an executor is lost, its cached blocks are rebuilt from the same shuffle
+dependency (fixed partitioner) and re-sorted on the total order, so positions
+come out identical.  The order key must be a total order: give a unique
+tie-breaker.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +37,26 @@ def _cols(order):
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def default_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def with_position(df: DataFrame, order: list, pos_col: str = "pos",
                   num_partitions: int | None = None, weight: Column | None = None,
-                  cum_col: str | None = None) -> DataFrame:
+                  cum_col: str | None = None,
+                  storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Add a 0-based global position ``pos_col`` in ``order``.
 
     With ``weight``, also add ``cum_col`` = running sum of the weight up to and
     including the row (the prefix sums of F10), computed the same way.
     """
     order = _cols(order)
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or default_partitions(df)
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_pp", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     if weight is not None:
         tagged = tagged.withColumn("_w", weight.cast("double"))
+    tagged = tagged.persist(storage)
     aggs = [F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base")]
     if weight is not None:
         aggs.append(F.sum("_w").alias("_wsum"))
@@ -73,5 +81,5 @@ def with_position(df: DataFrame, order: list, pos_col: str = "pos",
 
 
 def total_rows(df: DataFrame) -> DataFrame:
-    """One-row DataFrame ``(n_total)``; join it with ``crossJoin`` (a single row)."""
+    """One-row DataFrame ``(n_total)`` for :func:`vocable.operators.common.attach_scalars`."""
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_total"))
