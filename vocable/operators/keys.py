@@ -102,4 +102,7 @@ def rows_to_columns(df: DataFrame, group: str, order: str, cols: list[str]) -> D
     """
     s = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in cols])))
     out = df.groupBy(group).agg(s.alias("_rows"))
-    return out.select(group, *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in cols])
+    def field(name):
+        return lambda r: r[name]
+
+    return out.select(group, *[F.transform("_rows", field(c)).alias(c) for c in cols])

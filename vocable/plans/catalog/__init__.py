@@ -2,4 +2,5 @@
 
 from vocable.plans.catalog import (  # noqa: F401
     flagship,
+    keys_filters,
 )
