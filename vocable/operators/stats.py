@@ -109,7 +109,8 @@ def code_usage(codes: DataFrame, code_col: str, n_codes: int, hi: float = 0.9, l
     return u.withColumn("over_used", F.col("share") > hi).withColumn("dead", F.col("share") < lo)
 
 
-def running_mean(df: DataFrame, key_col: str, order_cols: list, x: str, compat: bool = False) -> DataFrame:
+def running_mean(df: DataFrame, key_col: str, order_cols: list, x: str, compat: bool = False,
+                 decimals: int | None = None) -> DataFrame:
     """E15 mean: running mean per key in order.
 
     ``compat=True`` reproduces the reference's bookkeeping where the first
@@ -117,10 +118,14 @@ def running_mean(df: DataFrame, key_col: str, order_cols: list, x: str, compat:
     and the first value itself on row 1).
     """
     w = Window.partitionBy(key_col).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    if not compat:
-        return df.withColumn("running_mean", F.avg(F.col(x).cast("double")).over(w))
     rn = F.row_number().over(Window.partitionBy(key_col).orderBy(*order_cols))
     s = F.sum(F.col(x).cast("double")).over(w)
+    if decimals is not None:
+        # Inputs with a fixed number of decimals: round the running sum back to
+        # that grid, which removes the float summation error exactly.
+        s = F.round(s, decimals)
+    if not compat:
+        return df.withColumn("running_mean", s / rn)
     first = F.first(F.col(x).cast("double")).over(w)
     return df.withColumn("running_mean", F.when(rn == 1, first).otherwise((s - first) / (rn - 1)))
 

@@ -3,4 +3,6 @@
 from vocable.plans.catalog import (  # noqa: F401
     flagship,
     keys_filters,
+    stats,
+    vectors,
 )
