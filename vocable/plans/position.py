@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _local_cumsum(batches):
@@ -70,7 +71,8 @@ def with_position(df: DataFrame, order: list, pos_col: str = "pos",
     if weight is not None:
         # Running sum inside each sorted partition; a window partitioned by
         # the partition id would re-shuffle everything, this does not.
-        body = tagged.mapInPandas(_local_cumsum, schema=tagged.schema.add("_lcum", "double"))
+        schema = T.StructType(list(tagged.schema.fields) + [T.StructField("_lcum", T.DoubleType())])
+        body = tagged.mapInPandas(_local_cumsum, schema=schema)
     out = body.join(F.broadcast(offsets.drop("_n", "_wsum")), "_pp")
     out = out.withColumn(pos_col, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("long"))
     drop = ["_pp", "_mid", "_off", "_base"]
