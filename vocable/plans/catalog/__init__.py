@@ -5,4 +5,5 @@ from vocable.plans.catalog import (  # noqa: F401
     keys_filters,
     stats,
     vectors,
+    lookup_split,
 )
