@@ -6,4 +6,5 @@ from vocable.plans.catalog import (  # noqa: F401
     stats,
     vectors,
     lookup_split,
+    batching_arrays,
 )
