@@ -7,4 +7,5 @@ from vocable.plans.catalog import (  # noqa: F401
     vectors,
     lookup_split,
     batching_arrays,
+    signal_eval,
 )
