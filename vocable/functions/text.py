@@ -187,6 +187,48 @@ def cleaner(name: str) -> Callable[[Column], Column]:
         raise KeyError(f"unknown cleaner {name!r}; known: {sorted(CLEANERS)}") from None
 
 
+# ---------------------------------------------------------------- J18-J20
+
+def sentences(t) -> Column:
+    """J18 (our documented rule): maximal runs of non-terminators followed by
+    their terminators ``[.!?]*``, trimmed, empty pieces dropped."""
+    pieces = F.regexp_extract_all(_c(t), F.lit(r"[^.!?]+[.!?]*"), 0)
+    return F.filter(F.transform(pieces, lambda s: F.trim(s)), lambda s: s != "")
+
+
+def wrap_words(s: Column, width: int) -> Column:
+    """Greedy word wrap at ``width``; words longer than the width are cut."""
+    pat = rf"\S.{{0,{width - 1}}}(?=\s|$)|\S{{{width}}}"
+    return F.transform(F.regexp_extract_all(s, F.lit(pat), 0), lambda x: F.trim(x))
+
+
+def pack_sentences(sents: Column, limit: int = 250, text: Column | None = None) -> Column:
+    """Greedy packing; append with a space while len(cur)+len(next) ≤ limit;
+    a sentence longer than the limit is word-wrapped into its own chunks."""
+    def step(acc, s):
+        last = F.element_at(acc, -1)
+        head = F.slice(acc, 1, F.size(acc) - 1)
+        joined = F.concat(head, F.array(F.ltrim(F.concat(last, F.lit(" "), s))))
+        return (F.when(F.length(last) + F.length(s) <= limit, joined)
+                .when(F.length(s) > limit, F.concat(acc, wrap_words(s, limit)))
+                .otherwise(F.concat(acc, F.array(s))))
+
+    packed = F.aggregate(sents, F.array(F.lit("")), step)
+    return F.when((F.size(packed) > 1) & (F.element_at(packed, 1) == ""), F.slice(packed, 2, F.size(packed))) \
+        .otherwise(packed)
+
+
+# Per-language character limits (language code → limit); default 250.
+CHAR_LIMITS = {"en": 250, "de": 253, "fr": 273, "es": 239, "it": 213, "pt": 203, "pl": 224, "zh": 82,
+               "ar": 166, "cs": 186, "ru": 182, "nl": 251, "tr": 226, "ja": 71, "hu": 224, "ko": 95}
+
+
+def char_limit(lang) -> Column:
+    """Limit for the language with any region suffix removed."""
+    m = F.create_map(*[x for k, v in CHAR_LIMITS.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, F.split_part(_c(lang), F.lit("-"), F.lit(1))), F.lit(250)).cast("int")
+
+
 def chars(t) -> Column:
     """Array of code points as one-character strings."""
     return F.split(_c(t), "", -1)

@@ -8,4 +8,5 @@ from vocable.plans.catalog import (  # noqa: F401
     lookup_split,
     batching_arrays,
     signal_eval,
+    text,
 )
