@@ -9,4 +9,5 @@ from vocable.plans.catalog import (  # noqa: F401
     batching_arrays,
     signal_eval,
     text,
+    streaming,
 )
