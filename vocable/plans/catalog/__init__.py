@@ -10,4 +10,5 @@ from vocable.plans.catalog import (  # noqa: F401
     signal_eval,
     text,
     streaming,
+    sources,
 )
