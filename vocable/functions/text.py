@@ -199,7 +199,8 @@ def sentences(t) -> Column:
 def wrap_words(s: Column, width: int) -> Column:
     """Greedy word wrap at ``width``; words longer than the width are cut."""
     pat = rf"\S.{{0,{width - 1}}}(?=\s|$)|\S{{{width}}}"
-    return F.transform(F.regexp_extract_all(s, F.lit(pat), 0), lambda x: F.trim(x))
+    flat = F.regexp_replace(s, WS, " ")   # every whitespace character becomes a space first
+    return F.transform(F.regexp_extract_all(flat, F.lit(pat), 0), lambda x: F.trim(x))
 
 
 def pack_sentences(sents: Column, limit: int = 250, text: Column | None = None) -> Column:
@@ -208,7 +209,8 @@ def pack_sentences(sents: Column, limit: int = 250, text: Column | None = None)
     def step(acc, s):
         last = F.element_at(acc, -1)
         head = F.slice(acc, 1, F.size(acc) - 1)
-        joined = F.concat(head, F.array(F.ltrim(F.concat(last, F.lit(" "), s))))
+        # Python's lstrip(): all leading whitespace, not only spaces.
+        joined = F.concat(head, F.array(F.regexp_replace(F.concat(last, F.lit(" "), s), "^" + WS + "+", "")))
         return (F.when(F.length(last) + F.length(s) <= limit, joined)
                 .when(F.length(s) > limit, F.concat(acc, wrap_words(s, limit)))
                 .otherwise(F.concat(acc, F.array(s))))

@@ -194,8 +194,8 @@ def sam_accenture(spark, root: str, meta_file: str, **_) -> DataFrame:
 
 def crawl_text_files(spark, root: str, glob: str = "*.txt") -> DataFrame:
     """A5 base: one row per text file: path parts and the first line."""
-    t = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-         .text(root))
+    # (``text()`` has its own wholetext argument, which would override an option.)
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:", "")
     return t.select(path.alias("path"), F.element_at(F.split("value", "\n", 2), 1).alias("first_line"))
 
@@ -339,7 +339,7 @@ def load_embedding_map(spark, path: str) -> DataFrame:
     (``save_embedding_records``) instead."""
     if not path.endswith(".json"):
         raise ValueError(f"unsupported embedding file {path!r}")
-    t = spark.read.option("wholetext", True).text(path)
+    t = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string, struct<name: string, embedding: array<float>>>")
     return t.select(F.explode(m).alias("clip", "v")).select("clip", "v.name", "v.embedding")
 
