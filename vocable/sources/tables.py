@@ -11,11 +11,22 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table; column pruning and filters reach the scan."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Parquet scan of one driver table; column pruning and filters reach the scan.
+
+    ``spread``: when the scan has fewer splits than the cluster has task slots
+    (a single row group can only be read by one task), rows are spread
+    round-robin so the per-row work downstream uses every core.  A large
+    input already has at least that many splits, and nothing is added.
+    """
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
 
 
 def word_count(text: Column) -> Column:
