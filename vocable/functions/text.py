@@ -115,6 +115,93 @@ def expand_abbreviations(t, lang: str = "en") -> Column:
     return out
 
 
+# ---------------------------------------------------------------- J5 / J6 (15 languages)
+# Multilingual abbreviations, per language, in rule order.
+# Pattern "\bX\." case-insensitive, except Russian, which ends in "\b" instead of the dot.
+ABBREVIATIONS_ML = {
+    "en": ABBREVIATIONS_EN,
+    "es": [("sra", "señora"), ("sr", "señor"), ("dr", "doctor"), ("dra", "doctora"), ("st", "santo"),
+           ("co", "compañía"), ("jr", "junior"), ("ltd", "limitada")],
+    "fr": [("mme", "madame"), ("mr", "monsieur"), ("dr", "docteur"), ("st", "saint"), ("co", "compagnie"),
+           ("jr", "junior"), ("ltd", "limitée")],
+    "de": [("fr", "frau"), ("dr", "doktor"), ("st", "sankt"), ("co", "firma"), ("jr", "junior")],
+    "pt": [("sra", "senhora"), ("sr", "senhor"), ("dr", "doutor"), ("dra", "doutora"), ("st", "santo"),
+           ("co", "companhia"), ("jr", "júnior"), ("ltd", "limitada")],
+    "it": [("sig", "signore"), ("dr", "dottore"), ("st", "santo"), ("co", "compagnia"), ("jr", "junior"),
+           ("ltd", "limitata")],
+    "pl": [("p", "pani"), ("m", "pan"), ("dr", "doktor"), ("sw", "święty"), ("jr", "junior")],
+    "ar": [],
+    "zh": [],
+    "cs": [("dr", "doktor"), ("ing", "inženýr"), ("p", "pan")],
+    "ru": [("г-жа", "госпожа"), ("г-н", "господин"), ("д-р", "доктор")],
+    "nl": [("dhr", "de heer"), ("mevr", "mevrouw"), ("dr", "dokter"), ("jhr", "jonkheer")],
+    "tr": [("b", "bay"), ("byk", "büyük"), ("dr", "doktor")],
+    "hu": [("dr", "doktor"), ("b", "bácsi"), ("nőv", "nővér")],
+    "ko": [],
+}
+
+# Symbol words per language, for & @ % # $ £ ° in that order.
+SYMBOL_CHARS = ["&", "@", "%", "#", "$", "£", "°"]
+SYMBOL_WORDS = {
+    "en": [" and ", " at ", " percent ", " hash ", " dollar ", " pound ", " degree "],
+    "es": [" y ", " arroba ", " por ciento ", " numeral ", " dolar ", " libra ", " grados "],
+    "fr": [" et ", " arobase ", " pour cent ", " dièse ", " dollar ", " livre ", " degrés "],
+    "de": [" und ", " at ", " prozent ", " raute ", " dollar ", " pfund ", " grad "],
+    "pt": [" e ", " arroba ", " por cento ", " cardinal ", " dólar ", " libra ", " graus "],
+    "it": [" e ", " chiocciola ", " per cento ", " cancelletto ", " dollaro ", " sterlina ", " gradi "],
+    "pl": [" i ", " małpa ", " procent ", " krzyżyk ", " dolar ", " funt ", " stopnie "],
+    "ar": [" و ", " على ", " في المئة ", " رقم ", " دولار ", " جنيه ", " درجة "],
+    "zh": [" 和 ", " 在 ", " 百分之 ", " 号 ", " 美元 ", " 英镑 ", " 度 "],
+    "cs": [" a ", " na ", " procento ", " křížek ", " dolar ", " libra ", " stupně "],
+    "ru": [" и ", " собака ", " процентов ", " номер ", " доллар ", " фунт ", " градус "],
+    "nl": [" en ", " bij ", " procent ", " hekje ", " dollar ", " pond ", " graden "],
+    "tr": [" ve ", " at ", " yüzde ", " diyez ", " dolar ", " sterlin ", " derece "],
+    "hu": [" és ", " kukac ", " százalék ", " kettőskereszt ", " dollár ", " font ", " fok "],
+    "ko": [" 그리고 ", " 에 ", " 퍼센트 ", " 번호 ", " 달러 ", " 파운드 ", " 도 "],
+}
+
+
+def ml_abbreviation_rules(lang: str) -> list[tuple[str, str]]:
+    """(pattern, replacement) for J5; ``(?iu)`` keeps case folding Unicode-aware in Java."""
+    end = r"\b" if lang == "ru" else r"\."
+    return [(rf"(?iu)\b{x}{end}", r) for x, r in ABBREVIATIONS_ML[lang]]
+
+
+def _by_language(t, lang_col, per_lang) -> Column:
+    """One CASE over the languages (a single pass; each branch is that language's chain)."""
+    t, lang = _c(t), _c(lang_col)
+    out = None
+    for code in ABBREVIATIONS_ML:
+        e = per_lang(t, code)
+        out = F.when(lang == code, e) if out is None else out.when(lang == code, e)
+    return out.otherwise(t)
+
+
+def expand_abbreviations_ml(t, lang: str) -> Column:
+    out = _c(t)
+    for pat, rep in ml_abbreviation_rules(lang):
+        out = F.regexp_replace(out, pat, rep.replace("\\", "\\\\").replace("$", "\\$"))
+    return out
+
+
+def expand_abbreviations_by(t, lang_col) -> Column:
+    """J5 with the language taken from a column."""
+    return _by_language(t, lang_col, expand_abbreviations_ml)
+
+
+def expand_symbols_ml(t, lang: str) -> Column:
+    """Replace each symbol, halving double spaces after every rule; strip at the end."""
+    out = _c(t)
+    for sym, word in zip(SYMBOL_CHARS, SYMBOL_WORDS[lang]):
+        out = F.replace(out, F.lit(sym), F.lit(word))
+        out = F.replace(out, F.lit("  "), F.lit(" "))
+    return F.regexp_replace(out, f"^{WS}+|{WS}+$", "")
+
+
+def expand_symbols_by(t, lang_col) -> Column:
+    return _by_language(t, lang_col, expand_symbols_ml)
+
+
 # ---------------------------------------------------------------- pipelines
 
 def basic_cleaners(t) -> Column:

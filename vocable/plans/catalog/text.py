@@ -63,6 +63,46 @@ def j4(spark, sf):
     return d.select("doc_id", J.expand_abbreviations(F.concat(F.lit(J4_PREFIX), F.col("text")), "en").alias("expanded"))
 
 
+J5_PREFIX = "Dr. St. Co. Jr. Mr. Sra. Mme. Fr. "
+
+
+def _sql_case_by_lang(expr: str, per_lang) -> str:
+    parts = " ".join(f"WHEN lang = '{code}' THEN {per_lang(expr, code)}" for code in J.ABBREVIATIONS_ML)
+    return f"CASE {parts} ELSE {expr} END"
+
+
+def _sql_abbrev(expr: str, code: str) -> str:
+    # RE2's \b is ASCII-only; Python's (and Java's) treats any letter or digit as
+    # a word character, so the leading boundary is spelled out and kept.
+    for pat, rep in J.ml_abbreviation_rules(code):
+        pat = pat.replace("(?iu)\\b", "(?i)(^|[^\\p{L}\\p{Nd}_])")
+        expr = f"regexp_replace({expr}, '{pat}', '\\1{rep.replace(chr(39), chr(39) * 2)}', 'g')"
+    return expr
+
+
+def _sql_symbols(expr: str, code: str) -> str:
+    for sym, word in zip(J.SYMBOL_CHARS, J.SYMBOL_WORDS[code]):
+        expr = f"replace(replace({expr}, '{sym}', '{word}'), '  ', ' ')"
+    return f"regexp_replace({expr}, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
+
+
+@register("j5_abbreviations_multilingual", f"""
+SELECT doc_id, {_sql_case_by_lang("'" + J5_PREFIX + "' || text", _sql_abbrev)} AS expanded FROM documents
+""")
+def j5(spark, sf):
+    d = docs(spark, sf)
+    return d.select("doc_id", J.expand_abbreviations_by(F.concat(F.lit(J5_PREFIX), F.col("text")), "lang")
+                    .alias("expanded"))
+
+
+@register("j6_symbols_multilingual", f"""
+SELECT doc_id, {_sql_case_by_lang('text', _sql_symbols)} AS expanded FROM documents
+""")
+def j6(spark, sf):
+    d = docs(spark, sf)
+    return d.select("doc_id", J.expand_symbols_by("text", "lang").alias("expanded"))
+
+
 @register("j13_multilingual_cleaners", f"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
          replace(replace(replace(lower(text), ';', ','), '-', ' '), ':', ','),
