@@ -159,6 +159,35 @@ def overlap_add(folds: DataFrame, clip: str, fold_idx: str, fold: str, target: i
     return e.groupBy(clip, "pos").agg(F.sum("y").alias("y"))
 
 
+def crop(a, u_len: Column, u_start: Column, min_len: int, max_len: int, is_eval: bool = False) -> Column:
+    """Conditioning crop → struct(x padded to max_len, length, start, end).
+
+    Length is uniform in [min, max] (eval: (min+max)//2); a clip shorter
+    than that uses half of itself; the start is uniform in [0, gap]
+    (eval: 0).  ``u_len``/``u_start`` are keyed uniforms in [0, 1).
+    """
+    x = col(a)
+    n = F.size(x)
+    want = F.lit((min_len + max_len) // 2) if is_eval else (F.lit(min_len) + F.floor(u_len * (max_len - min_len + 1))
+                                                            .cast("int"))
+    length = F.when(n - want < 0, F.floor(n / 2).cast("int")).otherwise(want)
+    gap = n - length
+    start = F.lit(0) if is_eval else F.floor(u_start * (gap + 1)).cast("int")
+    piece = F.slice(x, start + 1, length)
+    padded = F.concat(piece, F.array_repeat(F.lit(0.0), F.greatest(F.lit(max_len) - F.size(piece), F.lit(0))))
+    return F.struct(padded.alias("x"), F.size(padded).alias("length"), start.alias("start"),
+                    (start + length).alias("end"))
+
+
+def rand_segment(a, u: Column, segment_size: int, hop: int = 1) -> Column:
+    """Random segment start = floor(u·(len − size + 1)); the paired audio
+    segment starts at start·hop.  Returns struct(start, audio_start, segment)."""
+    x = col(a)
+    start = F.floor(u * (F.size(x) - segment_size + 1)).cast("int")
+    return F.struct(start.alias("start"), (start * hop).alias("audio_start"),
+                    F.slice(x, start + 1, segment_size).alias("segment"))
+
+
 def rescale_intervals(iv, factor: float) -> Column:
     """int(start·f), int(end·f) for an array of (start, end) structs."""
     return F.transform(col(iv), lambda s: F.struct((s["start"] * factor).cast("long").alias("start"),

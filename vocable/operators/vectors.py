@@ -168,6 +168,28 @@ def ema_update(assigned: DataFrame, vec_col: str, codebook: DataFrame, cluster_s
     return upd
 
 
+def reset_codes(codebook: DataFrame, usage: DataFrame, data: DataFrame, key: str, vec_col: str,
+                seed: int = 0, op: str = "k8") -> DataFrame:
+    """K8: codes whose share is over-used or dead (E14 flags) get the vector of a
+    hash-chosen data row; the others keep their centroid.
+
+    The data row for code c is the one at global position hash(seed, op, c) mod N
+    (position helper over ``key``), joined on that position: no row is
+    collected, and the choice does not depend on partitioning.
+    """
+    from vocable.functions.hashing import hash52
+    from vocable.operators.common import attach_scalars
+    from vocable.plans.position import with_position
+
+    pos = with_position(data.select(key, vec_col), [key], "_pos")
+    n = data.agg(F.count(F.lit(1)).alias("_n"))
+    flagged = usage.where(F.col("over_used") | F.col("dead")).select("code")
+    pick = attach_scalars(flagged, n).withColumn("_pos", F.pmod(hash52(seed, op, F.col("code")), F.col("_n")))
+    repl = pick.join(pos, "_pos").select("code", F.transform(vec_col, lambda v: v.cast("double")).alias("_new"))
+    out = codebook.join(repl, "code", "left")
+    return out.select("code", F.coalesce("_new", "centroid").alias("centroid"), F.col("_new").isNotNull().alias("reset"))
+
+
 def window_offsets(length, window: int, n: int = 10) -> Column:
     """K9: ``n`` offsets ``int(linspace(0, length - w, n))`` with w = min(window, length).
 

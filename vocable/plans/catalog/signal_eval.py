@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vocable.functions.hashing import sql_uniform
 from vocable.operators import evalm as M
 from vocable.operators import signal as L
 from vocable.operators.common import attach_scalars
@@ -190,6 +191,35 @@ def l13(spark, sf):
     return out.select("user_id", F.col("pos").cast("long").alias("pos"), F.round("y", 6).alias("y"))
 
 
+@register("l10_conditioning_crop", f"""
+WITH s AS (SELECT user_id, x, len(x) AS n,
+                  20 + CAST(floor({sql_uniform(0, 'l10len', 'user_id')} * 41) AS INTEGER) AS want FROM {SERIES_SQL}),
+c AS (SELECT user_id, x, n, CASE WHEN n - want < 0 THEN n // 2 ELSE want END AS length FROM s),
+d AS (SELECT user_id, x, length, CAST(floor({sql_uniform(0, 'l10st', 'user_id')} * (n - length + 1)) AS INTEGER) AS start FROM c)
+SELECT user_id, list_resize(x[start + 1: start + length], 60, 0.0::DOUBLE) AS x, CAST(length AS INTEGER) AS length, start,
+       CAST(start + length AS INTEGER) AS "end" FROM d
+""")
+def l10(spark, sf):
+    from vocable.functions.hashing import uniform
+    s = user_series(spark, sf)
+    c = L.crop("x", uniform(0, "l10len", F.col("user_id")), uniform(0, "l10st", F.col("user_id")), 20, 60)
+    r = s.select("user_id", c.alias("c"))
+    return r.select("user_id", "c.x", F.col("c.start").cast("int").alias("start"),
+                    (F.col("c.end") - F.col("c.start")).cast("int").alias("length"), F.col("c.end").cast("int").alias("end"))
+
+
+@register("l11_random_segments", f"""
+WITH s AS (SELECT user_id, x, CAST(floor({sql_uniform(0, 'l11', 'user_id')} * (len(x) - 16 + 1)) AS INTEGER) AS start
+           FROM {SERIES_SQL})
+SELECT user_id, start, start * 256 AS audio_start, x[start + 1: start + 16] AS segment FROM s
+""")
+def l11(spark, sf):
+    from vocable.functions.hashing import uniform
+    s = user_series(spark, sf)
+    r = s.select("user_id", L.rand_segment("x", uniform(0, "l11", F.col("user_id")), 16, 256).alias("r"))
+    return r.select("user_id", "r.start", "r.audio_start", "r.segment")
+
+
 RUNS_SQL = f"""runs AS (
   SELECT user_id, min(i) AS start, max(i) + 1 AS "end" FROM (
     SELECT user_id, i, x > 100 AS on_, i - row_number() OVER (PARTITION BY user_id, x > 100 ORDER BY i) AS g

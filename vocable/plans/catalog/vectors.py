@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from vocable.functions.hashing import sql_hash52
 from vocable.operators import stats as E
 from vocable.operators import vectors as K
 from vocable.plans.catalog.stats import EMB_LONG, clip_vectors
@@ -130,6 +131,28 @@ def k7(spark, sf):
                     F.round("cluster_size", 6).alias("cluster_size"), F.round("v", 4).alias("v"))
 
 
+@register("k8_reset_codes", f"""WITH {CB_SQL},
+u AS (SELECT code, count(*) AS n FROM asg GROUP BY code),
+t AS (SELECT count(*) AS total FROM asg),
+fl AS (SELECT cb.code FROM cb LEFT JOIN u ON cb.code = u.code, t
+       WHERE coalesce(u.n, 0) / t.total > 0.9 OR coalesce(u.n, 0) / t.total < 0.01),
+nn AS (SELECT count(*) AS n FROM embeddings),
+p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
+pk AS (SELECT fl.code, {sql_hash52(0, 'k8', 'fl.code')} % nn.n AS pos FROM fl, nn),
+repl AS (SELECT pk.code, p.vec_id FROM pk JOIN p ON pk.pos = p.pos),
+newv AS (SELECT r.code, sum(l.x) AS s FROM repl r JOIN l ON l.vec_id = r.vec_id GROUP BY r.code)
+SELECT CAST(cb.code AS INTEGER) AS code, round(coalesce(newv.s, (SELECT sum(e) FROM cbl WHERE cbl.code = cb.code)), 6) AS centroid_sum,
+       newv.s IS NOT NULL AS reset
+FROM cb LEFT JOIN newv ON cb.code = newv.code
+""")
+def k8(spark, sf):
+    usage = E.code_usage(assigned(spark, sf), "code", N_CODES)
+    data = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    r = K.reset_codes(codebook(spark, sf), usage, data, "vec_id", "embedding")
+    return r.select("code", F.round(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x), 6).alias("centroid_sum"),
+                    "reset")
+
+
 def user_series(spark, sf):
     """Long clips: ``events.value`` per user ordered by (ts, event_id)."""
     ev = table(spark, sf, "events")
