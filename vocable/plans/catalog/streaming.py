@@ -4,7 +4,8 @@ sink read back, so the oracle compares the streamed answer with SQL."""
 
 from pyspark.sql import functions as F
 
-from vocable.plans.registry import register
+from vocable.plans.catalog import vectors as _vectors  # noqa: F401  (registers the K7 oracle used below)
+from vocable.plans.registry import ORACLE, register
 from vocable.streaming import stateful as N
 
 CHUNK = 8
@@ -47,6 +48,48 @@ def n3s(spark, sf):
                     F.round("ema", 6).alias("ema"))
 
 
+RING = 4000
+
+
+@register("n4s_last_n_code_histogram", f"""
+SELECT CAST(event_id % 16 AS BIGINT) AS code, count(*) AS n FROM (
+  SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT {RING}) GROUP BY 1
+""")
+def n4s(spark, sf):
+    """Histogram of the last 4000 codes (code = event_id mod 16), kept as a bounded ring table."""
+    root = N.scratch(spark, "n4s-ring")
+    N.run_foreach(N.ring_histogram_sink(N.event_stream(spark, sf), root, N.scratch(spark, "n4s-chk"), RING,
+                                        F.pmod("event_id", F.lit(16)), ["ts", "event_id"]))
+    ring = N.latest_version(spark, root)
+    return ring.groupBy(F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("n7s_online_codebook", ORACLE["k7_ema_codebook_update"])
+def n7s(spark, sf):
+    """One micro-batch of embeddings → K5 assignment + K7 update of the codebook
+    (the batch form is k7_ema_codebook_update)."""
+    from vocable.plans.catalog.vectors import codebook
+    emb_schema = "vec_id long, embedding array<float>, label int"
+    stream = (spark.readStream.schema(emb_schema).option("pathGlobFilter", "embeddings.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    root = N.scratch(spark, "n7s-book")
+    N.run_foreach(N.online_codebook_sink(stream, root, N.scratch(spark, "n7s-chk"), "embedding", codebook(spark, sf)))
+    book = N.latest_version(spark, root)
+    return book.select(F.col("code").cast("bigint").alias("code"), F.col("pos").cast("long").alias("pos"),
+                       F.round("cluster_size", 6).alias("cluster_size"), F.round("v", 4).alias("v"))
+
+
+@register("n8s_log_every_k", """
+WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+c AS (SELECT user_id, ((k - 1) // 10 + 1) * 10 AS step, sum(value) AS s, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT user_id, step, round(s / 10.0, 6) AS mean FROM c WHERE n = 10
+""")
+def n8s(spark, sf):
+    out = N.run_to_parquet(N.log_every_k(N.event_stream(spark, sf), 10), "n8s")
+    r = spark.read.parquet(out)
+    return r.select("user_id", "step", F.round("mean", 6).alias("mean"))
+
+
 @register("n5s_quarantine", """
 WITH fb AS (SELECT user_id, min((ts, event_id)) AS fb FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT e.event_id, e.user_id FROM events e LEFT JOIN fb ON e.user_id = fb.user_id

@@ -15,7 +15,7 @@ import time
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -187,6 +187,90 @@ def running_stats(stream: DataFrame, decay: float = 0.99, timeout_ms: int = 6000
         _runner(decay, timeout_ms), RUN_OUT, RUN_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+# ---------------------------------------------------------------- N8s
+EVERY_OUT = "user_id long, step long, mean double"
+EVERY_STATE = "n long, acc double"
+
+
+def _every_k(k: int, timeout_ms: int):
+    def fn(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, acc = state.get if state.exists else (0, 0.0)
+        rows = []
+        for pdf in batches:
+            for v in pdf.sort_values(["ts", "event_id"])["value"].tolist():
+                n += 1
+                acc += float(v)
+                if n % k == 0:
+                    rows.append((key[0], n, acc / k))
+                    acc = 0.0
+        state.update((n, acc))
+        state.setTimeoutDuration(timeout_ms)
+        if rows:
+            yield pd.DataFrame(rows, columns=["user_id", "step", "mean"])
+    return fn
+
+
+def log_every_k(stream: DataFrame, k: int, timeout_ms: int = 60000) -> DataFrame:
+    """N8s: per key, one log row every ``k`` steps with the mean of those steps
+    (no row for an unfinished window, as a step logger does)."""
+    return stream.groupBy("user_id").applyInPandasWithState(
+        _every_k(k, timeout_ms), EVERY_OUT, EVERY_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+# ---------------------------------------------------------------- N4s / N7s (foreachBatch, versioned tables)
+
+def ring_histogram_sink(stream: DataFrame, ring_root: str, chk: str, capacity: int, code: Column,
+                        order: list[str]):
+    """N4s: keep the last ``capacity`` codes (arrival order ``order``) in a
+    bounded table; each micro-batch writes a new version = newest
+    ``capacity`` rows of (previous version ∪ batch).  The table never holds
+    more than ``capacity`` rows, so the top-k is bounded."""
+    def process(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(*order, code.alias("code"))
+        try:
+            prev = spark.read.parquet(f"{ring_root}/v={epoch - 1}")
+            new = prev.unionByName(new)
+        except Exception:  # noqa: BLE001 - first epoch
+            pass
+        top = new.orderBy(*[F.col(c).desc() for c in order]).limit(capacity)
+        top.write.mode("overwrite").parquet(f"{ring_root}/v={epoch}")
+
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", chk)
+
+
+def latest_version(spark: SparkSession, root: str) -> DataFrame:
+    import glob
+    versions = sorted(int(p.rsplit("=", 1)[1]) for p in glob.glob(f"{root}/v=*"))
+    return spark.read.parquet(f"{root}/v={versions[-1]}")
+
+
+def online_codebook_sink(stream: DataFrame, book_root: str, chk: str, vec_col: str, initial: DataFrame):
+    """N7s: per micro-batch, assign codes with the current codebook version
+    (K5) and write the EMA-updated version (K7) with its cluster sizes."""
+    from vocable.operators.vectors import ema_update, nearest_code
+
+    def process(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        try:
+            cur = latest_version(spark, book_root)
+            book = cur.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_c"),
+                                           F.first("cluster_size").alias("cluster_size"))
+            book = book.select("code", F.transform("_c", lambda r: r["v"]).alias("centroid"), "cluster_size")
+        except Exception:  # noqa: BLE001 - first epoch: the initial codebook
+            book = initial.withColumn("cluster_size", F.lit(0.0))
+        cb = book.select("code", "centroid")
+        sizes = book.select("code", "cluster_size")
+        assigned = nearest_code(batch.select(vec_col), vec_col, cb)
+        upd = ema_update(assigned, vec_col, cb, sizes)
+        upd.write.mode("overwrite").parquet(f"{book_root}/v={epoch}")
+
+    return stream.writeStream.foreachBatch(process).option("checkpointLocation", chk)
+
+
 # ---------------------------------------------------------------- N5s / N6s (foreachBatch)
 
 def quarantine_sink(stream: DataFrame, kept_dir: str, rejected_dir: str, quarantine_dir: str, chk: str,
