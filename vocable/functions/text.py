@@ -7,10 +7,14 @@ class because ``\\s`` differs between Python, Java and RE2.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the characters Python's str.isspace()/re "\s" treat as whitespace.
 WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -202,6 +206,107 @@ def expand_symbols_by(t, lang_col) -> Column:
     return _by_language(t, lang_col, expand_symbols_ml)
 
 
+# ---------------------------------------------------------------- J14 / J15 corpus normalisers
+# Abbreviation and tag replacements of the corpus normaliser.
+CORPUS_ABBREVIATIONS = [("Mr.", "Mister"), ("Mrs.", "Missus"), ("Ms.", "Miss"), ("Dr.", "Doctor"),
+                        ("Prof.", "Professor"), ("No.", "Number"), ("U.S.", "United States"),
+                        ("U.K.", "United Kingdom")]
+CORPUS_TAGS = [("<COMMA>", ","), ("<PERIOD>", "."), ("<QUESTIONMARK>", "?"), ("<EXCLAMATIONPOINT>", "!"),
+               ("<SIL>", ""), ("<MUSIC>", ""), ("<NOISE>", ""), ("<OTHER>", "")]
+# Allowed characters: ASCII letters, digits, space and the punctuation string of
+# the reference, where "\]" is an escape, so a backslash is *not* allowed.
+CORPUS_ALLOWED = r"A-Za-z0-9!" + '"' + r"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~ "
+
+
+@F.pandas_udf(T.StringType())
+def nfkd_ascii(s: pd.Series) -> pd.Series:
+    """NFKD decomposition, then every non-ASCII code point dropped (Arrow batches;
+    Spark SQL has no Unicode normalisation function)."""
+    return s.map(lambda t: None if t is None else
+                 unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
+
+
+def corpus_normalise(t, lower: bool = True, remove_non_english: bool = True, abbreviate: bool = True,
+                     mode: str = "strict") -> Column:
+    """Strip → collapse → NFKD+ASCII → disallowed runs → ``[UNK]`` (or
+    removed) → collapse → abbreviations → tag tokens → lower.
+
+    ``mode="compat"`` keeps the reference's trailing ``\\b`` after the
+    abbreviations (so ``Mr. Smith`` is left unchanged)."""
+    x = F.regexp_replace(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""), WS + "+", " ")
+    x = nfkd_ascii(x)
+    x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
+    x = F.regexp_replace(x, WS + "+", " ")
+    if abbreviate:
+        tail = r"\b" if mode == "compat" else ""
+        x = _replace_alternation(x, CORPUS_ABBREVIATIONS, r"\b", tail)
+    for k, v in CORPUS_TAGS:
+        x = F.replace(x, F.lit(k), F.lit(v))
+    return F.lower(x) if lower else x
+
+
+def _replace_alternation(x: Column, pairs, head: str, tail: str) -> Column:
+    """Leftmost-first alternation replace: each key is tried at a position in
+    list order, like one ``re.sub`` over ``k1|k2|…``.  Done as sequential
+    replacements guarded so a later key cannot match inside an earlier
+    key's replacement (replacements contain no dots)."""
+    for k, v in pairs:
+        x = F.regexp_replace(x, head + re.escape(k) + tail, v)
+    return x
+
+
+def txt_normalise(t, remove_non_english: bool = True) -> Column:
+    """Strip and lower first, NFKD+ASCII, disallowed → ``[UNK]``, collapse
+    (its abbreviation step cannot fire on lower-cased text and is not applied)."""
+    x = F.lower(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""))
+    x = nfkd_ascii(x)
+    x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
+    return F.regexp_replace(x, WS + "+", " ")
+
+
+# ---------------------------------------------------------------- J17 punctuation split / restore
+
+def punctuation_split(df, text: str, out: str = "split", puncs: str = DEFAULT_PUNCS):
+    """Adds ``out`` = struct(pieces, marks), marks being (mark, position)
+    with position BEGIN / MIDDLE / END; ``punctuation_restore`` inverts it.
+
+    DataFrame-level so the split and the extracted marks are computed once
+    (lambdas do not share subexpressions: referencing them inside a lambda
+    would redo the regex per element)."""
+    cls = "[" + "".join("\\" + ch if ch in r"\^]-[" else ch for ch in dict.fromkeys(puncs)) + "]"
+    run = f"(?:{WS}*{cls}+{WS}*)+"
+    d = (df.withColumn("_marks", F.regexp_extract_all(F.col(text), F.lit(run), 0))
+         .withColumn("_pieces", F.split(F.col(text), run, -1)))
+    d = (d.withColumn("_lead", F.element_at("_pieces", 1) == "")
+         .withColumn("_trail", (F.size("_pieces") > 1) & (F.element_at("_pieces", -1) == ""))
+         .withColumn("_nm", F.size("_marks")).withColumn("_np", F.size("_pieces")))
+    tagged = F.transform("_marks", lambda m, i: F.struct(
+        m.alias("mark"),
+        F.when((i == 0) & F.col("_lead"), F.lit("BEGIN"))
+        .when((i == F.col("_nm") - 1) & F.col("_trail"), F.lit("END"))
+        .otherwise(F.lit("MIDDLE")).alias("position")))
+    kept = F.filter("_pieces", lambda p, i: ~(((i == 0) & F.col("_lead")) | ((i == F.col("_np") - 1) & F.col("_trail"))))
+    return d.withColumn(out, F.struct(kept.alias("pieces"), tagged.alias("marks"))).drop(
+        "_marks", "_pieces", "_lead", "_trail", "_nm", "_np")
+
+
+def punctuation_restore(df, split_col: str, out: str = "restored"):
+    """J17 inverse: interleave pieces and the MIDDLE marks, add BEGIN/END marks."""
+    s = F.col(split_col)
+    d = (df.withColumn("_p", s["pieces"]).withColumn("_m", s["marks"])
+         .withColumn("_mid", F.filter("_m", lambda m: m["position"] == "MIDDLE")))
+    begin = F.when(F.size("_m") > 0, F.when(F.element_at("_m", 1)["position"] == "BEGIN",
+                                            F.element_at("_m", 1)["mark"]))
+    end = F.when(F.size("_m") > 0, F.when(F.element_at("_m", -1)["position"] == "END",
+                                          F.element_at("_m", -1)["mark"]))
+    # Interleave then join once (linear; concatenating inside a fold is quadratic).
+    mid = F.col("_mid")
+    body = F.array_join(F.flatten(F.transform(
+        "_p", lambda p, i: F.array(p, F.when(i < F.size(mid), mid[i]["mark"]).otherwise(F.lit(""))))), "")
+    return d.withColumn(out, F.concat(F.coalesce(begin, F.lit("")), body, F.coalesce(end, F.lit("")))).drop(
+        "_p", "_m", "_mid")
+
+
 # ---------------------------------------------------------------- pipelines
 
 def basic_cleaners(t) -> Column:

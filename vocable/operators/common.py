@@ -22,6 +22,17 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.select("*", *[F.col("_s")[c].alias(c) for c in cols]).drop("_s")
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Spark does not share subexpressions inside higher-order lambdas: an
+    array expression referenced in a ``transform`` body is recomputed for
+    every element.  Binding it through a one-element ``transform`` evaluates
+    it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), lambda v: fn(v)), 1)
+
+
 def r6(c) -> Column:
     """Round a double to 6 places (sum order differs between engines)."""
     return F.round(col(c).cast("double"), 6)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocable.operators.common import col
+from vocable.operators.common import col, let
 
 
 def _sum(a) -> Column:
@@ -132,7 +132,9 @@ def fold_with_overlap(a, target: int, overlap: int) -> Column:
     nf2 = F.when(remaining != 0, nf + 1).otherwise(nf)
     pad = F.when(remaining != 0, F.lit(target + 2 * overlap) - remaining).otherwise(F.lit(0))
     xp = F.concat(x, F.array_repeat(F.lit(0.0), F.greatest(pad, F.lit(0))))
-    return F.transform(F.sequence(F.lit(0), nf2 - 1), lambda i: F.slice(xp, i * step + 1, target + 2 * overlap))
+    # The padded clip is bound once; referencing it in the lambda would rebuild it per fold.
+    return let(xp, lambda xpv: F.transform(F.sequence(F.lit(0), nf2 - 1),
+                                           lambda i: F.slice(xpv, i * step + 1, target + 2 * overlap)))
 
 
 def fade_gain(j, length: int, overlap: int) -> Column:
@@ -249,13 +251,18 @@ def repair_tail(codes, stop_token: int, fill: int = 83, tail=(45, 45, 248)) -> C
     """From the first stop token on, codes become ``fill``; then the last
     three are set to the tail codes.  No stop token: unchanged."""
     c = col(codes)
-    first = F.array_position(c, F.lit(stop_token))
-    filled = F.transform(c, lambda v, i: F.when(i >= first - 1, F.lit(fill).cast("long")).otherwise(v.cast("long")))
-    n = F.size(c)
-    tailed = F.transform(filled, lambda v, i: F.when(i == n - 3, F.lit(tail[0]).cast("long"))
-                         .when(i == n - 2, F.lit(tail[1]).cast("long"))
-                         .when(i == n - 1, F.lit(tail[2]).cast("long")).otherwise(v))
-    return F.when(first > 0, tailed).otherwise(F.transform(c, lambda v: v.cast("long")))
+
+    def with_first(first):
+        filled = F.transform(c, lambda v, i: F.when(i >= first - 1, F.lit(fill).cast("long"))
+                             .otherwise(v.cast("long")))
+        n = F.size(c)
+        tailed = F.transform(filled, lambda v, i: F.when(i == n - 3, F.lit(tail[0]).cast("long"))
+                             .when(i == n - 2, F.lit(tail[1]).cast("long"))
+                             .when(i == n - 1, F.lit(tail[2]).cast("long")).otherwise(v))
+        return F.when(first > 0, tailed).otherwise(F.transform(c, lambda v: v.cast("long")))
+
+    # The stop position is bound once instead of being searched for per element.
+    return let(F.array_position(c, F.lit(stop_token)), with_first)
 
 
 def redaction_spans(text) -> Column:
@@ -263,9 +270,13 @@ def redaction_spans(text) -> Column:
     kept (start, end) index spans with end = max(0, start + len − 1)."""
     t = col(text)
     pieces = F.split(t, r"[\[\]]", -1)
-    lens = F.transform(pieces, lambda s: F.length(s))
-    starts = F.transform(lens, lambda _, i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, v: a + v))
-    spans = F.transform(F.arrays_zip(starts.alias("s"), lens.alias("l")),
-                        lambda z: F.struct(z["s"].alias("start"),
-                                           F.greatest(F.lit(0), z["s"] + z["l"] - 1).alias("end")))
-    return F.filter(spans, lambda _, i: F.pmod(i, F.lit(2)) == 0)
+
+    def spans_of(lens):
+        # Running start of each piece (pieces = 2·brackets + 1, a short array).
+        starts = F.transform(lens, lambda _, i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, v: a + v))
+        spans = F.transform(F.arrays_zip(starts.alias("s"), lens.alias("l")),
+                            lambda z: F.struct(z["s"].alias("start"),
+                                               F.greatest(F.lit(0), z["s"] + z["l"] - 1).alias("end")))
+        return F.filter(spans, lambda _, i: F.pmod(i, F.lit(2)) == 0)
+
+    return let(F.transform(pieces, lambda s: F.length(s)), spans_of)

@@ -133,6 +133,37 @@ def j13n(spark, sf):
 _PCLS = "[;:,.!?¡¿—…\"«»“”]"
 
 
+@register("j14_corpus_normaliser")
+def j14(spark, sf):
+    """Rows-only here (no NFKD in the oracle engine); tests compare every
+    document with a Python re-computation, strict and compat."""
+    return docs(spark, sf).select("doc_id", J.corpus_normalise(F.col("text")).alias("normalised"))
+
+
+@register("j15_txt_normaliser")
+def j15(spark, sf):
+    return docs(spark, sf).select("doc_id", J.txt_normalise(F.col("text")).alias("normalised"))
+
+
+_RUN = f"(?:{SQL_WS}*[;:,.!?¡¿—…\"«»“”]+{SQL_WS}*)+"
+
+
+@register("j17_punctuation_split", f"""
+WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '{_RUN}') AS marks, string_split_regex(text, '{_RUN}') AS p
+           FROM documents)
+SELECT doc_id, CAST(len(marks) AS INTEGER) AS n_marks,
+       CAST(len(p) - (CASE WHEN p[1] = '' THEN 1 ELSE 0 END)
+                   - (CASE WHEN len(p) > 1 AND p[len(p)] = '' THEN 1 ELSE 0 END) AS INTEGER) AS n_pieces,
+       true AS roundtrip_ok
+FROM s
+""")
+def j17(spark, sf):
+    d = J.punctuation_split(docs(spark, sf).select("doc_id", "text"), "text", "s")
+    d = J.punctuation_restore(d, "s", "back")
+    return d.select("doc_id", F.size("s.marks").alias("n_marks"), F.size("s.pieces").alias("n_pieces"),
+                    (F.col("back") == F.col("text")).alias("roundtrip_ok"))
+
+
 @register("j16_strip_punctuation", f"""
 SELECT doc_id, regexp_replace(regexp_replace(text, '({SQL_WS}*{_PCLS}+{SQL_WS}*)+', ' ', 'g'),
                               '^{SQL_WS}+|{SQL_WS}+$', '', 'g') AS stripped FROM documents
