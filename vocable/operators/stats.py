@@ -117,17 +117,25 @@ def running_mean(df: DataFrame, key_col: str, order_cols: list, x: str, compat:
     value seeds the average but is not counted (the mean of rows 2..k,
     and the first value itself on row 1).
     """
-    w = Window.partitionBy(key_col).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    rn = F.row_number().over(Window.partitionBy(key_col).orderBy(*order_cols))
-    s = F.sum(F.col(x).cast("double")).over(w)
+    from vocable.plans.position import keyed_running
+
+    # Running sums and counts per key through range partitioning (a hot metric
+    # key is spread over many tasks), not a window partitioned by the key.
+    d = df.withColumn("_one", F.lit(1.0)).withColumn("_x", F.col(x).cast("double"))
+    r = keyed_running(d, [key_col], order_cols, [("_x", "sum", "_s"), ("_one", "sum", "_rn")])
+    s, rn = F.col("_s"), F.col("_rn")
     if decimals is not None:
         # Inputs with a fixed number of decimals: round the running sum back to
         # that grid, which removes the float summation error exactly.
         s = F.round(s, decimals)
     if not compat:
-        return df.withColumn("running_mean", s / rn)
-    first = F.first(F.col(x).cast("double")).over(w)
-    return df.withColumn("running_mean", F.when(rn == 1, first).otherwise((s - first) / (rn - 1)))
+        return r.withColumn("running_mean", s / rn).drop("_one", "_x", "_s", "_rn")
+    # The first value of each key: the keyed minimum of the order rank picks it.
+    firsts = df.groupBy(key_col).agg(F.min_by(F.col(x).cast("double"), F.struct(*order_cols)).alias("_first"))
+    r = r.join(firsts, key_col)
+    out = r.withColumn("running_mean", F.when(rn == 1, F.col("_first"))
+                       .otherwise((s - F.col("_first")) / (rn - 1)))
+    return out.drop("_one", "_x", "_s", "_rn", "_first")
 
 
 def ema_fold(values: Column, decay: float = 0.99) -> Column:

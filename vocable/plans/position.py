@@ -19,6 +19,7 @@ tie-breaker.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,72 @@ def with_position(df: DataFrame, order: list, pos_col: str = "pos",
     return out.drop(*drop)
 
 
+_COMBINE = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def _local_running(keys: list[str], specs: list[tuple[str, str, str]]):
+    """Per sorted partition: running aggregates per key (rows arrive sorted by key, order)."""
+    import numpy as np
+
+    def fn(batches):
+        carry = {}   # (output, key) -> running value at the end of the previous Arrow batch
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            k = (pdf[keys].astype(str).agg("\u0001".join, axis=1) if len(keys) > 1 else pdf[keys[0]]).reset_index(
+                drop=True)
+            out = pdf.reset_index(drop=True)
+            for src, how, dst in specs:
+                g = out[src].astype("float64").groupby(k, sort=False)
+                loc = {"sum": g.cumsum, "min": g.cummin, "max": g.cummax}[how]().to_numpy()
+                prev = k.map(lambda key: carry.get((dst, key), np.nan)).to_numpy(dtype="float64")
+                if how == "sum":
+                    loc = loc + np.nan_to_num(prev)
+                elif how == "min":
+                    loc = np.fmin(loc, prev)
+                else:
+                    loc = np.fmax(loc, prev)
+                out["_loc_" + dst] = loc
+                for key, v in pd.Series(loc).groupby(k, sort=False).last().items():
+                    carry[(dst, key)] = float(v)
+            yield out
+    return fn
+
+
+def keyed_running(df: DataFrame, keys: list[str], order: list, aggs: list[tuple[str, str, str]],
+                  num_partitions: int | None = None,
+                  storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """Running ``sum``/``min``/``max`` per key in ``order`` without a window
+    partitioned by the key (a hot key would be one task).
+
+    ``aggs`` = [(source column, "sum"|"min"|"max", output column)].  Rows are
+    range-partitioned on (keys, order), so a hot key is spread over several
+    partitions; per (partition, key) partials form a small table whose
+    per-key running combination (a window over that small table) gives each
+    partition's offset; the local running value comes from one pass over
+    each sorted partition.  ``order`` must make (keys, order) a total order.
+    """
+    order = _cols(order)
+    n = num_partitions or default_partitions(df)
+    sort = [F.col(k) for k in keys] + order
+    tagged = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
+              .withColumn("_pp", F.spark_partition_id()).persist(storage))
+    parts = tagged.groupBy("_pp", *keys).agg(*[_COMBINE[how][0](F.col(src).cast("double")).alias("_p_" + dst)
+                                               for src, how, dst in aggs])
+    w = Window.partitionBy(*keys).orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_pp", *keys, *[_COMBINE[how][0]("_p_" + dst).over(w).alias("_o_" + dst)
+                                        for _, how, dst in aggs])
+    schema = T.StructType(list(tagged.schema.fields) + [T.StructField("_loc_" + dst, T.DoubleType())
+                                                        for _, _, dst in aggs])
+    body = tagged.mapInPandas(_local_running(keys, aggs), schema=schema)
+    out = body.join(offs, ["_pp", *keys], "left")
+    for _, how, dst in aggs:
+        comb = _COMBINE[how][1]
+        out = out.withColumn(dst, F.when(F.col("_o_" + dst).isNull(), F.col("_loc_" + dst))
+                             .otherwise(comb(F.col("_o_" + dst), F.col("_loc_" + dst))))
+    return out.drop("_pp", *[c for _, _, d in aggs for c in ("_loc_" + d, "_o_" + d)])
+
+
 def total_rows(df: DataFrame) -> DataFrame:
     """One-row DataFrame ``(n_total)`` for :func:`vocable.operators.common.attach_scalars`."""
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_total"))
