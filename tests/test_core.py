@@ -31,6 +31,24 @@ def test_position_prefix_weights(spark):
         assert abs(r.cum - run) < 1e-9
 
 
+def test_keyed_running_matches_pandas_and_partitioning(spark):
+    import pandas as pd
+
+    from vocable.plans.position import keyed_running
+
+    rows = [(k % 3 if k % 7 else 0, k, float((k * 37) % 101) - 50.0) for k in range(600)]  # key 0 is hot
+    df = spark.createDataFrame(rows, "key long, t long, x double")
+    pdf = pd.DataFrame(rows, columns=["key", "t", "x"]).sort_values(["key", "t"])
+    exp = pdf.assign(s=pdf.groupby("key")["x"].cumsum(), mn=pdf.groupby("key")["x"].cummin(),
+                     mx=pdf.groupby("key")["x"].cummax()).set_index("t")
+    for parts in (1, 3, 17):
+        out = keyed_running(df.repartition(parts), ["key"], ["t"],
+                            [("x", "sum", "s"), ("x", "min", "mn"), ("x", "max", "mx")], num_partitions=parts)
+        got = out.toPandas().set_index("t").sort_index()
+        for c in ("s", "mn", "mx"):
+            assert (abs(got[c] - exp.loc[got.index, c]) < 1e-9).all(), (parts, c)
+
+
 def test_hash_matches_duckdb(spark):
     from vocable.functions.hashing import hash52, sql_hash52
 

@@ -190,6 +190,48 @@ def rand_segment(a, u: Column, segment_size: int, hop: int = 1) -> Column:
                     F.slice(x, start + 1, segment_size).alias("segment"))
 
 
+def power_db(a) -> Column:
+    """10·log10(mean(x²) + 1e-4)."""
+    x = col(a)
+    return 10 * F.log10(_sum(F.transform(x, lambda v: v * v)) / F.size(x) + 1e-4)
+
+
+def mix_noise(clips: DataFrame, noises: DataFrame, key: str, x: str, noise_key: str, noise_x: str,
+              min_snr: float, max_snr: float, seed: int = 0, op: str = "l21") -> DataFrame:
+    """Add one hash-chosen noise per clip at a hash-chosen SNR in
+    [min_snr, max_snr]: gain = sqrt(10^((clean_db − noise_db − snr)/10)); noises
+    shorter than the clip are skipped (the clip passes unchanged).
+
+    The noise row is picked by global position (hash mod the noise count)
+    and joined on it, so no noise table is collected or broadcast."""
+    from vocable.functions.hashing import hash52, uniform
+    from vocable.operators.common import attach_scalars
+    from vocable.plans.position import with_position
+
+    npos = with_position(noises.select(noise_key, noise_x), [noise_key], "_npos")
+    nn = noises.agg(F.count(F.lit(1)).alias("_nn"))
+    c = attach_scalars(clips, nn).withColumn("_npos", F.pmod(hash52(seed, op, F.col(key)), F.col("_nn")))
+    c = c.withColumn("_snr", F.lit(min_snr) + uniform(seed, op + "snr", F.col(key)) * (max_snr - min_snr))
+    j = c.join(npos.select("_npos", F.col(noise_x).alias("_noise")), "_npos", "left")
+    ok = F.col("_noise").isNotNull() & (F.size("_noise") >= F.size(x))
+    gain = F.sqrt(F.pow(F.lit(10.0), (power_db(x) - power_db("_noise") - F.col("_snr")) / 10))
+    mixed = F.zip_with(x, F.slice("_noise", 1, F.size(x)), lambda a, b: a + b * gain)
+    return j.withColumn("mixed", F.when(ok, mixed).otherwise(F.col(x))).drop("_npos", "_nn", "_snr", "_noise")
+
+
+def dither(a, key: Column, seed: int = 0, op: str = "l22") -> Column:
+    """X + u/32768 with u uniform in [0, 1) keyed by (clip, index)."""
+    from vocable.functions.hashing import uniform
+    return F.transform(col(a), lambda v, i: v + uniform(seed, op, key, i) / 32768.0)
+
+
+def mono(channels) -> Column:
+    """Mean of the channels (array of equal-length channel arrays)."""
+    ch = col(channels)
+    return F.transform(F.element_at(ch, 1), lambda _, i: F.aggregate(ch, F.lit(0.0), lambda acc, c: acc + c[i])
+                       / F.size(ch))
+
+
 def rescale_intervals(iv, factor: float) -> Column:
     """int(start·f), int(end·f) for an array of (start, end) structs."""
     return F.transform(col(iv), lambda s: F.struct((s["start"] * factor).cast("long").alias("start"),

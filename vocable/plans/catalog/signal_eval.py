@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vocable.functions.hashing import sql_uniform
+from vocable.functions.hashing import sql_hash52, sql_uniform
 from vocable.operators import evalm as M
 from vocable.operators import signal as L
 from vocable.operators.common import attach_scalars
@@ -220,6 +220,42 @@ def l11(spark, sf):
     return r.select("user_id", "r.start", "r.audio_start", "r.segment")
 
 
+@register("l21_noise_mixing", f"""
+WITH c AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+nn AS (SELECT count(*) AS n FROM embeddings),
+np AS (SELECT vec_id - 0 AS nid, CAST(embedding AS DOUBLE[]) AS nz, row_number() OVER (ORDER BY vec_id) - 1 AS pos FROM embeddings),
+p AS (SELECT c.vec_id, c.x, {sql_hash52(0, 'l21', 'c.vec_id')} % nn.n AS pos,
+             3.0 + {sql_uniform(0, 'l21snr', 'c.vec_id')} * (15.0 - 3.0) AS snr FROM c, nn),
+j AS (SELECT p.vec_id, p.x, np.nz, p.snr FROM p JOIN np ON p.pos = np.pos),
+g AS (SELECT vec_id, x, nz,
+             sqrt(pow(10.0, ((10 * log10(list_sum(list_transform(x, lambda v: v * v)) / len(x) + 1e-4))
+                            - (10 * log10(list_sum(list_transform(nz, lambda v: v * v)) / len(nz) + 1e-4)) - snr) / 10)) AS gain
+      FROM j)
+SELECT vec_id, round(list_sum(list_transform(range(len(x)), lambda i: x[i + 1] + nz[i + 1] * gain)), 4) AS mixed_sum FROM g
+""")
+def l21(spark, sf):
+    e = short_clips(spark, sf)
+    m = L.mix_noise(e, e.select(F.col("vec_id").alias("nid"), F.col("x").alias("nz")), "vec_id", "x", "nid", "nz",
+                    3.0, 15.0)
+    return m.select("vec_id", F.round(_sum(F.col("mixed")), 4).alias("mixed_sum"))
+
+
+@register("l22_dither_and_mono", f"""
+WITH s AS (SELECT a.vec_id, CAST(a.embedding AS DOUBLE[]) AS x, CAST(b.embedding AS DOUBLE[]) AS y
+           FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id,
+       round(list_sum(list_transform(range(len(x)), lambda i: x[i + 1] + {sql_uniform(0, 'l22', 'vec_id', 'i')} / 32768.0)), 6) AS dithered_sum,
+       round(list_sum(list_transform(range(len(x)), lambda i: (x[i + 1] + y[i + 1]) / 2)), 6) AS mono_sum
+FROM s
+""")
+def l22(spark, sf):
+    e = short_clips(spark, sf)
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
+    j = e.join(nxt, "vec_id")
+    return j.select("vec_id", F.round(_sum(L.dither("x", F.col("vec_id"))), 6).alias("dithered_sum"),
+                    F.round(_sum(L.mono(F.array("x", "y"))), 6).alias("mono_sum"))
+
+
 RUNS_SQL = f"""runs AS (
   SELECT user_id, min(i) AS start, max(i) + 1 AS "end" FROM (
     SELECT user_id, i, x > 100 AS on_, i - row_number() OVER (PARTITION BY user_id, x > 100 ORDER BY i) AS g
