@@ -164,6 +164,23 @@ def j17(spark, sf):
                     (F.col("back") == F.col("text")).alias("roundtrip_ok"))
 
 
+@register("j26_bpe_train")
+def j26(spark, sf):
+    """Vocabulary of a small BPE model trained on the whole corpus (rows-only;
+    tests compare merges and vocabulary with a Python trainer)."""
+    from vocable.operators.bpe import train_bpe
+    vocab, _ = train_bpe(docs(spark, sf), "text", vocab_size=130, min_frequency=10, checkpoint_every=10)
+    return vocab
+
+
+@register("j27_bpe_encode")
+def j27(spark, sf):
+    from vocable.operators.bpe import encode_bpe, train_bpe
+    d = docs(spark, sf)
+    vocab, merges = train_bpe(d, "text", vocab_size=115, min_frequency=10, checkpoint_every=10)
+    return encode_bpe(d, "doc_id", "text", "lang", vocab, merges)
+
+
 @register("j16_strip_punctuation", f"""
 SELECT doc_id, regexp_replace(regexp_replace(text, '({SQL_WS}*{_PCLS}+{SQL_WS}*)+', ' ', 'g'),
                               '^{SQL_WS}+|{SQL_WS}+$', '', 'g') AS stripped FROM documents
