@@ -147,12 +147,21 @@ def ema_fold(values: Column, decay: float = 0.99) -> Column:
 
 def best_rows(df: DataFrame, key_col: str | None, order_col: str, loss_col: str, keep_last: int) -> DataFrame:
     """Running best (lowest loss so far), flag for a new best, and the last k rows."""
-    part = [key_col] if key_col else []
-    w = Window.partitionBy(*part).orderBy(order_col)
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = (df.withColumn("best_so_far", F.min(loss_col).over(wr))
-           .withColumn("_prev_best", F.lag("best_so_far").over(w))
-           .withColumn("is_new_best", F.col("_prev_best").isNull() | (F.col(loss_col) < F.col("_prev_best")))
-           .withColumn("_rk", F.row_number().over(Window.partitionBy(*part).orderBy(F.col(order_col).desc())))
-           .withColumn("kept", F.col("_rk") <= keep_last))
-    return out.drop("_prev_best", "_rk")
+    from vocable.plans.position import keyed_running
+
+    d = df if key_col else df.withColumn("_all", F.lit(0))
+    key = key_col or "_all"
+    # Running minimum by range partitioning (no window over a hot key).
+    r = keyed_running(d, [key], [order_col], [(loss_col, "min", "best_so_far")])
+    # The running minimum only steps down at a new best, so a new best is the
+    # first row of its (key, best_so_far) group: an aggregate, not a lag.
+    firsts = r.groupBy(key, "best_so_far").agg(F.min(order_col).alias("_first"))
+    r = r.join(firsts, [key, "best_so_far"])
+    r = r.withColumn("is_new_best", F.col(order_col) == F.col("_first"))
+    # Last k rows per key: a top-k per group (planned as a WindowGroupLimit, so
+    # at most k rows per key and partition reach the shuffle) joined back.
+    last = (d.select(key, order_col)
+            .withColumn("_rk", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order_col).desc())))
+            .where(F.col("_rk") <= keep_last).select(key, order_col, F.lit(True).alias("kept")))
+    r = r.join(last, [key, order_col], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return r.drop("_first", "_all") if not key_col else r.drop("_first")
