@@ -66,6 +66,10 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", flush_
                 drained_at, drained_batch = time.time(), p["batchId"]
             elif time.time() - drained_at >= flush_wait and p["batchId"] >= drained_batch + 2:
                 break
+        # Stop between triggers, not in the middle of a (no-data) batch.
+        deadline = time.time() + 10
+        while q.status.get("isTriggerActive") and time.time() < deadline:
+            time.sleep(0.05)
     finally:
         q.stop()
     return out
