@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vocable.functions.hashing import hash52, uniform
 from vocable.operators.common import attach_scalars
+from vocable.operators.vectors import checked_small
 from vocable.plans.position import with_position
 
 
@@ -135,7 +136,7 @@ def uniform_by_group(df: DataFrame, key: str, group: str, n_draws: int, seed: in
                                                                  .alias("_ord"))
     d = attach_scalars(spark.range(n_draws).withColumnRenamed("id", "draw"), ng)
     d = d.withColumn("_gi", F.pmod(hash52(seed, op + "g", F.col("draw")), F.col("_ng")))
-    d = d.join(F.broadcast(gidx), "_gi").withColumn("_ord", F.pmod(hash52(seed, op + "r", F.col("draw")), F.col("_cnt")))
+    d = d.join(checked_small(gidx, what="group table"), "_gi").withColumn("_ord", F.pmod(hash52(seed, op + "r", F.col("draw")), F.col("_cnt")))
     return d.join(rows, [group, "_ord"]).select("draw", group, key)
 
 

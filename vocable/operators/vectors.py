@@ -66,6 +66,7 @@ def cosine_to_set(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFr
     r_norm = r.groupBy(row_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_xn"))
     j = r.join(checked_small(s, what="vector set"), "pos")
     dots = j.groupBy(row_id, set_id).agg(F.sum(F.col("x") * F.col("_e")).alias("_dot"))
+    # s_norm has one row per member of the (already size-checked) set.
     return (dots.join(r_norm, row_id).join(F.broadcast(s_norm), set_id)
             .select(row_id, set_id, (F.col("_dot") / (F.col("_xn") * F.col("_en"))).alias("cos")))
 

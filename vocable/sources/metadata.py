@@ -361,4 +361,5 @@ def load_embedding_maps(spark, paths: list[str]) -> DataFrame:
     from pyspark.sql import Window
     names = u.groupBy("name").agg(F.min("file_no").alias("_f"))
     ids = names.select("name", (F.row_number().over(Window.orderBy("_f", "name")) - 1).alias("name_id"))
-    return u.join(F.broadcast(ids), "name")
+    from vocable.operators.vectors import checked_small
+    return u.join(checked_small(ids, what="name ids"), "name")
