@@ -70,9 +70,10 @@ def bucket_batches(df: DataFrame, key: str, sort_key: str, batch_size: int, mult
     sizes = p.groupBy("bucket", "_b").agg(F.count(F.lit(1)).alias("_bs"))
     if drop_last:
         sizes = sizes.where(F.col("_bs") == batch_size)
-    sizes = sizes.withColumn("batch_in_bucket", F.row_number().over(
+    sizes = sizes.withColumn("batch_in_bucket", (F.row_number().over(
         Window.partitionBy("bucket").orderBy(hash52(seed, op + "b", F.col("bucket"), F.col("_b")), "_b")) - 1)
-    out = p.join(sizes, ["bucket", "_b"]).withColumn("row_in_batch", F.pmod(F.col("_r"), F.lit(batch_size)))
+        .cast("long"))
+    out = p.join(sizes, ["bucket", "_b"]).withColumn("row_in_batch", F.pmod(F.col("_r"), F.lit(batch_size)).cast("long"))
     return out.drop("_h", "_pos", "_r", "_b", "_bs")
 
 
@@ -88,7 +89,7 @@ def class_balanced_batches(df: DataFrame, key: str, cls: str, batch_size: int, d
     h = df.withColumn("_h", hash52(seed, op, F.col(key)))
     p = with_position(h, [cls, "_h", key], "_pos")
     st = p.groupBy(cls).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    st = st.withColumn("class_rank", F.dense_rank().over(Window.orderBy(cls)) - 1)
+    st = st.withColumn("class_rank", (F.dense_rank().over(Window.orderBy(cls)) - 1).cast("long"))
     meta = st.agg(F.min("_cnt").alias("_min"), F.count(F.lit(1)).alias("_ncls"))
     st = attach_scalars(st, meta)
     p = p.join(checked_small(st, what="class table"), cls).withColumn("round", F.col("_pos") - F.col("_start"))
@@ -104,7 +105,7 @@ def class_balanced_batches(df: DataFrame, key: str, cls: str, batch_size: int, d
 
 def order_in_batch(df: DataFrame, batch: str, order: list, out: str = "pos_in_batch") -> DataFrame:
     """Position inside a (bounded) batch by the given order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1)
+    return df.withColumn(out, (F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1).cast("long"))
 
 
 def grouped_length_order(df: DataFrame, key: str, length: str, n_groups: int = 100, seed: int = 0,
@@ -124,14 +125,14 @@ def top_k(df: DataFrame, group: str, score: Column, k: int, tie: str) -> DataFra
     """The k best rows per group (row_number ≤ k plans a WindowGroupLimit,
     so each partition keeps only k rows per group before the shuffle)."""
     w = Window.partitionBy(group).orderBy(score.desc(), F.col(tie))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def first_seen_ids(df: DataFrame, name: str, order: str, out: str = "first_seen_id") -> DataFrame:
     """Id by order of first appearance (min position per name, ranked on
     the small name table)."""
     first = df.groupBy(name).agg(F.min(order).alias("_first"))
-    ids = first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).alias(out))
+    ids = first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).cast("long").alias(out))
     return df.join(checked_small(ids, what="name ids"), name)
 
 

@@ -212,7 +212,7 @@ g AS (SELECT conv_id, turn, sid, min(idx) AS s, arg_max_null(cl, idx) AS closed,
       FROM w4 GROUP BY conv_id, turn, sid),
 h AS (SELECT *, CASE WHEN s = 0 THEN greatest(fs - 0.2, 0.0) ELSE greatest(fs - 0.2, (pe + fs) / 2) END AS st,
              least((le + coalesce(ns, (n - 1) / {SR}.0::DOUBLE)) / 2, le + 0.2) AS en FROM g WHERE closed = 1)
-SELECT conv_id, turn, sid AS sent_idx, round(st, 6) AS start, round(en, 6) AS "end", substr(t, 2) AS text
+SELECT conv_id, turn, CAST(sid AS BIGINT) AS sent_idx, round(st, 6) AS start, round(en, 6) AS "end", substr(t, 2) AS text
 FROM h WHERE greatest(least(floor(en * {SR}), n) - least(floor(st * {SR}), n), 0) >= {SR} / 3.0
 """)
 def g12(spark, sf):
@@ -258,7 +258,7 @@ def g14(spark, sf):
     s = ev.select("user_id", (rn - 1).alias("i"),
                   F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit(-1))
                   .otherwise(rn * 3 + F.pmod("event_id", F.lit(3))).cast("long").alias("a"))
-    return G.interpolate_missing(s, "user_id", "i", "a", 500).select("user_id", "i", "filled")
+    return G.interpolate_missing(s, "user_id", "i", "a", 500).select("user_id", F.col("i").cast("long"), "filled")
 
 
 @register("g15_head", """

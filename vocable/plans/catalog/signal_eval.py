@@ -329,7 +329,7 @@ def l16(spark, sf):
 
 
 @register("l18_path_from_durations", f"""WITH {DUR_SQL}
-SELECT user_id, token, CAST(dur AS BIGINT) AS n_frames, lo AS first_frame FROM durs WHERE dur > 0
+SELECT user_id, token, CAST(dur AS BIGINT) AS n_frames, CAST(lo AS BIGINT) AS first_frame FROM durs WHERE dur > 0
 """)
 def l18(spark, sf):
     sp = L.duration_spans(durations(spark, sf), "user_id", "token", "dur")
@@ -368,7 +368,7 @@ def l17(spark, sf):
     toks = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("t"),
                                                  F.lit(16).alias("n_frames"))
     d = L.durations_from_alignment(att, "vec_id", "f", "t", "p", toks)
-    return d.select("vec_id", F.col("t").alias("token"), "duration")
+    return d.select("vec_id", F.col("t").cast("long").alias("token"), "duration")
 
 
 @register("l19_tail_repair", """
