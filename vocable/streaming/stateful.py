@@ -68,8 +68,11 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", flush_
                 break
         # Stop between triggers, not in the middle of a (no-data) batch.
         deadline = time.time() + 10
-        while q.status.get("isTriggerActive") and time.time() < deadline:
-            time.sleep(0.05)
+        while time.time() < deadline:
+            st = q.status
+            if not st.get("isTriggerActive") and str(st.get("message", "")).startswith("Waiting for next trigger"):
+                break
+            time.sleep(0.02)
     finally:
         q.stop()
     return out
