@@ -118,6 +118,23 @@ def test_punctuation_split_restore_roundtrip(spark):
     assert [(m.mark, m.position) for m in ex.s.marks] == [("¿", "BEGIN"), (", ", "MIDDLE"), ("?", "END")]
 
 
+def test_lexicon_parse_and_lookup(spark):
+    from vocable.operators.lexicon import first_pronunciations, lookup_words, parse_lexicon, reassemble
+
+    lines = [";;; comment", "HELLO  HH AH0 L OW1", "HELLO(2)  HH EH0 L OW1", "WORLD  W ER1 L D",
+             "'TIS  T IH1 Z", "BAD  B XX D", "lower  L OW1 ER0"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    valid = ["HH", "AH0", "L", "OW1", "EH0", "W", "ER1", "D", "T", "IH1", "Z", "ER0", "B"]
+    lex = parse_lexicon(df, valid_symbols=valid)
+    got = sorted((r.word, r.alt, r.pron) for r in lex.collect())
+    assert got == [("'TIS", 1, "T IH1 Z"), ("HELLO", 1, "HH AH0 L OW1"), ("HELLO", 2, "HH EH0 L OW1"),
+                   ("WORLD", 1, "W ER1 L D")]
+    assert [r.word for r in parse_lexicon(df, valid_symbols=valid, drop_ambiguous=True).collect()].count("HELLO") == 0
+    text = spark.createDataFrame([(1, "(Hello world, unknown!")], "id long, t string")
+    out = reassemble(lookup_words(text, "id", "t", first_pronunciations(lex)), "id").first().phonemes
+    assert out == "({HH AH0 L OW1} {W ER1 L D}, unknown!"
+
+
 def test_punctuation_strip_docstring(spark):
     from vocable.functions.text import strip_punctuation
 

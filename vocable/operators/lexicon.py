@@ -27,7 +27,7 @@ def parse_lexicon(lines: DataFrame, line_col: str = "value", valid_symbols: list
     parts = F.split(F.col(line_col), "  ", 2)
     e = l.select(F.element_at(parts, 1).alias("_w"), F.trim(F.element_at(parts, 2)).alias("pron"))
     e = e.select(F.regexp_replace("_w", r"\(\d+\)$", "").alias("word"),
-                 F.coalesce(F.regexp_extract("_w", r"\((\d+)\)$", 1).cast("int"), F.lit(1)).alias("alt"), "pron")
+                 F.coalesce(F.regexp_extract("_w", r"\((\d+)\)$", 1).try_cast("int"), F.lit(1)).alias("alt"), "pron")
     e = e.where(F.col("pron").isNotNull())
     if valid_symbols is not None:
         vs = F.array(*[F.lit(s) for s in valid_symbols])

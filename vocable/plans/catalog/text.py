@@ -275,6 +275,19 @@ def d8(spark, sf):
     return LX.lookup_words(d, "doc_id", "text", lex).select("doc_id", F.col("idx").cast("int"), "token")
 
 
+@register("j25_lexicon_parse", f"""WITH {LEX_SQL}
+SELECT word, 1 AS alt, pron FROM lex
+""")
+def j25(spark, sf):
+    """The corpus lexicon written as ``WORD  P R O N`` lines, then parsed back."""
+    from vocable.streaming.stateful import scratch
+    d = docs(spark, sf)
+    path = scratch(spark, "j25-lexicon")
+    lex = LX.lexicon_from_corpus(d, "text")
+    lex.select(F.concat("word", F.lit("  "), "pron").alias("value")).write.mode("overwrite").text(path)
+    return LX.parse_lexicon(spark.read.text(path)).select("word", "alt", "pron")
+
+
 @register("j23_phonemise_lexicon", f"WITH {LEX_SQL} SELECT doc_id, string_agg(token, ' ' ORDER BY idx) AS phonemes FROM tok GROUP BY doc_id")
 def j23(spark, sf):
     d = docs(spark, sf)
