@@ -23,10 +23,13 @@ MAX_SMALL_ROWS = 1 << 20
 
 
 def checked_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, what: str = "small side") -> DataFrame:
-    """Broadcast hint after proving the row count is within ``max_rows``."""
-    n = df.count()
+    """Broadcast hint after proving the row count is within ``max_rows``.
+
+    The check counts at most ``max_rows + 1`` rows, so a side that is too
+    large is rejected without being counted in full."""
+    n = df.limit(max_rows + 1).count()
     if n > max_rows:
-        raise ValueError(f"{what} has {n} rows, more than the broadcast bound {max_rows}")
+        raise ValueError(f"{what} has more than {max_rows} rows (the broadcast bound)")
     return F.broadcast(df)
 
 
@@ -88,10 +91,10 @@ def codebook_from_rows(df: DataFrame, vec_col: str, order_col: str, n_codes: int
 
 
 def _codebook_matrix(codebook: DataFrame, max_codes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    n = codebook.count()
-    if n > max_codes:
-        raise ValueError(f"codebook has {n} codes, more than {max_codes}")
-    rows = sorted(codebook.select("code", "centroid").collect(), key=lambda r: r.code)
+    rows = codebook.select("code", "centroid").limit(max_codes + 1).collect()   # one bounded job
+    if len(rows) > max_codes:
+        raise ValueError(f"codebook has more than {max_codes} codes")
+    rows = sorted(rows, key=lambda r: r.code)
     codes = np.array([r.code for r in rows], dtype=np.int32)
     mat = np.array([r.centroid for r in rows], dtype=np.float64)
     return codes, mat
