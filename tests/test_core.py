@@ -109,3 +109,14 @@ def test_smoke_all_queries_sf0001(spark):
 
     for name, fn in sorted(E.queries().items()):
         fn(spark, SF001).write.mode("overwrite").format("noop").save()
+
+
+def test_broadcast_guard_rejects_large_side(spark):
+    import pytest
+
+    from vocable.operators.vectors import checked_small
+
+    small = spark.range(10)
+    assert checked_small(small, max_rows=10).count() == 10
+    with pytest.raises(ValueError):
+        checked_small(spark.range(11), max_rows=10)
