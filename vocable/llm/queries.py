@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vocable.llm.bm25_packing import retrieval_packing
 from vocable.llm.exact_dedup import exact_dedup
 from vocable.llm.rule_ledger import quality_ledger
+from vocable.llm.sentencepiece_codec import sentencepiece_codec
 from vocable.llm.store import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +65,20 @@ from b
 """
 
 
+def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip", "parity")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op7_bm25_packing": op7_bm25_packing,
     "op8_rule_ledger": op8_rule_ledger,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
