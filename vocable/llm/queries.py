@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from vocable.llm.bm25_packing import retrieval_packing
 from vocable.llm.exact_dedup import exact_dedup
+from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
 from vocable.llm.store import table
+from vocable.llm.toxicity_ftrl import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,14 @@ from n window g as (partition by t)
 """
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ledger(table(spark, sf_dir, "documents"))
 
@@ -76,6 +86,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_quality_crf": op3_quality_crf,
+    "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op7_bm25_packing": op7_bm25_packing,
     "op8_rule_ledger": op8_rule_ledger,
     "op10_sentencepiece": op10_sentencepiece,
