@@ -49,7 +49,8 @@ def _round(rows: DataFrame, width: int, k: int) -> DataFrame:
     groups = (cut.groupBy("grp", "digit").agg(F.count(F.lit(1)).alias("group_size"), F.min("doc_id").alias("keep_id"))
               .where("group_size > 1").withColumn("next_grp", F.monotonically_increasing_id()))
     groups = written(groups, f"radix-groups-{k}")
-    out = cut.join(groups, ["grp", "digit"], "left")
+    # always by merge: the plan, and what it shuffles, is the same at every size
+    out = cut.join(groups.hint("merge"), ["grp", "digit"], "left")
     alone, ended = F.col("group_size").isNull(), F.octet_length("digit") < width
     done = alone | ended
     return out.select(
