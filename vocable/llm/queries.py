@@ -14,7 +14,9 @@ from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
 from vocable.llm.store import table
+from vocable.llm.tag_path import main_text
 from vocable.llm.toxicity_ftrl import toxicity
+from vocable.llm.warc import archive_round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +33,21 @@ from n window g as (partition by t)
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+k as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest,
+             min(page_id) over (partition by html) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from k
+"""
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +92,10 @@ from b
 """
 
 
+def op5_tag_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -86,13 +107,16 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
     "op3_quality_crf": op3_quality_crf,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
+    "op5_tag_path": op5_tag_path,
     "op7_bm25_packing": op7_bm25_packing,
     "op8_rule_ledger": op8_rule_ledger,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_warc": OP2_SQL,
     "op8_rule_ledger": OP8_SQL,
 }
