@@ -10,8 +10,10 @@ window's end and its rest opens the next window.  An unfinished window is
 carried into the next shard of the task, and the last one of a task is cut into
 sequences whose lengths are powers of two, which need no padding.
 
-Cost per row: one shuffle of the texts; a shard's index and documents are all
-that a task holds, whatever the partition's size.
+Texts are tokenised once; their ids and signatures are a table in the shared
+folder, so range bounds are sampled from two narrow columns and a lost executor
+costs no second tokenisation.  One shuffle of ids; a shard's index and documents
+are all that a task holds, whatever the partition's size.
 
 Edge cases: null text counts as empty and yields the end id alone; repeated
 rows are packed each on its own; ties in the score go to the earlier row of the
@@ -21,6 +23,8 @@ pieces; other columns are not passed on.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,55 +34,124 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocable.llm.textbytes import Texts, chunks
+from vocable.llm.store import written
+from vocable.llm.textbytes import LOWER, U64, Texts, chunks, mix
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 #: BM25 parameters and the size of an index shard in tokens.
 K1, B, SHARD_TOKENS = 1.2, 0.75, 1 << 20
+#: Neighbours that the index returns for a seed.
+NEIGHBOURS = 64
+
+PLAIN = re.compile("[a-z]+")
+STOP, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+STOP[[ord(c) for c in ".,;:!?"]] = True
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 
 
 class WordCache:
     """Token ids of white-space separated words, encoded once per distinct word.
 
-    Valid for tokenizers that drop white space and never merge across it; the
-    cache is emptied when it holds ``limit`` words.
+    Valid for lower-casing tokenizers that drop white space, never merge across
+    it and split letters from punctuation.  Words are looked up lower-cased
+    (ASCII) and without the full stops, commas and the like that end them;
+    those are words of their own.  The cache is emptied at ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 1 << 19):
+    def __init__(self, path: str, limit: int = 1 << 21):
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.clear()
 
     def clear(self):
-        self.slot: dict[int, int] = {}
-        self.pool: list[np.ndarray] = []
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.flat, self.ptr = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each text)."""
+    def _add(self, words: list[str], keys: np.ndarray) -> None:
+        """Encode new ``words``; ``keys`` are their sorted hashes."""
+        ids, n = [], []
+        plain = [bool(PLAIN.fullmatch(w)) for w in words]
+        model = self.tok.model
+        rest = [w for w, p in zip(words, plain) if not p]
+        other = iter(self._encode(rest))
+        for w, p in zip(words, plain):
+            # a run of a-z is one unit to every step before the model
+            got = [x.id for x in model.tokenize(w)] if p else next(other)
+            n.append(len(got))
+            ids += got
+        base = len(self.ptr) - 1
+        self.flat = np.concatenate([self.flat, np.array(ids, np.uint32)])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(n, dtype=np.int64)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, base + np.arange(len(keys)))
+
+    def _encode(self, words: list[str]) -> Iterator[list[int]]:
+        """Ids of each word through the whole tokenizer, a few hundred words a call."""
+        for i in range(0, len(words), 512):
+            some = words[i:i + 512]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            start = np.cumsum([0] + [len(w) + 1 for w in some])
+            at = np.searchsorted(start, [a for a, _ in e.offsets], side="right") - 1
+            cut = np.searchsorted(at, np.arange(len(some) + 1))
+            ids = e.ids
+            yield from (ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text,
+        min-hash of each text's words)."""
         t = Texts(texts)
-        row, s, e = t.words()
-        h, first, inv = np.unique(t.hash_ranges(s, e), return_index=True, return_inverse=True)
-        if len(self.slot) + len(h) > self.limit:
-            self.clear()
-        keys = h.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        raw = t.buf.tobytes()
+        if b"<|" not in raw:                     # upper-case look-alikes of special tokens keep their case
+            t.buf = LOWER[t.buf]
             raw = t.buf.tobytes()
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())]
-            got = [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]
-            base = len(self.slot)
-            for j, i in enumerate(new):
-                self.slot[keys[i]] = base + j
-            self.flat = np.concatenate([self.flat, np.fromiter((v for g in got for v in g), np.uint32)])
-            self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(g) for g in got])])
-        slot = np.fromiter((self.slot[k] for k in keys), np.int64, len(keys))
-        w = slot[inv]
+        row, s, e = self._split(t)
+        word = t.hash_ranges(s, e)
+        low = np.full(t.n, np.iinfo(np.int64).max)
+        if len(row):
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            low[row[begin]] = np.minimum.reduceat(mix(word) >> U64(1), begin).astype(np.int64)
+        h, first, inv = np.unique(word, return_index=True, return_inverse=True)
+        if len(self.keys) + len(h) > self.limit:
+            self.clear()
+        at = np.searchsorted(self.keys, h)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
+        if len(new):
+            pos = first[new]
+            self._add([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[pos].tolist(), e[pos].tolist())], h[new])
+        w = self.slot[np.searchsorted(self.keys, h)][inv]
         n = self.ptr[w + 1] - self.ptr[w]
         ids = self.flat[spans(self.ptr[w], n)]
-        return ids, np.bincount(row, weights=n, minlength=t.n).astype(np.int64)
+        return ids, np.bincount(row, weights=n, minlength=t.n).astype(np.int64), low
+
+    @staticmethod
+    def _split(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, the stops that end one after an ASCII letter or digit being separate."""
+        row, s, e = t.words()
+        if not len(s):
+            return row, s, e
+        b = t.buf
+        cut = STOP[b[e - 1]] & (e - s > 1)
+        alnum = ALNUM[b[np.maximum(e - 2, 0)]] & cut
+        w = np.flatnonzero(alnum)
+        order = np.argsort(np.concatenate([s, e[w] - 1]), kind="stable")
+        row2 = np.concatenate([row, row[w]])[order]
+        s2 = np.concatenate([s, e[w] - 1])[order]
+        e2 = e.copy()
+        e2[w] -= 1
+        return row2, s2, np.concatenate([e2, e[w]])[order]
+
+
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """One cache per Python worker; tasks that follow each other share it."""
+    if path not in _CACHES:
+        _CACHES[path] = WordCache(path)
+    return _CACHES[path]
 
 
 def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -102,9 +175,14 @@ class Bm25:
         n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
         term = np.concatenate(docs).astype(np.int64)
-        key, tf = np.unique(term * n + np.repeat(np.arange(n), size), return_counts=True)
+        key = term * n + np.repeat(np.arange(n), size)
+        key = np.sort(key.astype(np.uint32) if key.max(initial=0) < 1 << 32 else key)
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        tf = np.diff(np.r_[begin, len(key)])
+        key = key[begin].astype(np.int64)
         self.doc, term = key % n, key // n
-        self.terms, df = np.unique(term, return_counts=True)
+        first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+        self.terms, df = term[first], np.diff(np.r_[first, len(term)])
         self.ptr = np.concatenate([[0], np.cumsum(df)])
         idf = np.log((n - df + 0.5) / (df + 0.5))
         idf = np.repeat(np.maximum(idf, 0.0), df)     # terms of half the shard say nothing
@@ -168,6 +246,8 @@ class Packer:
                 continue
             score = index.scores(self.seed)
             rest = np.flatnonzero(unused)
+            if len(rest) > NEIGHBOURS:
+                rest = np.sort(rest[np.argpartition(-score[rest], NEIGHBOURS)[:NEIGHBOURS]])
             ranked = rest[np.argsort(-score[rest], kind="stable")]
             for d in ranked:              # neighbours that fit, best first
                 if size[d] < self.room:
@@ -206,25 +286,40 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
-def _packer(tokenizer: str, end_id: int, window: int):
+def _tokens(tokenizer: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # Spark runs a task per core
+        cache = word_cache(tokenizer)
+        for batch in batches:
+            for part in chunks(batch, "text", 1 << 20):
+                ids, n, low = cache.encode(part.column(part.schema.get_field_index("text")))
+                at = np.cumsum(n) + np.arange(len(n))      # the end id follows every text
+                full = np.full(len(ids) + len(n), end_id, "<u4")
+                body = np.ones(len(full), bool)
+                body[at] = False
+                full[body] = ids
+                off = np.r_[0, 4 * (at + 1)].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(part.schema.get_field_index("doc_id")), pa.array(low),
+                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(full.tobytes())])],
+                    names=["doc_id", "sig", "ids"])
+    return run
+
+
+def _packer(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer)
         task = TaskContext.get()
         packer = Packer(window, (task.partitionId() if task else 0) << 32)
         doc_ids, docs, tokens = [], [], 0
         for batch in batches:
-            for part in chunks(batch, "text"):
-                ids, n = cache.encode(part.column(part.schema.get_field_index("text")))
-                ends = np.cumsum(n)
-                names = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-                for k, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist())):
-                    doc_ids.append(names[k])
-                    docs.append(np.append(ids[a:b], np.uint32(end_id)))
-                    tokens += b - a + 1
-                    if tokens >= SHARD_TOKENS:
-                        packer.shard(doc_ids, docs)
-                        yield packer.take()
-                        doc_ids, docs, tokens = [], [], 0
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                doc_ids.append(doc_id)
+                docs.append(np.frombuffer(raw.as_py(), "<u4"))
+                tokens += len(docs[-1])
+                if tokens >= SHARD_TOKENS:
+                    packer.shard(doc_ids, docs)
+                    yield packer.take()
+                    doc_ids, docs, tokens = [], [], 0
         if docs:
             packer.shard(doc_ids, docs)
         packer.finish()
@@ -232,21 +327,15 @@ def _packer(tokenizer: str, end_id: int, window: int):
     return run
 
 
-def signature(text):
-    """Min-hash of the words: documents of similar vocabulary sort near each other."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-    return F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
-
-
 def retrieval_packing(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096,
                       doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    ``tokenizer`` is the path of a tokenizers-library JSON file that drops white
-    space.  Pieces of one sequence are gapless from offset 0; a sequence is
-    ``window`` long or a power of two.
+    ``tokenizer`` is the path of a tokenizers-library JSON file of the kind that
+    :class:`WordCache` describes.  Pieces of one sequence are gapless from offset
+    0; a sequence is ``window`` long or a power of two.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    d = d.withColumn("_sig", signature(F.col("text")))
-    d = d.repartitionByRange("_sig", "doc_id").sortWithinPartitions("_sig", "doc_id", "text")
-    return d.select("doc_id", "text").mapInArrow(_packer(tokenizer, end_id, window), SCHEMA)
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    ids = written(d.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, sig long, ids binary"), "packing-ids")
+    ids = ids.repartitionByRange("sig", "doc_id").sortWithinPartitions("sig", "doc_id", "ids")
+    return ids.select("doc_id", "ids").mapInArrow(_packer(window), SCHEMA)

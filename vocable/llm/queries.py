@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vocable.llm.bm25_packing import retrieval_packing
 from vocable.llm.exact_dedup import exact_dedup
+from vocable.llm.jaccard_join import jaccard_components
 from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
@@ -64,7 +65,7 @@ OP8_SQL = r"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 w as (select r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
 tri as (select r, unnest(range(1, len(ws) - 1)) as i,
-               unnest(list_transform(range(1, len(ws) - 1), i -> ws[i:i+2])) as g from w where len(ws) >= 3),
+               unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2])) as g from w where len(ws) >= 3),
 rep as (select r, i from (select r, i, count(*) over (partition by r, g) as c from tri) where c >= 2),
 cov as (select r, count(distinct i + o) as n from rep, (values (0), (1), (2)) as off(o) group by r),
 ln as (select r, l from (select r, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '[^\x20\x09-\x0D]')),
@@ -76,7 +77,7 @@ m as (select w.r, doc_id, len(ws)::bigint as n_words,
              coalesce(n_lines, 0) as n_lines,
              length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_upper,
              length(regexp_replace(t, '[^a-z]+', '', 'g')) as n_lower,
-             len(list_filter(ws, x -> regexp_matches(x, '[.!?]$'))) as n_ends
+             len(list_filter(ws, lambda x: regexp_matches(x, '[.!?]$'))) as n_ends
       from w left join cov using (r) left join lc using (r)),
 b as (select *, (case when n_words < 50 then 1 else 0 end)
        + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)
@@ -96,6 +97,10 @@ def op5_tag_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -111,6 +116,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality_crf": op3_quality_crf,
     "op4_toxicity_ftrl": op4_toxicity_ftrl,
     "op5_tag_path": op5_tag_path,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_bm25_packing": op7_bm25_packing,
     "op8_rule_ledger": op8_rule_ledger,
     "op10_sentencepiece": op10_sentencepiece,
