@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocable.llm.store import written
-from vocable.llm.textbytes import LOWER, U64, Texts, chunks, mix
+from vocable.llm.textbytes import LOWER, U64, Texts, chunks, mix, spans
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -154,20 +154,6 @@ def word_cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
-def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Indices of the ranges ``start[i] : start[i] + n[i]``, one after the other."""
-    total = int(n.sum())
-    out = np.ones(total, np.int64)
-    full = n > 0
-    start, n = start[full], n[full]
-    if not len(n):
-        return out
-    at = np.cumsum(n) - n
-    out[0] = start[0]
-    out[at[1:]] = start[1:] - start[:-1] - n[:-1] + 1
-    return np.cumsum(out)
-
-
 class Bm25:
     """Inverted index of one shard; documents are arrays of token ids."""
 

@@ -22,13 +22,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocable.llm.textbytes import chunks
+from vocable.llm.textbytes import Texts, chunks, spans
 
 MARK = "▁"
 MAX_MODEL_BYTES = 64 << 20
@@ -161,40 +163,138 @@ def rebuild(m: Model):
 
 
 class Codec:
-    """Encodes and decodes batches of texts by a rebuilt model."""
+    """Encodes and decodes batches of texts by a rebuilt model.
 
-    def __init__(self, data: bytes, threads: int = 2):
+    Where the model's normaliser changes nothing but spaces and no piece crosses
+    the start of a word, every distinct word is encoded (and compared with the
+    sentencepiece library) once and looked up from then on; other models encode
+    whole texts.
+    """
+
+    LIMIT, GROUP = 1 << 21, 512
+
+    def __init__(self, data: bytes, threads: int = 2, verify: bool = True):
         os.environ.update(TOKENIZERS_PARALLELISM="true", RAYON_NUM_THREADS=str(threads))
-        self.data, self.tok = data, rebuild(parse(data))
+        self.model, self.threads, self.sp = parse(data), threads, None
+        self.tok = rebuild(self.model)
+        if verify:
+            import sentencepiece
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids if t else [] for t, e in
-                zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False))]
+            self.sp = sentencepiece.SentencePieceProcessor(model_proto=data)
+        m = self.model
+        self.by_word = (self.tok.pre_tokenizer is not None and m.dummy_prefix and m.escape_spaces
+                        and not m.charsmap and not m.fold_spaces and not any(k == USER_DEFINED for _, _, k in m.pieces))
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        self.clear()
+
+    def clear(self):
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat, self.ptr, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
 
+    def encode_texts(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of whole texts, and whether the sentencepiece library agrees."""
+        ids = [e.ids if t else [] for t, e in
+               zip(texts, self.tok.encode_batch_fast(texts, add_special_tokens=False))]
+        return ids, [a == b for a, b in zip(ids, self.sp.encode(texts, num_threads=self.threads))] if self.sp else []
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ids per text, parity per text)."""
+        t = Texts(texts)
+        raw = t.buf.tobytes()
+        if not self.by_word or MARK.encode() in raw:
+            ids, same = self.encode_texts([x or "" for x in texts.to_pylist()])
+            n = np.array([len(x) for x in ids], np.int64)
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum())), n, np.array(same, bool)
+        row, s, e = self._words(t)
+        h, first, inv = np.unique(t.hash_ranges(s, e), return_index=True, return_inverse=True)
+        if len(self.keys) + len(h) > self.LIMIT:
+            self.clear()
+        at = np.searchsorted(self.keys, h)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != h) if len(self.keys) else np.arange(len(h))
+        if len(new):
+            pos = first[new]
+            self._add([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[pos].tolist(), e[pos].tolist())], h[new])
+        w = self.slot[np.searchsorted(self.keys, h)][inv]
+        n = self.ptr[w + 1] - self.ptr[w]
+        wrong = np.bincount(row[~self.same[w]], minlength=t.n) if self.sp else np.zeros(t.n)
+        return self.flat[spans(self.ptr[w], n)], np.bincount(row, weights=n, minlength=t.n).astype(np.int64), wrong == 0
+
+    @staticmethod
+    def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of text from one run of spaces to the next, without the first
+        space, which is the marker that encoding puts in front of any text."""
+        space = t.buf == 32
+        head = space.copy()
+        head[1:] &= ~space[:-1]
+        begin = t.start[t.end > t.start]
+        head[begin] = True
+        s = np.flatnonzero(head)
+        e = np.r_[s[1:], len(t.buf)] if len(s) else s
+        inner = np.ones(len(s), bool)
+        inner[np.searchsorted(s, begin)] = False
+        return np.searchsorted(t.end, s, side="right"), s + inner, e
+
+    def _add(self, words: list[str], keys: np.ndarray) -> None:
+        plain = [" " not in w and w != "" for w in words]
+        some = [w for w, p in zip(words, plain) if p]
+        groups = [" ".join(some[i:i + self.GROUP]) for i in range(0, len(some), self.GROUP)]
+        ids = np.fromiter(chain.from_iterable(
+            e.ids for i in range(0, len(groups), 8)
+            for e in self.tok.encode_batch_fast(groups[i:i + 8], add_special_tokens=False)), np.int32)
+        cut = np.r_[np.flatnonzero(self.marked[ids]), len(ids)]      # every word begins with a marked piece
+        if len(cut) != len(some) + 1:
+            raise ValueError("words and marked pieces do not match")
+        lists, k = [], 0
+        for w, p in zip(words, plain):
+            if p:
+                lists.append(ids[cut[k]:cut[k + 1]])
+                k += 1
+            else:                                                    # runs of spaces
+                lists.append(np.array([x.id for x in self.tok.model.tokenize(MARK + w.replace(" ", MARK))], np.int32))
+        if self.sp:
+            theirs = self.sp.encode([w if w else " " for w in words], num_threads=self.threads)
+            one = self.sp.encode("a ")[len(self.sp.encode("a")):]    # a lone marker
+            same = [a.tolist() == (b if w else one) for a, b, w in zip(lists, theirs, words)]
+            self.same = np.concatenate([self.same, np.array(same, bool)])
+        base = len(self.ptr) - 1
+        self.flat = np.concatenate([self.flat, *lists])
+        self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.slot = np.insert(self.slot, at, base + np.arange(len(keys)))
+
+
+_CODECS: dict[tuple, Codec] = {}
+
+
+def _codec(shared, threads: int, verify: bool) -> Codec:
+    """One codec per Python worker and model; tasks that follow each other share its words."""
+    key = (zlib.crc32(shared.value), len(shared.value), threads, verify)
+    if key not in _CODECS:
+        _CODECS[key] = Codec(shared.value, threads, verify)
+    return _CODECS[key]
+
 
 def _coder(shared, threads: int, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, sp = Codec(shared.value, threads), None
-        if verify:
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        codec = _codec(shared, threads, verify)
         for batch in batches:
             for part in chunks(batch, "text", 1 << 20):
-                texts = [x or "" for x in part.column(part.schema.get_field_index("text")).to_pylist()]
-                ids = codec.encode(texts)
-                back = codec.decode(ids)
-                same = [a == b for a, b in zip(ids, sp.encode(texts, num_threads=threads))] if sp else [None] * len(ids)
+                texts = part.column(part.schema.get_field_index("text"))
+                ids, n, same = codec.encode(texts)
+                off = np.r_[0, np.cumsum(n)]
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+                little = ids.astype("<u4")
+                back = pa.array(codec.decode(lists.to_pylist()), pa.string())
                 yield pa.RecordBatch.from_arrays([
-                    part.column(part.schema.get_field_index("doc_id")),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], pa.int64()),
-                    pa.array(back, pa.string()),
-                    pa.array([a == b for a, b in zip(texts, back)], pa.bool_()),
-                    pa.array(same, pa.bool_())], names=["doc_id", "ids", "ids_crc32", "decoded", "round_trip", "parity"])
+                    part.column(part.schema.get_field_index("doc_id")), lists,
+                    pa.array([zlib.crc32(little[a:b]) for a, b in zip(off[:-1], off[1:])], pa.int64()), back,
+                    pc.equal(pc.fill_null(texts, ""), back),
+                    pa.array(same if verify else [None] * len(n), pa.bool_())],
+                    names=["doc_id", "ids", "ids_crc32", "decoded", "round_trip", "parity"])
     return run
 
 

@@ -132,6 +132,20 @@ def shingle_hashes(row: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarra
     return at, h
 
 
+def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indices of the ranges ``start[i] : start[i] + n[i]``, one after the other."""
+    total = int(n.sum())
+    out = np.ones(total, np.int64)
+    full = n > 0
+    start, n = start[full], n[full]
+    if not len(n):
+        return out
+    at = np.cumsum(n) - n
+    out[0] = start[0]
+    out[at[1:]] = start[1:] - start[:-1] - n[:-1] + 1
+    return np.cumsum(out)
+
+
 def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``max_bytes`` of text each, or one row.
 
