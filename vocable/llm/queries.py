@@ -15,6 +15,7 @@ from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
 from vocable.llm.store import table
+from vocable.llm.suffix_dedup import suffix_dedup
 from vocable.llm.tag_path import main_text
 from vocable.llm.toxicity_ftrl import toxicity
 from vocable.llm.warc import archive_round_trip
@@ -105,6 +106,10 @@ def op7_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip", "parity")
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bm25_packing": op7_bm25_packing,
     "op8_rule_ledger": op8_rule_ledger,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLE: dict[str, str] = {
