@@ -94,6 +94,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were."""
-    gone = exact_dedup(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay, with their columns as they were; of rows that
+    repeat both id and text one stays.  The digest only tells rows of one id apart."""
+    gone = exact_dedup(docs, doc_id, text).where("not kept").select(
+        F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    named = docs.withColumn("_sha", F.sha2(normalised(F.col(text).cast("string")), 256))
+    left = named.join(gone.hint("merge"), named[doc_id].eqNullSafe(gone._gone) & (named._sha == gone._gone_sha), "left_anti")
+    return left.dropDuplicates([doc_id, "_sha"]).drop("_sha")

@@ -178,3 +178,9 @@ def quality_ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     led = apply_policy(ledger(docs, text, [doc_id]), version)
     return led.withColumn("base_failed", F.col("fail_bits").bitwiseAND(F.lit(POLICIES["base"])) != 0).select(
         doc_id, *MEASURES[:5], "base_failed", "kept", "fail_bits")
+
+
+def keep_good(docs: DataFrame, text: str = "text", version: str = "v1") -> DataFrame:
+    """The rows of ``docs`` that the policy keeps, with their columns as they were."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("_text"))
+    return apply_policy(ledger(rows, "_text", ["row"]), version).where("kept").select("row.*")

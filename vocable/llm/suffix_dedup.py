@@ -379,9 +379,10 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch, "text"):
             t = Texts(part.column(part.schema.get_field_index("text")))
             chk = t.hash_ranges(t.start, t.end).view(np.int64).astype(np.int32)
-            removed, n_spans, sha, kept = [], [], [], []
+            removed, n_spans, kept = [], [], []
             for i, spans in enumerate(part.column(part.schema.get_field_index("spans"))):
                 body = t.buf[t.start[i]:t.end[i]]
+                n_spans.append(0)
                 if spans.is_valid:
                     c, a, b = (np.asarray(spans.values.field(k)) for k in ("chk", "a", "b"))
                     own = c == chk[i]
@@ -390,25 +391,43 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     edge[a] += 1
                     edge[b] -= 1
                     body = body[np.cumsum(edge[:-1]) == 0]
-                    n_spans.append(len(a))
-                else:
-                    n_spans.append(0)
-                raw = body.tobytes()
-                removed.append(int(t.end[i] - t.start[i]) - len(raw))
-                sha.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw)
+                    n_spans[-1] = len(a)
+                kept.append(body.tobytes())
+                removed.append(int(t.end[i] - t.start[i]) - len(kept[-1]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index("doc_id")), pa.array((t.end - t.start).astype(np.int64)),
-                 pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()),
-                 pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [part.column(part.schema.get_field_index("row")), pa.array((t.end - t.start).astype(np.int64)),
+                 pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()),
+                 pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary()),
+                 pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
+
+
+def _removed(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
+    """``row`` (all columns but the text, as a struct) and what stays of the text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
+                    F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), row.alias("row"))
+    spans = repeated_spans(d.select("doc_id", "text"), length).groupBy("doc_id").agg(
+        F.collect_list(F.struct("chk", "a", "b")).alias("spans"))
+    return d.join(spans.hint("merge"), "doc_id", "left").select("row", "text", "spans").mapInArrow(
+        _remover, f"row {d.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
+                  "kept_sha256 string, kept binary, kept_text string")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                    F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(d, length).groupBy("doc_id").agg(F.collect_list(F.struct("chk", "a", "b")).alias("spans"))
-    out = d.join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(
-        _remover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    out = _removed(docs.select(doc_id, text), length, doc_id, text)
+    return out.select(F.col(f"row.{doc_id}").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text",
+                    size: str = "n_chars") -> DataFrame:
+    """``docs`` with the bytes that stay as text (a character that a cut splits
+    goes too) and its new length in ``size`` where that column exists; documents
+    of which nothing but white space stays are left out."""
+    out = _removed(docs, length, doc_id, text).where(
+        F.col("kept_text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_removed") == 0))
+    cols = {c: F.col(f"row.`{c}`") for c in docs.columns if c != text} | {text: F.col("kept_text")}
+    if size in cols:
+        cols[size] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(cols[size]).cast(docs.schema[size].dataType)
+    return out.select(*[cols[c].alias(c) for c in docs.columns])
