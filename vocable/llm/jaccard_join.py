@@ -47,10 +47,10 @@ from vocable.llm.textbytes import U64, Texts, chunks, mix, shingle_hashes
 
 #: Counters of the frequent-shingle summary per task, and entries that are broadcast.
 COUNTERS, MAX_FREQUENT = 1 << 16, 1 << 17
-#: A shingle counts as frequent from here on; longest prefix extension; cost of a
-#: verification in postings; rows of one part of a posting list; partners of one
-#: document in one group.
-FREQUENT, MAX_MATCHES, VERIFY_COST, LIST_PART, STAR_PART = 16, 4, 20, 2048, 256
+#: A shingle counts as frequent from here on; most matches asked for; cost of a
+#: verification in postings; share of candidates that has one match more; rows of
+#: one part of a posting list; partners of one document in one group.
+FREQUENT, MAX_MATCHES, VERIFY_COST, FURTHER, LIST_PART, STAR_PART = 4, 32, 20, 0.7, 2048, 256
 
 
 class Sets:
@@ -122,19 +122,15 @@ def matches(df: np.ndarray, base: int) -> int:
     """The number of shared shingles to ask for: ``df`` are estimated document
     counts in prefix order, ``base`` the length of the shortest prefix.
 
-    With ``l`` matches a candidate shares a shingle outside the ``l - 1`` longest
-    lists, so at most the sum of the others must be verified.
+    The cost is the postings of the prefix plus the documents to verify.  Every
+    other posting of the shortest prefix is a possible candidate; documents that
+    share one shingle tend to share more (a common passage), so each further
+    match is taken to leave the share ``FURTHER`` of them.
     """
-    best, cost = 1, None
-    for l in range(1, MAX_MATCHES + 1):
-        if base + l - 1 > len(df):
-            break
-        d = df[:base + l - 1]
-        total = float(d.sum())
-        c = total + VERIFY_COST * (total - float(np.sort(d)[len(d) - l + 1:].sum()))
-        if cost is None or c < cost:
-            best, cost = l, c
-    return best
+    most = min(MAX_MATCHES, len(df) - base + 1)
+    postings = np.cumsum(df[:base + most - 1])[base - 1:]
+    candidates = float(postings[0] - base) * FURTHER ** np.arange(most)
+    return 1 + int(np.argmin(postings + VERIFY_COST * candidates))
 
 
 def _prefixes(shared, n: int, num: int, den: int):
@@ -154,7 +150,7 @@ def _prefixes(shared, n: int, num: int, den: int):
                         rows.append(i)
                 if len(seen) > 1 << 18:
                     seen.clear()
-                df = np.ones(len(sets.token), np.int64)
+                df = np.full(len(sets.token), 2, np.int64)     # not frequent: shared with one other, say
                 if len(fkeys):
                     at = np.minimum(np.searchsorted(fkeys, sets.token), len(fkeys) - 1)
                     hit = fkeys[at] == sets.token
@@ -165,8 +161,7 @@ def _prefixes(shared, n: int, num: int, den: int):
                 for i in rows:
                     a, b = int(sets.ptr[i]), int(base[i])
                     stop = min(int(size[i]), b + MAX_MATCHES - 1)
-                    if df[a + b - 1] > 1:
-                        ell[i] = matches(df[a:a + stop], b)
+                    ell[i] = matches(df[a:a + stop], b)
                     pick.append(np.arange(a, a + min(stop, b + int(ell[i]) - 1)))
                 pick = np.concatenate(pick) if pick else np.zeros(0, np.int64)
                 r = sets.row[pick]             # rows keep their place under a sort by row
@@ -251,40 +246,57 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num:
     return sent.mapInArrow(_verifier(n, num, den), "u long, v long").distinct()
 
 
-def _blocked_pairs(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """All pairs of one (token, block, block) group whose components differ and whose sizes allow a link.
-
-    Rows arrive sorted by group; a group holds at most two blocks of a list.
+def _blocked_pairs(num: int, den: int):
+    """All pairs of each (token, block, block) group whose components differ and
+    whose sizes allow a link.  Rows arrive sorted by group; a group holds at most
+    two blocks of a list.
     """
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+    def pairs(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, b1, b2, mine, rep, size, ell, comp = g
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
+        start = np.flatnonzero(new)
+        left = np.repeat(np.r_[start[1:], len(token)], np.diff(np.r_[start, len(token)])) - np.arange(len(token)) - 1
+        i = np.flatnonzero(left > 0)
+        u, v, need, held, step = [], [], [], 0, 1
+        while len(i):                      # partners at distance 1, 2, ... in all groups at once
+            j = i + step
+            lo = np.minimum(size[i], size[j]).astype(np.int64)
+            ok = (comp[i] != comp[j]) & (den * lo >= num * np.maximum(size[i], size[j]))
+            ok &= (b1[i] == b2[i]) | (mine[i] != mine[j])
+            a, b = i[ok], j[ok]
+            u.append(np.minimum(rep[a], rep[b]))
+            v.append(np.maximum(rep[a], rep[b]))
+            need.append(np.minimum(ell[a], ell[b]))
+            held += len(a)
+            step += 1
+            i = i[left[i] >= step]
+            if held > 1 << 18 or (held and not len(i)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, need)],
+                                                 names=["u", "v", "need"])
+                u, v, need, held = [], [], [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
+            other = np.flatnonzero(np.any([c != c[-1] for c in cols[:3]], axis=0))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            yield from pairs([c[:cut] for c in cols])
+            rest = [c[cut:] for c in cols]
         if rest is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
-        cuts = np.r_[0, edge]
-        for s, e in zip(cuts[:-1], cuts[1:]):
-            yield _pairs_of([c[s:e] for c in cols], num, den)
-        rest = [c[cuts[-1]:] for c in cols]
-    if rest is not None:
-        yield _pairs_of(rest, num, den)
-
-
-def _pairs_of(g: list[np.ndarray], num: int, den: int) -> pa.RecordBatch:
-    _, b1, b2, mine, rep, size, ell, comp = g
-    if b1[0] == b2[0]:
-        i, j = np.triu_indices(len(rep), 1)
-    else:
-        left, right = np.flatnonzero(mine == b1[0]), np.flatnonzero(mine == b2[0])
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-    lo, hi = np.minimum(size[i], size[j]).astype(np.int64), np.maximum(size[i], size[j]).astype(np.int64)
-    ok = (comp[i] != comp[j]) & (den * lo >= num * hi)
-    i, j = i[ok], j[ok]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])),
-         pa.array(np.minimum(ell[i], ell[j]))], names=["u", "v", "need"])
+            yield from pairs(rest)
+    return run
+
+
+def _enough(pairs: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as the less demanding of the two asks for."""
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where(
+        "shared >= need").select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id",
@@ -304,9 +316,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
                 .orderBy(F.desc("df"), "key").limit(MAX_FREQUENT).toPandas())
     fkeys = frequent.key.to_numpy(np.int64).view(U64)
     order = np.argsort(fkeys)
-    shared = spark.sparkContext.broadcast((fkeys[order], frequent.df.to_numpy(np.int64)[order]))
     classes = written(heads.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep")),
                       "jaccard-classes")
+    shared = spark.sparkContext.broadcast((fkeys[order], frequent.df.to_numpy(np.int64)[order]))
 
     postings = d.mapInArrow(_prefixes(shared, n, num, den), "token long, part int, key long, n int, ell int")
     postings = postings.repartition("token", "part").sortWithinPartitions("token", "part", "key", "n")
@@ -314,13 +326,14 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     lists = written(postings.join(classes, ["key", "n"]).select("token", "rep", "n", "ell"), "jaccard-lists")
 
     # stars: every class against the first and last class of its lists
-    ends = lists.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("a"), F.max(F.struct("rep", "n")).alias("b")
-                                      ).where("a.rep <> b.rep")
-    star = lists.join(ends, "token").select("rep", "n", F.explode(F.array("a", "b")).alias("p"))
+    ends = lists.groupBy("token").agg(F.min(F.struct("rep", "n", "ell")).alias("a"),
+                                      F.max(F.struct("rep", "n", "ell")).alias("b")).where("a.rep <> b.rep")
+    star = lists.join(ends, "token").select("token", "rep", "n", "ell", F.explode(F.array("a", "b")).alias("p"))
     star = star.where(F.col("rep") != F.col("p.rep")).where(
         den * F.least("n", "p.n") >= num * F.greatest("n", "p.n"))
-    tried = written(star.select(F.least("rep", "p.rep").alias("u"), F.greatest("rep", "p.rep").alias("v")).distinct(),
-                    "jaccard-stars")
+    star = star.select("token", F.least("rep", "p.rep").alias("u"), F.greatest("rep", "p.rep").alias("v"),
+                       F.least("ell", "p.ell").alias("need")).dropDuplicates(["token", "u", "v"])
+    tried = written(_enough(star), "jaccard-stars")
     links = written(_verify(d, classes, tried, n, num, den), "jaccard-links")
     comp = components(links)
 
@@ -336,10 +349,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         "token", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "n", "ell",
         "component")
     rows = rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
-    pairs = rows.mapInArrow(lambda it: _blocked_pairs(it, num, den), "u long, v long, need int")
-    pairs = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where(
-        "shared >= need").select("u", "v")
-    rest = written(pairs.join(tried, ["u", "v"], "left_anti"), "jaccard-rest")
+    pairs = rows.mapInArrow(_blocked_pairs(num, den), "u long, v long, need int")
+    rest = written(_enough(pairs).join(tried, ["u", "v"], "left_anti"), "jaccard-rest")
     links = links.unionByName(written(_verify(d, classes, rest, n, num, den), "jaccard-links"))
     comp = written(components(links), "jaccard-components")
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))

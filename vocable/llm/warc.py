@@ -109,7 +109,7 @@ class _Shard:
             self.close()
         if self.out is None:
             self.temp = f"{self.root}/temp/{uuid.uuid4().hex}"
-            self.out, self.size, self.n, self.sha = self.fs.open_output_stream(self.temp), 0, 0, hashlib.sha256()
+            self.out, self.size, self.n, self.sha = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
         self.out.write(member)
         self.sha.update(member)
         self.size += len(member)
