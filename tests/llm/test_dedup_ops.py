@@ -170,6 +170,19 @@ def test_two_stage_order_is_the_suffix_order(data):
     assert order == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 96, 97, 255]), min_size=2, max_size=70), st.sampled_from([24, 16, 40]))
+def test_common_prefixes(data, depth):
+    text = bytes(data)
+    order = np.array(sorted(range(len(text)), key=lambda i: text[i:]))
+    got = suffix_dedup.common_prefixes(np.frombuffer(text, np.uint8), order, depth).tolist()
+    for k in range(1, len(order)):
+        a, b, n = text[order[k - 1]:], text[order[k]:], 0
+        while n < min(len(a), len(b), depth) and a[n] == b[n]:
+            n += 1
+        assert got[k] == n
+
+
 def test_word_hashes_follow_the_words():
     import pyarrow as pa
 

@@ -7,8 +7,8 @@ place is out of the question, so the work is cut into shards that lose no match:
 1. *Anchors*.  Of the ``GRAM``-byte grams in each ``length``-byte window the one
    with the smallest hash is the window's anchor (ties: the last).  Equal
    windows have equal anchors at equal places, so two of them meet under the
-   anchor's fingerprint.  About one byte in 90 is an anchor.  With it goes a
-   hash of its context, the bytes that any window around it can cover.
+   anchor's fingerprint.  About one byte in 70 is an anchor.  With it goes a
+   hash of its context, the bytes of all windows that it is the anchor of.
 2. *Pre-aggregation*.  Fingerprints seen once are dropped.  Occurrences with one
    and the same context become one class; a class of two or more is repeated
    over its whole context.  Only one representative of each class goes on, and
@@ -45,9 +45,9 @@ from pyspark.sql import functions as F
 from vocable.llm.store import scratch, written
 from vocable.llm.textbytes import U64, Texts, chunks, mix
 
-GRAM = 16
+GRAM = 64
 #: Contexts of one fingerprint in a shard, and bytes of a shard.
-HOT, SHARD = 4096, 1 << 20
+HOT, SHARD = 4096, 1 << 18
 #: Window starts that are handled at once.
 SEGMENT = 1 << 22
 _POS = U64((1 << 24) - 1)
@@ -67,11 +67,13 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:m], left[w - 1:w - 1 + m])
 
 
-def anchors(t: Texts, length: int) -> np.ndarray:
-    """Buffer positions of the anchors of all windows inside rows."""
+def anchors(t: Texts, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, first window, last window) of each anchor: the windows inside
+    rows that it is the smallest gram of, which follow each other."""
     b, w = t.buf, length - GRAM + 1
+    none = np.zeros(0, np.int64)
     if len(b) < length:
-        return np.zeros(0, np.int64)
+        return none, none, none
     room = np.zeros(len(b) + 1, np.int64)       # window starts: those with `length` bytes left in their row
     full = np.flatnonzero(t.end - t.start >= length)
     np.add.at(room, t.start[full], 1)
@@ -80,15 +82,20 @@ def anchors(t: Texts, length: int) -> np.ndarray:
     out = []
     for a in range(0, len(b) - length + 1, SEGMENT):
         stop = min(len(b) - length + 1, a + SEGMENT)
-        if not starts[a:stop].any():
+        at = np.flatnonzero(starts[a:stop])
+        if not len(at):
             continue
         i = np.arange(a, stop + w - 1)
         h = t.hash_ranges(i, i + GRAM)
-        low = _sliding_min((h & ~_POS) | (_POS - (i - a).astype(U64)), w)
-        low = low[starts[a:stop]]
-        low = low[np.r_[True, low[1:] != low[:-1]]]
-        out.append(np.unique((_POS - (low & _POS)).astype(np.int64) + a))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        low = _sliding_min((h & ~_POS) | (_POS - (i - a).astype(U64)), w)[at]
+        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        out.append(np.stack([(_POS - (low[new] & _POS)).astype(np.int64) + a, at[new] + a,
+                             at[np.r_[new[1:], len(at)] - 1] + a]))
+    if not out:
+        return none, none, none
+    p, lo, hi = np.concatenate(out, axis=1)
+    new = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])      # a run may go on in the next segment
+    return p[new], lo[new], hi[np.r_[new[1:], len(p)] - 1]
 
 
 def _merge(row: np.ndarray, a: np.ndarray, b: np.ndarray):
@@ -106,16 +113,14 @@ def _merge(row: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 
 def _occurrences(length: int):
-    reach = length - GRAM
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 t = Texts(part.column(part.schema.get_field_index("text")))
                 ids = np.asarray(part.column(part.schema.get_field_index("doc_id")), np.int64)
-                p = anchors(t, length)
+                p, lo, hi = anchors(t, length)
+                hi = hi + length
                 row = np.searchsorted(t.end, p, side="right")
-                lo, hi = np.maximum(t.start[row], p - reach), np.minimum(t.end[row], p + length)
                 fp = t.hash_ranges(p, p + GRAM)
                 ctx = mix(t.hash_ranges(lo, hi) + (p - lo).astype(U64))
                 chk = t.hash_ranges(t.start, t.end).view(np.int64).astype(np.int32)
@@ -179,26 +184,12 @@ def two_stage_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     decide = differs[np.searchsorted(differs, np.arange(n))]       # end of the run of equal bytes
     small = (text[decide] < nxt[decide]) & (decide < n - 1)        # the last suffix is larger than the empty one
 
-    # stage one: direct sort, eight bytes at a time, of those still tied
-    words = np.concatenate([_words8(text), np.zeros(depth + 16, U64)])
+    # stage one: direct sort by the first `depth` bytes
     idx = np.flatnonzero(small)
-    idx = idx[np.argsort(words[idx], kind="stable")]
-    if len(idx):
-        group = np.cumsum(np.r_[0, words[idx[1:]] != words[idx[:-1]]])
-        for d in range(8, depth + 8, 8):
-            same = np.r_[False, group[1:] == group[:-1]]
-            tied = np.flatnonzero(same | np.r_[same[1:], False])
-            if not len(tied):
-                break
-            key = words[idx[tied] + d]
-            o = np.lexsort((key, group[tied]))
-            idx[tied] = idx[tied][o]
-            key = key[o]
-            step = np.zeros(len(idx), np.int64)
-            step[1:] = group[1:] != group[:-1]
-            fresh = np.r_[False, (key[1:] != key[:-1]) & (tied[1:] == tied[:-1] + 1)]
-            step[tied[fresh]] = 1
-            group = np.cumsum(step)
+    padded = np.concatenate([text, np.zeros(depth, np.uint8)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, depth)[idx]
+    # numpy compares fixed-width byte strings with zeros at the end as the shorter string
+    idx = idx[np.argsort(np.ascontiguousarray(rows).view(f"S{depth}").ravel(), kind="stable")]
 
     # stage two: left to right, bucket by bucket
     first = text[idx]
@@ -236,21 +227,23 @@ def two_stage_suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def equal_windows(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Class number of the ``length``-byte prefix of each suffix in ``order``:
-    neighbours share a class when their common prefix reaches ``length``."""
-    words = np.concatenate([_words8(text), np.zeros(length + 16, U64)])
+def common_prefixes(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix in ``order`` and the one before
+    it, up to ``depth``; the first has none."""
+    words = np.concatenate([_words8(text), np.zeros(depth + 16, U64)])
     a, b = order[:-1], order[1:]
+    lcp = np.minimum(depth, len(text) - np.maximum(a, b))
     alive = np.arange(len(a))
-    for d in range(0, length - length % 8, 8):
-        alive = alive[words[a[alive] + d] == words[b[alive] + d]]
-    if length % 8:
-        shift = U64(8 * (8 - length % 8))
-        d = length - length % 8
-        alive = alive[(words[a[alive] + d] >> shift) == (words[b[alive] + d] >> shift)]
-    new = np.ones(len(order), np.int64)
-    new[1 + alive] = 0
-    return np.cumsum(new)
+    for d in range(0, depth, 8):
+        x = words[a[alive] + d] ^ words[b[alive] + d]
+        end = np.flatnonzero(x)
+        # leading zero bytes of the difference are common bytes
+        same = sum((x[end] < U64(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+        lcp[alive[end]] = np.minimum(lcp[alive[end]], d + same)
+        alive = alive[x == 0]
+        if not len(alive):
+            break
+    return np.r_[0, lcp]
 
 
 def repeated_windows(fp: np.ndarray, n: np.ndarray, lo: np.ndarray, parts: list[bytes], length: int):
@@ -259,21 +252,19 @@ def repeated_windows(fp: np.ndarray, n: np.ndarray, lo: np.ndarray, parts: list[
     size = np.array([len(x) for x in parts], np.int64)
     text = np.frombuffer(b"".join(parts), np.uint8)
     order = two_stage_suffix_order(text, length)
-    cls = np.empty(len(text), np.int64)
-    cls[order] = equal_windows(text, order, length)
     start = np.r_[0, np.cumsum(size)[:-1]]
-    ctx = np.repeat(np.arange(len(parts)), size)
-    off = np.arange(len(text)) - start[ctx]
-    ok = off + length <= size[ctx]
-    at = np.flatnonzero(ok)
-    ctx, rel = ctx[at], off[at] - lo[ctx[at]]
+    inside = np.repeat(np.arange(len(parts)), size)
+    whole = (np.arange(len(text)) - start[inside] + length <= size[inside])[order]   # suffixes that begin a window
+    at = order[whole]
+    # neighbours among the windows: the smallest common prefix on the way between them
+    cls = np.cumsum(common_prefixes(text, order, length) < length)[whole]
+    ctx = inside[at]
+    rel = at - start[ctx] - lo[ctx]
     group = np.unique(fp, return_inverse=True)[1][ctx]
-    o = np.lexsort((rel, group, cls[at]))
-    c, g, r = cls[at][o], group[o], rel[o]
-    new = np.r_[True, (c[1:] != c[:-1]) | (g[1:] != g[:-1]) | (r[1:] != r[:-1])] if len(o) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    count = np.bincount(run, weights=n[ctx[o]])
-    twice = o[count[run] > 1]
+    key = mix(mix(cls.astype(U64) * U64(1 << 32) + group.astype(U64)) + rel.astype(U64))
+    _, run = np.unique(key, return_inverse=True)
+    count = np.bincount(run, weights=n[ctx])
+    twice = count[run] > 1
     return ctx[twice], rel[twice]
 
 
@@ -319,6 +310,13 @@ def _window_hashes(length: int):
     return run
 
 
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The contexts of representatives (doc_id, w) with their bytes."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
+    return docs.join(per_doc.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(
+        _contexts, "fp long, ctx long, n long, lo int, bytes binary")
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, chk, a, b): byte ranges to remove, possibly overlapping; ``docs`` has doc_id, text."""
     if not GRAM < length <= 255:
@@ -335,32 +333,28 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     classes = written(occ.groupBy("fp", "ctx").agg(F.sum("n").alias("n"),
                                                    F.min(F.struct("doc_id", "chk", "span")).alias("rep")), "suffix-classes")
     crowd = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    crowd = written(crowd, "suffix-crowd")
 
-    wanted = classes.join(crowd.select("fp", "m"), "fp").select("rep.doc_id", F.struct(
-        "rep.chk", "rep.span", "fp", "ctx", "n").alias("w"), "m")
-    wanted = wanted.select("doc_id", F.col("w"), "m").groupBy("doc_id").agg(F.collect_list("w").alias("wanted"))
-    contexts = docs.join(wanted.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(
-        _contexts, "fp long, ctx long, n long, lo int, bytes binary")
-    contexts = written(contexts.join(crowd.select("fp", "m"), "fp"), "suffix-contexts")
-    shards = contexts.where(F.col("m") <= HOT).select("fp", "ctx", "n", "lo", "bytes")
-    shards = shards.repartition("fp").sortWithinPartitions("fp", "ctx")
+    wanted = classes.join(crowd.select("fp", "m"), "fp").select("rep.doc_id", "m", F.struct(
+        "rep.chk", "rep.span", "fp", "ctx", "n").alias("w"))
+    shards = _fetch(docs, wanted.where(F.col("m") <= HOT)).repartition("fp").sortWithinPartitions("fp", "ctx")
     found = shards.mapInArrow(_shard_windows(length), "fp long, ctx long, a int, b int")
-    hot = contexts.where(F.col("m") > HOT).mapInArrow(_window_hashes(length), "fp long, rel int, h long, ctx long, n long")
+    hot = _fetch(docs, wanted.where(F.col("m") > HOT)).mapInArrow(
+        _window_hashes(length), "fp long, rel int, h long, ctx long, n long")
     twice = hot.groupBy("fp", "rel", "h").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
-    found_hot = hot.join(twice, ["fp", "rel", "h"]).select("fp", "ctx", F.col("rel").alias("a"),
-                                                          (F.col("rel") + length).alias("b")).distinct()
+    found_hot = hot.join(twice, ["fp", "rel", "h"]).select("fp", "ctx", F.col("rel").alias("a"))
     # windows of a hot fingerprint that follow each other become one range
     found_hot = found_hot.groupBy("fp", "ctx").agg(F.sort_array(F.collect_list("a")).alias("at")).select(
         "fp", "ctx", F.explode(_ranges("at", length)).alias("r")).select("fp", "ctx", "r.a", "r.b")
-    span_lo, span_hi = F.shiftright("span", 8).bitwiseAND(F.lit(255)), F.col("span").bitwiseAND(F.lit(255))
     whole = classes.where("n > 1").select(
         "fp", "ctx", (-F.shiftright("rep.span", 8).bitwiseAND(F.lit(255))).cast("int").alias("a"),
         F.col("rep.span").bitwiseAND(F.lit(255)).cast("int").alias("b"))
-    ranges = whole.unionByName(found).unionByName(found_hot)
+    ranges = whole.unionByName(found)
+    if not crowd.where(F.col("m") > HOT).isEmpty():
+        ranges = ranges.unionByName(found_hot)
     pos = F.shiftright("span", 16)
     spread = occ.select("fp", "ctx", "doc_id", "chk", "span").join(ranges.hint("merge"), ["fp", "ctx"]).select(
-        "doc_id", "chk", (pos + F.greatest(F.col("a"), -span_lo)).cast("long").alias("a"),
-        (pos + F.least(F.col("b"), span_hi)).cast("long").alias("b"))
+        "doc_id", "chk", (pos + F.col("a")).cast("long").alias("a"), (pos + F.col("b")).cast("long").alias("b"))
     return spread.unionByName(local)
 
 
