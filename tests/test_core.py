@@ -111,12 +111,68 @@ def test_smoke_all_queries_sf0001(spark):
         fn(spark, SF001).write.mode("overwrite").format("noop").save()
 
 
-def test_broadcast_guard_rejects_large_side(spark):
-    import pytest
+def test_relational_nearest_code_at_full_codebook_size(spark):
+    """4096 codes of 512 dimensions: 2,097,152 long-form rows, joined without a cap."""
+    import numpy as np
+
+    from vocable.operators import vectors as K
+
+    rng = np.random.default_rng(0)
+    codes = rng.normal(size=(4096, 512)).round(3)
+    book = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(codes)], "code int, centroid array<double>")
+    rows = spark.createDataFrame([(i, (codes[i * 500] + 0.01).tolist()) for i in range(4)], "id long, v array<double>")
+    assert {r.id: r.code for r in K.nearest_code_sql_form(rows, "id", "v", book).collect()} == {i: i * 500 for i in range(4)}
+
+
+def test_large_codebooks_are_joined(spark, monkeypatch):
+    from vocable.operators import vectors as K
+
+    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "code int, centroid array<double>")
+    rows = spark.createDataFrame([(1, [0.9, 1.0]), (2, [0.1, 0.0]), (3, [0.9, 1.0])], "id long, v array<double>")
+    small = {r.id: r.code for r in K.nearest_code(rows, "v", book).collect()}
+    monkeypatch.setattr(K, "MATRIX_BYTES", 1)
+    assert {r.id: r.code for r in K.nearest_code(rows, "v", book).collect()} == small == {1: 1, 2: 0, 3: 1}
+
+
+def test_weighted_draws_follow_fractional_weights(spark):
+    from vocable.operators.split import weighted_draws
 
-    from vocable.operators.vectors import checked_small
+    weights = [0.1, 0.2, 0.3, 0.2, 0.1, 0.0]
+    df = spark.createDataFrame(list(enumerate(weights)), "k long, w double")
+    got = [r.k for r in weighted_draws(df, "k", "w", 20_000).collect()]
+    assert len(got) == 20_000
+    for k, w in enumerate(weights):
+        assert abs(got.count(k) / 20_000 - w / 0.9) < 0.015
+
+
+def test_last_mark_before_against_bisect(spark):
+    import bisect
+
+    from vocable.plans.position import last_mark_before
+
+    marks = [(i, float(i * i % 97)) for i in range(1, 40)]
+    points = [(i, i * 0.7) for i in range(140)] + [(200, marks[3][1])]
+    got = {r.p: r.m for r in last_mark_before(spark.createDataFrame(points, "p long, at double").repartition(5),
+                                              spark.createDataFrame(marks, "m long, at double"), "at", "p", "m").collect()}
+    order = sorted((at, m) for m, at in marks)
+    for p, at in points:
+        k = bisect.bisect_right(order, (at, 10 ** 9))
+        assert got.get(p) == (order[k - 1][1] if k else None)
+
+
+def test_split_sizes_and_guards(spark):
+    import pytest
 
-    small = spark.range(10)
-    assert checked_small(small, max_rows=10).count() == 10
-    with pytest.raises(ValueError):
-        checked_small(spark.range(11), max_rows=10)
+    from vocable.operators.split import split_datasets, split_many_speakers
+    from vocable.operators.stats import class_accuracy
+
+    rows = [(i, "a" if i < 70 else "b", f"s{i % 7}" if i < 70 else "only") for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, d string, s string")
+    out = split_datasets(df, "k", "d", "s", 0.5, max_size=30).collect()
+    ev = [r for r in out if r.split == "eval"]
+    assert len(out) == 100 and sum(r.d == "a" for r in ev) == 15 and sum(r.d == "b" for r in ev) == 15
+    assert {r.s for r in out if r.split == "train"} == {r[2] for r in rows}
+    with pytest.raises(Exception, match="eval split size is 0"):
+        split_many_speakers(df, "k", "s", 0.001).collect()
+    with pytest.raises(Exception, match="null class label"):
+        class_accuracy(spark.createDataFrame([("a", "a"), (None, "a")], "t string, p string"), "t", "p").collect()

@@ -397,7 +397,8 @@ def wrap_words(s: Column, width: int) -> Column:
 
 def pack_sentences(sents: Column, limit: int = 250, text: Column | None = None) -> Column:
     """Greedy packing; append with a space while len(cur)+len(next) ≤ limit;
-    a sentence longer than the limit is word-wrapped into its own chunks."""
+    a sentence longer than the limit is word-wrapped into its own chunks.  With
+    ``text``, one shorter than the limit stays whole, without leading white space."""
     def step(acc, s):
         last = F.element_at(acc, -1)
         head = F.slice(acc, 1, F.size(acc) - 1)
@@ -408,8 +409,11 @@ def pack_sentences(sents: Column, limit: int = 250, text: Column | None = None)
                 .otherwise(F.concat(acc, F.array(s))))
 
     packed = F.aggregate(sents, F.array(F.lit("")), step)
-    return F.when((F.size(packed) > 1) & (F.element_at(packed, 1) == ""), F.slice(packed, 2, F.size(packed))) \
+    out = F.when((F.size(packed) > 1) & (F.element_at(packed, 1) == ""), F.slice(packed, 2, F.size(packed))) \
         .otherwise(packed)
+    if text is None:
+        return out
+    return F.when(F.length(text) < limit, F.array(F.regexp_replace(text, "^" + WS + "+", ""))).otherwise(out)
 
 
 # Per-language character limits (language code → limit); default 250.

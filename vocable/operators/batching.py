@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from vocable.functions.hashing import hash52
 from vocable.operators.common import attach_scalars, col
-from vocable.operators.vectors import checked_small
 from vocable.plans.position import with_position
 
 
@@ -92,7 +91,7 @@ def class_balanced_batches(df: DataFrame, key: str, cls: str, batch_size: int, d
     st = st.withColumn("class_rank", (F.dense_rank().over(Window.orderBy(cls)) - 1).cast("long"))
     meta = st.agg(F.min("_cnt").alias("_min"), F.count(F.lit(1)).alias("_ncls"))
     st = attach_scalars(st, meta)
-    p = p.join(checked_small(st, what="class table"), cls).withColumn("round", F.col("_pos") - F.col("_start"))
+    p = p.join(st, cls).withColumn("round", F.col("_pos") - F.col("_start"))
     p = p.where(F.col("round") < F.col("_min"))
     per_batch = F.lit(batch_size) / F.col("_ncls")
     guard = F.when(F.lit(batch_size) % F.col("_ncls") == 0, F.lit(True)).otherwise(
@@ -133,7 +132,7 @@ def first_seen_ids(df: DataFrame, name: str, order: str, out: str = "first_seen_
     the small name table)."""
     first = df.groupBy(name).agg(F.min(order).alias("_first"))
     ids = first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).cast("long").alias(out))
-    return df.join(checked_small(ids, what="name ids"), name)
+    return df.join(ids, name)
 
 
 def run_trim_point(df: DataFrame, clip: str, order: list, token: str, target: int, max_run: int) -> DataFrame:

@@ -57,37 +57,8 @@ def vectorise(df: DataFrame, id_col: str, input_col: str, fn: Callable[[np.ndarr
     return df.select(id_col, input_col).mapInPandas(run, schema=schema)
 
 
-def pack_text(text: str, limit: int) -> list[str]:
-    """Python form of J19 (the sentence rule of ``functions.text.sentences``)."""
-    import re
-    import textwrap
+def sentence_chunks(df: DataFrame, text: str, limit: int = 250, keep: list[str] | None = None) -> DataFrame:
+    """The row-expanding segmenter: one row ``(keep…, k, chunk)`` per chunk of J19."""
+    from vocable.functions.text import pack_sentences, sentences
 
-    sents = [s.strip(" ") for s in re.findall(r"[^.!?]+[.!?]*", text)]
-    sents = [s for s in sents if s]
-    out = [""]
-    for s in sents:
-        if len(out[-1]) + len(s) <= limit:
-            out[-1] = (out[-1] + " " + s).lstrip()
-        elif len(s) > limit:
-            out.extend(textwrap.wrap(s, width=limit, drop_whitespace=True, break_on_hyphens=False, tabsize=1))
-        else:
-            out.append(s)
-    if len(out) > 1 and out[0] == "":
-        out = out[1:]
-    return out
-
-
-def sentence_chunks_udtf(limit: int = 250):
-    """The row-expanding segmenter as a Python UDTF (one output row per
-    chunk).  The built-in form is ``pack_sentences`` + ``posexplode``."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="k: int, chunk: string")
-    class SentenceChunks:
-        def eval(self, text: str):
-            if text is None:
-                return
-            for i, c in enumerate(pack_text(text, limit)):
-                yield i, c
-
-    return SentenceChunks
+    return df.select(*(keep or []), F.posexplode(pack_sentences(sentences(text), limit, F.col(text))).alias("k", "chunk"))

@@ -1,8 +1,7 @@
 """Pronunciation lexicon parse, lookup and re-assembly.
 
 Words are exploded with their position, looked up with a join on the
-upper-cased word (the lexicon is a dimension table: broadcast after a size
-check), and re-assembled per document in position order.
+upper-cased word, and re-assembled per document in position order.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vocable.operators.vectors import checked_small
 
 # Fixed value: punctuation kept outside a looked-up word (one leading, one trailing).
 LEXICON_PUNCTUATION = "!'(),-.:;? "
@@ -56,7 +54,7 @@ def lookup_words(df: DataFrame, doc: str, text: str, lex_first: DataFrame,
     last = F.when(F.col("_rest").rlike(cls + "$"), F.substring("_rest", -1, 1)).otherwise(F.lit(""))
     core = F.when(F.length(last) > 0, F.expr("substring(_rest, 1, length(_rest) - 1)")).otherwise(F.col("_rest"))
     w = w.withColumn("_last", last).withColumn("word", F.upper(core)).withColumn("_core", core)
-    j = w.join(checked_small(lex_first, what="lexicon"), "word", "left")
+    j = w.join(lex_first, "word", "left")
     tok = F.when(F.col("pron").isNotNull(), F.concat("_first", F.lit("{"), F.col("pron"), F.lit("}"), "_last")) \
         .otherwise(F.concat("_first", "_core", "_last"))
     return j.select(doc, "idx", tok.alias("token"))
@@ -68,11 +66,9 @@ def reassemble(tokens: DataFrame, doc: str, idx: str = "idx", token: str = "toke
     return g.select(doc, F.array_join(F.transform("_t", lambda t: t[token]), sep).alias("phonemes"))
 
 
-def lexicon_from_corpus(df: DataFrame, text: str, top_n: int = 200) -> DataFrame:
-    """Fixture lexicon: the ``top_n`` most frequent upper-cased words
-    (punctuation removed), pronunciation = the letters separated by spaces."""
+def lexicon_from_corpus(df: DataFrame, text: str) -> DataFrame:
+    """Lexicon of all upper-cased corpus words (punctuation removed),
+    pronunciation = the letters separated by spaces."""
     words = df.select(F.explode(F.split(F.upper(F.regexp_replace(F.col(text), r"[^A-Za-z' ]", "")), " ", -1))
-                      .alias("word")).where(F.col("word") != "")
-    cnt = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = cnt.orderBy(F.col("n").desc(), F.col("word")).limit(top_n)   # a top-k report: the limit is the feature
-    return top.select("word", F.array_join(F.split("word", "", -1), " ").alias("pron"), F.lit(1).alias("alt"))
+                      .alias("word")).where(F.col("word") != "").distinct()
+    return words.select("word", F.array_join(F.split("word", "", -1), " ").alias("pron"), F.lit(1).alias("alt"))

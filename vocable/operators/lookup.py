@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vocable.operators.vectors import checked_small
 
 
 def dense_ids(df: DataFrame, name_col: str, id_col: str = "id") -> DataFrame:
@@ -21,7 +20,7 @@ def dense_ids(df: DataFrame, name_col: str, id_col: str = "id") -> DataFrame:
 
 def apply_ids(df: DataFrame, id_map: DataFrame, name_col: str, id_col: str = "id") -> DataFrame:
     """D1 join: every name must be in the map (else the job fails naming the key)."""
-    j = df.join(checked_small(id_map, what="id map"), name_col, "left")
+    j = df.join(id_map, name_col, "left")
     return j.withColumn(id_col, F.when(F.col(id_col).isNotNull(), F.col(id_col)).otherwise(
         F.raise_error(F.concat(F.lit("KeyError: "), F.col(name_col).cast("string")))))
 
@@ -29,7 +28,7 @@ def apply_ids(df: DataFrame, id_map: DataFrame, name_col: str, id_col: str = "id
 def strict_lookup(df: DataFrame, dim: DataFrame, key: str, value_cols: list[str], what: str = "lookup",
                   broadcast: bool = False) -> DataFrame:
     """Left join + a failing guard when the key has no match."""
-    right = checked_small(dim, what=what) if broadcast else dim
+    right = dim if broadcast else dim
     j = df.join(right.withColumn("_hit", F.lit(True)), key, "left")
     guard = F.when(F.col("_hit").isNotNull(), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit(f"missing {what} for key "), F.col(key).cast("string"))))

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from vocable.functions.hashing import hash52, uniform
 from vocable.operators.common import attach_scalars
-from vocable.operators.vectors import checked_small
-from vocable.plans.position import with_position
+from vocable.plans.position import last_mark_before, with_position
 
 
 def eval_size_expr(n: Column, size: float, max_size: int | None = None) -> Column:
@@ -27,6 +26,11 @@ def eval_size_expr(n: Column, size: float, max_size: int | None = None) -> Colum
     return e
 
 
+def _some(size: Column) -> Column:
+    """The eval size; 0 fails the job."""
+    return F.when(size > 0, size).otherwise(F.raise_error(F.lit("eval split size is 0: not enough samples")))
+
+
 def split_one_speaker(df: DataFrame, key: str, size: float, seed: int = 0, max_size: int | None = None,
                       op: str = "f1") -> DataFrame:
     """shuffle by hash; the first ``size`` rows are eval, the rest train.
@@ -34,11 +38,8 @@ def split_one_speaker(df: DataFrame, key: str, size: float, seed: int = 0, max_s
     Adds ``split`` ∈ {eval, train}.  Eval size 0 fails the job.
     """
     h = df.withColumn("_h", hash52(seed, op, F.col(key)))
-    pos = with_position(h, ["_h", key], "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    pos = attach_scalars(pos, n).withColumn("_size", eval_size_expr(F.col("_n"), size, max_size))
-    pos = pos.withColumn("_size", F.when(F.col("_size") > 0, F.col("_size")).otherwise(
-        F.raise_error(F.lit("eval split size is 0: not enough samples"))))
+    pos = with_position(h, ["_h", key], "_pos", total_col="_n")
+    pos = pos.withColumn("_size", _some(eval_size_expr(F.col("_n"), size, max_size)))
     out = pos.withColumn("split", F.when(F.col("_pos") < F.col("_size"), F.lit("eval")).otherwise(F.lit("train")))
     return out.drop("_h", "_pos", "_n", "_size")
 
@@ -59,7 +60,7 @@ def split_many_speakers(df: DataFrame, key: str, speaker: str, size: float, seed
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     free = marked.where(~F.col("_prot"))
     pos = with_position(free, ["_h", key], "_pos")
-    pos = attach_scalars(pos, n).withColumn("_size", eval_size_expr(F.col("_n"), size, max_size))
+    pos = attach_scalars(pos, n).withColumn("_size", _some(eval_size_expr(F.col("_n"), size, max_size)))
     free_out = pos.withColumn("split", F.when(F.col("_pos") < F.col("_size"), F.lit("eval")).otherwise(F.lit("train")))
     kept = marked.where(F.col("_prot")).withColumn("split", F.lit("train"))
     cols = df.columns + ["split"]
@@ -68,9 +69,7 @@ def split_many_speakers(df: DataFrame, key: str, speaker: str, size: float, seed
 
 def ordered_prefix_split(df: DataFrame, order: list, ratio: float) -> DataFrame:
     """the first ceil(n·ratio) rows in ``order`` are train, the rest eval."""
-    pos = with_position(df, order, "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    pos = attach_scalars(pos, n)
+    pos = with_position(df, order, "_pos", total_col="_n")
     k = F.ceil(F.col("_n") * F.lit(ratio))
     return pos.withColumn("split", F.when(F.col("_pos") < k, F.lit("train")).otherwise(F.lit("eval"))).drop(
         "_pos", "_n")
@@ -93,30 +92,53 @@ def inverse_frequency_weight(df: DataFrame, attr: str, out: str = "weight",
     return res
 
 
-def weighted_draws(df: DataFrame, key: str, weight: str, n_draws: int, seed: int = 0, n_buckets: int = 4096,
-                   op: str = "f10") -> DataFrame:
-    """``n_draws`` draws with replacement, p ∝ weight.
+def weighted_draws(df: DataFrame, key: str, weight: str, n_draws: int, seed: int = 0, op: str = "f10") -> DataFrame:
+    """``n_draws`` draws with replacement, p ∝ weight; ``key`` is a number.
 
-    Rows get prefix sums of the weight (global-position helper); each draw is
-    a point ``u·total``.  The point-in-interval match is an equi-join on a
-    bucket of the running total followed by the interval test; an interval
-    is listed once per bucket it touches, so the join sees at most
-    rows + buckets entries, never rows × draws.
+    Row *i* owns the points from the prefix sum before it to its own; each draw
+    is a point ``u·total`` and takes the last row that begins at or before it.
+    Neighbouring intervals share their ends, so rounding can't lose or double a
+    draw, and the weights may be of any size.
     """
-    spark = df.sparkSession
-    ranked = with_position(df.where(F.col(weight) > 0), [key], "_pos", weight=F.col(weight), cum_col="_cum")
-    ranked = ranked.withColumn("_lo", F.col("_cum") - F.col(weight).cast("double"))
-    total = df.where(F.col(weight) > 0).agg(F.sum(F.col(weight).cast("double")).alias("_total"))
-    ranked = attach_scalars(ranked, total)
-    width = F.col("_total") / n_buckets
-    b_lo = F.floor(F.col("_lo") / width).cast("long")
-    b_hi = F.least(F.floor(F.col("_cum") / width).cast("long"), F.lit(n_buckets - 1))
-    spans = ranked.withColumn("_b", F.explode(F.sequence(b_lo, F.greatest(b_lo, b_hi))))
-    draws = attach_scalars(spark.range(n_draws).withColumnRenamed("id", "draw"), total)
-    draws = draws.withColumn("_x", F.floor(uniform(seed, op, F.col("draw")) * F.col("_total")))
-    draws = draws.withColumn("_b", F.least(F.floor(F.col("_x") / width).cast("long"), F.lit(n_buckets - 1)))
-    j = draws.select("draw", "_x", "_b").join(spans.select(key, "_lo", "_cum", "_b"), "_b")
-    return j.where((F.col("_lo") <= F.col("_x")) & (F.col("_x") < F.col("_cum"))).select("draw", key)
+    ranked = with_position(df.where(F.col(weight) > 0).select(key, weight), [key], "_pos", weight=F.col(weight), cum_col="_cum")
+    marks = ranked.select(F.col("_cum"), F.col("_pos"), F.col(key), "_cum_total")
+    # the interval of position p begins where that of p - 1 ends; the first begins at 0
+    total = marks.agg(F.max("_cum_total").alias("_total"))
+    begins = marks.select((F.col("_pos") + 1).alias("_row"), F.col("_cum").alias("_at")).unionByName(
+        df.sparkSession.createDataFrame([(0, 0.0)], "_row long, _at double"))
+    draws = attach_scalars(df.sparkSession.range(n_draws).withColumnRenamed("id", "draw"), total)
+    draws = draws.select("draw", (uniform(seed, op, F.col("draw")) * F.col("_total")).alias("_at"))
+    last = ranked.agg(F.max("_pos").alias("_last"))
+    hit = attach_scalars(last_mark_before(draws, begins, "_at", "draw", "_row"), last)
+    # a point that rounding puts at the very end belongs to the last row
+    hit = hit.select("draw", F.least("_row", "_last").alias("_pos"))
+    return hit.join(marks.select("_pos", key), "_pos").select("draw", key)
+
+
+def split_datasets(df: DataFrame, key: str, dataset: str, speaker: str, size: float, seed: int = 0,
+                   max_size: int | None = None, op: str = "f3") -> DataFrame:
+    """every row of every dataset comes out as train or eval.
+
+    Each dataset is split by itself: eval size as in F1, capped at ``max_size``
+    divided by the number of datasets; in a dataset with several speakers each
+    keeps at least one training row (its hash-smallest).  One global order over
+    (dataset, protected last, hash) gives all ranks at once.
+    """
+    h = df.withColumn("_h", hash52(seed, op, F.col(key)))
+    prot = h.groupBy(dataset, speaker).agg(F.min_by(F.col(key), F.struct("_h", key)).alias(key))
+    many = prot.groupBy(dataset).agg(F.count(F.lit(1)).alias("_speakers"))
+    stats = h.groupBy(dataset).agg(F.count(F.lit(1)).alias("_n")).join(many, dataset)
+    n_sets = stats.agg(F.count(F.lit(1)).alias("_sets"))
+    cap = F.floor(F.lit(max_size) / F.col("_sets")).cast("long") if max_size else None
+    want = eval_size_expr(F.col("_n"), size)
+    sizes = attach_scalars(stats, n_sets).withColumn("_size", _some(F.least(want, cap) if max_size else want))
+    kept = prot.join(many.where("_speakers > 1").select(dataset), dataset).select(key, F.lit(True).alias("_prot"))
+    marked = h.join(kept, key, "left").withColumn("_prot", F.coalesce("_prot", F.lit(False)))
+    pos = with_position(marked, [dataset, "_prot", "_h", key], "_pos")
+    start = pos.groupBy(dataset).agg(F.min("_pos").alias("_start"))
+    out = pos.join(start.join(sizes.select(dataset, "_size"), dataset), dataset)
+    is_eval = ~F.col("_prot") & (F.col("_pos") - F.col("_start") < F.col("_size"))
+    return out.withColumn("split", F.when(is_eval, F.lit("eval")).otherwise(F.lit("train"))).select(*df.columns, "split")
 
 
 def uniform_by_group(df: DataFrame, key: str, group: str, n_draws: int, seed: int = 0, op: str = "f11") -> DataFrame:
@@ -136,15 +158,13 @@ def uniform_by_group(df: DataFrame, key: str, group: str, n_draws: int, seed: in
                                                                  .alias("_ord"))
     d = attach_scalars(spark.range(n_draws).withColumnRenamed("id", "draw"), ng)
     d = d.withColumn("_gi", F.pmod(hash52(seed, op + "g", F.col("draw")), F.col("_ng")))
-    d = d.join(checked_small(gidx, what="group table"), "_gi").withColumn("_ord", F.pmod(hash52(seed, op + "r", F.col("draw")), F.col("_cnt")))
+    d = d.join(gidx, "_gi").withColumn("_ord", F.pmod(hash52(seed, op + "r", F.col("draw")), F.col("_cnt")))
     return d.join(rows, [group, "_ord"]).select("draw", group, key)
 
 
 def shard_by_rank(df: DataFrame, order: list, n_replicas: int) -> DataFrame:
     """drop the tail so the size divides; row i goes to shard i mod r."""
-    pos = with_position(df, order, "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    pos = attach_scalars(pos, n)
+    pos = with_position(df, order, "_pos", total_col="_n")
     keep = F.col("_pos") < F.col("_n") - F.pmod(F.col("_n"), F.lit(n_replicas))
     return pos.where(keep).withColumn("shard", F.pmod(F.col("_pos"), F.lit(n_replicas)).cast("int")).drop("_n")
 
@@ -157,9 +177,7 @@ def random_member(df: DataFrame, group: str, key: str, seed: int = 0, op: str =
 
 def repeat_epochs(df: DataFrame, order: list, n_epochs: int) -> DataFrame:
     """each row once per epoch, with the running count over epochs."""
-    pos = with_position(df, order, "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    pos = attach_scalars(pos, n).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
+    pos = with_position(df, order, "_pos", total_col="_n").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1))))
     return pos.withColumn("step", F.col("epoch") * F.col("_n") + F.col("_pos")).drop("_n", "_pos")
 
 

@@ -4,8 +4,8 @@ Vectors are ``array<float>`` columns.  Work against a *small* set of vectors
 (class centroids, a codebook) is done either in long form (``(id, pos, x)``
 joined on ``pos`` to the broadcast small set) or, for the nearest-code search,
 as an Arrow-batched matrix product in ``mapInPandas`` with the codebook
-shipped once per task.  The small side's size is checked before it is
-broadcast; rows × rows never occurs.
+shipped once per task while its size in bytes allows.  Joins with the small
+side are plain: the planner broadcasts it when its size allows.
 """
 
 from __future__ import annotations
@@ -18,19 +18,8 @@ from pyspark.sql import types as T
 
 from vocable.operators.common import col
 
-# Largest small-side (rows) we ship to every task.
-MAX_SMALL_ROWS = 1 << 20
-
-
-def checked_small(df: DataFrame, max_rows: int = MAX_SMALL_ROWS, what: str = "small side") -> DataFrame:
-    """Broadcast hint after proving the row count is within ``max_rows``.
-
-    The check counts at most ``max_rows + 1`` rows, so a side that is too
-    large is rejected without being counted in full."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows (the broadcast bound)")
-    return F.broadcast(df)
+#: A codebook up to this size (bytes of its doubles) is shipped with the tasks as one matrix.
+MATRIX_BYTES = 256 << 20
 
 
 def dot(a, b) -> Column:
@@ -67,7 +56,7 @@ def cosine_to_set(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFr
     s = small_long.select(set_id, "pos", F.col(set_val).cast("double").alias("_e"))
     s_norm = s.groupBy(set_id).agg(F.sqrt(F.sum(F.col("_e") * F.col("_e"))).alias("_en"))
     r_norm = r.groupBy(row_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_xn"))
-    j = r.join(checked_small(s, what="vector set"), "pos")
+    j = r.join(s, "pos")
     dots = j.groupBy(row_id, set_id).agg(F.sum(F.col("x") * F.col("_e")).alias("_dot"))
     # s_norm has one row per member of the (already size-checked) set.
     return (dots.join(r_norm, row_id).join(F.broadcast(s_norm), set_id)
@@ -90,24 +79,28 @@ def codebook_from_rows(df: DataFrame, vec_col: str, order_col: str, n_codes: int
                       F.transform(vec_col, lambda v: v.cast("double")).alias("centroid"))
 
 
-def _codebook_matrix(codebook: DataFrame, max_codes: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    rows = codebook.select("code", "centroid").limit(max_codes + 1).collect()   # one bounded job
-    if len(rows) > max_codes:
-        raise ValueError(f"codebook has more than {max_codes} codes")
-    rows = sorted(rows, key=lambda r: r.code)
-    codes = np.array([r.code for r in rows], dtype=np.int32)
-    mat = np.array([r.centroid for r in rows], dtype=np.float64)
-    return codes, mat
+def _codebook_bytes(codebook: DataFrame) -> int:
+    r = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
+    return 8 * r.n * (r.dim or 0)
 
 
 def nearest_code(df: DataFrame, vec_col: str, codebook: DataFrame, out_col: str = "code",
                  dist_col: str | None = None) -> DataFrame:
     """K5: argmin_e ‖x‖² − 2x·e + ‖e‖², one Arrow batch at a time.
 
-    The codebook (size-checked) is captured in the task closure; every
-    batch is one matrix product.  Output keeps all input columns.
+    A codebook of up to ``MATRIX_BYTES`` is captured in the task closure and
+    every batch is one matrix product; a larger one is joined (the relational
+    form on the distinct vectors).  Output keeps all input columns.
     """
-    codes, mat = _codebook_matrix(codebook)
+    if _codebook_bytes(codebook) > MATRIX_BYTES:
+        uniq = df.select(F.col(vec_col).alias("_key"), F.col(vec_col).alias("_vec")).distinct()
+        best = nearest_code_sql_form(uniq, "_key", "_vec", codebook)
+        out = df.join(best, df[vec_col] == best["_key"]).withColumn(out_col, F.col("code").cast("int"))
+        keep = [F.col(c) for c in df.columns] + [F.col(out_col)] + ([F.col("dist").alias(dist_col)] if dist_col else [])
+        return out.select(*keep)
+    rows = sorted(codebook.select("code", "centroid").collect(), key=lambda r: r.code)
+    codes = np.array([r.code for r in rows], dtype=np.int32)
+    mat = np.array([r.centroid for r in rows], dtype=np.float64)
     e2 = (mat * mat).sum(axis=1)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.IntegerType())])
     if dist_col:
@@ -132,7 +125,7 @@ def nearest_code_sql_form(df: DataFrame, id_col: str, vec_col: str, codebook: Da
     """K5 as a relational plan (long form, ``min_by``); same answer, no Python."""
     cb_long = codebook.select("code", F.posexplode("centroid").alias("pos", "_e"))
     r = to_long(df, id_col, vec_col)
-    j = r.join(checked_small(cb_long, what="codebook"), "pos")
+    j = r.join(cb_long, "pos")
     d = j.groupBy(id_col, "code").agg(F.sum((F.col("x") - F.col("_e")) ** 2).alias("dist"))
     return d.groupBy(id_col).agg(F.min_by("code", "dist").alias("code"), F.min("dist").alias("dist"))
 
@@ -140,7 +133,7 @@ def nearest_code_sql_form(df: DataFrame, id_col: str, vec_col: str, codebook: Da
 def code_vectors(codes: DataFrame, code_col: str, codebook: DataFrame) -> DataFrame:
     """K6: code → centroid (join; the codebook side is small)."""
     cb = codebook.withColumnRenamed("code", code_col)
-    return codes.join(checked_small(cb, what="codebook"), code_col, "left")
+    return codes.join(cb, code_col, "left")
 
 
 def ema_update(assigned: DataFrame, vec_col: str, codebook: DataFrame, cluster_size: DataFrame | None = None,
@@ -237,12 +230,12 @@ def ge2e_scores(df: DataFrame, id_col: str, cls: str, vec_col: str, w: float = 1
     """K2: ``(id, cls, other, score)``: w·max(cos(x, centroid), 1e-6) + b.
 
     The own-class centroid excludes the row itself: (Σ − x)/(n − 1).  Class
-    sums are broadcast (classes × dim rows, size-checked) and joined on pos.
+    sums are broadcast (classes × dim rows) and joined on pos.
     """
     lr = df.select(F.col(id_col).alias("id"), cls, F.posexplode(vec_col).alias("pos", "x")).withColumn(
         "x", F.col("x").cast("double"))
     cs = class_sums(lr, cls).withColumnRenamed(cls, "other")
-    j = lr.join(checked_small(cs, what="class sums"), "pos")
+    j = lr.join(cs, "pos")
     own = F.col(cls) == F.col("other")
     c = F.when(own, (F.col("s") - F.col("x")) / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
     g = j.groupBy("id", cls, "other").agg(F.sum(F.col("x") * c).alias("_dot"), F.sum(c * c).alias("_cc"),
@@ -274,7 +267,7 @@ def prototype_loss(df: DataFrame, id_col: str, cls: str, vec_col: str, w: float
           .select(cls, "_rn", F.posexplode(vec_col).alias("pos", "x")).withColumn("x", F.col("x").cast("double")))
     pos_v = lr.where(F.col("_rn") == 1).select(F.col(cls).alias("cj"), "pos", F.col("x").alias("p"))
     anc = lr.where(F.col("_rn") > 1).groupBy(cls, "pos").agg(F.avg("x").alias("a")).withColumnRenamed(cls, "ck")
-    j = pos_v.join(checked_small(anc, what="class anchors"), "pos")
+    j = pos_v.join(anc, "pos")
     g = j.groupBy("cj", "ck").agg(F.sum(F.col("p") * F.col("a")).alias("_d"), F.sum(F.col("p") ** 2).alias("_pp"),
                                   F.sum(F.col("a") ** 2).alias("_aa"))
     s = g.select("cj", "ck", (F.col("_d") / (F.sqrt("_pp") * F.sqrt("_aa")) * w + b).alias("score"))

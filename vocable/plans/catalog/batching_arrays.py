@@ -375,8 +375,8 @@ m AS (SELECT conv_id, list(r ORDER BY turn) AS m FROM t GROUP BY conv_id)"""
 
 @register("i10_pad_2d", f"""{I10_SQL}
 SELECT conv_id, list_concat(list_transform(m, lambda r: list_resize(r, mc, 0)),
-                            list_transform(range(8 - len(m)), lambda i: list_resize([]::BIGINT[], mc, 0))) AS padded
-FROM m, c
+                            list_transform(range(mr - len(m)), lambda i: list_resize([]::BIGINT[], mc, 0))) AS padded
+FROM m, c, (SELECT max(len(m)) AS mr FROM m) r
 """)
 def i10(spark, sf):
     c = table(spark, sf, "conversations").select(
@@ -385,15 +385,16 @@ def i10(spark, sf):
     m = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "r"))).alias("_m"))
     m = m.select("conv_id", F.transform("_m", lambda x: x["r"]).alias("m"))
     from vocable.operators.common import attach_scalars
-    m = attach_scalars(m, mc)
-    return m.select("conv_id", _pad2d_dynamic(F.col("m"), 8, F.col("mc")).alias("padded"))
+    mr = c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("k")).agg(F.max("k").alias("mr"))
+    m = attach_scalars(attach_scalars(m, mc), mr)
+    return m.select("conv_id", _pad2d_dynamic(F.col("m"), F.col("mr"), F.col("mc")).alias("padded"))
 
 
 def _pad2d_dynamic(m, rows, cols):
     padded_rows = F.transform(m, lambda r: I.pad_to(r, cols, 0))
     empty = F.array_repeat(F.lit(0).cast("bigint"), cols)
     guard = F.when(F.size(m) <= rows, F.lit(True)).otherwise(F.raise_error(F.lit("negative padding")))
-    return F.when(guard, F.concat(padded_rows, F.array_repeat(empty, F.lit(rows) - F.size(m))))
+    return F.when(guard, F.concat(padded_rows, F.array_repeat(empty, rows - F.size(m))))
 
 
 @register("i11_adjacent_diff", f"""

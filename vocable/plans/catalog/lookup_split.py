@@ -6,7 +6,6 @@ from vocable.functions.hashing import hash52, sql_hash52, sql_uniform
 from vocable.operators import lookup as D
 from vocable.operators import split as S
 from vocable.operators import stats as E
-from vocable.operators.vectors import checked_small
 from vocable.plans.catalog.keys_filters import LISTING_SQL, listing
 from vocable.plans.catalog.sqlbits import SAMPLES
 from vocable.plans.position import with_position
@@ -134,31 +133,22 @@ def f2(spark, sf):
     return S.split_many_speakers(s, "doc_id", "speaker_name", 0.3).select("doc_id", "split")
 
 
-F3_DATASETS = ("en", "fr", "de", "es")
 F3_MAX = 800
 
 
 @register("f3_multi_dataset", f"""
-WITH c AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_h('f3cap')}, doc_id) - 1 AS rk
-           FROM documents WHERE lang IN {F3_DATASETS}),
-k AS (SELECT doc_id, lang FROM c WHERE rk < {F3_MAX // len(F3_DATASETS)}),
-s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_h('f3')}, doc_id) - 1 AS rk2,
-             count(*) OVER (PARTITION BY lang) AS n FROM k)
-SELECT doc_id, lang AS dataset, CASE WHEN rk2 < floor(n * 0.1) THEN 'eval' ELSE 'train' END AS split FROM s
+WITH h AS (SELECT doc_id, lang, source, {_h('f3')} AS h FROM documents),
+g AS (SELECT lang, count(*) AS n, count(DISTINCT source) AS speakers, count(*) OVER () AS sets FROM h GROUP BY lang),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) = 1 AS first_one FROM h),
+m AS (SELECT p.doc_id, p.lang, p.h, p.first_one AND g.speakers > 1 AS prot,
+             least(floor(g.n * 0.1), {F3_MAX} // g.sets) AS size FROM p JOIN g ON p.lang = g.lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY prot, h, doc_id) - 1 AS rk FROM m)
+SELECT doc_id, lang AS dataset, CASE WHEN NOT prot AND rk < size THEN 'eval' ELSE 'train' END AS split FROM r
 """)
 def f3(spark, sf):
-    s = samples(spark, sf).select("doc_id", "language")
-    cap = F3_MAX // len(F3_DATASETS)
-    parts = []
-    for ds in F3_DATASETS:   # one descriptor per dataset (job parameters, not data)
-        d = s.where(F.col("language") == ds).withColumn("_h", hash52(0, "f3cap", F.col("doc_id")))
-        d = with_position(d, ["_h", "doc_id"], "_p").where(F.col("_p") < cap).drop("_h", "_p")
-        d = S.split_one_speaker(d, "doc_id", 0.1, op="f3")
-        parts.append(d.select("doc_id", F.col("language").alias("dataset"), "split"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = samples(spark, sf).select("doc_id", "language", "speaker_name")
+    return S.split_datasets(s, "doc_id", "language", "speaker_name", 0.1, max_size=F3_MAX).select(
+        "doc_id", F.col("language").alias("dataset"), "split")
 
 
 @register("f4_ordered_prefix_split", """
@@ -227,27 +217,37 @@ SELECT s.doc_id, round(1.0 * wl.w + 2.0 * ws.w + 0.5 * wb.w, 9) AS weight
 FROM s JOIN wl ON s.language = wl.a JOIN ws ON s.speaker_name = ws.a JOIN wb ON s.bucket = wb.a
 """)
 def f9(spark, sf):
+    return f9_weight(spark, sf).select("doc_id", F.round("weight", 9).alias("weight"))
+
+
+def f9_weight(spark, sf):
     b = E.length_buckets(samples(spark, sf), "audio_length", 10)
     b = S.inverse_frequency_weight(b, "language", "wl")
     b = S.inverse_frequency_weight(b, "speaker_name", "ws")
     b = S.inverse_frequency_weight(b, "bucket", "wb")
-    return b.select("doc_id", F.round(1.0 * F.col("wl") + 2.0 * F.col("ws") + 0.5 * F.col("wb"), 9).alias("weight"))
+    return b.select("doc_id", (1.0 * F.col("wl") + 2.0 * F.col("ws") + 0.5 * F.col("wb")).alias("weight"))
 
 
-F10_DRAWS = 2000
+F9_SQL = f"""
+WITH s0 AS ({SAMPLES}), mm AS (SELECT min(audio_length) AS lo, max(audio_length) AS hi FROM s0),
+s AS (SELECT s0.*, {BUCKET_SQL} AS bucket FROM s0, mm),
+{_w_sql('language', 'wl')}, {_w_sql('speaker_name', 'ws')}, {_w_sql('bucket', 'wb')},
+f9 AS (SELECT s.doc_id, 1.0 * wl.w + 2.0 * ws.w + 0.5 * wb.w AS weight
+       FROM s JOIN wl ON s.language = wl.a JOIN ws ON s.speaker_name = ws.a JOIN wb ON s.bucket = wb.a)"""
 
 
-@register("f10_weighted_sampling", f"""
-WITH r AS (SELECT doc_id, n_chars AS w,
-                  sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-           FROM documents WHERE n_chars > 0),
-t AS (SELECT CAST(sum(n_chars) AS DOUBLE) AS total FROM documents WHERE n_chars > 0),
-d AS (SELECT range AS draw, floor({sql_uniform(0, 'f10', 'range')} * total) AS x FROM range({F10_DRAWS}), t)
+@register("f10_weighted_sampling", f"""{F9_SQL},
+r AS (SELECT doc_id, w, sum(w) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+      FROM (SELECT doc_id, CAST(round(weight * 1048576) AS DOUBLE) / 1048576 AS w FROM f9)),
+t AS (SELECT sum(w) AS total, count(*) AS n FROM r),
+d AS (SELECT range AS draw, {sql_uniform(0, 'f10', 'range')} * total AS x FROM range((SELECT n FROM t)), t)
 SELECT d.draw, r.doc_id FROM d JOIN r ON r.cum - r.w <= d.x AND d.x < r.cum
 """)
 def f10(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return S.weighted_draws(d, "doc_id", "n_chars", F10_DRAWS)
+    """As many draws as rows, by the F9 weight.  The weight is rounded to a
+    multiple of 2**-20 so that prefix sums are exact in any order of addition."""
+    d = f9_weight(spark, sf).select("doc_id", (F.round(F.col("weight") * 1048576) / 1048576).alias("weight"))
+    return S.weighted_draws(d, "doc_id", "weight", table(spark, sf, "documents").count())
 
 
 @register("f11_language_uniform", f"""
@@ -255,12 +255,12 @@ WITH st AS (SELECT lang, count(*) AS cnt, dense_rank() OVER (ORDER BY lang) - 1
 ng AS (SELECT count(*) AS ng FROM st),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ord FROM documents),
 d AS (SELECT range AS draw, {sql_hash52(0, 'f11g', 'range')} % ng AS gi, {sql_hash52(0, 'f11r', 'range')} AS hr
-      FROM range(500), ng)
+      FROM range((SELECT count(*) FROM documents)), ng)
 SELECT d.draw, st.lang, r.doc_id FROM d JOIN st ON d.gi = st.gi JOIN r ON r.lang = st.lang AND r.ord = d.hr % st.cnt
 """)
 def f11(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
-    return S.uniform_by_group(d, "doc_id", "lang", 500)
+    return S.uniform_by_group(d, "doc_id", "lang", d.count())
 
 
 @register("f12_shard_by_rank", """

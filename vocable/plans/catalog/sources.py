@@ -34,7 +34,7 @@ def a3(spark, sf):
     d = table(spark, sf, "documents").select(F.concat(F.lit("wavs/"), F.col("doc_id").cast("string"), F.lit(".wav"))
                                              .alias("audio_file"), "text", F.col("source").alias("speaker_name"))
     A.write_header_metadata(d, f"{root}/meta", ["audio_file", "text", "speaker_name"])
-    s = A.load_dataset(spark, "coqui", root, "meta")
+    s = A.load_dataset(spark, "coqui", root, "meta", skip_missing=False)   # the table has no recordings
     return s.select(F.regexp_extract("audio_file", r"/wavs/(\d+)\.wav$", 1).cast("long").alias("doc_id"), "text",
                     "speaker_name", "emotion_name")
 

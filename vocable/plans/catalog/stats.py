@@ -249,10 +249,10 @@ def h2(spark, sf):
 
 
 @register("h3_key_collisions", """
-SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') INTERSECT SELECT doc_id FROM labels)
+SELECT doc_id FROM (SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels)
 """)
 def h3(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id")
+    d = table(spark, sf, "documents").select("doc_id")
     return d.intersect(table(spark, sf, "labels").select("doc_id"))
 
 

@@ -204,17 +204,11 @@ def k11(spark, sf):
 
 
 @register("k12_voice_from_files", f"""
-WITH r AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS rn
-           FROM embeddings) WHERE rn <= 5)
-SELECT name, CAST(pos AS BIGINT) AS pos, round(avg(x), 6) AS mean FROM {EMB_LONG} l
-WHERE l.vec_id IN (SELECT vec_id FROM r) GROUP BY name, pos
+SELECT name, CAST(pos AS BIGINT) AS pos, round(avg(x), 6) AS mean FROM {EMB_LONG} l GROUP BY name, pos
 """)
 def k12(spark, sf):
-    """One voice vector per speaker from a list of its files (here: its five newest clips)."""
-    from pyspark.sql import Window
-    v = clip_vectors(spark, sf)
-    files = v.withColumn("_rn", F.row_number().over(Window.partitionBy("name").orderBy(F.col("vec_id").desc())))
-    m = E.mean_vectors(files.where(F.col("_rn") <= 5), "name", "embedding")
+    """One voice vector per speaker: the mean over all its files."""
+    m = E.mean_vectors(clip_vectors(spark, sf), "name", "embedding")
     return m.select("name", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 

@@ -1,30 +1,40 @@
-"""Global row position without a single-partition window.
-
-``row_number() over (order by k)`` moves every row into one task.  Instead:
-
-1. range-partition on the order key and sort inside each partition;
-2. tag each row with its partition id and ``monotonically_increasing_id``
-   (partition index in the upper bits, local index in the lower bits);
-3. persist that tagged frame, so both uses below read the same partitioning
-   (range bounds come from sampling; two separate computations could differ);
-4. count rows per partition (one row per partition) and turn the counts into
-   start offsets;
-5. broadcast that tiny table back: ``pos = offset + local index``.
-
-If an executor is lost, its cached blocks are rebuilt from the same shuffle
-dependency (fixed partitioner) and re-sorted on the total order, so positions
-come out identical.  The order key must be a total order: give a unique
-tie-breaker.
+"""Global row position, running sums and as-of matching without a one-task window.
+
+``row_number() over (order by k)`` moves every row into one task.  Instead the
+rows are range-partitioned on the order key (Spark chooses and adapts the number
+of partitions), sorted inside each partition and written, with partition number
+and local number, to the shared folder.  One row per partition then says where
+each partition begins; that small table is joined back.
+
+The written table makes the second use read the very same partitions: range
+bounds come from sampling, and computing them twice could differ.  A lost
+executor costs the job it was working on, and nothing stays cached.  The order
+key must be a total order: give a unique tie-breaker.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocable.session import written
+
+#: ``monotonically_increasing_id`` keeps the row's number inside its partition in the lower 33 bits.
+_LOCAL = (1 << 33) - 1
+
+
+def _cols(order):
+    return [F.col(c) if isinstance(c, str) else c for c in order]
+
+
+def _ranged(df: DataFrame, order: list, num_partitions: int | None) -> DataFrame:
+    n = [num_partitions] if num_partitions else []
+    return df.repartitionByRange(*n, *order).sortWithinPartitions(*order).withColumn(
+        "_pp", F.spark_partition_id()).withColumn("_ln", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL)))
+
 
 def _local_cumsum(batches):
     running = 0.0
@@ -35,120 +45,145 @@ def _local_cumsum(batches):
         yield pdf.assign(_lcum=c)
 
 
-def _cols(order):
-    return [F.col(c) if isinstance(c, str) else c for c in order]
-
-
-def default_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def with_position(df: DataFrame, order: list, pos_col: str = "pos",
-                  num_partitions: int | None = None, weight: Column | None = None,
-                  cum_col: str | None = None,
-                  storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+def with_position(df: DataFrame, order: list, pos_col: str = "pos", num_partitions: int | None = None,
+                  weight: Column | None = None, cum_col: str | None = None, total_col: str | None = None) -> DataFrame:
     """Add a 0-based global position ``pos_col`` in ``order``.
 
-    With ``weight``, also add ``cum_col`` = running sum of the weight up to and
-    including the row (the prefix sums of F10), computed the same way.
+    ``total_col`` adds the number of rows, from the same per-partition counts.
+    With ``weight``, ``cum_col`` is the running sum of the weight up to and
+    including the row, and ``<cum_col>_total`` the sum over all rows.
     """
-    order = _cols(order)
-    n = num_partitions or default_partitions(df)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("_pp", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = _ranged(df, _cols(order), num_partitions)
+    aggs = [F.count(F.lit(1)).alias("_n")]
     if weight is not None:
         tagged = tagged.withColumn("_w", weight.cast("double"))
-    tagged = tagged.persist(storage)
-    aggs = [F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base")]
-    if weight is not None:
+        tagged = tagged.mapInPandas(_local_cumsum, T.StructType(
+            list(tagged.schema.fields) + [T.StructField("_lcum", T.DoubleType())]))
         aggs.append(F.sum("_w").alias("_wsum"))
-    per_part = tagged.groupBy("_pp").agg(*aggs)
-    before = Window.orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per partition: bounded by the partition count, safe to broadcast.
-    offsets = per_part.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if weight is not None:
-        offsets = offsets.withColumn("_woff", F.coalesce(F.sum("_wsum").over(before), F.lit(0.0)))
-    body = tagged
+    tagged = written(tagged, "position")
+    before, everything = Window.orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    # One row per partition: bounded by the partition count, safe in one window and to broadcast.
+    parts = tagged.groupBy("_pp").agg(*aggs).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    parts = parts.withColumn("_total", F.sum("_n").over(everything))
     if weight is not None:
-        # Running sum inside each sorted partition; a window partitioned by
-        # the partition id would re-shuffle everything, this does not.
-        schema = T.StructType(list(tagged.schema.fields) + [T.StructField("_lcum", T.DoubleType())])
-        body = tagged.mapInPandas(_local_cumsum, schema=schema)
-    out = body.join(F.broadcast(offsets.drop("_n", "_wsum")), "_pp")
-    out = out.withColumn(pos_col, (F.col("_off") + F.col("_mid") - F.col("_base")).cast("long"))
-    drop = ["_pp", "_mid", "_off", "_base"]
+        parts = parts.withColumn("_woff", F.coalesce(F.sum("_wsum").over(before), F.lit(0.0))).withColumn(
+            "_wtotal", F.sum("_wsum").over(everything)).drop("_wsum")
+    out = tagged.join(F.broadcast(parts.drop("_n")), "_pp").withColumn(pos_col, (F.col("_off") + F.col("_ln")).cast("long"))
+    if total_col:
+        out = out.withColumn(total_col, F.col("_total"))
     if weight is not None:
-        out = out.withColumn(cum_col or "cum_weight", F.col("_woff") + F.col("_lcum"))
-        drop += ["_w", "_lcum", "_woff"]
-    return out.drop(*drop)
+        name = cum_col or "cum_weight"
+        out = out.withColumn(name, F.col("_woff") + F.col("_lcum")).withColumn(name + "_total", F.col("_wtotal"))
+    return out.drop("_pp", "_ln", "_off", "_total", "_w", "_lcum", "_woff", "_wtotal")
 
 
 _COMBINE = {"sum": (F.sum, lambda a, b: a + b), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+_FOLD = {"sum": np.add, "min": np.fmin, "max": np.fmax}
+
+
+def _segments(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """True where a row's key differs from the row before; nulls are equal to each other."""
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        v = pdf[k]
+        same = (v == v.shift()) | (v.isna() & v.shift().isna())
+        new[1:] |= ~same.to_numpy(bool)[1:]
+    return new
 
 
 def _local_running(keys: list[str], specs: list[tuple[str, str, str]]):
-    """Per sorted partition: running aggregates per key (rows arrive sorted by key, order)."""
-    import numpy as np
+    """Running aggregates per key inside a sorted partition.
 
+    A key's rows are neighbours, so only the first run of a batch can continue
+    the batch before; nothing is kept per key.
+    """
     def fn(batches):
-        carry = {}   # (output, key) -> running value at the end of the previous Arrow batch
+        last_key, last = None, {}
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            k = (pdf[keys].astype(str).agg("\u0001".join, axis=1) if len(keys) > 1 else pdf[keys[0]]).reset_index(
-                drop=True)
             out = pdf.reset_index(drop=True)
+            run = pd.Series(np.cumsum(_segments(out, keys)))
+            goes_on = last_key is not None and all(
+                (a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(last_key, out.loc[0, keys]))
+            first = (run == 1).to_numpy()
             for src, how, dst in specs:
-                g = out[src].astype("float64").groupby(k, sort=False)
-                loc = {"sum": g.cumsum, "min": g.cummin, "max": g.cummax}[how]().to_numpy()
-                prev = k.map(lambda key: carry.get((dst, key), np.nan)).to_numpy(dtype="float64")
-                if how == "sum":
-                    loc = loc + np.nan_to_num(prev)
-                elif how == "min":
-                    loc = np.fmin(loc, prev)
-                else:
-                    loc = np.fmax(loc, prev)
+                g = out[src].astype("float64").groupby(run, sort=False)
+                loc = {"sum": g.cumsum, "min": g.cummin, "max": g.cummax}[how]().to_numpy().copy()
+                if goes_on:
+                    loc[first] = _FOLD[how](loc[first], last[dst])
                 out["_loc_" + dst] = loc
-                for key, v in pd.Series(loc).groupby(k, sort=False).last().items():
-                    carry[(dst, key)] = float(v)
+                last[dst] = float(loc[-1])
+            last_key = list(out.loc[len(out) - 1, keys])
             yield out
     return fn
 
 
 def keyed_running(df: DataFrame, keys: list[str], order: list, aggs: list[tuple[str, str, str]],
-                  num_partitions: int | None = None,
-                  storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Running ``sum``/``min``/``max`` per key in ``order`` without a window
     partitioned by the key (a hot key would be one task).
 
     ``aggs`` = [(source column, "sum"|"min"|"max", output column)].  Rows are
     range-partitioned on (keys, order), so a hot key is spread over several
-    partitions; per (partition, key) partials form a small table whose
-    per-key running combination (a window over that small table) gives each
-    partition's offset; the local running value comes from one pass over
-    each sorted partition.  ``order`` must make (keys, order) a total order.
+    partitions; per (partition, key) totals form a small table whose running
+    combination gives each partition's start.  (keys, order) must be a total order.
     """
     order = _cols(order)
-    n = num_partitions or default_partitions(df)
-    sort = [F.col(k) for k in keys] + order
-    tagged = (df.repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-              .withColumn("_pp", F.spark_partition_id()).persist(storage))
-    parts = tagged.groupBy("_pp", *keys).agg(*[_COMBINE[how][0](F.col(src).cast("double")).alias("_p_" + dst)
-                                               for src, how, dst in aggs])
+    tagged = _ranged(df, [F.col(k) for k in keys] + order, num_partitions)
+    schema = T.StructType(list(tagged.schema.fields) + [T.StructField("_loc_" + dst, T.DoubleType()) for _, _, dst in aggs])
+    body = written(tagged.mapInPandas(_local_running(keys, aggs), schema), "running")
+    parts = body.groupBy("_pp", *keys).agg(*[_COMBINE[how][0](F.col(src).cast("double")).alias("_p_" + dst)
+                                             for src, how, dst in aggs])
+    # One row per key and partition it spans: a hot key has as many rows as partitions.
     w = Window.partitionBy(*keys).orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)
-    offs = parts.select("_pp", *keys, *[_COMBINE[how][0]("_p_" + dst).over(w).alias("_o_" + dst)
-                                        for _, how, dst in aggs])
-    schema = T.StructType(list(tagged.schema.fields) + [T.StructField("_loc_" + dst, T.DoubleType())
-                                                        for _, _, dst in aggs])
-    body = tagged.mapInPandas(_local_running(keys, aggs), schema=schema)
-    out = body.join(offs, ["_pp", *keys], "left")
+    offs = parts.select(F.col("_pp").alias("_op"), *[F.col(k).alias("_k_" + k) for k in keys],
+                        *[_COMBINE[how][0]("_p_" + dst).over(w).alias("_o_" + dst) for _, how, dst in aggs])
+    on = body["_pp"] == offs["_op"]
+    for k in keys:
+        on = on & body[k].eqNullSafe(offs["_k_" + k])
+    out = body.join(offs, on, "left")
     for _, how, dst in aggs:
-        comb = _COMBINE[how][1]
         out = out.withColumn(dst, F.when(F.col("_o_" + dst).isNull(), F.col("_loc_" + dst))
-                             .otherwise(comb(F.col("_o_" + dst), F.col("_loc_" + dst))))
-    return out.drop("_pp", *[c for _, _, d in aggs for c in ("_loc_" + d, "_o_" + d)])
+                             .otherwise(_COMBINE[how][1](F.col("_o_" + dst), F.col("_loc_" + dst))))
+    return out.drop("_pp", "_ln", "_op", *["_k_" + k for k in keys],
+                    *[c for _, _, d in aggs for c in ("_loc_" + d, "_o_" + d)])
 
 
-def total_rows(df: DataFrame) -> DataFrame:
-    """One-row DataFrame ``(n_total)`` for :func:`vocable.operators.common.attach_scalars`."""
-    return df.agg(F.count(F.lit(1)).cast("long").alias("n_total"))
+def _fill_forward(batches):
+    """Carry the last mark of the partition to the points after it; points before
+    the first mark stay open."""
+    last = None
+    for pdf in batches:
+        mark = pdf["_mark"]
+        filled = mark.ffill()
+        if last is not None:
+            filled = filled.fillna(last)
+        if len(filled) and pd.notna(filled.iloc[-1]):
+            last = filled.iloc[-1]
+        yield pdf.assign(_fill=filled)
+
+
+def last_mark_before(points: DataFrame, marks: DataFrame, at: str, point: str, mark: str) -> DataFrame:
+    """As-of match: for every row of ``points`` the ``mark`` with the largest
+    position not above its own.  Both have a numeric column ``at``; ``mark`` is a
+    unique number.  Returns (point, mark), without points before the first mark.
+
+    Points and marks are sorted together by ranges, one pass carries marks
+    forward, and the points at the head of a partition take the last mark of the
+    partitions before: work and memory grow with the rows, whatever their spread.
+    """
+    both = points.select(F.col(at).alias("_at"), F.col(point).cast("long").alias("_point"),
+                         F.lit(None).cast("long").alias("_mark")).unionByName(
+        marks.select(F.col(at).alias("_at"), F.lit(None).cast("long").alias("_point"), F.col(mark).cast("long").alias("_mark")))
+    # marks before points of the same position: a mark holds from its own position on
+    ranged = _ranged(both, [F.col("_at"), F.col("_mark").isNull(), F.col("_mark"), F.col("_point")], None).select(
+        "_pp", "_ln", "_point", F.col("_mark").cast("string").alias("_mark"))
+    filled = written(ranged.mapInPandas(_fill_forward, "_pp int, _ln long, _point long, _mark string, _fill string"), "as-of")
+    ends = filled.groupBy("_pp").agg(F.max_by("_fill", "_ln").alias("_end"))
+    w = Window.orderBy("_pp").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ends.select("_pp", F.last("_end", ignorenulls=True).over(w).alias("_head"))   # one row per partition
+    out = filled.where(F.col("_point").isNotNull()).join(F.broadcast(heads), "_pp")
+    return out.select(F.col("_point").alias(point), F.coalesce("_fill", "_head").cast("long").alias(mark)).where(
+        F.col(mark).isNotNull())

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vocable.plans.position import with_position
+from vocable.session import path_exists
 
 SAMPLE_COLUMNS = ["text", "audio_file", "speaker_name", "root_path", "emotion_name"]
 
@@ -88,9 +89,93 @@ bel_tts_formatter = _simple("bel_tts_formatter", "|", 2, 1, "bel_tts", wav_dir=N
 kokoro = _simple("kokoro", "|", 3, 1, "kokoro", text_fn=lambda t: F.replace(t, F.lit(" "), F.lit("")))
 css10 = _simple("css10", "|", 2, 1, "css10", wav_dir=None, ext="")
 ruslan = _simple("ruslan", "|", 2, 1, "ruslan", wav_dir="RUSLAN")
-tweb = _simple("tweb", "\t", 2, 1, "tweb", wav_dir="wavs")
-mozilla = _simple("mozilla", "|", 1, 2, "mozilla", strip=True)
-custom_turkish = _simple("custom_turkish", "|", 2, 1, "turkish-female")
+tweb = _simple("tweb", "\t", 2, 1, "tweb", wav_dir=None)
+mozilla = _simple("mozilla", "|", 1, 2, "mozilla", ext="", strip=True)
+
+
+def present(samples: DataFrame, root: str) -> DataFrame:
+    """Samples whose audio file lies below ``root``; the others are skipped.  The
+    listing is a scan of paths (no contents), so it runs on the cluster."""
+    from vocable.operators.filters import existing_files
+
+    return existing_files(samples, list_files(samples.sparkSession, root).select("path"))
+
+
+def custom_turkish(spark, root: str, meta_file: str, **_) -> DataFrame:
+    """Fields trimmed; lines whose recording is missing are skipped."""
+    rows = _simple("custom_turkish", "|", 2, 1, "turkish-female", strip=True)(spark, root, meta_file)
+    return present(rows, root)
+
+
+def mozilla_de(spark, root: str, meta_file: str, **_) -> DataFrame:
+    """ISO 8859-1; recordings lie in ``BATCH_<first name part>_FINAL``."""
+    f = split_fields(F.trim("value"), "|")
+    wav = F.trim(F.element_at(f, 1))
+    folder = F.concat(F.lit("BATCH_"), F.element_at(F.split(wav, "_"), 1), F.lit("_FINAL"))
+    return lines(spark, f"{root}/{meta_file}", "ISO-8859-1").select(
+        *sample(F.trim(F.element_at(f, 2)), _join(root, folder, wav), "mozilla", root))
+
+
+def nancy(spark, root: str, meta_file: str, **_) -> DataFrame:
+    """Lines ``( id "text " )``: the text stands between the outer quotes, less its last character."""
+    v = F.col("value")
+    text = F.regexp_replace(F.regexp_extract(v, '"(.*)"', 1), ".$", "")
+    utt = F.element_at(F.split(F.trim(v), r"\s+"), 2)
+    return lines(spark, f"{root}/{meta_file}").select(
+        *sample(text, _join(root, "wavn", F.concat(utt, F.lit(".wav"))), "nancy", root))
+
+
+def mailabs(spark, root: str, meta_files=None, ignored_speakers=None, **_) -> DataFrame:
+    """All ``metadata.csv`` below ``root`` (or the given ones); speaker from
+    ``by_book/<sex>/<speaker>/``; files elsewhere and missing recordings are skipped."""
+    if meta_files:
+        named = [meta_files] if isinstance(meta_files, str) else meta_files
+        t = spark.read.text([m if m.startswith("/") or ":" in m else f"{root}/{m}" for m in named])
+    else:
+        t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "metadata.csv").text(root)
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
+    t = t.select("value", path.alias("_file"))
+    spk = F.regexp_extract("_file", r"by_book/(?:male|female)/([^/]+)/", 1)
+    f = split_fields(F.col("value"), "|")
+    audio = F.concat(F.regexp_replace("_file", "/[^/]*$", ""), F.lit("/wavs/"), F.element_at(f, 1), F.lit(".wav"))
+    out = t.where(spk != "").select(*sample(F.trim(F.element_at(f, 2)), audio, spk, root))
+    return present(_without_speakers(out, ignored_speakers), root)
+
+
+def libri_tts(spark, root: str, meta_files=None, ignored_speakers=None, **_) -> DataFrame:
+    """``*trans.tsv`` files; names ``speaker_chapter_…``; a missing recording fails the job."""
+    if meta_files:
+        named = [meta_files] if isinstance(meta_files, str) else meta_files
+        t = spark.read.text([f"{root}/{m}" for m in named])
+    else:
+        t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*trans.tsv").text(root)
+    f = split_fields(F.col("value"), "\t")
+    name = F.element_at(f, 1)
+    parts = F.split(name, "_")
+    out = t.select(*sample(F.element_at(f, 3), _join(root, F.element_at(parts, 1), F.element_at(parts, 2),
+                                                     F.concat(name, F.lit(".wav"))), F.element_at(parts, 1), root))
+    out = _without_speakers(out, ignored_speakers)
+    found = list_files(spark, root).select(F.col("path").alias("_p"), F.lit(True).alias("_there"))
+    checked = out.join(found, out.audio_file == F.col("_p"), "left").where(
+        F.when(F.col("_there"), F.lit(True)).otherwise(
+            F.raise_error(F.concat(F.lit("recording does not exist: "), F.col("audio_file")))))
+    return checked.select(*SAMPLE_COLUMNS).withColumn("speaker_name", F.concat(F.lit("LTTS_"), F.col("speaker_name")))
+
+
+def _without_speakers(df: DataFrame, ignored_speakers) -> DataFrame:
+    return df.where(~F.col("speaker_name").isin(list(ignored_speakers))) if ignored_speakers else df
+
+
+def ljspeech_records(spark, root: str, meta_file: str = "metadata.csv", **_) -> DataFrame:
+    """The second LJSpeech loader: raw text (field 2) of lines with exactly three
+    fields, with a language; of a repeated name the last line counts; missing
+    recordings are skipped."""
+    f = split_fields(F.col("value"), "|")
+    l = lines(spark, f"{root}/{meta_file}", ordered=True).where(F.size(f) == 3)
+    last = l.groupBy(F.element_at(f, 1).alias("name")).agg(F.max_by(F.element_at(f, 2), "line_no").alias("text"))
+    out = last.select(*sample(F.col("text"), _join(root, "wavs", F.concat("name", F.lit(".wav"))), "ljSpeech", root),
+                      F.lit("en").alias("language"))
+    return present(out, root)
 
 
 def baker(spark, root: str, meta_file: str, **_) -> DataFrame:
@@ -106,7 +191,7 @@ def header_table(spark, path: str, sep: str) -> DataFrame:
     return spark.read.option("sep", sep).option("header", True).option("quote", "").csv(path)
 
 
-def coqui(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> DataFrame:
+def coqui(spark, root: str, meta_file: str, ignored_speakers=None, skip_missing: bool = True, **_) -> DataFrame:
     """Header ``audio_file|text[|speaker_name][|emotion_name]``; absent
     speaker → 'coqui', absent emotion → 'neutral'."""
     t = header_table(spark, f"{root}/{meta_file}", "|")
@@ -118,10 +203,10 @@ def coqui(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> DataF
     out = t.select(*sample(F.col("text"), _join(root, F.col("audio_file")), spk, root, emo))
     if ignored_speakers and "speaker_name" in t.columns:
         out = out.where(~F.col("speaker_name").isin(list(ignored_speakers)))
-    return out
+    return present(out, root) if skip_missing else out
 
 
-def cml_tts(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> DataFrame:
+def cml_tts(spark, root: str, meta_file: str, ignored_speakers=None, skip_missing: bool = True, **_) -> DataFrame:
     """Header ``wav_filename|transcript[|client_id][|emotion_name]``."""
     t = header_table(spark, f"{root}/{meta_file}", "|")
     for c in ("wav_filename", "transcript"):
@@ -132,7 +217,7 @@ def cml_tts(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> Dat
     out = t.select(*sample(F.col("transcript"), _join(root, F.col("wav_filename")), spk, root, emo))
     if ignored_speakers and "client_id" in t.columns:
         out = out.where(~F.col("speaker_name").isin(list(ignored_speakers)))
-    return out
+    return present(out, root) if skip_missing else out
 
 
 def common_voice(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> DataFrame:
@@ -154,7 +239,8 @@ def mls(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> DataFra
     key = F.element_at(f, 1)
     parts = F.split(key, "_")
     spk = F.element_at(parts, 1)
-    audio = _join(root, F.element_at(F.split(F.lit(meta_file), "/"), 1), "audio", spk, F.element_at(parts, 2),
+    folder = [meta_file.rpartition("/")[0]] if "/" in meta_file else []
+    audio = _join(root, *folder, "audio", spk, F.element_at(parts, 2),
                   F.concat(key, F.lit(".wav")))
     out = lines(spark, f"{root}/{meta_file}").select(*sample(F.element_at(f, 2), audio, F.concat(F.lit("MLS_"), spk),
                                                              root), spk.alias("_spk"))
@@ -185,11 +271,11 @@ def brspeech(spark, root: str, meta_file: str, ignored_speakers=None, **_) -> Da
 
 
 def sam_accenture(spark, root: str, meta_file: str, **_) -> DataFrame:
-    """XML ``<fileid id="…">text</fileid>`` elements."""
-    x = spark.read.format("xml").option("rowTag", "fileid").load(f"{root}/{meta_file}")
-    return x.select(*sample(F.col("_VALUE").cast("string"), _join(root, "vo_voice_quality_transformation",
-                                                                  F.concat(F.col("_id"), F.lit(".wav"))),
-                            "sam_accenture", root))
+    """XML ``<fileid id="…">text</fileid>`` elements; missing recordings are skipped."""
+    x = spark.read.format("xml").option("rowTag", "fileid").load(f"{root}/voice_over_recordings/{meta_file}")
+    return present(x.select(*sample(F.col("_VALUE").cast("string"), _join(root, "vo_voice_quality_transformation",
+                                                                          F.concat(F.col("_id"), F.lit(".wav"))),
+                                    "sam_accenture", root)), root)
 
 
 def crawl_text_files(spark, root: str, glob: str = "*.txt") -> DataFrame:
@@ -210,7 +296,53 @@ def vctk(spark, root: str, meta_files=None, mic: str = "mic1", ignored_speakers=
     out = c.select(*sample(F.col("first_line"), audio, F.concat(F.lit("VCTK_"), spk), root), spk.alias("_spk"))
     if ignored_speakers:
         out = out.where(~F.col("_spk").isin(list(ignored_speakers)))
-    return out.drop("_spk")
+    return present(out.drop("_spk"), root)
+
+
+def vctk_old(spark, root: str, meta_files=None, wavs_path: str = "wav48", ignored_speakers=None, **_) -> DataFrame:
+    """A5: the older layout: txt/<speaker>/<file>.txt → wav48/<speaker>/<file>.wav."""
+    c = crawl_text_files(spark, f"{root}/txt")
+    spk = F.element_at(F.split("path", "/"), -2)
+    fid = F.element_at(F.split(F.element_at(F.split("path", "/"), -1), r"\."), 1)
+    out = c.select(*sample(F.col("first_line"), _join(root, wavs_path, spk, F.concat(fid, F.lit(".wav"))), spk, root))
+    return _without_speakers(out, ignored_speakers).withColumn(
+        "speaker_name", F.concat(F.lit("VCTK_old_"), F.col("speaker_name")))
+
+
+def synpaflex(spark, root: str, metafiles=None, **_) -> DataFrame:
+    """A5: every ``.wav`` whose transcript exists: below a ``wav`` folder the same
+    path with ``wav`` read as ``txt``, else ``txt/<name>.txt`` beside it."""
+    wavs = list_files(spark, root, (".wav",)).select(F.col("path").alias("_wav"))
+    beside = F.concat(F.regexp_replace("_wav", "/[^/]*$", "/txt/"),
+                      F.regexp_replace(F.element_at(F.split("_wav", "/"), -1), r"\.wav", ".txt"))
+    wavs = wavs.withColumn("_txt", F.when(F.col("_wav").contains("/wav/"), F.regexp_replace("_wav", "wav", "txt")).otherwise(beside))
+    c = crawl_text_files(spark, root)
+    j = wavs.join(c, wavs["_txt"] == c.path)
+    return j.select(*sample(F.col("first_line"), F.col("_wav"), "synpaflex", root))
+
+
+def _voxceleb(idx: int, expected: int):
+    def build(spark, root: str, meta_file: str | None = None, expected_min: int = expected, **_) -> DataFrame:
+        """No transcripts; speaker from the folder above the recording's,
+        which must start with ``id``; the crawl is kept and later runs read it."""
+        def crawl():
+            f = list_files(spark, root, (".wav",))
+            spk = F.element_at(F.split("path", "/"), -3)
+            ok = F.when(spk.startswith("id"), F.lit(True)).otherwise(
+                F.raise_error(F.concat(F.lit("not a speaker folder: "), spk)))
+            return f.where(ok).select(*sample(F.lit(None).cast("string"), F.col("path"),
+                                              F.concat(F.lit(f"voxcel{idx}_"), spk), root))
+        if meta_file is not None:
+            f = split_fields(F.trim("value"), "|")
+            text = F.when(F.element_at(f, 1) != "None", F.element_at(f, 1))
+            return lines(spark, meta_file).select(*sample(text, F.element_at(f, 2), F.element_at(f, 3), root))
+        return cached_crawl(spark, f"{root}/metafile_voxceleb{idx}", crawl, expected_min)
+    build.__name__ = f"voxceleb{idx}"
+    return build
+
+
+# The least number of recordings of the two corpora.
+voxceleb1, voxceleb2 = _voxceleb(1, 148_000), _voxceleb(2, 1_000_000)
 
 
 def open_bible(spark, root: str, meta_files: str = "train", ignore_digits_sentences: bool = True,
@@ -233,7 +365,8 @@ def open_bible(spark, root: str, meta_files: str = "train", ignore_digits_senten
 # A2: registry, name (lower-cased) → builder.
 FORMATTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in [
     ljspeech, ljspeech_test, thorsten, kss, bel_tts_formatter, kokoro, css10, ruslan, tweb, mozilla,
-    custom_turkish, baker, coqui, cml_tts, common_voice, mls, emotion, brspeech, sam_accenture, vctk, open_bible]}
+    custom_turkish, baker, coqui, cml_tts, common_voice, mls, emotion, brspeech, sam_accenture, vctk, open_bible,
+    mozilla_de, nancy, mailabs, libri_tts, ljspeech_records, vctk_old, synpaflex, voxceleb1, voxceleb2]}
 
 
 def load_dataset(spark, formatter: str | Callable, root: str, meta_file: str | None = None, **kw) -> DataFrame:
@@ -244,6 +377,38 @@ def load_dataset(spark, formatter: str | Callable, root: str, meta_file: str | N
     return fn(spark, root, meta_file, **kw)
 
 
+def load_datasets(spark, datasets: list[dict], formatter: Callable | None = None) -> DataFrame:
+    """A2/F3 scan: several datasets (``formatter, path, meta_file, language, name``,
+    optional ``ignored_speakers``) as one table.  A caller's ``formatter`` applies to
+    the first dataset only; the others go by their own name."""
+    parts = []
+    for i, d in enumerate(datasets):
+        fn = formatter if formatter is not None and i == 0 else d["formatter"]
+        rows = load_dataset(spark, fn, d["path"], d.get("meta_file"), ignored_speakers=d.get("ignored_speakers"))
+        parts.append(rows.withColumn("language", F.lit(d.get("language", ""))).withColumn("dataset", F.lit(d["name"])))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def parquet_corpus(spark, path: str, max_samples: int = 0, drop: tuple = (), order: str | None = None) -> DataFrame:
+    """Parquet scan; with ``max_samples`` the first rows in ``order`` (a head
+    without an order would differ from run to run); ``drop`` columns are never read."""
+    df = spark.read.parquet(path)
+    if max_samples > 0:
+        if order is None:
+            raise ValueError("a head needs an order")
+        df = df.orderBy(order).limit(max_samples)
+    return df.drop(*drop)
+
+
+def attention_masks(spark, path: str) -> DataFrame:
+    """A10: ``audio_file|mask_file`` lines."""
+    f = split_fields(F.col("value"), "|")
+    return lines(spark, path).select(F.element_at(f, 1).alias("audio_file"), F.trim(F.element_at(f, 2)).alias("mask_file"))
+
+
 # ---------------------------------------------------------------- A4, A11-A16
 def malformed_lines(spark, path: str, sep: str = "|") -> DataFrame:
     """A4: lines whose field count differs from their file's header line
@@ -313,11 +478,9 @@ def label_crawl(spark, root: str, extensions=(".wav",)) -> DataFrame:
 def cached_crawl(spark, cache_path: str, build: Callable[[], DataFrame], expected_min: int | None = None) -> DataFrame:
     """Build the metadata once (written as Parquet), later runs read it;
     fewer rows than expected fails."""
-    try:
-        df = spark.read.parquet(cache_path)
-    except Exception:  # noqa: BLE001 - not built yet
+    if not path_exists(spark, f"{cache_path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(cache_path)
-        df = spark.read.parquet(cache_path)
+    df = spark.read.parquet(cache_path)
     if expected_min is not None:
         n = df.count()
         if n < expected_min:
@@ -344,6 +507,15 @@ def load_embedding_map(spark, path: str) -> DataFrame:
     return t.select(F.explode(m).alias("clip", "v")).select("clip", "v.name", "v.embedding")
 
 
+def write_id_map(ids: DataFrame, path: str, name: str = "name", id_col: str = "id") -> None:
+    """An id map as JSON records, one ``{name, id}`` a line."""
+    ids.select(F.col(name).alias("name"), F.col(id_col).alias("id")).write.mode("overwrite").json(path)
+
+
+def read_id_map(spark, path: str) -> DataFrame:
+    return spark.read.schema("name string, id long").json(path)
+
+
 def save_embedding_records(df: DataFrame, path: str) -> None:
     df.select("clip", "name", "embedding").write.mode("overwrite").json(path)
 
@@ -361,5 +533,4 @@ def load_embedding_maps(spark, paths: list[str]) -> DataFrame:
     from pyspark.sql import Window
     names = u.groupBy("name").agg(F.min("file_no").alias("_f"))
     ids = names.select("name", (F.row_number().over(Window.orderBy("_f", "name")) - 1).alias("name_id"))
-    from vocable.operators.vectors import checked_small
-    return u.join(checked_small(ids, what="name ids"), "name")
+    return u.join(ids, "name")
