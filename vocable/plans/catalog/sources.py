@@ -8,7 +8,7 @@ from vocable.plans.catalog.sqlbits import sql_basic_clean
 from vocable.plans.registry import register
 from vocable.sources import metadata as A
 from vocable.sources.tables import table
-from vocable.streaming.stateful import scratch
+from vocable.session import scratch
 
 
 @register("a1_pipe_metadata_roundtrip", f"""

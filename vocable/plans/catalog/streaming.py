@@ -18,19 +18,33 @@ SELECT user_id, chunk_idx, CAST(len(x[chunk_idx * {CHUNK} + 1: chunk_idx * {CHUN
        x[chunk_idx * {CHUNK} + 1: chunk_idx * {CHUNK} + {CHUNK}] AS chunk FROM c
 """)
 def n1s(spark, sf):
-    out = N.run_to_parquet(N.chunk_every_n(N.event_stream(spark, sf), CHUNK, timeout_ms=500), "n1s",
-                           flush_wait=3.0)
-    return spark.read.parquet(out)
+    out = N.run_to_parquet(N.chunk_every_n(N.event_stream(spark, sf), CHUNK), "n1s")
+    return N.latest_chunks(spark.read.schema(N.CHUNK_OUT).parquet(out))
 
 
-@register("n2s_crossfade_chunks")
+OVERLAP = 2
+
+
+@register("n2s_crossfade_chunks", f"""
+WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id),
+c0 AS (SELECT user_id, x, unnest(range((len(x) + {CHUNK} - 1) // {CHUNK})) AS chunk_idx FROM s),
+c AS (SELECT user_id, chunk_idx, x[chunk_idx * {CHUNK} + 1: chunk_idx * {CHUNK} + {CHUNK}] AS c,
+             x[chunk_idx * {CHUNK} - {OVERLAP} + 1: chunk_idx * {CHUNK}] AS tail FROM c0)
+SELECT user_id, chunk_idx,
+       CASE WHEN chunk_idx = 0 THEN c[1: len(c) - {OVERLAP}]
+            WHEN len(c) < 2 * {OVERLAP} THEN c
+            ELSE list_concat(list_transform(range({OVERLAP}), lambda i: tail[i + 1] * (1.0::DOUBLE - i / {OVERLAP - 1}.0::DOUBLE)
+                                                                        + c[i + 1] * (i / {OVERLAP - 1}.0::DOUBLE)),
+                             c[{OVERLAP} + 1: len(c) - {OVERLAP}]) END AS chunk
+FROM c
+""")
 def n2s(spark, sf):
-    """Chunks of N1s (read back as a file stream) cross-faded over 2 samples."""
-    first = N.run_to_parquet(N.chunk_every_n(N.event_stream(spark, sf), CHUNK, timeout_ms=500), "n2s-in",
-                             flush_wait=3.0)
+    """The chunks of N1s, read as a file stream, cross-faded over two samples."""
+    first = N.scratch(spark, "n2s-in")
+    n1s(spark, sf).write.parquet(first)
     chunks = spark.readStream.schema(N.CHUNK_OUT).parquet(first)
-    out = N.run_to_parquet(N.crossfade_chunks(chunks, 2), "n2s")
-    return spark.read.parquet(out)
+    out = N.run_to_parquet(N.crossfade_chunks(chunks, OVERLAP), "n2s")
+    return spark.read.schema(N.FADE_OUT).parquet(out)
 
 
 @register("n3s_running_stats", """
@@ -109,4 +123,4 @@ def n6s(spark, sf):
     N.run_foreach(N.feature_cache_sink(N.event_stream(spark, sf), store, N.scratch(spark, "n6s-chk"), "user_id",
                                        lambda fresh: fresh.select("user_id", F.md5(F.col("user_id").cast("string"))
                                                                   .alias("feature"))))
-    return spark.read.parquet(store)
+    return spark.read.parquet(store).drop("epoch")

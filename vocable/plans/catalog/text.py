@@ -282,7 +282,7 @@ SELECT word, 1 AS alt, pron FROM lex
 """)
 def j25(spark, sf):
     """The corpus lexicon written as ``WORD  P R O N`` lines, then parsed back."""
-    from vocable.streaming.stateful import scratch
+    from vocable.session import scratch
     d = docs(spark, sf)
     path = scratch(spark, "j25-lexicon")
     lex = LX.lexicon_from_corpus(d, "text")

@@ -2,117 +2,83 @@
 
 Sources are file streams (``readStream`` over Parquet, ``maxFilesPerTrigger``);
 sinks are Parquet folders under the session's shared checkpoint folder, so a
-restarted query resumes from its checkpoint (exactly-once file sink).  Keyed
-state uses ``applyInPandasWithState`` with a processing-time timeout that
-flushes tails and evicts idle keys; micro-batch work that needs joins
-against tables uses ``foreachBatch``.
+restarted query resumes from its checkpoint.  Runs drain their source with
+``availableNow`` and end by themselves: no result depends on a clock.
+
+Keyed state uses ``applyInPandasWithState``.  A key's rows of one micro-batch
+are gathered and ordered before they are used (Arrow hands them over in
+batches), and state is kept until the stream's owner drops it.  Work that needs
+joins against tables uses ``foreachBatch``; every epoch writes its own folder, so
+an epoch that runs again replaces what it wrote.
 """
 
 from __future__ import annotations
 
-import os
-import time
-import uuid
+from itertools import accumulate, chain, islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from vocable.session import ensure_checkpoint_dir
+from vocable.session import scratch
 
 EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.replace("file:", ""), f"{name}-{uuid.uuid4().hex[:10]}")
-
-
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
             .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
 
 
-def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append", flush_wait: float = 0.0) -> str:
-    """Drain the source with an ``availableNow`` run; with ``flush_wait``, wait
-    past the state timeout and restart from the same checkpoint so the
-    timed-out keys flush their tails.  Returns the output folder.
-
-    (A processing-time trigger never goes idle here: processing-time timeouts
-    keep scheduling no-data batches, so ``processAllAvailable`` would not return.)
-    """
-    spark = df.sparkSession
-    out, chk = scratch(spark, name + "-out"), scratch(spark, name + "-chk")
-    q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
-         .outputMode(output_mode).trigger(processingTime="500 milliseconds").start())
-    drained_at, drained_batch = None, None
-    try:
-        while True:
-            time.sleep(0.25)
-            if q.exception() is not None:
-                raise q.exception()
-            p = q.lastProgress
-            if not p or not p.get("sources"):
-                continue
-            src = p["sources"][0]
-            # A batch that read nothing and did not move the offset: the source is drained.
-            done = (p["numInputRows"] == 0 and src.get("startOffset") not in (None, "None")
-                    and src.get("startOffset") == src.get("endOffset"))
-            if not done:
-                continue
-            if drained_at is None:
-                drained_at, drained_batch = time.time(), p["batchId"]
-            elif time.time() - drained_at >= flush_wait and p["batchId"] >= drained_batch + 2:
-                break
-        # Stop between triggers, not in the middle of a (no-data) batch.
-        deadline = time.time() + 10
-        while time.time() < deadline:
-            st = q.status
-            if not st.get("isTriggerActive") and str(st.get("message", "")).startswith("Waiting for next trigger"):
-                break
-            time.sleep(0.02)
-    finally:
-        q.stop()
+def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> str:
+    """Drain the source into a Parquet folder and return its path."""
+    out, chk = scratch(df.sparkSession, name + "-out"), scratch(df.sparkSession, name + "-chk")
+    run_foreach(df.writeStream.format("parquet").option("path", out).option("checkpointLocation", chk)
+                .outputMode(output_mode))
     return out
 
 
+def run_foreach(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _in_order(batches, order: list[str]) -> pd.DataFrame:
+    """All rows of a key in this micro-batch, in order."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+
+
 # ---------------------------------------------------------------- N1s
 CHUNK_OUT = "user_id long, chunk_idx long, n long, chunk array<double>"
 CHUNK_STATE = "emitted long, buf array<double>"
 
 
-def _chunker(n: int, timeout_ms: int):
+def _chunker(n: int):
     def fn(key, batches, state):
-        if state.hasTimedOut:
-            emitted, buf = state.get
-            state.remove()
-            if buf:
-                yield pd.DataFrame({"user_id": [key[0]], "chunk_idx": [emitted], "n": [len(buf)],
-                                    "chunk": [list(buf)]})
-            return
         emitted, buf = state.get if state.exists else (0, [])
-        buf = list(buf)
-        rows = []
-        for pdf in batches:
-            for v in pdf.sort_values(["ts", "event_id"])["value"].tolist():
-                buf.append(float(v))
-                if len(buf) == n:
-                    rows.append((key[0], emitted, n, buf))
-                    emitted, buf = emitted + 1, []
-        state.update((emitted, buf))
-        state.setTimeoutDuration(timeout_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "chunk_idx", "n", "chunk"])
+        x = np.concatenate([np.asarray(buf, float), _in_order(batches, ["ts", "event_id"])["value"].to_numpy(float)])
+        pieces = [x[i:i + n] for i in range(0, len(x), n)]
+        full = len(x) // n
+        state.update((emitted + full, x[full * n:].tolist()))
+        if pieces:
+            yield pd.DataFrame({"user_id": key[0], "chunk_idx": np.arange(emitted, emitted + len(pieces)),
+                                "n": [len(c) for c in pieces], "chunk": [c.tolist() for c in pieces]})
     return fn
 
 
-def chunk_every_n(stream: DataFrame, n: int, timeout_ms: int = 1000) -> DataFrame:
-    """N1s: per key, emit every ``n`` values as one chunk; the partial tail is
-    emitted when the key times out (and its state is evicted)."""
+def chunk_every_n(stream: DataFrame, n: int) -> DataFrame:
+    """N1s: per key, a row for every ``n`` values, and for the unfinished last
+    chunk one row with what it holds so far; :func:`latest_chunks` keeps the
+    longest row of each chunk, so the tail needs no end-of-input signal."""
     return stream.groupBy("user_id").applyInPandasWithState(
-        _chunker(n, timeout_ms), CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _chunker(n), CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def latest_chunks(emitted: DataFrame) -> DataFrame:
+    """The chunks of :func:`chunk_every_n`'s sink: the longest row of each."""
+    g = emitted.groupBy("user_id", "chunk_idx").agg(F.max_by(F.struct("n", "chunk"), "n").alias("c"))
+    return g.select("user_id", "chunk_idx", "c.n", "c.chunk")
 
 
 def chunk_every_n_batch(events: DataFrame, n: int) -> DataFrame:
@@ -127,40 +93,44 @@ def chunk_every_n_batch(events: DataFrame, n: int) -> DataFrame:
 
 # ---------------------------------------------------------------- N2s
 FADE_OUT = "user_id long, chunk_idx long, chunk array<double>"
-FADE_STATE = "prev_tail array<double>"
-
-
-def _crossfader(overlap: int, timeout_ms: int):
-    import numpy as np
-
+FADE_STATE = "tail array<double>"
+
+
+def crossfaded(chunks: list[np.ndarray], tail: np.ndarray | None, overlap: int) -> tuple[list[np.ndarray], np.ndarray | None]:
+    """Emit each chunk without its last ``overlap`` samples, which are held back
+    and reach the output only as the fading part of the next chunk's head.  A
+    chunk too short for that is passed on whole and ends the held-back tail."""
+    up = np.linspace(0.0, 1.0, overlap)
+    out = []
+    for c in chunks:
+        body = c[:-overlap].copy()
+        if tail is not None and len(body) < overlap:
+            out.append(c)
+            tail = None
+            continue
+        if tail is not None:
+            body[:overlap] = tail * (1.0 - up) + body[:overlap] * up
+        out.append(body)
+        tail = c[-overlap:] if len(c) >= overlap else None
+    return out, tail
+
+
+def _crossfader(overlap: int):
     def fn(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        prev = list(state.get[0]) if state.exists else None
-        rows = []
-        for pdf in batches:
-            for _, r in pdf.sort_values("chunk_idx").iterrows():
-                c = np.asarray(r["chunk"], dtype=np.float64)
-                if prev is not None and len(c) >= overlap and len(prev) == overlap:
-                    fade = np.linspace(0.0, 1.0, overlap)
-                    c = c.copy()
-                    c[:overlap] = np.asarray(prev) * (1.0 - fade) + c[:overlap] * fade
-                rows.append((key[0], int(r["chunk_idx"]), c.tolist()))
-                prev = c[-overlap:].tolist() if len(c) >= overlap else prev
-        if prev is not None:
-            state.update((prev,))
-        state.setTimeoutDuration(timeout_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "chunk_idx", "chunk"])
+        tail = np.asarray(state.get[0], float) if state.exists and state.get[0] is not None else None
+        rows = _in_order(batches, ["chunk_idx"])
+        out, tail = crossfaded([np.asarray(c, float) for c in rows["chunk"]], tail, overlap)
+        state.update((None if tail is None else tail.tolist(),))
+        if out:
+            yield pd.DataFrame({"user_id": key[0], "chunk_idx": rows["chunk_idx"].to_numpy(),
+                                "chunk": [c.tolist() for c in out]})
     return fn
 
 
-def crossfade_chunks(chunks: DataFrame, overlap: int, timeout_ms: int = 1000) -> DataFrame:
-    """N2s: linear cross-fade of each chunk's head with the previous chunk's
-    tail (kept in state); a chunk shorter than ``overlap`` passes through."""
+def crossfade_chunks(chunks: DataFrame, overlap: int) -> DataFrame:
+    """N2s: linear cross-fade of each chunk's head with the tail held back from the one before."""
     return chunks.groupBy("user_id").applyInPandasWithState(
-        _crossfader(overlap, timeout_ms), FADE_OUT, FADE_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _crossfader(overlap), FADE_OUT, FADE_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------- N3s
@@ -168,30 +138,34 @@ RUN_OUT = "user_id long, event_id long, running_mean double, ema double"
 RUN_STATE = "n long, total double, ema double"
 
 
-def _runner(decay: float, timeout_ms: int):
+def decayed(x: np.ndarray, start: float | None, decay: float) -> np.ndarray:
+    """y[0] = start (or x[0]), y[i] = decay·y[i-1] + (1-decay)·x[i], added up in order."""
+    rest = x.tolist()
+    if start is None:
+        y = accumulate(rest, lambda a, v: a * decay + v * (1.0 - decay))
+    else:
+        y = islice(accumulate(chain([start], rest), lambda a, v: a * decay + v * (1.0 - decay)), 1, None)
+    return np.fromiter(y, float, len(rest))
+
+
+def _runner(decay: float):
     def fn(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, total, ema = state.get if state.exists else (0, 0.0, None)
-        out = []
-        for pdf in batches:
-            for ev, v in pdf.sort_values(["ts", "event_id"])[["event_id", "value"]].itertuples(index=False):
-                n += 1
-                total += float(v)
-                ema = float(v) if ema is None else ema * decay + float(v) * (1.0 - decay)
-                out.append((key[0], int(ev), total / n, ema))
-        state.update((n, total, ema))
-        state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "event_id", "running_mean", "ema"])
+        rows = _in_order(batches, ["ts", "event_id"])
+        x = rows["value"].to_numpy(float)
+        sums, counts = total + np.cumsum(x), n + np.arange(1, len(x) + 1)
+        emas = decayed(x, ema, decay)
+        if len(x):
+            state.update((int(counts[-1]), float(sums[-1]), float(emas[-1])))
+            yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"].to_numpy(), "running_mean": sums / counts,
+                                "ema": emas})
     return fn
 
 
-def running_stats(stream: DataFrame, decay: float = 0.99, timeout_ms: int = 60000) -> DataFrame:
+def running_stats(stream: DataFrame, decay: float = 0.99) -> DataFrame:
     """N3s: running mean and EMA per key, one output row per input row."""
     return stream.groupBy("user_id").applyInPandasWithState(
-        _runner(decay, timeout_ms), RUN_OUT, RUN_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _runner(decay), RUN_OUT, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------- N8s
@@ -199,36 +173,34 @@ EVERY_OUT = "user_id long, step long, mean double"
 EVERY_STATE = "n long, acc double"
 
 
-def _every_k(k: int, timeout_ms: int):
+def _every_k(k: int):
     def fn(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
         n, acc = state.get if state.exists else (0, 0.0)
-        rows = []
-        for pdf in batches:
-            for v in pdf.sort_values(["ts", "event_id"])["value"].tolist():
-                n += 1
-                acc += float(v)
-                if n % k == 0:
-                    rows.append((key[0], n, acc / k))
-                    acc = 0.0
-        state.update((n, acc))
-        state.setTimeoutDuration(timeout_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=["user_id", "step", "mean"])
+        x = _in_order(batches, ["ts", "event_id"])["value"].to_numpy(float)
+        window = (n + np.arange(len(x))) // k - n // k           # 0 is the window that the state belongs to
+        sums = np.bincount(window, weights=x, minlength=1)
+        sums[0] += acc
+        done = (n + len(x)) // k - n // k
+        state.update((n + len(x), float(sums[done]) if done < len(sums) else 0.0))
+        if done:
+            yield pd.DataFrame({"user_id": key[0], "step": (n // k + 1 + np.arange(done)) * k, "mean": sums[:done] / k})
     return fn
 
 
-def log_every_k(stream: DataFrame, k: int, timeout_ms: int = 60000) -> DataFrame:
+def log_every_k(stream: DataFrame, k: int) -> DataFrame:
     """N8s: per key, one log row every ``k`` steps with the mean of those steps
     (no row for an unfinished window, as a step logger does)."""
     return stream.groupBy("user_id").applyInPandasWithState(
-        _every_k(k, timeout_ms), EVERY_OUT, EVERY_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _every_k(k), EVERY_OUT, EVERY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ---------------------------------------------------------------- N4s / N7s (foreachBatch, versioned tables)
 
+def _version(spark: SparkSession, root: str, epoch: int) -> DataFrame:
+    """What the epoch before wrote; if that can't be read, the epoch fails."""
+    return spark.read.parquet(f"{root}/v={epoch - 1}")
+
+
 def ring_histogram_sink(stream: DataFrame, ring_root: str, chk: str, capacity: int, code: Column,
                         order: list[str]):
     """N4s: keep the last ``capacity`` codes (arrival order ``order``) in a
@@ -236,13 +208,9 @@ def ring_histogram_sink(stream: DataFrame, ring_root: str, chk: str, capacity: i
     ``capacity`` rows of (previous version ∪ batch).  The table never holds
     more than ``capacity`` rows, so the top-k is bounded."""
     def process(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         new = batch.select(*order, code.alias("code"))
-        try:
-            prev = spark.read.parquet(f"{ring_root}/v={epoch - 1}")
-            new = prev.unionByName(new)
-        except Exception:  # noqa: BLE001 - first epoch
-            pass
+        if epoch:
+            new = _version(batch.sparkSession, ring_root, epoch).unionByName(new)
         top = new.orderBy(*[F.col(c).desc() for c in order]).limit(capacity)
         top.write.mode("overwrite").parquet(f"{ring_root}/v={epoch}")
 
@@ -250,9 +218,11 @@ def ring_histogram_sink(stream: DataFrame, ring_root: str, chk: str, capacity: i
 
 
 def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    import glob
-    versions = sorted(int(p.rsplit("=", 1)[1]) for p in glob.glob(f"{root}/v=*"))
-    return spark.read.parquet(f"{root}/v={versions[-1]}")
+    """The newest complete version, found through the store's own listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    epoch = max(int(str(f.getPath().getParent().getName()).split("=")[1]) for f in found)
+    return spark.read.parquet(f"{root}/v={epoch}")
 
 
 def online_codebook_sink(stream: DataFrame, book_root: str, chk: str, vec_col: str, initial: DataFrame):
@@ -261,13 +231,12 @@ def online_codebook_sink(stream: DataFrame, book_root: str, chk: str, vec_col: s
     from vocable.operators.vectors import ema_update, nearest_code
 
     def process(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        try:
-            cur = latest_version(spark, book_root)
+        if epoch:
+            cur = _version(batch.sparkSession, book_root, epoch)
             book = cur.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("_c"),
                                            F.first("cluster_size").alias("cluster_size"))
             book = book.select("code", F.transform("_c", lambda r: r["v"]).alias("centroid"), "cluster_size")
-        except Exception:  # noqa: BLE001 - first epoch: the initial codebook
+        else:
             book = initial.withColumn("cluster_size", F.lit(0.0))
         cb = book.select("code", "centroid")
         sizes = book.select("code", "cluster_size")
@@ -280,18 +249,21 @@ def online_codebook_sink(stream: DataFrame, book_root: str, chk: str, vec_col: s
 
 # ---------------------------------------------------------------- N5s / N6s (foreachBatch)
 
+def _before(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
+    """Rows that earlier epochs wrote below ``folder``."""
+    return spark.read.parquet(folder).where(F.col("epoch") < epoch).drop("epoch")
+
+
 def quarantine_sink(stream: DataFrame, kept_dir: str, rejected_dir: str, quarantine_dir: str, chk: str,
                     bad: str = "event_type = 'error'"):
     """N5s: a key becomes bad at its first bad row and every later row of it is
     rejected, in this and all later micro-batches.  Each micro-batch:
     ``left_anti`` against the quarantine table, split by the first bad row,
-    append kept rows, rejected rows and newly bad keys to three tables."""
+    write kept rows, rejected rows and newly bad keys to this epoch's folders."""
     def process(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(quarantine_dir)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            known = spark.createDataFrame([], "user_id long, q_ts timestamp_ntz, q_event long")
+        known = _before(spark, quarantine_dir, epoch) if epoch else spark.createDataFrame(
+            [], "user_id long, q_ts timestamp_ntz, q_event long")
         b = batch.join(known.select("user_id"), "user_id", "left_anti")
         rejected_known = batch.join(known.select("user_id"), "user_id", "left_semi")
         first_bad = (b.where(F.expr(bad)).groupBy("user_id")
@@ -299,33 +271,24 @@ def quarantine_sink(stream: DataFrame, kept_dir: str, rejected_dir: str, quarant
         j = b.join(first_bad, "user_id", "left")
         after = F.col("_fb").isNotNull() & (F.struct("ts", "event_id") >= F.col("_fb"))
         cols = batch.columns
-        j.where(~after).select(*cols).write.mode("append").parquet(kept_dir)
-        j.where(after).select(*cols).unionByName(rejected_known.select(*cols)).write.mode("append").parquet(
-            rejected_dir)
-        first_bad.select("user_id", F.col("_fb.ts").alias("q_ts"), F.col("_fb.event_id").alias("q_event")) \
-            .write.mode("append").parquet(quarantine_dir)
+
+        def put(df: DataFrame, folder: str) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+
+        put(j.where(~after).select(*cols), kept_dir)
+        put(j.where(after).select(*cols).unionByName(rejected_known.select(*cols)), rejected_dir)
+        put(first_bad.select("user_id", F.col("_fb.ts").alias("q_ts"), F.col("_fb.event_id").alias("q_event")), quarantine_dir)
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", chk)
 
 
 def feature_cache_sink(stream: DataFrame, store_dir: str, chk: str, key: str, compute):
     """N6s: compute features only for keys not yet in the store
-    (``dropDuplicates`` inside the batch, ``left_anti`` against the store)."""
+    (``dropDuplicates`` inside the batch, ``left_anti`` against earlier epochs)."""
     def process(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(store_dir).select(key), key, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: empty store
-            pass
-        compute(fresh).write.mode("append").parquet(store_dir)
+        if epoch:
+            fresh = fresh.join(_before(batch.sparkSession, store_dir, epoch).select(key), key, "left_anti")
+        compute(fresh).write.mode("overwrite").parquet(f"{store_dir}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(process).option("checkpointLocation", chk)
-
-
-def run_foreach(writer, wait: float = 0.0) -> None:
-    q = writer.trigger(availableNow=True).start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
