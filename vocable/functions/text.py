@@ -342,14 +342,18 @@ def no_cleaners(t) -> Column:
     return F.replace(_c(t), F.lit("\n"), F.lit(""))
 
 
-def english_cleaners_no_numbers(t) -> Column:
-    """english_cleaners minus time/number verbalisation (those are token-table jobs)."""
-    out = expand_abbreviations(lowercase(t), "en")
+def english_cleaners(t) -> Column:
+    """Lower case, clock times, numbers, abbreviations, symbols, white space."""
+    from vocable.functions.numbers import expand_time, normalize_numbers
+
+    out = expand_abbreviations(normalize_numbers(expand_time(lowercase(t))), "en")
     return collapse_whitespace(remove_aux_symbols(replace_symbols(out, "en")))
 
 
-def phoneme_cleaners_no_numbers(t) -> Column:
-    out = expand_abbreviations(t, "en")
+def phoneme_cleaners(t) -> Column:
+    from vocable.functions.numbers import normalize_numbers
+
+    out = expand_abbreviations(normalize_numbers(_c(t)), "en")
     return collapse_whitespace(remove_aux_symbols(replace_symbols(out, "en")))
 
 
@@ -362,8 +366,8 @@ CLEANERS: dict[str, Callable[[Column], Column]] = {
     "portuguese_cleaners": portuguese_cleaners,
     "multilingual_cleaners": multilingual_cleaners,
     "no_cleaners": no_cleaners,
-    "english_cleaners": english_cleaners_no_numbers,
-    "phoneme_cleaners": phoneme_cleaners_no_numbers,
+    "english_cleaners": english_cleaners,
+    "phoneme_cleaners": phoneme_cleaners,
 }
 
 

@@ -168,6 +168,35 @@ def j17(spark, sf):
                     (F.col("back") == F.col("text")).alias("roundtrip_ok"))
 
 
+@register("j7_clock_times")
+def j7(spark, sf):
+    """Clock times as words; every document gets one at its end (tests compare with a plain re-computation)."""
+    from vocable.functions.numbers import expand_time
+    clock = F.concat(F.pmod("doc_id", F.lit(24)).cast("string"), F.lit(":"), F.lpad(F.pmod("doc_id", F.lit(60)).cast("string"), 2, "0"))
+    return docs(spark, sf).select("doc_id", expand_time(F.concat("text", F.lit(" "), clock)).alias("expanded"))
+
+
+@register("j8_numbers_en")
+def j8(spark, sf):
+    """English numbers as words (tests compare with a plain re-computation)."""
+    from vocable.functions.numbers import normalize_numbers
+    return docs(spark, sf).select("doc_id", normalize_numbers("text").alias("normalised"))
+
+
+@register("j9_number_tokens", r"""
+WITH t AS (
+  SELECT lang, 'time' AS kind, unnest(regexp_extract_all(text, '(?i)\b(?:0?[0-9]|1[0-9]|2[0-3]):[0-5][0-9]\s*(?:am|pm)?\b')) AS token FROM documents
+  UNION ALL SELECT lang, 'currency', unnest(regexp_extract_all(text, '[£$¥][0-9,.]*[0-9]+')) FROM documents
+  UNION ALL SELECT lang, 'ordinal', unnest(regexp_extract_all(text, '[0-9]+(?:st|nd|rd|th)')) FROM documents
+  UNION ALL SELECT lang, 'decimal', unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+')) FROM documents
+  UNION ALL SELECT lang, 'number', unnest(regexp_extract_all(text, '-?[0-9]+')) FROM documents)
+SELECT lang, kind, token, count(*) AS n FROM t GROUP BY lang, kind, token
+""")
+def j9(spark, sf):
+    from vocable.functions.numbers import number_tokens
+    return number_tokens(docs(spark, sf), "text", "lang")
+
+
 @register("j26_bpe_train")
 def j26(spark, sf):
     """Vocabulary of a small BPE model trained on the whole corpus (rows-only;
