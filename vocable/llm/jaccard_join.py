@@ -15,9 +15,9 @@ order of shingles the first ``size - overlap + l`` of both share at least ``l``.
    candidates it may have to verify, and asks for ``min(l, l')`` shared shingles.
    Postings of one class only are dropped; long posting lists are shuffled in
    several parts.
-4. *Stars*: in each posting list every class is compared with the list's first
-   and last class only, linear in the list, so a family of near copies is found
-   without its pairs.
+4. *Stars*: the first and last class of each posting list are its pivots; every
+   class is compared with two pivots at most, the one it shares most lists with
+   and the smallest, so a family of near copies is found without its pairs.
 5. *The rest*: pairs of classes that share enough prefix shingles, lie in
    different components after step 4 and were not compared yet are compared,
    all of them; long lists are paired in blocks of bounded size.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vocable.llm.components import components
@@ -169,27 +169,28 @@ def _prefixes(shared, n: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(token[pick].view(np.int64)),
                      pa.array(np.where(parts > 1, 1 + (key[r].view(U64) % parts.astype(U64)).astype(np.int64), 0).astype(np.int32)),
-                     pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.array(ell[r].astype(np.int32))],
-                    names=["token", "part", "key", "n", "ell"])
+                     pa.array(key[r]), pa.array(size[r].astype(np.int32)), pa.array(ell[r].astype(np.int32)),
+                     pa.array((pick - sets.ptr[r]).astype(np.int32))],
+                    names=["token", "part", "key", "n", "ell", "pos"])
     return run
 
 
 def _shared_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct postings of (sorted) lists of at least two classes; parts of split lists stay whole."""
     rest = None
-    names = ["token", "part", "key", "n", "ell"]
+    names = ["token", "part", "key", "n", "ell", "pos"]
 
     def emit(cols):
-        t, p, k, n, e = cols
+        t, p, k, n, e, i = cols
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (p[1:] != p[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-        t, p, k, n, e = (c[new] for c in (t, p, k, n, e))
+        t, p, k, n, e, i = (c[new] for c in (t, p, k, n, e, i))
         edge = np.ones(len(t) + 1, bool)
         edge[1:-1] = (t[1:] != t[:-1]) | (p[1:] != p[:-1])
         start = np.flatnonzero(edge)
         length = np.repeat(np.diff(start), np.diff(start))
         keep = (length > 1) | (p > 0)
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (t, p, k, n, e)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (t, p, k, n, e, i)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -252,29 +253,31 @@ def _blocked_pairs(num: int, den: int):
     two blocks of a list.
     """
     def pairs(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, b1, b2, mine, rep, size, ell, comp = g
+        token, b1, b2, mine, rep, size, ell, pos, own, comp = g
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
         start = np.flatnonzero(new)
         left = np.repeat(np.r_[start[1:], len(token)], np.diff(np.r_[start, len(token)])) - np.arange(len(token)) - 1
         i = np.flatnonzero(left > 0)
-        u, v, need, held, step = [], [], [], 0, 1
+        out, held, step = [[] for _ in range(6)], 0, 1
         while len(i):                      # partners at distance 1, 2, ... in all groups at once
             j = i + step
-            lo = np.minimum(size[i], size[j]).astype(np.int64)
+            lo, both = np.minimum(size[i], size[j]).astype(np.int64), size[i].astype(np.int64) + size[j]
             ok = (comp[i] != comp[j]) & (den * lo >= num * np.maximum(size[i], size[j]))
             ok &= (b1[i] == b2[i]) | (mine[i] != mine[j])
+            # shingles that come before this one and belong to one of the two only
+            ok &= np.maximum(own[i] + own[j], np.abs(pos[i] - pos[j])) <= both - 2 * -(-num * both // (num + den))
             a, b = i[ok], j[ok]
-            u.append(np.minimum(rep[a], rep[b]))
-            v.append(np.maximum(rep[a], rep[b]))
-            need.append(np.minimum(ell[a], ell[b]))
+            a, b = np.where(rep[a] < rep[b], a, b), np.where(rep[a] < rep[b], b, a)
+            for col, x in zip(out, (rep[a], rep[b], np.minimum(ell[a], ell[b]), pos[a], pos[b], both[ok])):
+                col.append(x)
             held += len(a)
             step += 1
             i = i[left[i] >= step]
             if held > 1 << 18 or (held and not len(i)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v, need)],
-                                                 names=["u", "v", "need"])
-                u, v, need, held = [], [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out],
+                                                 names=["u", "v", "need", "pos_u", "pos_v", "both"])
+                out, held = [[] for _ in range(6)], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -293,10 +296,19 @@ def _blocked_pairs(num: int, den: int):
     return run
 
 
-def _enough(pairs: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as the less demanding of the two asks for."""
-    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where(
-        "shared >= need").select("u", "v")
+def _enough(pairs: DataFrame, u: str, v: str, num: int, den: int) -> DataFrame:
+    """Pairs that can still link, with the number of prefix shingles they share.
+
+    They share as many as the less demanding of the two asks for; and up to the
+    last shared one, the shingles that only one of them has are no more than a
+    linking pair may differ in: a shingle that comes before it in both orders and
+    is in both sets would have been counted.
+    """
+    both = F.max("both")
+    differ = both - 2 * F.ceil(num * both / (num + den))
+    apart = F.max("pos_u") + F.max("pos_v") + 2 - 2 * F.count(F.lit(1))
+    return pairs.groupBy(u, v).agg(F.count(F.lit(1)).alias("shared"), F.max("need").alias("need"),
+                                   (apart <= differ).alias("close")).where("close and shared >= need")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id",
@@ -320,20 +332,31 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
                       "jaccard-classes")
     shared = spark.sparkContext.broadcast((fkeys[order], frequent.df.to_numpy(np.int64)[order]))
 
-    postings = d.mapInArrow(_prefixes(shared, n, num, den), "token long, part int, key long, n int, ell int")
+    posting = "token long, part int, key long, n int, ell int, pos int"
+    postings = d.mapInArrow(_prefixes(shared, n, num, den), posting)
     postings = postings.repartition("token", "part").sortWithinPartitions("token", "part", "key", "n")
-    postings = postings.mapInArrow(_shared_postings, "token long, part int, key long, n int, ell int")
-    lists = written(postings.join(classes, ["key", "n"]).select("token", "rep", "n", "ell"), "jaccard-lists")
+    postings = postings.mapInArrow(_shared_postings, posting)
+    lists = postings.join(classes, ["key", "n"]).select("token", "rep", "n", "ell", "pos")
+    # prefix shingles before this one that no other class has; a class has no more postings than its prefix
+    before = F.row_number().over(Window.partitionBy("rep", "n").orderBy("pos")) - 1
+    lists = written(lists.withColumn("own", F.col("pos") - before), "jaccard-lists")
 
     # stars: every class against the first and last class of its lists
-    ends = lists.groupBy("token").agg(F.min(F.struct("rep", "n", "ell")).alias("a"),
-                                      F.max(F.struct("rep", "n", "ell")).alias("b")).where("a.rep <> b.rep")
-    star = lists.join(ends, "token").select("token", "rep", "n", "ell", F.explode(F.array("a", "b")).alias("p"))
+    end = F.struct("rep", "n", "ell", "pos")
+    ends = lists.groupBy("token").agg(F.min(end).alias("a"), F.max(end).alias("b")).where("a.rep <> b.rep")
+    star = lists.join(ends, "token").select("token", "rep", "n", "ell", "pos", F.explode(F.array("a", "b")).alias("p"))
     star = star.where(F.col("rep") != F.col("p.rep")).where(
         den * F.least("n", "p.n") >= num * F.greatest("n", "p.n"))
-    star = star.select("token", F.least("rep", "p.rep").alias("u"), F.greatest("rep", "p.rep").alias("v"),
-                       F.least("ell", "p.ell").alias("need")).dropDuplicates(["token", "u", "v"])
-    tried = written(_enough(star), "jaccard-stars")
+    star = star.select(F.col("rep").alias("u"), F.col("p.rep").alias("v"), F.least("ell", "p.ell").alias("need"),
+                       F.col("pos").alias("pos_u"), F.col("p.pos").alias("pos_v"), (F.col("n") + F.col("p.n")).alias("both"))
+    # a pivot of some lists only: what it shares elsewhere is not seen here, so only the count is asked for
+    star = star.groupBy(F.col("u").alias("member"), F.col("v").alias("pivot")).agg(
+        F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need")
+    # of a class's pivots, the one it shares most with and the smallest
+    best = star.groupBy("member").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a"), F.min("pivot").alias("b"))
+    best = best.select("member", F.explode(F.array_distinct(F.array("a", "b"))).alias("pivot"))
+    tried = written(best.select(F.least("member", "pivot").alias("u"), F.greatest("member", "pivot").alias("v")).distinct(),
+                    "jaccard-stars")
     links = written(_verify(d, classes, tried, n, num, den), "jaccard-links")
     comp = components(links)
 
@@ -347,10 +370,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         "mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "n", "ell",
-        "component")
+        "pos", "own", "component")
     rows = rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
-    pairs = rows.mapInArrow(_blocked_pairs(num, den), "u long, v long, need int")
-    rest = written(_enough(pairs).join(tried, ["u", "v"], "left_anti"), "jaccard-rest")
+    pairs = rows.mapInArrow(_blocked_pairs(num, den), "u long, v long, need int, pos_u int, pos_v int, both long")
+    rest = written(_enough(pairs, "u", "v", num, den).select("u", "v").join(tried, ["u", "v"], "left_anti"), "jaccard-rest")
     links = links.unionByName(written(_verify(d, classes, rest, n, num, den), "jaccard-links"))
     comp = written(components(links), "jaccard-components")
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
