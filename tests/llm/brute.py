@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 from pyspark.sql import types as T
 
@@ -92,6 +93,7 @@ def rules(text):
     w = WORD.findall(t)
     lines = [x for x in t.split("\n") if WORD.search(x)]
     tri = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
-    covered = {i + o for i, x in enumerate(tri) if tri.count(x) > 1 for o in range(3)} if len(tri) < 3000 else None
+    times = Counter(tri)
+    covered = {i + o for i, x in enumerate(tri) if times[x] > 1 for o in range(3)}
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t),
-            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": None if covered is None else len(covered)}
+            "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
