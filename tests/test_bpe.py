@@ -52,7 +52,7 @@ def test_bpe_train_and_encode(spark):
     from vocable.operators.bpe import SPECIAL_TOKENS, encode_bpe, train_bpe
 
     d = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
-    vdf, merges = train_bpe(d, "text", vocab_size=140, min_frequency=3, checkpoint_every=10)
+    vdf, merges = train_bpe(d, "text", vocab_size=140, min_frequency=3)
     texts = [r.text for r in d.collect()]
     exp_vocab, exp_merges = _py_train(texts, 140, 3, 20, SPECIAL_TOKENS)
     assert merges == exp_merges
@@ -67,3 +67,14 @@ def test_bpe_train_and_encode(spark):
         body = "".join(t for t in toks[1:] if t != "[SPACE]")
         norm = unicodedata.normalize("NFKC", src[r.doc_id].text).lower()
         assert body == re.sub(r"\s+", "", norm)
+
+
+def test_several_merges_a_round_share_no_symbol(spark):
+    from vocable.operators.bpe import train_bpe
+
+    d = spark.read.parquet(f"{SF001}/documents.parquet").select("text")
+    vocab, merges = train_bpe(d, "text", vocab_size=260, min_frequency=3, merges_per_round=64)
+    tokens = [r.token for r in vocab.orderBy("id").collect()]
+    assert len(tokens) == len(set(tokens)) == 260
+    known = set(tokens)
+    assert all(a in known and b in known and a + b in known for a, b in merges)

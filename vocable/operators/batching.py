@@ -88,7 +88,7 @@ def class_balanced_batches(df: DataFrame, key: str, cls: str, batch_size: int, d
     h = df.withColumn("_h", hash52(seed, op, F.col(key)))
     p = with_position(h, [cls, "_h", key], "_pos")
     st = p.groupBy(cls).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    st = st.withColumn("class_rank", (F.dense_rank().over(Window.orderBy(cls)) - 1).cast("long"))
+    st = with_position(st, [cls], "class_rank")
     meta = st.agg(F.min("_cnt").alias("_min"), F.count(F.lit(1)).alias("_ncls"))
     st = attach_scalars(st, meta)
     p = p.join(st, cls).withColumn("round", F.col("_pos") - F.col("_start"))
@@ -131,7 +131,7 @@ def first_seen_ids(df: DataFrame, name: str, order: str, out: str = "first_seen_
     """Id by order of first appearance (min position per name, ranked on
     the small name table)."""
     first = df.groupBy(name).agg(F.min(order).alias("_first"))
-    ids = first.select(name, (F.row_number().over(Window.orderBy("_first", name)) - 1).cast("long").alias(out))
+    ids = with_position(first, ["_first", name], out).drop("_first")
     return df.join(ids, name)
 
 

@@ -5,8 +5,7 @@ and counting words -- is one Spark aggregation.  Merges are then learned on
 the distinct-word table (one row per word with its count): each round counts
 adjacent symbol pairs weighted by word count (an ``explode`` + ``groupBy``),
 takes the best pair (higher count, then the smaller pair) and rewrites every
-word's symbols with a left-to-right fold.  Lineage is cut by a reliable
-checkpoint every ``checkpoint_every`` rounds.
+word's symbols with a left-to-right fold, written to the shared folder.
 
 Encoding (J27): each *distinct* word is encoded once (an Arrow-batched
 pandas UDF applying the merge ranks), joined back by word and flattened in
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocable.session import cut_lineage
+from vocable.session import written
 
 # Special tokens of the trained vocabulary, in id order.
 SPECIAL_TOKENS = ["[STOP]", "[UNK]", "[SPACE]", "[en]", "[START]"]
@@ -41,58 +40,66 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _merge_expr(symbols: Column, a: str, b: str) -> Column:
-    """Left-to-right, non-overlapping replacement of the pair (a, b) by a+b."""
+def _merge_expr(symbols: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Left-to-right, non-overlapping replacement of pairs that share no symbol."""
+    right = F.create_map(*[F.lit(x) for p in pairs for x in p])
+
     def step(acc, s):
         last = F.element_at(acc, -1)
-        can = (F.size(acc) > 0) & (last == F.lit(a)) & (s == F.lit(b))
-        return F.when(can, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(a + b)))) \
+        can = (F.size(acc) > 0) & (F.try_element_at(right, last) == s)
+        return F.when(F.coalesce(can, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, s)))) \
             .otherwise(F.concat(acc, F.array(s)))
-    # A merged a+b at the end of acc never equals ``a`` unless a+b == a, which cannot happen.
+    # a merged symbol is longer than either of its parts and is no left part of this round's pairs
     return F.aggregate(symbols, F.array().cast("array<string>"), step)
 
 
+def _disjoint(best: list, limit: int, room: int) -> list[tuple[str, str]]:
+    """The best pairs, best first, none of which shares a symbol with a better one."""
+    taken, out = set(), []
+    made = {r.a + r.b for r in best}
+    for r in best:
+        if len(out) == min(limit, room):
+            break
+        if not {r.a, r.b} & taken and not {r.a, r.b} & made:
+            taken |= {r.a, r.b}
+            out.append((r.a, r.b))
+    return out or [(best[0].a, best[0].b)]
+
+
 def train_bpe(df: DataFrame, text: str, vocab_size: int = 3000, min_frequency: int = 10,
-              max_token_length: int = 20, specials=tuple(SPECIAL_TOKENS), checkpoint_every: int = 20):
+              max_token_length: int = 20, specials=tuple(SPECIAL_TOKENS), merges_per_round: int = 1):
     """Returns ``(vocab DataFrame (id, token), merges list[(a, b)])``.
 
     The alphabet is every character of the corpus words; merges are added
     until the vocabulary has ``vocab_size`` entries or no pair reaches
-    ``min_frequency``.  The merge list is small (≤ vocab_size) and is the
-    model, so it is returned to the driver."""
+    ``min_frequency``.  With ``merges_per_round`` above one, a round applies
+    several of the best pairs, as long as they share no symbol, which takes far
+    fewer rounds; the default is the strict order.  The merge list and the
+    alphabet (bounded by Unicode) are the model and are returned to the driver.
+    Every round's words are written to the shared folder and the next reads them.
+    """
     spark = df.sparkSession
-    words = word_counts(df, text).select("word", "n", F.split("word", "", -1).alias("sym"))
-    # The distinct-word table is small next to the corpus: few partitions keep
-    # the many short merge rounds cheap.
-    words = cut_lineage(words.coalesce(max(1, spark.sparkContext.defaultParallelism // 2)))
+    words = written(word_counts(df, text).select("word", "n", F.split("word", "", -1).alias("sym")), "bpe-words")
     alphabet = sorted(r.ch for r in words.select(F.explode("sym").alias("ch")).distinct().collect())
     vocab = list(specials) + [c for c in alphabet if c not in specials]
+    known = set(vocab)
     merges: list[tuple[str, str]] = []
-    rounds = 0
     while len(vocab) < vocab_size:
         pairs = (words.select("n", F.explode(F.arrays_zip(F.slice("sym", 1, F.greatest(F.size("sym") - 1, F.lit(0))),
                                                           F.slice("sym", 2, F.size("sym")))).alias("p"))
                  .select("n", F.col("p")["0"].alias("a"), F.col("p")["1"].alias("b"))
                  .where(F.length("a") + F.length("b") <= max_token_length)
                  .groupBy("a", "b").agg(F.sum("n").alias("c")).where(F.col("c") >= min_frequency))
-        best = pairs.orderBy(F.col("c").desc(), "a", "b").limit(1).collect()   # the best pair: one row
+        best = pairs.orderBy(F.col("c").desc(), "a", "b").limit(4 * merges_per_round if merges_per_round > 1 else 1).collect()
         if not best:
             break
-        a, b = best[0].a, best[0].b
-        merges.append((a, b))
-        if a + b not in vocab:
-            vocab.append(a + b)
-        # Each round reads the previous round's cached table (not the chain of
-        # folds since the last checkpoint); lineage is cut every few rounds.
-        prev = words
-        words = words.withColumn("sym", _merge_expr(F.col("sym"), a, b))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = cut_lineage(words)
-        else:
-            words = words.persist()
-            words.count()
-        prev.unpersist()
+        now = _disjoint(best, merges_per_round, vocab_size - len(vocab))
+        merges += now
+        for a, b in now:
+            if a + b not in known:
+                known.add(a + b)
+                vocab.append(a + b)
+        words = written(words.withColumn("sym", _merge_expr(F.col("sym"), now)), "bpe-words")
     vdf = spark.createDataFrame(list(enumerate(vocab)), "id long, token string")
     return vdf, merges
 
@@ -120,16 +127,12 @@ def _bpe_word(word: str, ranks: dict, vocab: dict, unk: int) -> list[int]:
     return [vocab.get(s, unk) for s in sym]
 
 
-def encode_bpe(df: DataFrame, key: str, text: str, lang: str, vocab: DataFrame, merges, out: str = "ids",
-               max_vocab: int = 1 << 20) -> DataFrame:
+def encode_bpe(df: DataFrame, key: str, text: str, lang: str, vocab: DataFrame, merges, out: str = "ids") -> DataFrame:
     """``[lang]`` + text with spaces as ``[SPACE]`` → ids (zh → zh-cn).
 
     Pieces are special tokens or pre-tokenised words; each distinct word is
     encoded once and joined back, then the ids are flattened in order."""
-    vrows = vocab.limit(max_vocab + 1).collect()
-    if len(vrows) > max_vocab:
-        raise ValueError("vocabulary too large to ship to tasks")
-    vmap = {r.token: r.id for r in vrows}
+    vmap = {r.token: r.id for r in vocab.collect()}     # the model: as large as training made it
     ranks = {tuple(m): i for i, m in enumerate(merges)}
     unk = vmap.get("[UNK]", 1)
 
@@ -145,14 +148,13 @@ def encode_bpe(df: DataFrame, key: str, text: str, lang: str, vocab: DataFrame,
     piece_re = rf"(?U){special}|\w+|(?:(?!{special})[^\w\s])+"
     pieces = df.select(key, F.posexplode(F.regexp_extract_all(full, F.lit(piece_re), 0)).alias("i", "piece"))
     is_special = F.col("piece").rlike(f"^(?:{special})$")
-    pieces = pieces.withColumn("word", F.when(is_special, F.lit(None)).otherwise(nfkc_lower(F.col("piece"))))
-    distinct = pieces.where(F.col("word").isNotNull()).select("word").distinct()
-    encoded = distinct.select("word", enc(F.col("word")).alias("_wids"))
     vm = F.create_map(*[x for t in SPECIAL_TOKENS for x in (F.lit(t), F.lit(vmap.get(t, unk)))])
-    j = pieces.join(encoded, "word", "left")
-    j = j.withColumn("_ids", F.when(is_special, F.array(F.coalesce(F.try_element_at(vm, F.col("piece")),
-                                                                   F.lit(vmap.get("[UNK]", unk)))))
-                     .otherwise(F.col("_wids")))
+    # special tokens (every space is one) need no lookup and stay out of the join
+    special_ids = pieces.where(is_special).select(key, "i", F.array(F.coalesce(F.try_element_at(vm, F.col("piece")),
+                                                                               F.lit(unk))).alias("_ids"))
+    rest = pieces.where(~is_special).select(key, "i", nfkc_lower(F.col("piece")).alias("word"))
+    encoded = rest.select("word").distinct().select("word", enc(F.col("word")).alias("_ids"))
+    j = special_ids.unionByName(rest.join(encoded, "word").select(key, "i", "_ids"))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "_ids"))).alias("_p"))
     return g.select(key, F.flatten(F.transform("_p", lambda p: p["_ids"])).alias(out))
 

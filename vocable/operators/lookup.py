@@ -4,18 +4,20 @@ the message (``assert_true``/``raise_error``), as the reference raises."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vocable.plans.position import with_position
+
 
 
 def dense_ids(df: DataFrame, name_col: str, id_col: str = "id") -> DataFrame:
     """D1 map: ``(name, id)`` with ids = rank over the sorted distinct names, from 0.
 
-    The window runs over the distinct names only (a dimension, not the corpus).
+    The names are numbered by ranges, so their number does not matter.
     """
     names = df.select(name_col).where(F.col(name_col).isNotNull()).distinct()
-    return names.select(name_col, (F.row_number().over(Window.orderBy(name_col)) - 1).cast("long").alias(id_col))
+    return with_position(names, [name_col], id_col)
 
 
 def apply_ids(df: DataFrame, id_map: DataFrame, name_col: str, id_col: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ by a possibly hot group key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vocable.functions.hashing import hash52, uniform
@@ -151,8 +151,7 @@ def uniform_by_group(df: DataFrame, key: str, group: str, n_draws: int, seed: in
     spark = df.sparkSession
     pos = with_position(df.select(group, key), [group, key], "_pos")
     stats = pos.groupBy(group).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    # One row per group: the window runs over the group table, not the rows.
-    gidx = stats.select(group, "_cnt", (F.dense_rank().over(Window.orderBy(group)) - 1).alias("_gi"))
+    gidx = with_position(stats.select(group, "_cnt"), [group], "_gi")
     ng = stats.agg(F.count(F.lit(1)).alias("_ng"))
     rows = pos.join(stats.select(group, "_start"), group).select(group, key, (F.col("_pos") - F.col("_start"))
                                                                  .alias("_ord"))

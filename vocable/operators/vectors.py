@@ -63,6 +63,29 @@ def cosine_to_set(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFr
             .select(row_id, set_id, (F.col("_dot") / (F.col("_xn") * F.col("_en"))).alias("cos")))
 
 
+def nearest_mean(rows: DataFrame, vec_col: str, means: DataFrame, cls: str, out: str = "predicted") -> DataFrame:
+    """The class whose mean vector ``(cls, pos, x)`` has the largest cosine;
+    ties go to the smallest class.  Rows are not shuffled: the means are one
+    matrix in the task closure; beyond ``MATRIX_BYTES`` they are joined instead."""
+    if 8 * means.count() > MATRIX_BYTES:
+        keyed = rows.withColumn("_key", F.col(vec_col))
+        best = nearest_by_cosine(keyed.select("_key", vec_col).distinct(), "_key", vec_col, means, cls)
+        return keyed.join(best, "_key").withColumnRenamed("predicted", out).drop("_key", "best_cos")
+    got = means.orderBy(cls, "pos").toPandas()
+    names = list(dict.fromkeys(got[cls]))
+    mat = got["x"].to_numpy(float).reshape(len(names), -1) if names else np.zeros((0, 0))
+    mat = mat / np.sqrt((mat * mat).sum(axis=1, keepdims=True)) if names else mat
+    schema = T.StructType(rows.schema.fields + [T.StructField(out, means.schema[cls].dataType)])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
+                yield pdf.assign(**{out: [names[k] for k in (x @ mat.T).argmax(axis=1)]})
+
+    return rows.mapInPandas(run, schema=schema)
+
+
 def nearest_by_cosine(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFrame,
                       set_id: str, set_val: str = "x") -> DataFrame:
     sims = cosine_to_set(rows, row_id, vec_col, small_long, set_id, set_val)
@@ -226,22 +249,24 @@ def class_sums(long_rows: DataFrame, cls: str) -> DataFrame:
     return s.join(cnt, cls)
 
 
-def ge2e_scores(df: DataFrame, id_col: str, cls: str, vec_col: str, w: float = 10.0, b: float = -5.0) -> DataFrame:
-    """K2: ``(id, cls, other, score)``: w·max(cos(x, centroid), 1e-6) + b.
+def ge2e_scores(df: DataFrame, id_col: str, cls: str, vec_col: str, batch: str, w: float = 10.0, b: float = -5.0) -> DataFrame:
+    """K2: ``(batch, id, cls, other, score)``: w·max(cos(x, centroid), 1e-6) + b,
+    for every class of the row's ``batch`` (a G5 batch bounds rows and classes).
 
-    The own-class centroid excludes the row itself: (Σ − x)/(n − 1).  Class
-    sums are broadcast (classes × dim rows) and joined on pos.
+    The own-class centroid excludes the row itself: (Σ − x)/(n − 1).  Class sums
+    of a batch are joined to its rows on (batch, pos).
     """
-    lr = df.select(F.col(id_col).alias("id"), cls, F.posexplode(vec_col).alias("pos", "x")).withColumn(
+    lr = df.select(batch, F.col(id_col).alias("id"), cls, F.posexplode(vec_col).alias("pos", "x")).withColumn(
         "x", F.col("x").cast("double"))
-    cs = class_sums(lr, cls).withColumnRenamed(cls, "other")
-    j = lr.join(cs, "pos")
+    cnt = df.groupBy(batch, cls).agg(F.count(F.lit(1)).alias("n"))
+    cs = lr.groupBy(batch, cls, "pos").agg(F.sum("x").alias("s")).join(cnt, [batch, cls]).withColumnRenamed(cls, "other")
+    j = lr.join(cs, [batch, "pos"])
     own = F.col(cls) == F.col("other")
     c = F.when(own, (F.col("s") - F.col("x")) / (F.col("n") - 1)).otherwise(F.col("s") / F.col("n"))
-    g = j.groupBy("id", cls, "other").agg(F.sum(F.col("x") * c).alias("_dot"), F.sum(c * c).alias("_cc"),
-                                          F.sum(F.col("x") * F.col("x")).alias("_xx"))
+    g = j.groupBy(batch, "id", cls, "other").agg(F.sum(F.col("x") * c).alias("_dot"), F.sum(c * c).alias("_cc"),
+                                                 F.sum(F.col("x") * F.col("x")).alias("_xx"))
     cos = F.col("_dot") / (F.sqrt("_xx") * F.sqrt("_cc"))
-    return g.select(F.col("id").alias(id_col), cls, "other", (F.greatest(cos, F.lit(1e-6)) * w + b).alias("score"))
+    return g.select(batch, F.col("id").alias(id_col), cls, "other", (F.greatest(cos, F.lit(1e-6)) * w + b).alias("score"))
 
 
 def ge2e_losses(scores: DataFrame, id_col: str, cls: str) -> DataFrame:

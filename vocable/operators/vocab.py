@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from vocable.functions.text import chars
-from vocable.operators.common import attach_scalars
+from vocable.operators.common import let
 
 # Default special tokens (in vocabulary order) and punctuation.
 PAD, EOS, BOS, BLANK = "<PAD>", "<EOS>", "<BOS>", "<BLNK>"
 DEFAULT_PUNCTUATIONS = "!'(),-.:;? "
 
-# A vocabulary is attached to rows as one map value; refuse to ship one larger than this.
-MAX_VOCAB_FOR_MAP = 1 << 20
 
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _row_char_set(texts: pd.Series) -> pd.Series:
-    """Distinct characters of each text (a C-level ``set`` per row, Arrow batches)."""
-    return texts.map(lambda t: sorted(set(t)) if t is not None else [])
-
-
-def distinct_chars(df: DataFrame, text_col: str = "text", vectorised: bool = False) -> DataFrame:
-    """Distinct characters ``(ch)``.
-
-    Each row first keeps only its own distinct characters, so the exploded
-    rows shrink before the partial aggregate and the shuffle.  The per-row
-    set is an Arrow-batched pandas UDF by default (splitting every text into
-    one-character strings in the JVM costs several times more); the
-    ``vectorised=False`` form is pure built-ins.
-    """
-    per_row = _row_char_set(F.col(text_col)) if vectorised else F.array_distinct(chars(F.col(text_col)))
-    return (df.select(F.explode(per_row).alias("ch"))
+def distinct_chars(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Distinct characters ``(ch)``.  Each row first keeps only its own
+    distinct characters, so the exploded rows shrink before the shuffle."""
+    return (df.select(F.explode(F.array_distinct(chars(F.col(text_col)))).alias("ch"))
             .where(F.col("ch") != "")
             .distinct())
 
@@ -69,43 +51,32 @@ def build_vocabulary(df: DataFrame, text_col: str = "text",
     return fixed.unionByName(ranked)
 
 
-def vocab_map(vocab: DataFrame) -> DataFrame:
-    """One row ``(_vmap map<string,long>)``; its size is the vocabulary size."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("_vmap"))
+#: Code points below this are looked up in an array, the others in a map.
+DENSE = 0x250
 
 
-def attach_vocab(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Attach the vocabulary map to every row through a one-row broadcast."""
-    return attach_scalars(df, vocab_map(vocab))
+def vocab_lut(vocab: DataFrame) -> Column:
+    """Lookup ``struct(low array by code point + 1, high map)`` of a character vocabulary.
 
-
-def vocab_lut(vocab: DataFrame, max_size: int = MAX_VOCAB_FOR_MAP) -> Column:
-    """Dense lookup array indexed by code point + 1 → id (null where absent).
-
-    The vocabulary is a character set, so it is small; its size is checked
-    before it is collected, and the array length is bounded by the largest
-    code point (at most 0x110000).  ``element_at`` on an array is O(1), where a
-    map lookup scans the keys.
+    A vocabulary of characters has at most as many rows as Unicode has code
+    points.  ``element_at`` on the array is O(1); only characters beyond Latin
+    go through the map, whose entries are the characters present.
     """
-    singles = vocab.where(F.length("ch") == 1).select(F.ascii("ch").alias("cp"), "id")
-    rows = singles.limit(max_size + 1).collect()   # one job; the fetch is bounded either way
-    if len(rows) > max_size:
-        raise ValueError(f"vocabulary has more than {max_size} characters")
-    lut = [None] * ((max((r.cp for r in rows), default=-1)) + 1)
-    for r in rows:
-        lut[r.cp] = r.id
-    return F.array(*[F.lit(x).cast("long") for x in lut]) if lut else F.array().cast("array<long>")
+    rows = vocab.where(F.length("ch") == 1).select(F.ascii("ch").alias("cp"), "id").collect()
+    low = {r.cp: r.id for r in rows if r.cp < DENSE}
+    high = [x for r in rows if r.cp >= DENSE for x in (F.lit(r.cp), F.lit(r.id).cast("long"))]
+    array = F.array(*[F.lit(low.get(cp)).cast("long") for cp in range(max(low, default=0) + 1)])
+    return F.struct(array.alias("low"), (F.create_map(*high) if high else F.create_map().cast("map<int,bigint>")).alias("high"))
 
 
 def encode_chars_lut(text: Column, lut: Column) -> Column:
     """J22 with a code-point table: unknown characters are dropped."""
-    return F.filter(F.transform(chars(text), lambda c: F.try_element_at(lut, F.ascii(c) + 1)),
-                    lambda x: x.isNotNull())
-
-
-def encode_chars(text: Column, vmap: Column) -> Column:
-    """Ids of the characters of ``text``; characters not in the map are dropped."""
-    return F.filter(F.transform(chars(text), lambda c: F.try_element_at(vmap, c)), lambda x: x.isNotNull())
+    def encode(t: Column) -> Column:
+        def one(c: Column) -> Column:
+            cp = F.ascii(c)
+            return F.when(cp < DENSE, F.try_element_at(t["low"], cp + 1)).otherwise(F.try_element_at(t["high"], cp))
+        return F.filter(F.transform(chars(text), one), lambda x: x.isNotNull())
+    return let(lut, encode)
 
 
 def decode_ids(ids: Column, inv_map: Column) -> Column:

@@ -197,12 +197,15 @@ def j9(spark, sf):
     return number_tokens(docs(spark, sf), "text", "lang")
 
 
+BPE_VOCAB = 3000
+
+
 @register("j26_bpe_train")
 def j26(spark, sf):
-    """Vocabulary of a small BPE model trained on the whole corpus (rows-only;
+    """Vocabulary of a BPE model trained on the whole corpus (rows-only;
     tests compare merges and vocabulary with a Python trainer)."""
     from vocable.operators.bpe import train_bpe
-    vocab, _ = train_bpe(docs(spark, sf), "text", vocab_size=130, min_frequency=10, checkpoint_every=10)
+    vocab, _ = train_bpe(docs(spark, sf), "text", vocab_size=BPE_VOCAB, merges_per_round=256)
     return vocab
 
 
@@ -210,7 +213,7 @@ def j26(spark, sf):
 def j27(spark, sf):
     from vocable.operators.bpe import encode_bpe, train_bpe
     d = docs(spark, sf)
-    vocab, merges = train_bpe(d, "text", vocab_size=115, min_frequency=10, checkpoint_every=10)
+    vocab, merges = train_bpe(d, "text", vocab_size=BPE_VOCAB, merges_per_round=256)
     return encode_bpe(d, "doc_id", "text", "lang", vocab, merges)
 
 

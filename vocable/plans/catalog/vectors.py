@@ -45,21 +45,31 @@ def k1(spark, sf):
                     F.round(norm_sum, 6).alias("normalised_sum"))
 
 
+K2_BATCH = 100
 K2_SQL = f"""
-l AS {EMB_LONG},
-cs AS (SELECT name AS other, pos, sum(x) AS s FROM l GROUP BY name, pos),
-cn AS (SELECT 'spk' || CAST(label AS VARCHAR) AS other, count(*) AS n FROM embeddings GROUP BY label),
-j AS (SELECT l.vec_id, l.name, c.other, l.x,
-             CASE WHEN l.name = c.other THEN (c.s - l.x) / (n.n - 1) ELSE c.s / n.n END AS c
-      FROM l JOIN cs c ON l.pos = c.pos JOIN cn n ON n.other = c.other),
+h AS (SELECT vec_id, 'spk' || CAST(label AS VARCHAR) AS name,
+             row_number() OVER (PARTITION BY label ORDER BY {sql_hash52(0, 'g5', 'vec_id')}, vec_id) - 1 AS rd FROM embeddings),
+mn AS (SELECT min(c) AS c, count(*) AS k FROM (SELECT count(*) AS c FROM embeddings GROUP BY label)),
+b AS (SELECT vec_id, CAST(floor(rd / ({K2_BATCH}.0 / mn.k)) AS BIGINT) AS batch_id FROM h, mn WHERE rd < mn.c),
+l AS (SELECT b.batch_id, x.* FROM {EMB_LONG} x JOIN b ON b.vec_id = x.vec_id),
+cs AS (SELECT batch_id, name AS other, pos, sum(x) AS s, count(*) AS n FROM l GROUP BY batch_id, name, pos),
+j AS (SELECT l.batch_id, l.vec_id, l.name, c.other, l.x,
+             CASE WHEN l.name = c.other THEN (c.s - l.x) / (c.n - 1) ELSE c.s / c.n END AS c
+      FROM l JOIN cs c ON l.pos = c.pos AND l.batch_id = c.batch_id),
 k2 AS (SELECT vec_id, name, other,
               greatest(sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))), 1e-6) * 10.0 - 5.0 AS score
-       FROM j GROUP BY vec_id, name, other)"""
+       FROM j GROUP BY batch_id, vec_id, name, other)"""
+
+
+def class_batches(spark, sf):
+    """Clip vectors in class-balanced batches."""
+    from vocable.operators.batching import class_balanced_batches
+    return class_balanced_batches(clip_vectors(spark, sf), "vec_id", "name", K2_BATCH)
 
 
 @register("k2_loo_centroid_scores", f"WITH {K2_SQL} SELECT vec_id, name, other, round(score, 6) AS score FROM k2")
 def k2(spark, sf):
-    s = K.ge2e_scores(clip_vectors(spark, sf), "vec_id", "name", "embedding")
+    s = K.ge2e_scores(class_batches(spark, sf), "vec_id", "name", "embedding", "batch_id").drop("batch_id")
     return s.withColumn("score", F.round("score", 6))
 
 
@@ -71,7 +81,7 @@ SELECT vec_id, name,
 FROM k2 GROUP BY vec_id, name
 """)
 def k3(spark, sf):
-    s = K.ge2e_scores(clip_vectors(spark, sf), "vec_id", "name", "embedding")
+    s = K.ge2e_scores(class_batches(spark, sf), "vec_id", "name", "embedding", "batch_id")
     r = K.ge2e_losses(s, "vec_id", "name")
     return r.select("vec_id", "name", F.round("softmax_loss", 6).alias("softmax_loss"),
                     F.round("contrast_loss", 6).alias("contrast_loss"))
@@ -225,7 +235,7 @@ def e10(spark, sf):
     v = clip_vectors(spark, sf)
     means = E.mean_vectors(v, "name", "embedding").select(F.col("name").alias("cls"), "pos",
                                                            F.col("mean").alias("x"))
-    pred = K.nearest_by_cosine(v, "vec_id", "embedding", means, "cls").join(v.select("vec_id", "name"), "vec_id")
+    pred = K.nearest_mean(v, "embedding", means, "cls")
     acc = E.class_accuracy(pred, "name", "predicted")
     return acc.select("name", F.round("accuracy", 6).alias("accuracy"), "n",
                       F.round("macro_accuracy", 6).alias("macro_accuracy"))

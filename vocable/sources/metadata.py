@@ -530,7 +530,6 @@ def load_embedding_maps(spark, paths: list[str]) -> DataFrame:
     dup = u.groupBy("clip").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
     u = u.join(dup, "clip", "left").where(F.when(F.col("_n").isNull(), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("clip key in several files: "), F.col("clip"))))).drop("_n")
-    from pyspark.sql import Window
     names = u.groupBy("name").agg(F.min("file_no").alias("_f"))
-    ids = names.select("name", (F.row_number().over(Window.orderBy("_f", "name")) - 1).alias("name_id"))
+    ids = with_position(names, ["_f", "name"], "name_id").drop("_f")
     return u.join(ids, "name")
