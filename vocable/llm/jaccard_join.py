@@ -20,7 +20,13 @@ order of shingles the first ``size - overlap + l`` of both share at least ``l``.
    and the smallest, so a family of near copies is found without its pairs.
 5. *The rest*: pairs of classes that share enough prefix shingles, lie in
    different components after step 4 and were not compared yet are compared,
-   all of them; long lists are paired in blocks of bounded size.
+   all of them; long lists are paired in blocks of bounded size.  Classes that
+   were compared with the same smaller pivot form a family; what two of them
+   differ in shows in their differences from the pivot, not in what they share.
+   If two link and their differences have nothing in common, both link with the
+   pivot; else the first common entry is among the first ``D + 1`` of either,
+   ``D`` being the most that a linking pair may differ in.  So a family is paired
+   by those entries only, which few of its members share.
 6. Components of all links; copies take their class's.
 
 Verification routes whole texts to one of the two documents and compares exact
@@ -215,9 +221,9 @@ def _verifier(n: int, num: int, den: int):
                 sets = Sets(part.column(part.schema.get_field_index("text")), n)
                 key = sets.keys().tolist()
                 names = part.schema.names
-                dest, part_no, role, member, want = (part.column(names.index(c)).to_pylist()
-                                                     for c in ("dest", "part", "role", "member", "key"))
-                a, b = [], []
+                dest, part_no, role, member, want, fam = (part.column(names.index(c)).to_pylist()
+                                                          for c in ("dest", "part", "role", "member", "key", "fam"))
+                a, b, lead, who, size, mark = [], [], [], [], [], []
                 for i in range(part.num_rows):
                     if key[i] != want[i]:        # another row with this id
                         continue
@@ -229,22 +235,38 @@ def _verifier(n: int, num: int, den: int):
                         if den * inter >= num * (len(pivot) + len(x) - inter):
                             a.append(dest[i])
                             b.append(member[i])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["u", "v"])
+                        if fam[i]:
+                            own, lost = np.setdiff1d(x, pivot, True), np.setdiff1d(pivot, x, True)
+                            d = np.concatenate([mix(own + U64(1)), mix(mix(lost) + U64(2))])[:len(x) * (den - num) // num + 1]
+                            lead += [dest[i]] * len(d)
+                            who += [member[i]] * len(d)
+                            size += [len(x)] * len(d)
+                            mark.append(mix(d ^ mix(np.full(len(d), dest[i], np.int64).view(U64))).view(np.int64))
+                k = len(a)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a + lead, pa.int64()), pa.array(b + who, pa.int64()), pa.array([0] * k + size, pa.int32()),
+                     pa.array(np.concatenate([np.zeros(k, np.int64), *mark]))], names=["u", "v", "n", "mark"])
     return run
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (u, v) of class ids that link, by exact comparison of whole texts."""
+    """Compares the pairs (u, v, fam) of class ids exactly, by their whole texts.
+
+    Rows with n = 0 are the links (u, v).  For pairs with ``fam``, v's difference
+    from u is given too: its first entries, one row each (u, v, size of v, mark),
+    in an order that all differences from u share.
+    """
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
     salted = pairs.join(degree, "u").select(
         F.col("u").alias("dest"), F.col("v").alias("member"),
-        F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / STAR_PART)).cast("int").alias("part"))
+        F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / STAR_PART)).cast("int").alias("part"), F.col("fam").cast("int").alias("fam"))
     routes = salted.withColumn("role", F.lit(1)).unionByName(
-        salted.select("dest", "part").distinct().withColumn("member", F.col("dest")).withColumn("role", F.lit(0)))
+        salted.select("dest", "part").distinct().withColumn("member", F.col("dest")).withColumn("fam", F.lit(0))
+        .withColumn("role", F.lit(0)))
     routes = routes.join(classes.select(F.col("rep").alias("member"), "key"), "member")
-    sent = routes.join(docs, routes.member == docs.doc_id).select("dest", "part", "role", "member", "key", "text")
+    sent = routes.join(docs, routes.member == docs.doc_id).select("dest", "part", "role", "member", "key", "fam", "text")
     sent = sent.repartition("dest", "part").sortWithinPartitions("dest", "part", "role", "member")
-    return sent.mapInArrow(_verifier(n, num, den), "u long, v long").distinct()
+    return sent.mapInArrow(_verifier(n, num, den), "u long, v long, n int, mark long").distinct()
 
 
 def _blocked_pairs(num: int, den: int):
@@ -253,7 +275,7 @@ def _blocked_pairs(num: int, den: int):
     two blocks of a list.
     """
     def pairs(g: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, b1, b2, mine, rep, size, ell, pos, own, comp = g
+        token, b1, b2, mine, rep, size, ell, pos, own, lead, comp = g
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
         start = np.flatnonzero(new)
@@ -265,6 +287,7 @@ def _blocked_pairs(num: int, den: int):
             lo, both = np.minimum(size[i], size[j]).astype(np.int64), size[i].astype(np.int64) + size[j]
             ok = (comp[i] != comp[j]) & (den * lo >= num * np.maximum(size[i], size[j]))
             ok &= (b1[i] == b2[i]) | (mine[i] != mine[j])
+            ok &= (lead[i] != lead[j]) | (lead[i] < 0)     # of one family: their differences are paired instead
             # shingles that come before this one and belong to one of the two only
             ok &= np.maximum(own[i] + own[j], np.abs(pos[i] - pos[j])) <= both - 2 * -(-num * both // (num + den))
             a, b = i[ok], j[ok]
@@ -354,14 +377,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         F.count(F.lit(1)).alias("shared"), F.max("need").alias("need")).where("shared >= need")
     # of a class's pivots, the one it shares most with and the smallest
     best = star.groupBy("member").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a"), F.min("pivot").alias("b"))
-    best = best.select("member", F.explode(F.array_distinct(F.array("a", "b"))).alias("pivot"))
-    tried = written(best.select(F.least("member", "pivot").alias("u"), F.greatest("member", "pivot").alias("v")).distinct(),
-                    "jaccard-stars")
-    links = written(_verify(d, classes, tried, n, num, den), "jaccard-links")
+    best = best.select("member", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("pivot"))
+    tried = best.groupBy(F.least("member", "pivot").alias("u"), F.greatest("member", "pivot").alias("v")).agg(
+        F.max((F.col("pivot") == F.col("b")) & (F.col("pivot") < F.col("member"))).alias("fam"))
+    tried = written(tried, "jaccard-stars")
+    checked = written(_verify(d, classes, tried, n, num, den), "jaccard-links")
+    links, differences = checked.where("n = 0").select("u", "v"), checked.where("n > 0")
     comp = components(links)
 
     # the rest: pairs across components that share enough of their prefixes
-    placed = lists.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    family = differences.select(F.col("v").alias("rep"), F.col("u").alias("lead")).distinct()
+    alone = F.lit(-1).cast("long")
+    listed = lists.join(family, "rep", "left").withColumn("lead", F.coalesce("lead", alone))
+    marks = differences.select(F.col("v").alias("rep"), F.col("mark").alias("token"), "n", F.lit(1).alias("ell"),
+                               F.lit(0).alias("pos"), F.lit(0).alias("own"), alone.alias("lead"))
+    placed = listed.unionByName(marks).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                         F.count(F.lit(1)).alias("k")).where("lo <> hi")
@@ -370,11 +400,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         "mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "rep", "n", "ell",
-        "pos", "own", "component")
+        "pos", "own", "lead", "component")
     rows = rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
     pairs = rows.mapInArrow(_blocked_pairs(num, den), "u long, v long, need int, pos_u int, pos_v int, both long")
     rest = written(_enough(pairs, "u", "v", num, den).select("u", "v").join(tried, ["u", "v"], "left_anti"), "jaccard-rest")
-    links = links.unionByName(written(_verify(d, classes, rest, n, num, den), "jaccard-links"))
+    more = _verify(d, classes, rest.withColumn("fam", F.lit(0)), n, num, den).select("u", "v")
+    links = links.unionByName(written(more, "jaccard-links"))
     comp = written(components(links), "jaccard-components")
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
 
