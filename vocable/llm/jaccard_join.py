@@ -336,10 +336,9 @@ def _enough(pairs: DataFrame, u: str, v: str, num: int, den: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id",
                        text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, class_id, n_class_links.
+    """Per document: doc_id, n_shingles, component_id, class_id.
 
-    ``class_id`` is the smallest id with the same shingle set (null where
-    empty); ``n_class_links`` counts the other classes found linked to it.
+    ``class_id`` is the smallest id with the same shingle set (null where empty).
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -407,16 +406,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     more = _verify(d, classes, rest.withColumn("fam", F.lit(0)), n, num, den).select("u", "v")
     links = links.unionByName(written(more, "jaccard-links"))
     comp = written(components(links), "jaccard-components")
-    degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
 
-    per_class = (classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-                 .join(degree.withColumnRenamed("node", "rep"), "rep", "left"))
-    per_class = per_class.select("key", "n", "rep", F.coalesce("component", "rep").alias("component"),
-                                 F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    per_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "n", "rep", F.coalesce("component", "rep").alias("component"))
     out = heads.join(per_class, ["key", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.coalesce("component", "doc_id").alias("component_id"), F.col("rep").alias("class_id"),
-                      F.coalesce("links", F.lit(0)).alias("n_class_links"))
+                      F.coalesce("component", "doc_id").alias("component_id"), F.col("rep").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
