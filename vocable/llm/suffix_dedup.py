@@ -49,7 +49,7 @@ GRAM = 64
 #: Contexts of one fingerprint in a shard, and bytes of a shard.
 HOT, SHARD = 4096, 1 << 18
 #: Window starts that are handled at once.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 19
 _POS = U64((1 << 24) - 1)
 #: Stands for a null id inside the operator.
 NO_ID = -(1 << 63)

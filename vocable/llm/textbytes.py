@@ -146,7 +146,7 @@ def spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of at most ``max_bytes`` of text each, or one row.
 
     Bounds the memory of the numpy work; a single longer text stays whole.
