@@ -223,7 +223,7 @@ def _verifier(n: int, num: int, den: int):
                 names = part.schema.names
                 dest, part_no, role, member, want, fam = (part.column(names.index(c)).to_pylist()
                                                           for c in ("dest", "part", "role", "member", "key", "fam"))
-                a, b, lead, who, size, mark = [], [], [], [], [], []
+                a, b, lead, who, size, mark, place = [], [], [], [], [], [], []
                 for i in range(part.num_rows):
                     if key[i] != want[i]:        # another row with this id
                         continue
@@ -241,11 +241,13 @@ def _verifier(n: int, num: int, den: int):
                             lead += [dest[i]] * len(d)
                             who += [member[i]] * len(d)
                             size += [len(x)] * len(d)
+                            place += range(len(d))
                             mark.append(mix(d ^ mix(np.full(len(d), dest[i], np.int64).view(U64))).view(np.int64))
                 k = len(a)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a + lead, pa.int64()), pa.array(b + who, pa.int64()), pa.array([0] * k + size, pa.int32()),
-                     pa.array(np.concatenate([np.zeros(k, np.int64), *mark]))], names=["u", "v", "n", "mark"])
+                     pa.array(np.concatenate([np.zeros(k, np.int64), *mark])), pa.array([0] * k + place, pa.int32())],
+                    names=["u", "v", "n", "mark", "pos"])
     return run
 
 
@@ -253,7 +255,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num:
     """Compares the pairs (u, v, fam) of class ids exactly, by their whole texts.
 
     Rows with n = 0 are the links (u, v).  For pairs with ``fam``, v's difference
-    from u is given too: its first entries, one row each (u, v, size of v, mark),
+    from u is given too: its first entries, one row each (u, v, size of v, mark, place),
     in an order that all differences from u share.
     """
     degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
@@ -266,7 +268,7 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num:
     routes = routes.join(classes.select(F.col("rep").alias("member"), "key"), "member")
     sent = routes.join(docs, routes.member == docs.doc_id).select("dest", "part", "role", "member", "key", "fam", "text")
     sent = sent.repartition("dest", "part").sortWithinPartitions("dest", "part", "role", "member")
-    return sent.mapInArrow(_verifier(n, num, den), "u long, v long, n int, mark long").distinct()
+    return sent.mapInArrow(_verifier(n, num, den), "u long, v long, n int, mark long, pos int").distinct()
 
 
 def _blocked_pairs(num: int, den: int):
@@ -389,7 +391,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     alone = F.lit(-1).cast("long")
     listed = lists.join(family, "rep", "left").withColumn("lead", F.coalesce("lead", alone))
     marks = differences.select(F.col("v").alias("rep"), F.col("mark").alias("token"), "n", F.lit(1).alias("ell"),
-                               F.lit(0).alias("pos"), F.lit(0).alias("own"), alone.alias("lead"))
+                               "pos", F.lit(0).alias("own"), alone.alias("lead"))
     placed = listed.unionByName(marks).join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
