@@ -79,6 +79,26 @@ def test_jaccard_components_match_all_pairs(spark, n, num):
     assert len(got) == len(rows)
 
 
+def small_sets(n):
+    """Texts of 1 to 12 shingles of ``n`` words, each with one word more at its end or its start."""
+    rows = []
+    for k in range(1, 13):
+        w = [f"k{k}w{i}" for i in range(k + n - 1)]
+        rows += [w, w + ["more"], ["more"] + w]
+    return [(7000 + i, " ".join(w), "en", "s", 0) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n,num,first", [(3, 90, 9), (5, 80, 4)])
+def test_jaccard_links_of_a_set_with_one_more_shingle(spark, n, num, first):
+    """9 of 10 at 90 % and 4 of 5 at 80 % are links though the smaller set's prefix is one shingle."""
+    rows = small_sets(n)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(odd_docs(spark, rows, 4), n, num).collect()}
+    want, _ = brute_components([(r[0], r[1]) for r in rows], n, num, 100)
+    assert got == {r[0]: w for r, w in zip(rows, want)}
+    at = 7000 + 3 * (first - 1)
+    assert got[at] == got[at + 1] == got[at + 2] == at and got[at - 2] == at - 2
+
+
 def test_jaccard_small_lists_and_blocks(spark, monkeypatch):
     """Posting lists longer than a part are paired in blocks; nothing is lost."""
     monkeypatch.setattr(jaccard_join, "LIST_PART", 8)

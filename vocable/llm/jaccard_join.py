@@ -149,7 +149,8 @@ def _prefixes(shared, n: int, num: int, den: int):
                 key, size = sets.keys(), sets.size
                 base = size - (size * num + den - 1) // den + 1
                 rows = []
-                for i in np.flatnonzero((base > 1) & (size > 0)).tolist():   # base 1: only equal sets can link
+                # base 1: only a set that holds all of this one and more can link with it
+                for i in np.flatnonzero((size > 0) & ((base > 1) | (den * size >= num * (size + 1)))).tolist():
                     k = (int(key[i]), int(size[i]))
                     if k not in seen:
                         seen.add(k)
