@@ -97,6 +97,29 @@ def test_tag_path_cases(page, text):
     assert tag_path.extract(page) == text
 
 
+LONG = "A sentence of the article, with some words. Another one, to make it long enough."
+
+
+@pytest.mark.parametrize("opening", [
+    "<h2 id='search-algorithms'>", "<section id='related-work'>", "<section id='legal-form'>", "<p id='notice-of-appeal'>",
+    "<div class='ad-hoc-networks'>", "<div data-id='comments'>", "<p data-role='navigation'>", "<div title='class=ad'>",
+    "<p class=notice>", "<section class='text' id=comments>"])
+def test_tag_path_names_inside_the_article(opening):
+    """Names that hold a word of boilerplate somewhere take no text away."""
+    tag = re.match("<([a-z0-9]+)", opening)[1]
+    page = f"<div class=post><p>{LONG}</p>{opening}Some text, {LONG}</{tag}><p>{LONG}</p></div>"
+    assert tag_path.extract(page) == f"{LONG}\nSome text, {LONG}\n{LONG}"
+
+
+def test_tag_path_inline_names_and_reference_lists():
+    page = (f"<article><p>{LONG} It is <em class='notice'>not</em> cut.</p><p>{LONG}</p><h2>References</h2>"
+            "<ol><li><a href=a>First work</a></li><li><a href=b>Second work</a></li></ol></article>")
+    assert tag_path.extract(page) == f"{LONG} It is not cut.\n{LONG}\nReferences\nFirst work\nSecond work"
+    for name in ("class='ad'", "class=sidebarRight", "class='x cookie-notice'", "id=comments", "class='widget-area'"):
+        page = f"<div {name}><p>{LONG}</p></div><div class=post><p>{LONG}</p><p>More. {LONG}</p></div>"
+        assert tag_path.extract(page) == f"{LONG}\nMore. {LONG}"
+
+
 def test_tag_path_on_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}

@@ -6,7 +6,11 @@ divided by the number of blocks on that path; the two ratios are smoothed along
 the page, fused by multiplication and compared with a threshold taken from the
 page itself.  The blocks above it vote for the element that holds the content;
 its blocks are the text, without those inside elements that are never content
-(menus, forms, adverts, ...), told by element name, role, class or id.
+(menus, forms, adverts, ...), told by element name or role.  A class or id that
+names such a thing as a whole (``comments``, ``cookie-notice``, ``sidebar-right``;
+not ``search-algorithms``) lowers the fused ratio of the paths below it; those of
+headings, paragraphs and inline elements, and ids of sections, which are made
+from titles, say nothing.
 
 A page is one row and is handled alone: one pass, no shuffle, memory of one
 small batch of pages.
@@ -40,12 +44,16 @@ NEVER_WORD = set("""ad ads advert adverts advertisement advertising banner spons
 consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login nav navbar navigation menu
 menubar breadcrumb breadcrumbs sidebar aside widget footer masthead topbar toolbar comment comments respond disqus
 share sharing social related recommended pagination pager skip copyright legal form search""".split())
+#: Words that may stand beside one of those in a class.
+LAYOUT_WORD = set("""area bar block body bottom box button buttons column container content global group header heading inner
+item items left link links list module outer page panel right row site slot title top unit wrap wrapper""".split())
+TITLED = set("h1 h2 h3 h4 h5 h6 p".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTR = re.compile(r"""([^\s=>"'/]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCT = re.compile(r"[.,;:!?…。，、！？]")
@@ -54,10 +62,19 @@ PUNCT = re.compile(r"[.,;:!?…。，、！？]")
 #: share of the page's mean fused ratio that a content path must reach, and the
 #: share of the selected text that the content element must hold.
 SMOOTH, THRESHOLD, HOLD = (0.4, 0.24, 0.06), 0.5, 0.8
+#: Factor of the fused ratio of paths below an element whose name says boilerplate.
+LOWERED = 0.1
+
+
+def boilerplate(key: str, token: str) -> bool:
+    """Whether a class token or an id is the name of something that is not content."""
+    words = set(WORDS.findall(CAMEL.sub(" ", token).lower()))
+    rest = words - NEVER_WORD
+    return len(rest) < len(words) and (not rest or (key == "class" and rest <= LAYOUT_WORD))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "label", "never", "inline")
+    __slots__ = ("tag", "parent", "label", "never", "low", "inline")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str):
         self.tag, self.parent, self.label = tag, parent, tag
@@ -65,15 +82,17 @@ class Node:
         self.never = (parent is not None and parent.never) or tag in NEVER
         if tag == "header" and not self.never:
             self.never = not any(p.tag in ("article", "main") for p in self.up())
+        self.low = parent is not None and parent.low
         if "=" in attrs and tag not in ("html", "body", "article", "main"):
-            for key, value in NAMES.findall(attrs):
-                value = value.strip("\"'")
-                if key.lower() == "role":
-                    self.never |= value.lower() in NEVER_ROLE
-                else:
-                    self.never |= bool(NEVER_WORD.intersection(WORDS.findall(CAMEL.sub(" ", value).lower())))
-                    if key.lower() == "class":
-                        self.label = f"{tag}.{value}"
+            names = {key.lower(): value.strip("\"'") for key, value in reversed(ATTR.findall(attrs))}
+            tokens = names.get("class", "").split()
+            self.never |= names.get("role", "").lower() in NEVER_ROLE
+            if not self.inline and tag not in TITLED:
+                self.low |= any(boilerplate("class", t) for t in tokens)
+                if tag != "section" and "section" not in tokens:      # ids of sections are made from titles
+                    self.low |= boilerplate("id", names.get("id", ""))
+            if "class" in names:
+                self.label = f"{tag}.{names['class']}"
 
     def up(self) -> Iterator["Node"]:
         n = self.parent
@@ -89,6 +108,10 @@ class Block:
         self.node, self.text, self.n = node, text, len(text)
         self.linked, self.punct = linked, len(PUNCT.findall(text))
 
+    def links(self) -> bool:
+        """Mostly links, and not a paragraph or heading."""
+        return self.linked >= 0.9 * max(1, len(self.text.replace(" ", ""))) and self.node.tag not in TITLED
+
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, in order, without those of never-content elements."""
@@ -193,7 +216,7 @@ def content(bl: list[Block]) -> list[Block]:
     """The blocks of the content element, chosen by fused tag-path ratios."""
     if not bl:
         return []
-    paths = [_path(b.node) for b in bl]
+    paths = [(_path(b.node), b.node.low) for b in bl]       # an id is no part of the path
     length, punct, linked, count = (defaultdict(float) for _ in range(4))
     for p, b in zip(paths, bl):
         length[p] += b.n
@@ -202,7 +225,7 @@ def content(bl: list[Block]) -> list[Block]:
         count[p] += 1
     ratio = _smooth([length[p] / count[p] * (1 - min(1.0, linked[p] / max(1.0, length[p]))) for p in paths])
     dots = _smooth([punct[p] / count[p] for p in paths])
-    fused = [r * (1 + d) for r, d in zip(ratio, dots)]
+    fused = [r * (1 + d) * (LOWERED if b.node.low else 1) for r, d, b in zip(ratio, dots, bl)]
     per_path = defaultdict(list)
     for p, f in zip(paths, fused):
         per_path[p].append(f)
@@ -224,7 +247,10 @@ def content(bl: list[Block]) -> list[Block]:
     while root.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and root.parent is not None:
         root = root.parent
     inside = [b for b in bl if b.node is root or any(p is root for p in b.node.up())]
-    return [b for b in inside if b.linked < 0.9 * max(1, len(b.text.replace(" ", ""))) or b.node.tag[:1] in ("p", "h")]
+    # lists and tables of links are content inside article and main only
+    held = set(map(id, inside))
+    return [b for p, b in zip(paths, bl) if id(b) in held and (p in chosen or not b.node.low) and (
+        root.tag in ("article", "main") or not b.links())]
 
 
 def extract(page: str | None) -> str:
