@@ -120,6 +120,24 @@ def test_tag_path_inline_names_and_reference_lists():
         assert tag_path.extract(page) == f"{LONG}\nMore. {LONG}"
 
 
+@pytest.mark.parametrize("page", [
+    "<div><h1>Title</h1><p>Lead</p><div class=part>{0}{0}{0}{0}</div><div class=part>{0}</div></div>",
+    "<div><h1>Title</h1><p>Lead</p><div class=one>{0}{0}{0}{0}</div><div class=two>{0}</div></div>",
+    "<div><p>{0}</p><table><tr><td>{0}{0}{0}{0}{0}<td>{0}{0}{0}</table><p>{0}</p></div>",
+    "<div><p>{0}</p><ul><li>{0}{0}<li>{0}{0}<li>{0}{0}</ul><p>{0}</p></div>",
+    "<body><article><p>{0}</p><p>{0}</p><p>{0}</p></article><article><h1>Second</h1><p>{0}</p><p>{0}</p></article></body>",
+    "<main><h1>Title</h1><p>Lead</p><article><p>{0}</p><p>{0}</p></article></main>",
+    "<body><article><p>{0}</p><p>{0}</p><p>{0}</p></article><div class=part><p>{0}</p><p>{0}</p></div></body>",
+    "<body><h1>Title</h1><p>Lead</p><div class=a><p>{0}</p></div><h2>Next</h2><div class=b><p>{0}</p></div></body>"])
+def test_tag_path_keeps_every_section(page):
+    """Nothing here is boilerplate: the text is all of the page, whichever element holds most of it."""
+    page = page.format(LONG + " ")
+    want = re.sub(r"<[^>]*>", " ", page).split()
+    assert tag_path.extract(page).split() == want
+    menu = "<nav><a href=x>Menu</a></nav>"
+    assert tag_path.extract(menu + page + "<div class=sidebar><ul><li><a href=y>Other</a></ul></div>").split() == want
+
+
 def test_tag_path_on_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}

@@ -4,9 +4,12 @@ A page is cut into blocks; a block's tag path is the chain of block elements
 from the root to it.  Per path, text length and punctuation are summed and
 divided by the number of blocks on that path; the two ratios are smoothed along
 the page, fused by multiplication and compared with a threshold taken from the
-page itself.  The blocks above it vote for the element that holds the content;
-its blocks are the text, without those inside elements that are never content
-(menus, forms, adverts, ...), told by element name or role.  A class or id that
+page itself.  Every block on a path above it is text; so are the other blocks
+(titles, short lines, lists) of the article and main elements that hold at least
+half of that text or, without them, of the common ancestor of all of it: all its
+blocks, but where that is the whole page those between the first and the last
+and the headings and paragraphs directly before.  Elements that are never content
+(menus, forms, adverts, ...) are told by element name or role.  A class or id that
 names such a thing as a whole (``comments``, ``cookie-notice``, ``sidebar-right``;
 not ``search-algorithms``) lowers the fused ratio of the paths below it; those of
 headings, paragraphs and inline elements, and ids of sections, which are made
@@ -59,9 +62,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PUNCT = re.compile(r"[.,;:!?…。，、！？]")
 
 #: Width of the smoothing (weights of the neighbours at distance 0, 1, 2), the
-#: share of the page's mean fused ratio that a content path must reach, and the
-#: share of the selected text that the content element must hold.
-SMOOTH, THRESHOLD, HOLD = (0.4, 0.24, 0.06), 0.5, 0.8
+#: share of the page's mean fused ratio that a content path must reach.
+SMOOTH, THRESHOLD = (0.4, 0.24, 0.06), 0.5
 #: Factor of the fused ratio of paths below an element whose name says boilerplate.
 LOWERED = 0.1
 
@@ -199,6 +201,11 @@ def _path(node: Node) -> str:
     return "/".join([node.label] + [p.label for p in node.up() if not p.inline])
 
 
+def _chain(node: Node) -> list[Node]:
+    """The node and all above it, from the root."""
+    return [*node.up()][::-1] + [node]
+
+
 def _smooth(x: list[float]) -> list[float]:
     n = len(x)
     out = []
@@ -213,7 +220,7 @@ def _smooth(x: list[float]) -> list[float]:
 
 
 def content(bl: list[Block]) -> list[Block]:
-    """The blocks of the content element, chosen by fused tag-path ratios."""
+    """The blocks on paths chosen by fused tag-path ratios, and what lies between them."""
     if not bl:
         return []
     paths = [(_path(b.node), b.node.low) for b in bl]       # an id is no part of the path
@@ -231,26 +238,30 @@ def content(bl: list[Block]) -> list[Block]:
         per_path[p].append(f)
     limit = THRESHOLD * sum(fused) / len(fused)
     chosen = {p for p, f in per_path.items() if sum(f) / len(f) >= limit}
-    votes = defaultdict(float)
-    total = 0.0
-    for p, b in zip(paths, bl):
-        if p in chosen:
-            total += b.n
-            votes[b.node] += b.n
-            for up in b.node.up():
-                votes[up] += b.n
-    named = [n for n in votes if n.tag in ("article", "main")]
-    holders = [n for n in named if votes[n] >= 0.5 * total] or [n for n in votes if votes[n] >= HOLD * total]
-    if not holders:
-        return []
-    root = max(holders, key=lambda n: sum(1 for _ in n.up()))     # the deepest
-    while root.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and root.parent is not None:
-        root = root.parent
-    inside = [b for b in bl if b.node is root or any(p is root for p in b.node.up())]
-    # lists and tables of links are content inside article and main only
-    held = set(map(id, inside))
-    return [b for p, b in zip(paths, bl) if id(b) in held and (p in chosen or not b.node.low) and (
-        root.tag in ("article", "main") or not b.links())]
+    picked = [i for i, p in enumerate(paths) if p in chosen]
+    above = [_chain(b.node) for b in bl]
+    # the outermost article and main elements, where they hold half of what is chosen, else the common ancestor
+    outer = [next((n for n in up if n.tag in ("article", "main")), None) for up in above]
+    named = sum(bl[i].n for i in picked if outer[i]) >= 0.5 * sum(bl[i].n for i in picked)
+    common = above[picked[0]]
+    for i in picked:
+        common = [a for a, b in zip(common, above[i]) if a is b]
+    while common[-1].tag in TITLED or common[-1].tag in ("li", "blockquote", "pre"):
+        common.pop()
+    wide = common[-1].tag in ("", "html", "body")
+    first, last = picked[0], picked[-1]
+    while first and bl[first - 1].node.tag in TITLED and not bl[first - 1].node.low:
+        first -= 1                    # title and lead directly before the text
+    hold = {id(outer[i]) for i in picked if outer[i]}
+    out = []
+    for i, (p, b) in enumerate(zip(paths, bl)):
+        if named:
+            inside = id(outer[i]) in hold
+        else:
+            inside = common[-1] in above[i] and (first <= i <= last or not wide) and not b.links()
+        if p in chosen or (inside and not b.node.low):
+            out.append(b)
+    return out
 
 
 def extract(page: str | None) -> str:
