@@ -314,6 +314,16 @@ def test_sentencepiece_odd_texts():
         assert ids.tolist() == sp.encode(t) and same.all() and codec.decode([ids.tolist()])[0] == t.replace("▁", " ")
 
 
+def test_sentencepiece_parity_sees_whole_texts(monkeypatch):
+    """Words that are encoded well but cut or joined wrongly are no parity."""
+    codec = sentencepiece_codec.Codec(open(PIECES, "rb").read())
+    texts = pa.array(["one two three", None, "", "two  three one "])
+    assert codec.encode(texts)[2].tolist() == [True] * 4
+    right = sentencepiece_codec.Codec._words
+    monkeypatch.setattr(sentencepiece_codec.Codec, "_words", staticmethod(lambda t: tuple(x[1:] for x in right(t))))
+    assert codec.encode(texts)[2].tolist() == [False, True, True, True]
+
+
 # ---------------------------------------------------------------- classifiers
 
 def held_out(spark, scores, label):

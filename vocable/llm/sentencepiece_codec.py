@@ -162,13 +162,19 @@ def rebuild(m: Model):
     return tok
 
 
+def _lists(ids: np.ndarray, n: np.ndarray) -> list[list[int]]:
+    """The ids of each text."""
+    flat, end = ids.tolist(), np.cumsum(n).tolist()
+    return [flat[a:b] for a, b in zip([0] + end[:-1], end)]
+
+
 class Codec:
     """Encodes and decodes batches of texts by a rebuilt model.
 
     Where the model's normaliser changes nothing but spaces and no piece crosses
-    the start of a word, every distinct word is encoded (and compared with the
-    sentencepiece library) once and looked up from then on; other models encode
-    whole texts.
+    the start of a word, every distinct word is encoded once and looked up from
+    then on; other models encode whole texts.  Either way the ids of every whole
+    text are compared with the sentencepiece library's.
     """
 
     LIMIT, GROUP = 1 << 21, 512
@@ -189,7 +195,7 @@ class Codec:
 
     def clear(self):
         self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.ptr, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.flat, self.ptr = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tok.decode_batch(ids, skip_special_tokens=False)
@@ -219,8 +225,13 @@ class Codec:
             self._add([raw[a:b].decode("utf-8", "replace") for a, b in zip(s[pos].tolist(), e[pos].tolist())], h[new])
         w = self.slot[np.searchsorted(self.keys, h)][inv]
         n = self.ptr[w + 1] - self.ptr[w]
-        wrong = np.bincount(row[~self.same[w]], minlength=t.n) if self.sp else np.zeros(t.n)
-        return self.flat[spans(self.ptr[w], n)], np.bincount(row, weights=n, minlength=t.n).astype(np.int64), wrong == 0
+        ids, n = self.flat[spans(self.ptr[w], n)], np.bincount(row, weights=n, minlength=t.n).astype(np.int64)
+        return ids, n, self._agrees(texts, ids, n) if self.sp else np.ones(t.n, bool)
+
+    def _agrees(self, texts: pa.Array, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the library gives these ids for each whole text."""
+        theirs = self.sp.encode([x or "" for x in texts.to_pylist()], num_threads=self.threads)
+        return np.array([a == b for a, b in zip(_lists(ids, n), theirs)], bool)
 
     @staticmethod
     def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,11 +265,6 @@ class Codec:
                 k += 1
             else:                                                    # runs of spaces
                 lists.append(np.array([x.id for x in self.tok.model.tokenize(MARK + w.replace(" ", MARK))], np.int32))
-        if self.sp:
-            theirs = self.sp.encode([w if w else " " for w in words], num_threads=self.threads)
-            one = self.sp.encode("a ")[len(self.sp.encode("a")):]    # a lone marker
-            same = [a.tolist() == (b if w else one) for a, b, w in zip(lists, theirs, words)]
-            self.same = np.concatenate([self.same, np.array(same, bool)])
         base = len(self.ptr) - 1
         self.flat = np.concatenate([self.flat, *lists])
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
@@ -288,7 +294,7 @@ def _coder(shared, threads: int, verify: bool):
                 off = np.r_[0, np.cumsum(n)]
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
                 little = ids.astype("<u4")
-                back = pa.array(codec.decode(lists.to_pylist()), pa.string())
+                back = pa.array(codec.decode(_lists(ids, n)), pa.string())
                 yield pa.RecordBatch.from_arrays([
                     part.column(part.schema.get_field_index("doc_id")), lists,
                     pa.array([zlib.crc32(little[a:b]) for a, b in zip(off[:-1], off[1:])], pa.int64()), back,
