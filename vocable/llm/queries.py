@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vocable.llm.bm25_packing import retrieval_packing
 from vocable.llm.exact_dedup import exact_dedup
 from vocable.llm.jaccard_join import jaccard_components
+from vocable.llm.license_scan import license_scan, license_sql
 from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
@@ -115,6 +116,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip", "parity")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -126,9 +131,11 @@ QUERIES: dict[str, Query] = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_license_scan": op11_license_scan,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op8_rule_ledger": OP8_SQL,
+    "op11_license_scan": license_sql(),
 }
