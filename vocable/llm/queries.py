@@ -15,6 +15,7 @@ from vocable.llm.license_scan import license_scan, license_sql
 from vocable.llm.quality_crf import quality
 from vocable.llm.rule_ledger import quality_ledger
 from vocable.llm.sentencepiece_codec import sentencepiece_codec
+from vocable.llm.spelling_variants import spelling_variants
 from vocable.llm.store import table
 from vocable.llm.suffix_dedup import suffix_dedup
 from vocable.llm.tag_path import main_text
@@ -120,6 +121,37 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# The CRC is taken bit by bit; near pairs share a word with one place left out.
+OP12_SQL = r"""
+with recursive run as (
+  select doc_id, r, count(*) as m from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-zÀ-ÿ]+')) as r from documents) group by all),
+bits as (select r, m, length(r) as len, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || r, ''), lambda c:
+           case when ord(c) < 128 then [ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0]
+                else [195::bigint, 0, 0, 0, 0, 0, 0, 0, (ord(c) - 64)::bigint, 0, 0, 0, 0, 0, 0, 0] end)) as b from run),
+crc as (select r, m, len, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x:
+           xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) as h from bits),
+voc as (select w, sum(m)::bigint as n from (
+          select m, case when h % 97 = 0 then substr(r, 1, (h % len)::int) || substr(r, (h % len)::int + 2) else r end as w from crc)
+        where length(w) >= 5 group by w having sum(m) >= 3),
+hole as (select w, n, i, substr(w, 1, i) || substr(w, i + 2) as rest from (select w, n, unnest(range(length(w)))::int as i from voc)),
+pair as (select a.w, a.n, b.w as v, b.n as vn from hole a join hole b on a.i = b.i and a.rest = b.rest and a.w <> b.w
+         union select h.w, h.n, v.w, v.n from hole h join voc v on v.w = h.rest
+         union select v.w, v.n, h.w, h.n from hole h join voc v on v.w = h.rest),
+best as (select w, count(*) as n_near, arg_min(v, (-vn, v)) as top, max(vn) as top_n from pair group by w),
+f as (select voc.w, voc.n, coalesce(n_near, 0) as n_near, case when top_n >= 2 * voc.n then top end as form,
+             case when top_n >= 2 * voc.n then top_n end as form_n from voc left join best using (w)),
+walk as (select w, form, w as at from f union all select walk.w, f.form, f.w from walk join f on f.w = walk.form)
+select f.w as word, f.n, f.n_near, f.form, f.form_n, walk.at as root
+from f join walk on walk.w = f.w and walk.form is null
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -132,10 +164,12 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_license_scan": op11_license_scan,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op8_rule_ledger": OP8_SQL,
     "op11_license_scan": license_sql(),
+    "op12_spelling_variants": OP12_SQL,
 }
