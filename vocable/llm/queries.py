@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vocable.llm.bm25_packing import retrieval_packing
 from vocable.llm.exact_dedup import exact_dedup
+from vocable.llm.hard_negatives import hard_negatives, relabelled
 from vocable.llm.jaccard_join import jaccard_components
 from vocable.llm.license_scan import license_scan, license_sql
 from vocable.llm.quality_crf import quality
@@ -152,6 +153,27 @@ from f join walk on walk.w = f.w and walk.form is null
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(relabelled(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = """
+with v as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+           and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id, a.label = b.label as same,
+             list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::bigint as score
+      from v a join v b on a.r <> b.r where a.vec_id % 100 = 0),
+p as (select * from s where same qualify row_number() over (partition by ar order by score desc, vec_id, br) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+       row_number() over (partition by p.ar, p.br order by n.score desc, n.vec_id)::int as rank,
+       n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.ar = p.ar and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
@@ -165,6 +187,7 @@ QUERIES: dict[str, Query] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_license_scan": op11_license_scan,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
@@ -172,4 +195,5 @@ ORACLE: dict[str, str] = {
     "op8_rule_ledger": OP8_SQL,
     "op11_license_scan": license_sql(),
     "op12_spelling_variants": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
