@@ -118,7 +118,8 @@ def test_neighbourhoods_are_whole_and_without_repeats():
         value = sum((ord(c) - 64) * pow(int(sv._P), i, 1 << 64) for i, c in enumerate(s)) % (1 << 64)
         return int(sv.Reduced.key(np.array([value], np.uint64), np.array([len(s)]))[0])
 
-    got = Counter((int(w), int(k)) for ws, ks in red.neighbours() for w, k in zip(ws, ks))
+    got = Counter((int(w), int(k)) for part in (red.deletions(), red.replacements(), red.insertions())
+                  for ws, ks in part for w, k in zip(ws, ks))
     assert max(got.values()) == 1
     for i, s in enumerate(strings):
         around = {s[:j] + s[j + 1:] for j in range(len(s))} | {s[:j] + c + s[j:] for j in range(len(s) + 1) for c in alphabet}

@@ -7,9 +7,10 @@
    reduced words at most one edit apart.  The number of symbols is chosen by
    cost: more symbols mean larger neighbourhoods but fewer chance meetings.  The
    result does not depend on it.
-3. *Neighbourhoods*.  For each distinct reduced word all reduced words one edit
-   away (each once) go out as 64-bit keys, towards the larger key only, so each
-   unordered pair is found from one side.
+3. *Neighbourhoods*.  The reduced words one edit away from each distinct reduced
+   word go out as 64-bit keys, each once.  An unordered pair needs one of its two
+   sides: insertions of a word are the deletions of a longer one and are left to
+   it, and replacements go towards the larger key.
 4. *Join and verification*.  Keys meet the reduced vocabulary, pairs of reduced
    words are widened to words, and the original strings are compared.  Equal
    keys of different reduced words only add candidates.
@@ -41,8 +42,9 @@ from vocable.llm.textbytes import U64, Texts, chunks, mix, spans
 MIN_LENGTH, MIN_COUNT, DROP_EVERY = 5, 3, 97
 #: Numbers of symbols to choose from.
 SYMBOLS = (4, 6, 8, 12, 16, 24, 32)
-#: Cost of a candidate pair against that of a neighbourhood key.
-CANDIDATE_COST = 4.0
+#: Cost of a candidate pair against that of a neighbourhood key, and the share of the
+#: symbols that count, as some letters are frequent.
+CANDIDATE_COST, EVENNESS = 2.0, 0.7
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -163,27 +165,31 @@ class Reduced:
     def strings(self) -> pa.Array:
         return _strings((self.sym + U64(65)).astype(np.uint8), self.start, self.start + self.size)
 
-    def neighbours(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word, key) of every reduced word one edit away, each once."""
-        w, p, one = self.word, self.power, U64(1)
+    def deletions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, key) of every reduced word that is one symbol shorter, each once."""
         same = np.r_[False, (self.sym[1:] == self.sym[:-1]) & (self.pos[1:] > 0)]   # as the letter before
-        after = self.value[w] - self.before - self.term
-        cut = ~same                                                     # deletion: the first letter of a run
-        yield w[cut], self.key((self.before + after * _PINV)[cut], self.size[w[cut]] - 1)
-        for d in range(1, self.symbols):                                # replacement
+        after = self.value[self.word] - self.before - self.term
+        cut = ~same                                                     # the first letter of a run
+        yield self.word[cut], self.key((self.before + after * _PINV)[cut], self.size[self.word[cut]] - 1)
+
+    def replacements(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, key) of every reduced word with one other symbol, each once."""
+        rest = self.value[self.word] - self.term
+        for d in range(1, self.symbols):
             c = (self.sym + U64(d)) % U64(self.symbols)
-            yield w, self.key(self.before + (c + one) * p[self.pos] + after, self.size[w])
-        everyone = np.arange(len(self.size))
-        for c in range(self.symbols):                                   # insertion: never after the same symbol
-            ok = ~((self.pos > 0) & (np.r_[U64(99), self.sym[:-1]] == c))
-            i = np.flatnonzero(ok)
-            rest = self.value[w[i]] - self.before[i]
-            yield w[i], self.key(self.before[i] + U64(c + 1) * p[self.pos[i]] + rest * _P, self.size[w[i]] + 1)
-            last = np.full(len(self.size), U64(99))
-            full = self.size > 0
-            last[full] = self.sym[(self.start + self.size - 1)[full]]
-            k = everyone[last != c]                                     # at the end
-            yield k, self.key(self.value[k] + U64(c + 1) * p[self.size[k]], self.size[k] + 1)
+            yield self.word, self.key(rest + (c + U64(1)) * self.power[self.pos], self.size[self.word])
+
+    def insertions(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word, key) of every reduced word that is one symbol longer, each once."""
+        last = np.full(len(self.size), U64(self.symbols))
+        last[self.size > 0] = self.sym[(self.start + self.size - 1)[self.size > 0]]
+        for c in range(self.symbols):                                   # never after the same symbol
+            i = np.flatnonzero((self.pos == 0) | (np.r_[U64(self.symbols), self.sym[:-1]] != c))
+            w = self.word[i]
+            rest = (self.value[w] - self.before[i]) * _P
+            yield w, self.key(self.before[i] + U64(c + 1) * self.power[self.pos[i]] + rest, self.size[w] + 1)
+            k = np.flatnonzero(last != c)                               # at the end
+            yield k, self.key(self.value[k] + U64(c + 1) * self.power[self.size[k]], self.size[k] + 1)
 
 
 def _reduce(symbols: int):
@@ -203,7 +209,9 @@ def _neighbourhoods(symbols: int):
             for part in chunks(batch, "word", 1 << 17):
                 r = Reduced(part.column(part.schema.get_field_index("word")), symbols)
                 own = r.own().view(np.int64)
-                for w, key in r.neighbours():
+                for w, key in r.deletions():
+                    yield pa.RecordBatch.from_arrays([pa.array(own[w]), pa.array(key.view(np.int64))], names=["a", "b"])
+                for w, key in r.replacements():
                     key, mine = key.view(np.int64), own[w]
                     up = key > mine
                     yield pa.RecordBatch.from_arrays([pa.array(mine[up]), pa.array(key[up])], names=["a", "b"])
@@ -211,13 +219,12 @@ def _neighbourhoods(symbols: int):
 
 
 def best_symbols(lengths: dict[int, int]) -> int:
-    """The number of symbols of least estimated cost for {word length: words}.
-
-    A neighbourhood has about ``2 r L`` keys; a key of words of length L meets
-    ``n / r**L`` words, taking letters as twice as concentrated as even ones.
-    """
+    """The number of symbols of least estimated cost for {word length: words}: a reduced
+    word of length L sends about L (r + 1) / 2 keys, and a word's neighbourhood of r L
+    keys meets ``n / r**L`` words each, half of which it is compared with."""
     def cost(r: int) -> float:
-        return sum(n * r * L * (1 + CANDIDATE_COST * n / (r / 2) ** L) for L, n in lengths.items())
+        space = {L: (EVENNESS * r) ** L for L in lengths}
+        return sum(min(n, space[L]) * L * (r + 1) / 2 + CANDIDATE_COST * n * r * L * n / space[L] / 2 for L, n in lengths.items())
     return min(SYMBOLS, key=cost)
 
 
