@@ -16,6 +16,18 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def test_sentence_ends_in_many_scripts(spark):
+    end = re.compile("[.!?…。！？｡।॥۔؟։።။‼⁇⁈⁉][\"'”’»›)\\]}）」』】〉》]*$")
+    texts = ["यह एक वाक्य है। दूसरा भी॥", "کیا یہ جملہ ہے؟ ہاں۔ نہیں", "他说：“好。” 真的？！ 是（对。）", "“Stop.” “Why?” she said. 'No!') (yes).",
+             "é è.é a.” ” ) .) ...", "no ends here at all », « x", "", None, "end…» ‼ ⁉”", "a." * 3 + "b", ".\x00 x"]
+    got = rule_ledger.measure(pa.array(texts))["n_ends"].tolist()
+    assert got == [sum(bool(end.search(w)) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    dialogue = " ".join(f"“She said number {i} to him again today.”" for i in range(12))
+    hindi = " ".join(["नदी", "के", "किनारे", "एक", "गाँव", "था", "जहाँ", "लोग", "सुबह", "काम", "करते", "थे।"][k % 12] + str(k) * (k % 12 < 11) for k in range(72))
+    kept = rule_ledger.apply_policy(rule_ledger.ledger(odd_docs(spark, [(1, dialogue, "en", "s", 1), (2, hindi, "hi", "s", 1)])))
+    assert {r.doc_id: r.fail_bits & rule_ledger.BIT["no_sentences"] for r in kept.collect()} == {1: 0, 2: 0}
+
+
 # ---------------------------------------------------------------- WARC
 
 def odd_pages(spark, partitions=3):
@@ -45,6 +57,29 @@ def test_warc_round_trip(spark):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def test_warc_sql_has_the_same_rule_for_repeated_rows(spark):
+    import duckdb
+
+    from vocable.llm.queries import OP2_SQL
+    rows, pages = odd_pages(spark)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = [tuple(r) for r in warc.archive_round_trip(pages).select(names).collect()]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert sorted(got, key=repr) == sorted(con.execute(f"select {', '.join(names)} from ({OP2_SQL})").fetchall(), key=repr)
+
+
+def test_warc_is_read_in_as_many_tasks_as_segments(spark):
+    root = warc.write_archives(spark.read.parquet(f"{SF01}/pages.parquet"), segment_bytes=60_000)
+    segments = spark.read.parquet(f"{root}/manifest").select("segment").distinct().count()
+    back = warc.read_archives(spark, root)
+    per_task = back.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    assert segments > 4 and sum(n > 0 for n in per_task) == segments
+    with pytest.raises(ValueError, match="raise segment_bytes"):
+        warc.write_archives(spark.range(9).selectExpr("id as page_id", "'u' as url", "repeat('x', 2000000) as html"), segment_bytes=1)
+
+
 def test_warc_files_are_the_same_whatever_the_partitions(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     files = []
@@ -390,3 +425,58 @@ def test_ftrl_learns_a_separating_feature_and_stays_sparse():
 
 def test_clashing_names_are_used(spark):
     assert set(CLASHING) <= set(odd_docs(spark).columns) and norm(" a\t\tb ") == " a b "
+
+
+def test_ftrl_against_plain_coordinates():
+    """The published update, one coordinate at a time, on dictionaries."""
+    rng = np.random.default_rng(4)
+    rows = [np.append(np.unique(rng.integers(0, 60, rng.integers(3, 25))), 80) for _ in range(400)]
+    y = np.array([float(3 in r or (7 in r and 9 in r)) for r in rows])
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        if abs(zi) <= toxicity_ftrl.L1:
+            return 0.0
+        sign = 1.0 if zi > 0 else -1.0
+        return -(zi - sign * toxicity_ftrl.L1) / ((toxicity_ftrl.BETA + n.get(i, 0.0) ** 0.5) / toxicity_ftrl.ALPHA + toxicity_ftrl.L2)
+
+    for _ in range(toxicity_ftrl.EPOCHS):
+        for r, t in zip(rows, y):
+            w = {i: weight(i) for i in r}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - t
+            for i in r:
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity_ftrl.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    w, bias = toxicity_ftrl.ftrl(rows, y, 80)
+    assert np.allclose(w, [weight(i) for i in range(80)], atol=1e-9) and np.isclose(bias, weight(80), atol=1e-9)
+    assert (w == 0).sum() > 30 and w[3] > 0
+
+
+def test_crf_gradient_against_finite_differences():
+    """Labels minus expectations is the slope of the log-likelihood, which is summed over all label sequences here."""
+    rng = np.random.default_rng(2)
+    n_lines, y = np.array([3, 1, 4, 2]), np.array([1, 0, 0, 1])
+    x, w, trans = rng.normal(size=(10, 3)), rng.normal(size=3), rng.normal(size=(2, 2))
+
+    def likelihood(w, trans):
+        node, total = x @ w, 0.0
+        for a, k, label in zip(np.cumsum(n_lines) - n_lines, n_lines, y):
+            def value(path):
+                return sum(node[a + i] * v for i, v in enumerate(path)) + sum(trans[u, v] for u, v in itertools.pairwise(path))
+            total += value([label] * k) - np.log(sum(np.exp(value(p)) for p in itertools.product((0, 1), repeat=int(k))))
+        return total
+
+    p, pairs = quality_crf.marginals(n_lines, x @ w, trans, True)
+    edges = n_lines - 1
+    seen = np.diag([edges[y == 0].sum(), edges[y == 1].sum()])
+    step = 1e-5
+    for got, at in ((x.T @ (np.repeat(y, n_lines) - p), w), (seen - pairs, trans)):
+        for i in np.ndindex(at.shape):
+            at[i] += step
+            up = likelihood(w, trans)
+            at[i] -= 2 * step
+            down = likelihood(w, trans)
+            at[i] += step
+            assert abs((up - down) / (2 * step) - got[i]) < 1e-6

@@ -17,14 +17,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, n_folds: int
 
     The ids come first, in the order of a hash, from the narrow label table; only
     their texts are then read, through a broadcast of those at most ``max_docs``
-    ids.  Repeated label rows count once (largest label), null labels not at all.
+    ids.  Repeated label rows count once (largest label), null labels not at all,
+    and an id that many rows share lends its smallest text.
     """
     ids = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
            .where(fold(F.col("doc_id"), n_folds) != held_out)
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
            .withColumn("ord", F.xxhash64("doc_id")).orderBy("ord", "doc_id").limit(max_docs))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "y", "ord")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y", "ord").agg(
+        F.min("text").alias("text")).select("text", "y", "ord")
 
 
 def in_one_task(sample: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ line length.
 
 Edge cases: null and empty texts are one empty line and get its marginal;
 without a training row every score is 0.5; documents of any number of lines are
-handled whole; repeated rows are scored each on its own.
+handled whole; repeated rows are scored each on its own; an empty table gives an
+empty result; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -51,8 +52,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = b[we - 1] if len(we) else b[:0]
     h = t.hash_ranges(ws, we)
     distinct = np.unique(np.stack([line_of.astype(U64), h]), axis=1)[0].astype(np.int64) if len(h) else line_of
-    _, tri = shingle_hashes(wrow, h, 3)
-    at, _ = shingle_hashes(wrow, h, 3)
+    at, tri = shingle_hashes(wrow, h, 3)
     # windows of three words met before in the same text
     key = mix(tri ^ mix(wrow[at].astype(U64))) if len(at) else tri
     first = np.zeros(len(key), bool)

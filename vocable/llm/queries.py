@@ -45,10 +45,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 k as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest,
-             min(page_id) over (partition by html) as first_id from p)
-select page_id, payload_bytes, payload_digest,
-       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
-       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+             min(page_id) over (partition by html) as first_id,
+             payload_bytes >= 100 and page_id is not null and row_number() over (partition by html order by page_id) > 1 as again from p)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+       case when again then first_id end as refers_to
 from k
 """
 
@@ -81,7 +81,7 @@ m as (select w.r, doc_id, len(ws)::bigint as n_words,
              coalesce(n_lines, 0) as n_lines,
              length(regexp_replace(t, '[^A-Z]+', '', 'g')) as n_upper,
              length(regexp_replace(t, '[^a-z]+', '', 'g')) as n_lower,
-             len(list_filter(ws, lambda x: regexp_matches(x, '[.!?]$'))) as n_ends
+             len(list_filter(ws, lambda x: regexp_matches(x, '[.!?…。！？｡।॥۔؟։።။‼⁇⁈⁉]["''”’»›)\]}）」』】〉》]*$'))) as n_ends
       from w left join cov using (r) left join lc using (r)),
 b as (select *, (case when n_words < 50 then 1 else 0 end)
        + (case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end)

@@ -35,6 +35,10 @@ from vocable.llm.textbytes import SPACE, U64, Texts, chunks, mix, shingle_hashes
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
+# Characters that end a sentence, and those that may follow them.
+SENTENCE_ENDS = ".!?…。！？｡।॥۔؟։።။‼⁇⁈⁉"
+CLOSERS = "\"'”’»›)]}）」』】〉》"
+
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
             "n_upper", "n_lower", "n_ends"]
 
@@ -72,6 +76,40 @@ def _per_row_distinct(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(key[0].astype(np.int64), minlength=n) if key is not None else np.zeros(n, np.int64)
 
 
+def _codes(chars: str) -> np.ndarray:
+    """The UTF-8 bytes of each character as one number."""
+    return np.array(sorted(int.from_bytes(c.encode(), "big") for c in chars), np.int64)
+
+
+_ENDS, _CLOSERS = _codes(SENTENCE_ENDS), _codes(CLOSERS)
+#: Last bytes with which a word can end a sentence.
+_MAY_END = np.zeros(256, bool)
+_MAY_END[[c.encode()[-1] for c in SENTENCE_ENDS + CLOSERS]] = True
+
+
+def _last_chars(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the last character as one number, where it begins) of each ``b[s:e]``."""
+    at, code, shift = e - 1, b[e - 1].astype(np.int64), 8
+    for _ in range(3):
+        more = ((b[at] & 0xC0) == 0x80) & (at > s)
+        at = at - more
+        code = np.where(more, code | (b[at].astype(np.int64) << shift), code)
+        shift += 8
+    return code, at
+
+
+def ends_of_sentences(b: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Indices of the words ``b[s:e]`` that end a sentence, closing quotes and brackets aside."""
+    word, out = np.flatnonzero(_MAY_END[b[e - 1]]) if len(e) else np.zeros(0, np.int64), []
+    stop = e[word]
+    while len(word):
+        code, at = _last_chars(b, s[word], stop)
+        out.append(word[np.isin(code, _ENDS)])
+        go = np.isin(code, _CLOSERS) & (at > s[word])
+        word, stop = word[go], at[go]
+    return np.concatenate(out) if out else word
+
+
 def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """All measurements of a chunk of texts, one value per text."""
     t = Texts(texts)
@@ -83,8 +121,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     out["n_symbols"] = t.count_mask(SYMBOLS[b])
     out["n_upper"] = t.count_mask((b >= 65) & (b <= 90))
     out["n_lower"] = t.count_mask((b >= 97) & (b <= 122))
-    last = b[e - 1] if len(e) else b[:0]
-    out["n_ends"] = np.bincount(row[(last == 46) | (last == 33) | (last == 63)], minlength=n)
+    out["n_ends"] = np.bincount(row[ends_of_sentences(b, s, e)], minlength=n)
 
     lrow, ls, le = t.lines()
     c = np.zeros(len(b) + 1, np.int64)

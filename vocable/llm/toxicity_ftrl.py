@@ -5,14 +5,16 @@ skip one word, and words cut to their first 3 to 7 characters (a stem that needs
 no language), hashed to ``2**BITS``.  Training is sequential by nature
 and sees a bounded sample (``max_docs`` labelled documents, hash order): one
 task runs FTRL with per-coordinate learning rates and L1, and hands back only
-the weights that L1 left non-zero.  That model (``MAX_WEIGHTS`` entries at
-most, the largest first) is broadcast; scoring is one pass over whole texts
-without a shuffle.
+the weights that L1 left non-zero.  The features of the bounded sample bound
+that model's size, all of it is broadcast; more than ``MAX_WEIGHTS`` weights
+(64 MB) are an error that names their number, never a silent cut.  Scoring is
+one pass over whole texts without a shuffle.
 
 Edge cases: null and empty texts get the score of the bias; without any
 training row every score is 0.5; labels of unknown documents and null labels are
 ignored; repeated rows are scored each on its own; a text of any length is read
-whole.
+whole; an empty table gives an empty result; other columns are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from vocable.llm.textbytes import U64, Texts, chunks, mix, shingle_hashes
 BITS = 30
 #: Features seen in fewer training documents can't be told from chance.
 MIN_DOCS = 3
-MAX_WEIGHTS = 1 << 18
+MAX_WEIGHTS = 1 << 22
 STEMS = (3, 4, 5, 6, 7)
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 5.0, 1.0, 6
 
@@ -96,8 +98,9 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == d)] if len(keys) else at[:0]
         rows.append(np.append(at, len(keys)))
     w, bias = ftrl(rows, np.asarray(ys, float), len(keys))
-    best = np.argsort(-np.abs(w), kind="stable")[:MAX_WEIGHTS]
-    best = np.sort(best[w[best] != 0])
+    best = np.flatnonzero(w)
+    if len(best) > MAX_WEIGHTS:
+        raise ValueError(f"{len(best)} weights: raise L1 or lower max_docs")
     yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[best], -1), pa.int64()),
                                       pa.array(np.append(w[best], bias), pa.float64())], names=["feature", "weight"])
 
