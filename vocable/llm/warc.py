@@ -5,7 +5,8 @@ Writing
        equal payloads of at least ``MIN_REVISIT`` bytes the smallest id is the
        response; that decision comes from (digest → smallest id), aggregated
        before it is shuffled, and travels as narrow rows.
-    2. Records and decisions are sorted by id into *segments*.  Segment bounds
+    2. Records and decisions go into *segments*, ranges of the id, one partition
+       each, and are sorted by id there.  Segment bounds
        are ids whose hash falls below a limit that follows from the table's
        total bytes, so the same table gives the same segments whatever the
        cluster, and a segment holds about ``segment_bytes``.
@@ -18,7 +19,7 @@ Writing
        table by Spark's own commit.  A file not named in it does not exist for
        readers, so a half-done job leaves nothing visible.
 
-Reading takes the files named in the manifest, one file a task, streams them
+Reading takes the files named in the manifest, one segment a task, streams them
 member by member and checks every digest again; a damaged record raises.
 
 ``root`` is any location that pyarrow's file systems and Spark both reach
@@ -48,7 +49,7 @@ from pyspark.sql import types as T
 from vocable.llm.store import scratch
 
 MIN_REVISIT = 100
-SEGMENT_BYTES, ROLL_BYTES = 64 << 20, 256 << 20
+SEGMENT_BYTES, ROLL_BYTES, MAX_SEGMENTS = 64 << 20, 256 << 20, 1 << 22
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -163,8 +164,10 @@ def _writer(root: str, roll: int):
 def _segments(keys: DataFrame, segment_bytes: int) -> np.ndarray:
     """Sorted ids that begin a segment; their number follows from the table's bytes.
 
-    About total / ``segment_bytes`` ids, 8 bytes each: 100 TB in 64 MB segments
-    are 1.6 million ids, 13 MB, and ``segment_bytes`` can be raised.
+    Up to 16 times as many ids as segments are picked by hash and every so many of
+    them kept, so that segments are of even size.  At most ``MAX_SEGMENTS`` ids, 8
+    bytes each, go to the driver and are broadcast; a table that needs more
+    segments is refused (100 TB in 64 MB segments are 1.6 million).
     """
     total = keys.agg(F.sum("payload_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
     if not total.n:
@@ -172,10 +175,13 @@ def _segments(keys: DataFrame, segment_bytes: int) -> np.ndarray:
     wanted = int(total.b or 0) // segment_bytes
     if wanted < 1:
         return np.zeros(0, np.int64)
-    limit = int((1 << 32) * min(1.0, wanted / total.n))
+    if wanted > MAX_SEGMENTS:
+        raise ValueError(f"{wanted} segments of {segment_bytes} bytes: raise segment_bytes")
+    spread = max(1, min(16, MAX_SEGMENTS // wanted))
+    limit = int((1 << 32) * min(1.0, wanted * spread / total.n))
     picked = keys.where(F.col("page_id").isNotNull() & (F.crc32(F.col("page_id").cast("string")) < limit)).select(
         "page_id").distinct().toPandas()
-    return np.sort(picked.page_id.to_numpy(np.int64))
+    return np.sort(picked.page_id.to_numpy(np.int64))[spread - 1::spread]
 
 
 def write_archives(pages: DataFrame, root: str | None = None, segment_bytes: int = SEGMENT_BYTES,
@@ -210,7 +216,7 @@ def write_archives(pages: DataFrame, root: str | None = None, segment_bytes: int
     rows = rows.withColumn("segment", segment_of("page_id"))
     order = ["segment", "page_id", "payload_digest", "kind", "url"]
     n = max(1, len(bounds.value) + 1)
-    rows = rows.repartition(n, "segment").sortWithinPartitions(*order)
+    rows = rows.repartitionById(n, F.col("segment").cast("int")).sortWithinPartitions(*order)
     rows.select("segment", "page_id", "payload_digest", "kind", "refers_to", "url", "html").mapInArrow(
         _writer(root, roll_bytes), MANIFEST).write.parquet(f"{root}/manifest")
     return root
@@ -283,8 +289,10 @@ def _reader(root: str, with_payload: bool):
 
 def read_archives(spark: SparkSession, root: str, with_payload: bool = True) -> DataFrame:
     """The records of the files that the manifest names; ``payload`` is null for revisits."""
-    files = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("file", "n_records")
-    return files.repartition("file").mapInArrow(_reader(root, with_payload), RECORDS)
+    manifest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
+    last = manifest.agg(F.max("segment")).first()[0]
+    files = manifest.repartitionById(1 + (last or 0), F.col("segment").cast("int")).sortWithinPartitions("file")
+    return files.select("file", "n_records").mapInArrow(_reader(root, with_payload), RECORDS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
