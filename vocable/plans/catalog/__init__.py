@@ -9,6 +9,7 @@ from vocable.plans.catalog import (  # noqa: F401
     batching_arrays,
     signal_eval,
     text,
+    numbers_ml,
     streaming,
     sources,
 )
