@@ -1,6 +1,7 @@
 import html as htmllib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -173,6 +174,58 @@ def test_tag_path_keeps_every_section(page):
     assert tag_path.extract(menu + page + "<div class=sidebar><ul><li><a href=y>Other</a></ul></div>").split() == want
 
 
+ARTICLE = f"<h1>Title</h1><p>{LONG}</p><h2>Part</h2><p>{LONG} More of it, {LONG}</p><p>Short end.</p>"
+WANT = ["Title", LONG, "Part", f"{LONG} More of it, {LONG}", "Short end."]
+WORDPRESS = ("<ol class='commentlist'>" + "".join(
+    f"<li class='comment even' id='comment-{i}'><article class='comment-body'><footer class='comment-meta'><b class='fn'>Ann {i}</b> says: "
+    f"<time>May {i}, 2021 at 10:0{i} am</time></footer><div class='comment-content'><p>What a fine text, I read it {i} times. Thank you, it helped me a lot.</p></div>"
+    f"<div class='reply'><a href='#r{i}' class='comment-reply-link'>Reply</a></div></article></li>" for i in range(1, 6)) + "</ol>")
+DISQUS = ("<div id='disqus_thread'><div class='thread'><h3>4 Comments</h3>" + "".join(
+    f"<div class='post'><span class='author'>user{i}</span> <a class='time-ago'>{i} days ago</a><div class='post-message'><p>I don't agree with this at all, number {i}.</p></div>"
+    f"<ul><li><a href='#'>Reply</a></li><li><a href='#'>Share</a></li></ul></div>" for i in range(4)) + "</div></div>")
+NAMELESS = "<div class='x1'>" + "".join(
+    f"<div class='x2'><div class='x3'>Bob, 2021-05-0{i}</div><div class='x4'>A remark of some length about the text above, and one more.</div>"
+    f"<div class='x5'><a href=#>Antworten</a></div></div>" for i in range(1, 5)) + "</div>"
+
+
+@pytest.mark.parametrize("thread", [
+    WORDPRESS, DISQUS, NAMELESS, f"<section id=comments><h2>Comments</h2>{WORDPRESS}</section>",
+    "<section id=comments><h2>3 comments</h2><p>bob: I liked it.</p><p>al: me too!</p></section>",
+    "<div class='user-discussion'><p>First! Great.</p><p>I think so too.</p><p>Me as well.</p></div>",
+    "<section id=comments><div><b>kim</b> <time>10:22</time></div><p>nice text</p><a href=#>reply</a><form><textarea></textarea></form></section>",
+    "<div class='related-posts'><h3>More for you</h3><ul><li><a href=a>Another page</a></li><li><a href=b>A third page of ours</a></li></ul></div>",
+    "<p class='share'>Share this: <a href=t>Twitter</a> <a href=f>Facebook</a></p>",
+    "<ol class='commentlist'><li>Nice one!</li><li>Where can I get this?</li></ol>"])
+@pytest.mark.parametrize("frame", ["<body><article>{0}</article>{1}</body>", "<body><main>{0}{1}</main></body>", "<body><div class=post>{0}</div><div class=more>{1}</div></body>",
+                                   "<body><article>{0}{1}</article></body>"])
+def test_tag_path_leaves_reader_comments_out(frame, thread):
+    assert tag_path.extract(frame.format(ARTICLE, thread)).split("\n") == WANT
+
+
+def test_tag_path_comments_that_are_the_text():
+    """Articles about comments stay, and so does a forum thread that is all there is."""
+    page = f"<body><article><h1>On comments</h1><section id='comments'><h2>Comments in source code</h2><p>{LONG}</p><p>{LONG}</p></section><h2>End</h2><p>{LONG}</p></article></body>"
+    assert tag_path.extract(page).split("\n") == ["On comments", "Comments in source code", LONG, LONG, "End", LONG]
+    events = "".join(f"<div class=event><h3>Event {i}</h3><p>On 2021-05-0{i}, {LONG}</p></div>" for i in range(1, 5))
+    assert tag_path.extract(f"<body><main>{events}</main></body>").count(LONG) == 4
+    forum = "<body><div class=topic>" + "".join(
+        f"<div class=post><div class=author>Bob {i}</div><div class=date>2021-05-0{i}</div><div class=body>{LONG}</div><a href=#>Reply</a></div>" for i in range(1, 5)) + "</div></body>"
+    assert tag_path.extract(forum).count(LONG) == 4
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<a", '<a ">', '<a ">"', "<a '", "<svg>", "</foo>x", "<a><div></a>x", "<ul><li>x", "<span><div>x", "<article>x",
+                                  "<table><tr><td>x", "<div class=comment>x<b>"])
+def test_tag_path_is_linear_in_broken_and_deep_pages(unit):
+    """A megabyte; four times the page takes about four times as long."""
+    took = []
+    for size in (250_000, 1_000_000):
+        page = unit * (size // len(unit)) + ">"
+        start = time.process_time()
+        tag_path.extract(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 and took[1] < 8 * took[0] + 0.5
+
+
 def test_tag_path_on_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF01}/pages.parquet")
     src = {r.page_id: r.html for r in pages.collect()}
