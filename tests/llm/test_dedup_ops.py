@@ -165,6 +165,18 @@ def test_suffix_dedup_matches_brute_force(spark):
     check_suffix(spark, odd_rows() + passages())
 
 
+def test_suffix_dedup_of_many_rows_without_id(spark):
+    """Each row gets its own spans only, equal rows one set of them."""
+    rng = np.random.default_rng(1)
+    shared = "a passage that several rows without an id hold, " * 6
+    rows = [(None, f"{rng.integers(1 << 60)} " * 20 + (shared if i % 3 == 0 else "") + f"{rng.integers(1 << 60)} " * 15, "", "", 0) for i in range(120)]
+    rows += [(None, "equal rows " * 40 + "end", "", "", 0)] * 60 + [(7, "one with an id " * 30, "", "", 0)]
+    check_suffix(spark, rows)
+    docs = odd_docs(spark, rows).select("doc_id", "text").selectExpr("coalesce(doc_id, xxhash64(text)) as doc_id", "text")
+    per_row = suffix_dedup.repeated_spans(docs).distinct().groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in per_row) < 60
+
+
 def test_suffix_dedup_of_hot_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", 3)
     check_suffix(spark, passages() + [(900, "ab" * 400, "", "", 0), (901, "ab" * 300 + "c", "", "", 0)])

@@ -28,8 +28,11 @@ place is out of the question, so the work is cut into shards that lose no match:
 Edge cases: null text counts as empty; texts shorter than ``length`` keep
 everything; runs of one byte and other periodic texts match themselves and are
 merged before the shuffle; rows that repeat an id are told apart by a checksum
-of their text (equal rows get equal results); a null id is kept as null; an
-empty table gives an empty result.
+of their text (equal rows get equal results, their spans are merged before they
+are handed out); a null id is kept as null, and a hash of the text stands for it
+inside, so that rows without an id don't meet; an empty table gives an empty
+result; other columns are not read, or carried along whole, so their names can't
+clash.
 """
 
 from __future__ import annotations
@@ -51,8 +54,6 @@ HOT, SHARD = 4096, 1 << 18
 #: Window starts that are handled at once.
 SEGMENT = 1 << 19
 _POS = U64((1 << 24) - 1)
-#: Stands for a null id inside the operator.
-NO_ID = -(1 << 63)
 
 OCCURRENCE = "fp long, ctx long, doc_id long, chk int, span long, n int"
 
@@ -281,6 +282,8 @@ def _shard_windows(length: int):
         rows, size = [], 0
         for batch in batches:
             for r in zip(*[c.to_pylist() for c in batch.columns]):
+                if rows and rows[-1][:2] == r[:2]:            # the representative's row occurs again
+                    continue
                 if size > SHARD and rows[-1][0] != r[0]:
                     yield solve(rows)
                     rows, size = [], 0
@@ -399,10 +402,10 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(docs: DataFrame, length: int, doc_id: str, text: str) -> DataFrame:
     """``row`` (all columns but the text, as a struct) and what stays of the text."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    d = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"),
-                    F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), row.alias("row"))
+    body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    d = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.xxhash64(body)).alias("doc_id"), body.alias("text"), row.alias("row"))
     spans = repeated_spans(d.select("doc_id", "text"), length).groupBy("doc_id").agg(
-        F.collect_list(F.struct("chk", "a", "b")).alias("spans"))
+        F.collect_set(F.struct("chk", "a", "b")).alias("spans"))
     return d.join(spans.hint("merge"), "doc_id", "left").select("row", "text", "spans").mapInArrow(
         _remover, f"row {d.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, "
                   "kept_sha256 string, kept binary, kept_text string")
