@@ -133,38 +133,3 @@ def first_seen_ids(df: DataFrame, name: str, order: str, out: str = "first_seen_
     first = df.groupBy(name).agg(F.min(order).alias("_first"))
     ids = with_position(first, ["_first", name], out).drop("_first")
     return df.join(ids, name)
-
-
-def run_trim_point(df: DataFrame, clip: str, order: list, token: str, target: int, max_run: int) -> DataFrame:
-    """Per clip, the first position where ``target`` has occurred more than
-    ``max_run`` times in a row (gaps and islands), else the clip length."""
-    w = Window.partitionBy(clip).orderBy(*order)
-    p = df.withColumn("_i", F.row_number().over(w) - 1)
-    p = p.withColumn("_is", (F.col(token) == target).cast("int"))
-    p = p.withColumn("_grp", F.col("_i") - F.row_number().over(Window.partitionBy(clip, "_is").orderBy(*order)))
-    p = p.withColumn("_run", F.row_number().over(Window.partitionBy(clip, "_is", "_grp").orderBy(*order)))
-    hit = F.when((F.col("_is") == 1) & (F.col("_run") > max_run), F.col("_i"))
-    return p.groupBy(clip).agg(F.coalesce(F.min(hit), F.count(F.lit(1))).cast("long").alias("trim_at"))
-
-
-def interpolate_missing(df: DataFrame, clip: str, idx: str, val: str, orig_len: int, missing: int = -1) -> DataFrame:
-    """Entries equal to ``missing`` are filled linearly with floor division
-    between the known neighbours; before the first known value the previous
-    value is ``orig_len`` and after the last known one the next value is
-    ``orig_len`` at index ``len``."""
-    known = F.col(val) != missing
-    wp = Window.partitionBy(clip).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    wn = Window.partitionBy(clip).orderBy(idx).rowsBetween(1, Window.unboundedFollowing)
-    wall = Window.partitionBy(clip)
-    p = (df.withColumn("_pi", F.last(F.when(known, F.col(idx)), ignorenulls=True).over(wp))
-         .withColumn("_pv", F.last(F.when(known, F.col(val)), ignorenulls=True).over(wp))
-         .withColumn("_ni", F.first(F.when(known, F.col(idx)), ignorenulls=True).over(wn))
-         .withColumn("_nv", F.first(F.when(known, F.col(val)), ignorenulls=True).over(wn))
-         .withColumn("_len", F.count(F.lit(1)).over(wall)))
-    s = F.coalesce(F.col("_pi") + 1, F.lit(0))
-    e = F.coalesce(F.col("_ni"), F.col("_len"))
-    prev = F.coalesce(F.col("_pv"), F.lit(orig_len))
-    nxt = F.coalesce(F.col("_nv"), F.lit(orig_len))
-    filled = floor_div((F.col(idx) - s + 1) * (nxt - prev), e - s + 1) + prev
-    return p.withColumn("filled", F.when(known, F.col(val)).otherwise(filled).cast("long")).drop(
-        "_pi", "_pv", "_ni", "_nv", "_len")

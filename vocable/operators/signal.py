@@ -1,8 +1,7 @@
 """L: signal and alignment tables (column work only; no FFT/filters/decoders).
 
-Clips are ``array<double>`` columns (short clips) or long tables
-``(clip, i, x)``; alignment work uses long tables so nothing is collected
-beyond one clip.
+Clips here are ``array<double>`` columns: short ones, of a bounded length.  Clips
+of any length are long tables, see ``clips``.
 """
 
 from __future__ import annotations
@@ -249,31 +248,6 @@ def keep_intervals(a, iv) -> Column:
     return F.when(F.size(col(iv)) > 0, chunks).otherwise(x)
 
 
-def runs_above(df: DataFrame, clip: str, i: str, x: str, threshold: float) -> DataFrame:
-    """Speech intervals as runs of ``x > threshold`` (gaps and islands):
-    ``(clip, k, start, end)`` with end exclusive, k in order."""
-    w = Window.partitionBy(clip).orderBy(i)
-    s = df.withColumn("_on", (F.col(x) > threshold).cast("int"))
-    s = s.withColumn("_g", F.col(i) - F.row_number().over(Window.partitionBy(clip, "_on").orderBy(i)))
-    r = s.where(F.col("_on") == 1).groupBy(clip, "_g").agg(F.min(i).alias("start"), (F.max(i) + 1).alias("end"))
-    return r.withColumn("k", F.row_number().over(Window.partitionBy(clip).orderBy("start")) - 1).drop("_g")
-
-
-def duration_spans(durs: DataFrame, clip: str, token: str, dur: str) -> DataFrame:
-    """Token i owns frames [cum_{i−1}, cum_i) → ``(clip, token, frame)``."""
-    w = Window.partitionBy(clip).orderBy(token).rowsBetween(Window.unboundedPreceding, 0)
-    c = durs.withColumn("_cum", F.sum(dur).over(w)).withColumn("_lo", F.col("_cum") - F.col(dur))
-    return c.where(F.col(dur) > 0).select(clip, token, F.explode(F.sequence("_lo", F.col("_cum") - 1)).alias("frame"))
-
-
-def mean_over_durations(frames: DataFrame, durs: DataFrame, clip: str, i: str, x: str, token: str,
-                        dur: str) -> DataFrame:
-    """Mean of the non-zero values in each token's span, 0 if none."""
-    spans = duration_spans(durs, clip, token, dur)
-    j = spans.join(frames.select(clip, F.col(i).alias("frame"), x), [clip, "frame"], "left")
-    return j.groupBy(clip, token).agg(F.coalesce(F.avg(F.when(F.col(x) != 0, F.col(x))), F.lit(0.0)).alias("mean"))
-
-
 def durations_from_alignment(att: DataFrame, clip: str, frame: str, token: str, p: str,
                              tokens: DataFrame) -> DataFrame:
     """Argmax token per frame → counts; unseen tokens get 1; then 1 is

@@ -240,6 +240,14 @@ def partial_slices(n_samples, samples_per_frame: int, partial_frames: int, frame
     return F.when(drop, F.slice(starts, 1, F.size(starts) - 1)).otherwise(starts)
 
 
+def partial_slices_with_last(n_frames, partial_frames: int, frame_step: int) -> Column:
+    """K10, second form: windows every ``frame_step`` below n - P, and always the last P frames; a clip of at
+    most P frames is one window."""
+    n = col(n_frames).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), n - partial_frames - 1, F.lit(frame_step).cast("long"))
+    return F.when(n > partial_frames, F.concat(starts, F.array(n - partial_frames))).otherwise(F.array(F.lit(0).cast("long")))
+
+
 # ---------------------------------------------------------------- GE2E / prototype (K2-K4)
 
 def class_sums(long_rows: DataFrame, cls: str) -> DataFrame:

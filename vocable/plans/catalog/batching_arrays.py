@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vocable.functions.hashing import hash52, sql_hash52
 from vocable.operators import arrays as I
 from vocable.operators import batching as G
+from vocable.operators import clips as C
 from vocable.plans.catalog.sqlbits import SAMPLES
 from vocable.plans.position import with_position
 from vocable.plans.registry import register
@@ -232,7 +233,7 @@ FROM r GROUP BY user_id
 """)
 def g13(spark, sf):
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", F.pmod("event_id", F.lit(2)).alias("tok"))
-    return G.run_trim_point(ev, "user_id", ["ts", "event_id"], "tok", 0, 3)
+    return C.trim_points(C.indexed(ev, "user_id", ["ts", "event_id"]), "user_id", "i", "tok", 0, 3)
 
 
 @register("g14_interpolate_missing", """
@@ -252,13 +253,10 @@ SELECT user_id, i, CAST(CASE WHEN a <> -1 THEN a
 FROM v
 """)
 def g14(spark, sf):
-    ev = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rn = F.row_number().over(w)
-    s = ev.select("user_id", (rn - 1).alias("i"),
-                  F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit(-1))
-                  .otherwise(rn * 3 + F.pmod("event_id", F.lit(3))).cast("long").alias("a"))
-    return G.interpolate_missing(s, "user_id", "i", "a", 500).select("user_id", F.col("i").cast("long"), "filled")
+    s = C.indexed(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"]).select(
+        "user_id", "i", F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit(-1))
+        .otherwise((F.col("i") + 1) * 3 + F.pmod("event_id", F.lit(3))).cast("long").alias("a"))
+    return C.interpolate_missing(s, "user_id", "i", "a", 500)
 
 
 @register("g15_head", """
@@ -363,8 +361,10 @@ def i8(spark, sf):
 SELECT user_id, list_resize(list(value ORDER BY ts, event_id), 80, 0.0) AS clip FROM events GROUP BY user_id
 """)
 def i9(spark, sf):
-    from vocable.plans.catalog.vectors import user_series
-    return user_series(spark, sf).select("user_id", I.pad_or_truncate("x", 80, 0.0).alias("clip"))
+    from vocable.plans.catalog.vectors import series
+    head = series(spark, sf).where(F.col("i") < 80).groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x"))
+    return head.select("user_id", I.pad_or_truncate("x", 80, 0.0).alias("clip"))
 
 
 I10_SQL = """WITH t AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: CAST(length(w) AS BIGINT)) AS r

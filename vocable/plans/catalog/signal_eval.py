@@ -4,11 +4,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vocable.functions.hashing import sql_hash52, sql_uniform
+from vocable.operators import clips as C
 from vocable.operators import evalm as M
 from vocable.operators import signal as L
 from vocable.operators.common import attach_scalars
 from vocable.plans.catalog.stats import E6_V
-from vocable.plans.catalog.vectors import SERIES_SQL, user_series
+from vocable.plans.catalog.vectors import SERIES_SQL, series, series_lengths
 from vocable.plans.registry import register
 from vocable.sources.tables import table
 
@@ -28,12 +29,6 @@ def _lsum(a):
     return F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
-def series_long(spark, sf):
-    ev = table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select("user_id", "event_id", (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("x"))
-
-
 SERIES_LONG_SQL = """(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
                       value AS x FROM events)"""
 
@@ -74,14 +69,23 @@ def l3(spark, sf):
 DB_SQL = f"""(SELECT user_id, list_transform(x, lambda v: 20 * log10(greatest(1e-8, v))) AS db FROM {SERIES_SQL})"""
 
 
+def _one(values):
+    """A value-wise operator on a column of single values."""
+    return F.element_at(values, 1)
+
+
+def decibels(spark, sf):
+    """One row per sample: no clip is gathered for what is done value by value."""
+    return table(spark, sf, "events").select("user_id", _one(L.amp_to_db(F.array("value"))).alias("db"))
+
+
 @register("l4_amp_db", f"""
 SELECT user_id, round(list_sum(db), 4) AS db_sum, round(list_sum(list_transform(db, lambda d: pow(10.0, d / 20))), 4) AS amp_sum
 FROM {DB_SQL}
 """)
 def l4(spark, sf):
-    d = user_series(spark, sf).select("user_id", L.amp_to_db("x").alias("db"))
-    return d.select("user_id", F.round(_sum(F.col("db")), 4).alias("db_sum"),
-                    F.round(_sum(L.db_to_amp("db")), 4).alias("amp_sum"))
+    d = decibels(spark, sf)
+    return d.groupBy("user_id").agg(F.round(F.sum("db"), 4).alias("db_sum"), F.round(F.sum(_one(L.db_to_amp(F.array("db")))), 4).alias("amp_sum"))
 
 
 @register("l5_range_normalise", f"""
@@ -89,8 +93,7 @@ SELECT user_id, round(list_sum(list_transform(db, lambda s: greatest(-4.0, least
 FROM {DB_SQL}
 """)
 def l5(spark, sf):
-    d = user_series(spark, sf).select("user_id", L.amp_to_db("x").alias("db"))
-    return d.select("user_id", F.round(_sum(L.range_normalise("db")), 6).alias("norm_sum"))
+    return decibels(spark, sf).groupBy("user_id").agg(F.round(F.sum(_one(L.range_normalise(F.array("db")))), 6).alias("norm_sum"))
 
 
 @register("l6_meanvar_scale", """
@@ -139,15 +142,15 @@ q AS (SELECT user_id, len(x) AS n, list_filter(range(2, len(x) - 8, 2), lambda s
 SELECT user_id, CAST(CASE WHEN len(quiet) > 0 THEN quiet[1] + 2 ELSE n END AS INTEGER) AS endpoint FROM q
 """)
 def l8(spark, sf):
-    s = user_series(spark, sf)
-    return s.select("user_id", L.silence_endpoint("x", 8, 20.0).cast("int").alias("endpoint"))
+    e = C.silence_endpoints(series(spark, sf), "user_id", "i", "x", 8, 20.0)
+    return e.select("user_id", F.col("endpoint").cast("int").alias("endpoint"))
 
 
 @register("l9_frame_energy", f"""
 SELECT user_id, i // 8 AS frame, round(sqrt(sum(x * x)), 6) AS energy FROM {SERIES_LONG_SQL} GROUP BY user_id, i // 8
 """)
 def l9(spark, sf):
-    s = series_long(spark, sf)
+    s = series(spark, sf)
     return s.groupBy("user_id", F.expr("i div 8").alias("frame")).agg(
         F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("energy"))
 
@@ -164,8 +167,7 @@ folds AS (SELECT user_id, fi, xp[fi * {FOLD_T + FOLD_O} + 1: fi * {FOLD_T + FOLD
 
 
 def folds(spark, sf):
-    s = user_series(spark, sf)
-    return s.select("user_id", F.posexplode(L.fold_with_overlap("x", FOLD_T, FOLD_O)).alias("fold_idx", "fold"))
+    return C.folds(series(spark, sf), "user_id", "i", "x", FOLD_T, FOLD_O)
 
 
 @register("l12_fold_with_overlap", f"WITH {FOLD_SQL} SELECT user_id, CAST(fi AS INTEGER) AS fold_idx, fold FROM folds")
@@ -201,11 +203,10 @@ SELECT user_id, list_resize(x[start + 1: start + length], 60, 0.0::DOUBLE) AS x,
 """)
 def l10(spark, sf):
     from vocable.functions.hashing import uniform
-    s = user_series(spark, sf)
-    c = L.crop("x", uniform(0, "l10len", F.col("user_id")), uniform(0, "l10st", F.col("user_id")), 20, 60)
-    r = s.select("user_id", c.alias("c"))
-    return r.select("user_id", "c.x", F.col("c.start").cast("int").alias("start"),
-                    (F.col("c.end") - F.col("c.start")).cast("int").alias("length"), F.col("c.end").cast("int").alias("end"))
+    spans = C.crop_spans(series_lengths(spark, sf), uniform(0, "l10len", F.col("user_id")), uniform(0, "l10st", F.col("user_id")), 20, 60)
+    r = C.segments(series(spark, sf), "user_id", "i", "x", spans)
+    padded = F.concat("segment", F.array_repeat(F.lit(0.0), F.lit(60) - F.size("segment")))
+    return r.select("user_id", padded.alias("x"), "start", "length", (F.col("start") + F.col("length")).alias("end"))
 
 
 @register("l11_random_segments", f"""
@@ -215,9 +216,10 @@ SELECT user_id, start, start * 256 AS audio_start, x[start + 1: start + 16] AS s
 """)
 def l11(spark, sf):
     from vocable.functions.hashing import uniform
-    s = user_series(spark, sf)
-    r = s.select("user_id", L.rand_segment("x", uniform(0, "l11", F.col("user_id")), 16, 256).alias("r"))
-    return r.select("user_id", "r.start", "r.audio_start", "r.segment")
+    start = F.floor(uniform(0, "l11", F.col("user_id")) * (F.col("n") - 16 + 1)).cast("int")
+    spans = series_lengths(spark, sf).select("user_id", start.alias("start"), F.lit(16).alias("length"))
+    r = C.segments(series(spark, sf), "user_id", "i", "x", spans)
+    return r.select("user_id", "start", (F.col("start") * 256).alias("audio_start"), "segment")
 
 
 @register("l21_noise_mixing", f"""
@@ -264,7 +266,7 @@ iv AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY start) -
 
 
 def intervals(spark, sf):
-    return L.runs_above(series_long(spark, sf), "user_id", "i", "x", 100.0)
+    return C.runs_above(series(spark, sf), "user_id", "i", "x", 100.0)
 
 
 @register("l14_rescale_intervals", f"""WITH {RUNS_SQL}
@@ -272,12 +274,9 @@ SELECT user_id, CAST(k AS INTEGER) AS k, CAST(trunc(start * (16000 / 22050.0)) A
        CAST(trunc("end" * (16000 / 22050.0)) AS BIGINT) AS "end" FROM iv
 """)
 def l14(spark, sf):
-    iv = intervals(spark, sf)
-    arr = iv.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end"))).alias("_iv"))
-    arr = arr.select("user_id", F.transform("_iv", lambda s: F.struct(s["start"].alias("start"),
-                                                                      s["end"].alias("end"))).alias("iv"))
-    r = arr.select("user_id", F.posexplode(L.rescale_intervals("iv", 16000 / 22050.0)).alias("k", "s"))
-    return r.select("user_id", F.col("k").cast("int"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    iv = intervals(spark, sf).select("user_id", F.col("k").cast("int").alias("k"),
+                                     _one(L.rescale_intervals(F.array(F.struct("start", "end")), 16000 / 22050.0)).alias("s"))
+    return iv.select("user_id", "k", "s.start", "s.end")
 
 
 @register("l15_keep_intervals", f"""WITH {RUNS_SQL},
@@ -289,15 +288,10 @@ SELECT t.user_id, coalesce(a.n, t.n) AS kept_len, round(coalesce(a.sx, t.sx), 6)
 FROM t LEFT JOIN a ON t.user_id = a.user_id
 """)
 def l15(spark, sf):
-    iv = intervals(spark, sf)
-    arr = iv.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end"))).alias("_iv"))
-    arr = arr.select("user_id", F.transform("_iv", lambda s: F.struct(s["start"].cast("int").alias("start"),
-                                                                      s["end"].cast("int").alias("end"))).alias("iv"))
-    s = user_series(spark, sf).join(arr, "user_id", "left").withColumn(
-        "iv", F.coalesce("iv", F.array().cast("array<struct<start:int,end:int>>")))
-    k = s.select("user_id", L.keep_intervals("x", "iv").alias("y"), (F.size("iv") == 0).alias("flagged"))
-    return k.select("user_id", F.size("y").cast("long").alias("kept_len"), F.round(_sum(F.col("y")), 6)
-                    .alias("kept_sum"), "flagged")
+    x = series(spark, sf)
+    k = C.keep_intervals(x, "user_id", "i", "x", C.runs_above(x, "user_id", "i", "x", 100.0))
+    return k.groupBy("user_id").agg(F.sum(F.size("kept")).cast("long").alias("kept_len"), F.round(F.sum(_sum(F.col("kept"))), 6).alias("kept_sum"),
+                                    F.max("flagged").alias("flagged"))
 
 
 DUR_SQL = f"""
@@ -308,12 +302,12 @@ durs AS (SELECT user_id, token, least(d0, t - (cum - d0)) AS dur, cum - d0 AS lo
 
 
 def durations(spark, sf):
-    s = table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("t"))
-    tk = s.select("user_id", "t", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("token"))
-    w = Window.partitionBy("user_id").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
-    tk = tk.withColumn("d0", 1 + F.pmod("token", F.lit(4))).withColumn("cum", F.sum("d0").over(w))
-    tk = tk.where(F.col("cum") - F.col("d0") < F.col("t"))
-    return tk.select("user_id", "token", F.least("d0", F.col("t") - (F.col("cum") - F.col("d0"))).alias("dur"))
+    """Durations 1 to 4 for the tokens of each clip until its frames are used up."""
+    from vocable.plans.position import keyed_running
+    tk = series(spark, sf).select("user_id", F.col("i").alias("token"), (1 + F.pmod("i", F.lit(4))).alias("d0"))
+    tk = keyed_running(tk, ["user_id"], ["token"], [("d0", "sum", "cum")]).join(series_lengths(spark, sf), "user_id")
+    lo = F.col("cum").cast("long") - F.col("d0")
+    return tk.where(lo < F.col("n")).select("user_id", "token", F.least(F.col("d0"), F.col("n") - lo).alias("dur"))
 
 
 @register("l16_mean_over_durations", f"""WITH {DUR_SQL},
@@ -323,8 +317,8 @@ FROM durs d LEFT JOIN s ON s.user_id = d.user_id AND s.i >= d.lo AND s.i < d.lo
 GROUP BY d.user_id, d.token
 """)
 def l16(spark, sf):
-    fr = series_long(spark, sf).withColumn("x", F.expr(E6_V.replace("value", "x")))
-    m = L.mean_over_durations(fr, durations(spark, sf), "user_id", "i", "x", "token", "dur")
+    fr = series(spark, sf).withColumn("x", F.expr(E6_V.replace("value", "x")))
+    m = C.mean_over_durations(fr, durations(spark, sf), "user_id", "i", "x", "token", "dur")
     return m.select("user_id", "token", F.round("mean", 6).alias("mean"))
 
 
@@ -332,8 +326,8 @@ def l16(spark, sf):
 SELECT user_id, token, CAST(dur AS BIGINT) AS n_frames, CAST(lo AS BIGINT) AS first_frame FROM durs WHERE dur > 0
 """)
 def l18(spark, sf):
-    sp = L.duration_spans(durations(spark, sf), "user_id", "token", "dur")
-    return sp.groupBy("user_id", "token").agg(F.count(F.lit(1)).alias("n_frames"), F.min("frame").alias("first_frame"))
+    sp = C.duration_bounds(durations(spark, sf), "user_id", "token", "dur").where("dur > 0")
+    return sp.select("user_id", "token", F.col("dur").alias("n_frames"), F.col("lo").alias("first_frame"))
 
 
 ATT_SQL = """att AS (
@@ -373,18 +367,18 @@ def l17(spark, sf):
 
 @register("l19_tail_repair", """
 WITH c AS (SELECT user_id, list(event_id % 50 ORDER BY ts, event_id) AS codes FROM events GROUP BY user_id),
-p AS (SELECT user_id, codes, list_position(codes, 7) AS fp FROM c)
-SELECT user_id, CASE WHEN fp IS NULL THEN codes ELSE
+p AS (SELECT user_id, codes, list_position(codes, 7) AS fp FROM c),
+r AS (SELECT user_id, CASE WHEN fp IS NULL THEN codes ELSE
        list_transform(range(len(codes)), lambda i: CASE WHEN i = len(codes) - 3 THEN 45 WHEN i = len(codes) - 2 THEN 45
                                                    WHEN i = len(codes) - 1 THEN 248
-                                                   WHEN i >= fp - 1 THEN 83 ELSE codes[i + 1] END) END AS codes
-FROM p
+                                                   WHEN i >= fp - 1 THEN 83 ELSE codes[i + 1] END) END AS codes FROM p)
+SELECT user_id, block, codes[block * 32 + 1: block * 32 + 32] AS codes
+FROM (SELECT user_id, codes, unnest(range((len(codes) + 31) // 32)) AS block FROM r)
 """)
 def l19(spark, sf):
-    ev = table(spark, sf, "events")
-    g = ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id"))).alias("_r"))
-    g = g.select("user_id", F.transform("_r", lambda r: F.pmod(r["event_id"], F.lit(50))).alias("codes"))
-    return g.select("user_id", L.repair_tail("codes", 7).alias("codes"))
+    """The repaired codes in blocks of 32."""
+    ev = C.indexed(table(spark, sf, "events").select("user_id", "event_id", "ts"), "user_id", ["ts", "event_id"])
+    return C.repair_tail(ev.select("user_id", "i", F.pmod("event_id", F.lit(50)).alias("code")), "user_id", "i", "code", 7, size=32)
 
 
 @register("l20_redaction_spans", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vocable.functions.hashing import sql_hash52
+from vocable.operators import clips as C
 from vocable.operators import stats as E
 from vocable.operators import vectors as K
 from vocable.plans.catalog.stats import EMB_LONG, clip_vectors
@@ -163,11 +164,14 @@ def k8(spark, sf):
                     "reset")
 
 
-def user_series(spark, sf):
-    """Long clips: ``events.value`` per user ordered by (ts, event_id)."""
-    ev = table(spark, sf, "events")
-    g = ev.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("_r"))
-    return g.select("user_id", F.transform("_r", lambda r: r["value"]).alias("x"))
+def series(spark, sf):
+    """Long clips: ``events.value`` per user, numbered by (ts, event_id)."""
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", F.col("value").alias("x"))
+    return C.indexed(ev, "user_id", ["ts", "event_id"])
+
+
+def series_lengths(spark, sf):
+    return C.lengths(table(spark, sf, "events"), "user_id")
 
 
 SERIES_SQL = "(SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id)"
@@ -181,8 +185,8 @@ SELECT user_id, CAST(i AS INTEGER) AS i,
 FROM o
 """)
 def k9(spark, sf):
-    s = user_series(spark, sf)
-    return s.select("user_id", F.posexplode(K.window_offsets(F.size("x"), 20, 10)).alias("i", "offset"))
+    s = series_lengths(spark, sf)
+    return s.select("user_id", F.posexplode(K.window_offsets("n", 20, 10)).alias("i", "offset"))
 
 
 @register("k10_partial_windows", f"""
@@ -194,7 +198,7 @@ k AS (SELECT user_id, CASE WHEN (n - starts[len(starts)] * 160) / (12.0 * 160) <
 SELECT user_id, CAST(unnest(starts) AS INTEGER) AS start_frame FROM k
 """)
 def k10(spark, sf):
-    s = user_series(spark, sf).select("user_id", (F.size("x") * 40).alias("n"))
+    s = series_lengths(spark, sf).select("user_id", (F.col("n") * 40).cast("int").alias("n"))
     return s.select("user_id", F.explode(K.partial_slices("n", 160, 12, 5, 0.75)).alias("start_frame"))
 
 
@@ -205,12 +209,36 @@ m AS (SELECT user_id, st, list_avg(x[st + 1: st + 16]) AS cm, len(x[st + 1: st +
 SELECT user_id, round(avg(cm), 6) AS mean_of_chunks, count(*) AS n_chunks FROM m WHERE cl >= 16 * 0.33 GROUP BY user_id
 """)
 def k11(spark, sf):
-    s = user_series(spark, sf)
-    ch = s.select("user_id", "x", F.explode(F.sequence(F.lit(0), F.size("x") - 1, F.lit(16))).alias("st"))
-    ch = ch.select("user_id", F.slice("x", F.col("st") + 1, 16).alias("c")).where(F.size("c") >= 16 * 0.33)
-    means = ch.select("user_id", (F.aggregate("c", F.lit(0.0), lambda a, v: a + v) / F.size("c")).alias("cm"))
-    return means.groupBy("user_id").agg(F.round(F.avg("cm"), 6).alias("mean_of_chunks"),
-                                        F.count(F.lit(1)).alias("n_chunks"))
+    m = C.chunk_means(series(spark, sf), "user_id", "i", "x", 16)
+    return m.select("user_id", F.round("mean", 6).alias("mean_of_chunks"), "n_chunks")
+
+
+@register("k11_first_chunk", f"""
+WITH s AS {SERIES_SQL} SELECT user_id, round(list_avg(x[1:16]), 6) AS mean FROM s WHERE len(x[1:16]) >= 16 * 0.33
+""")
+def k11_first(spark, sf):
+    m = C.chunk_means(series(spark, sf), "user_id", "i", "x", 16, first_only=True)
+    return m.select("user_id", F.round("mean", 6).alias("mean"))
+
+
+@register("k11_mean_of_clips", f"""
+WITH s AS {SERIES_SQL},
+c AS (SELECT user_id, x, unnest(generate_series(0, len(x) - 1, 16)) AS st FROM s),
+m AS (SELECT user_id, avg(list_avg(x[st + 1: st + 16])) AS cm FROM c WHERE len(x[st + 1: st + 16]) >= 16 * 0.33 GROUP BY user_id)
+SELECT user_id % 10 AS grp, round(avg(cm), 6) AS mean, count(*) AS n_clips FROM m GROUP BY user_id % 10
+""")
+def k11_clips(spark, sf):
+    m = C.chunk_means(series(spark, sf), "user_id", "i", "x", 16)
+    g = C.mean_of_clips(m, F.pmod("user_id", F.lit(10)).alias("grp"))
+    return g.select("grp", F.round("mean", 6).alias("mean"), "n_clips")
+
+
+@register("k10_last_window_always", """
+WITH f AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id, unnest(CASE WHEN n > 12 THEN list_append(range(0, n - 12, 5), n - 12) ELSE [0::BIGINT] END) AS start_frame FROM f
+""")
+def k10_last(spark, sf):
+    return series_lengths(spark, sf).select("user_id", F.explode(K.partial_slices_with_last("n", 12, 5)).alias("start_frame"))
 
 
 @register("k12_voice_from_files", f"""
