@@ -124,14 +124,48 @@ def test_relational_nearest_code_at_full_codebook_size(spark):
     assert {r.id: r.code for r in K.nearest_code_sql_form(rows, "id", "v", book).collect()} == {i: i * 500 for i in range(4)}
 
 
-def test_large_codebooks_are_joined(spark, monkeypatch):
+def test_nearest_code_is_the_same_in_blocks_of_any_size(spark, monkeypatch):
+    """Ties, doubled entries and null vectors, whatever block an entry lies in."""
+    import numpy as np
+
+    from vocable.operators import blocked
     from vocable.operators import vectors as K
 
-    book = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 1.0])], "code int, centroid array<double>")
-    rows = spark.createDataFrame([(1, [0.9, 1.0]), (2, [0.1, 0.0]), (3, [0.9, 1.0])], "id long, v array<double>")
-    small = {r.id: r.code for r in K.nearest_code(rows, "v", book).collect()}
-    monkeypatch.setattr(K, "MATRIX_BYTES", 1)
-    assert {r.id: r.code for r in K.nearest_code(rows, "v", book).collect()} == small == {1: 1, 2: 0, 3: 1}
+    rng = np.random.default_rng(5)
+    codes = rng.integers(-2, 3, (60, 4)).astype(float)                       # many equal entries and equal distances
+    book = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(codes)], "code int, centroid array<double>")
+    x = rng.integers(-2, 3, (300, 4)) / 2
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(4)
+    want = {i: int(((v - codes) ** 2).sum(axis=1).argmin()) for i, v in enumerate(x)} | {999: None}
+    long = rows.where("v is not null").select("id", F.posexplode("v").alias("pos", "x"))
+    for size in (1, 32 * 7, 1 << 20):
+        monkeypatch.setattr(blocked, "BLOCK_BYTES", size)
+        got = K.nearest_code(rows, "v", book, dist_col="d").collect()
+        assert {r.id: r.code for r in got} == want
+        assert all(abs(r.d - ((x[r.id] - codes[r.code]) ** 2).sum()) < 1e-9 for r in got if r.id != 999)
+        means = book.select(F.concat(F.lit("c"), F.col("code")).alias("cls"), F.posexplode("centroid").alias("pos", "x")).where("cls <> 'c0'")
+        named = K.nearest_mean(rows, "v", means, "cls").collect()
+        if size == 1:
+            first = {r.id: r.predicted for r in named}
+        assert {r.id: r.predicted for r in named} == first
+    assert {r.id: r.code for r in K.nearest_code_sql_form(rows.where("v is not null"), "id", "v", book).collect()} == {k: c for k, c in want.items() if k != 999}
+    assert long.count() == 1200
+
+
+def test_nearest_code_of_a_codebook_of_several_blocks(spark):
+    """65,536 entries of 128 dimensions: 67 MB in three blocks, equal to one product."""
+    import numpy as np
+
+    from vocable.operators import vectors as K
+    from vocable.operators.blocked import matrix
+
+    value = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.pmod(F.xxhash64("code", i), F.lit(1000)) / 1000.0)
+    book = spark.range(65_536).select(F.col("id").cast("int").alias("code")).select("code", value.alias("centroid"))
+    rows = spark.range(200).select("id", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.pmod(F.xxhash64(F.col("id"), i + 5), F.lit(1000)) / 1000.0).alias("v"))
+    m, x = (matrix(d.toArrow().column(1)) for d in (book.orderBy("code"), rows.orderBy("id")))
+    d = (x * x).sum(axis=1)[:, None] - 2 * x @ m.T + (m * m).sum(axis=1)
+    assert [r.code for r in K.nearest_code(rows, "v", book).orderBy("id").collect()] == d.argmin(axis=1).tolist()
+    assert np.isfinite(d).all()
 
 
 def test_weighted_draws_follow_fractional_weights(spark):

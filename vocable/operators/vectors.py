@@ -1,26 +1,20 @@
 """K: vectors and codes.
 
-Vectors are ``array<float>`` columns.  Work against a *small* set of vectors
-(class centroids, a codebook) is done either in long form (``(id, pos, x)``
-joined on ``pos`` to the broadcast small set) or, for the nearest-code search,
-as an Arrow-batched matrix product in ``mapInPandas`` with the codebook
-shipped once per task while its size in bytes allows.  Joins with the small
-side are plain: the planner broadcasts it when its size allows.
+Vectors are ``array<float>`` columns.  Work against a set of vectors (class
+centroids, a codebook) is done either in long form (``(id, pos, x)`` joined on
+``pos``) or, for the best entry of a set, as a product in blocks (``blocked``),
+one plan for every size.  Joins with the small side are plain: the planner
+broadcasts it when its size allows.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from vocable.operators.blocked import best_entry
 from vocable.operators.common import col
 
-#: A codebook up to this size (bytes of its doubles) is shipped with the tasks as one matrix.
-MATRIX_BYTES = 256 << 20
-
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")),
@@ -49,8 +43,8 @@ def cosine_to_set(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFr
                   set_id: str, set_val: str = "x") -> DataFrame:
     """K1 against a small set given in long form ``(set_id, pos, set_val)``.
 
-    Returns ``(row_id, set_id, cos)``: the set is broadcast and joined on
-    ``pos``, then one partial aggregate per (row, member).
+    Returns ``(row_id, set_id, cos)``: joined on ``pos``, then one partial
+    aggregate per (row, member).
     """
     r = to_long(rows, row_id, vec_col)
     s = small_long.select(set_id, "pos", F.col(set_val).cast("double").alias("_e"))
@@ -58,38 +52,21 @@ def cosine_to_set(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFr
     r_norm = r.groupBy(row_id).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_xn"))
     j = r.join(s, "pos")
     dots = j.groupBy(row_id, set_id).agg(F.sum(F.col("x") * F.col("_e")).alias("_dot"))
-    # s_norm has one row per member of the (already size-checked) set.
-    return (dots.join(r_norm, row_id).join(F.broadcast(s_norm), set_id)
+    return (dots.join(r_norm, row_id).join(s_norm, set_id)
             .select(row_id, set_id, (F.col("_dot") / (F.col("_xn") * F.col("_en"))).alias("cos")))
 
 
 def nearest_mean(rows: DataFrame, vec_col: str, means: DataFrame, cls: str, out: str = "predicted") -> DataFrame:
-    """The class whose mean vector ``(cls, pos, x)`` has the largest cosine;
-    ties go to the smallest class.  Rows are not shuffled: the means are one
-    matrix in the task closure; beyond ``MATRIX_BYTES`` they are joined instead."""
-    if 8 * means.count() > MATRIX_BYTES:
-        keyed = rows.withColumn("_key", F.col(vec_col))
-        best = nearest_by_cosine(keyed.select("_key", vec_col).distinct(), "_key", vec_col, means, cls)
-        return keyed.join(best, "_key").withColumnRenamed("predicted", out).drop("_key", "best_cos")
-    got = means.orderBy(cls, "pos").toPandas()
-    names = list(dict.fromkeys(got[cls]))
-    mat = got["x"].to_numpy(float).reshape(len(names), -1) if names else np.zeros((0, 0))
-    mat = mat / np.sqrt((mat * mat).sum(axis=1, keepdims=True)) if names else mat
-    schema = T.StructType(rows.schema.fields + [T.StructField(out, means.schema[cls].dataType)])
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-                yield pdf.assign(**{out: [names[k] for k in (x @ mat.T).argmax(axis=1)]})
-
-    return rows.mapInPandas(run, schema=schema)
+    """The class whose mean vector ``(cls, pos, x)`` has the largest cosine; ties go to the smallest class."""
+    vectors = means.groupBy(cls).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_mean"))
+    return best_entry(rows, vec_col, vectors, cls, "_mean", out, "_cos", cosine=True).drop("_cos")
 
 
 def nearest_by_cosine(rows: DataFrame, row_id: str, vec_col: str, small_long: DataFrame,
                       set_id: str, set_val: str = "x") -> DataFrame:
     sims = cosine_to_set(rows, row_id, vec_col, small_long, set_id, set_val)
-    return sims.groupBy(row_id).agg(F.max_by(set_id, "cos").alias("predicted"), F.max("cos").alias("best_cos"))
+    best = sims.groupBy(row_id).agg(F.min(F.struct(-F.col("cos"), F.col(set_id).alias("predicted"))).alias("_b"), F.max("cos").alias("best_cos"))
+    return best.select(row_id, "_b.predicted", "best_cos")
 
 
 # ---------------------------------------------------------------- codebook (K5-K8)
@@ -102,46 +79,12 @@ def codebook_from_rows(df: DataFrame, vec_col: str, order_col: str, n_codes: int
                       F.transform(vec_col, lambda v: v.cast("double")).alias("centroid"))
 
 
-def _codebook_bytes(codebook: DataFrame) -> int:
-    r = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("centroid")).alias("dim")).first()
-    return 8 * r.n * (r.dim or 0)
-
-
 def nearest_code(df: DataFrame, vec_col: str, codebook: DataFrame, out_col: str = "code",
                  dist_col: str | None = None) -> DataFrame:
-    """K5: argmin_e ‖x‖² − 2x·e + ‖e‖², one Arrow batch at a time.
-
-    A codebook of up to ``MATRIX_BYTES`` is captured in the task closure and
-    every batch is one matrix product; a larger one is joined (the relational
-    form on the distinct vectors).  Output keeps all input columns.
-    """
-    if _codebook_bytes(codebook) > MATRIX_BYTES:
-        uniq = df.select(F.col(vec_col).alias("_key"), F.col(vec_col).alias("_vec")).distinct()
-        best = nearest_code_sql_form(uniq, "_key", "_vec", codebook)
-        out = df.join(best, df[vec_col] == best["_key"]).withColumn(out_col, F.col("code").cast("int"))
-        keep = [F.col(c) for c in df.columns] + [F.col(out_col)] + ([F.col("dist").alias(dist_col)] if dist_col else [])
-        return out.select(*keep)
-    rows = sorted(codebook.select("code", "centroid").collect(), key=lambda r: r.code)
-    codes = np.array([r.code for r in rows], dtype=np.int32)
-    mat = np.array([r.centroid for r in rows], dtype=np.float64)
-    e2 = (mat * mat).sum(axis=1)
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.IntegerType())])
-    if dist_col:
-        schema = schema.add(dist_col, T.DoubleType())
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            d = (x * x).sum(axis=1, keepdims=True) - 2.0 * x @ mat.T + e2[None, :]
-            k = d.argmin(axis=1)
-            out = pdf.assign(**{out_col: codes[k].astype(np.int32)})
-            if dist_col:
-                out[dist_col] = np.maximum(d[np.arange(len(k)), k], 0.0)
-            yield out
-
-    return df.mapInPandas(run, schema=schema)
+    """K5: argmin_e ‖x − e‖², ties to the lowest code.  Output keeps all input columns."""
+    out = best_entry(df, vec_col, codebook.select(F.col("code").cast("int").alias("code"), "centroid"), "code", "centroid",
+                     out_col, dist_col or "_dist")
+    return out if dist_col else out.drop("_dist")
 
 
 def nearest_code_sql_form(df: DataFrame, id_col: str, vec_col: str, codebook: DataFrame) -> DataFrame:
@@ -150,7 +93,7 @@ def nearest_code_sql_form(df: DataFrame, id_col: str, vec_col: str, codebook: Da
     r = to_long(df, id_col, vec_col)
     j = r.join(cb_long, "pos")
     d = j.groupBy(id_col, "code").agg(F.sum((F.col("x") - F.col("_e")) ** 2).alias("dist"))
-    return d.groupBy(id_col).agg(F.min_by("code", "dist").alias("code"), F.min("dist").alias("dist"))
+    return d.groupBy(id_col).agg(F.min(F.struct("dist", "code")).alias("_b")).select(id_col, "_b.code", "_b.dist")
 
 
 def code_vectors(codes: DataFrame, code_col: str, codebook: DataFrame) -> DataFrame:
@@ -295,11 +238,12 @@ def ge2e_losses(scores: DataFrame, id_col: str, cls: str) -> DataFrame:
 def prototype_loss(df: DataFrame, id_col: str, cls: str, vec_col: str, w: float = 10.0, b: float = -5.0) -> DataFrame:
     """K4: positive = first row of a class (by id), anchor = mean of the rest;
     cross-entropy of w·cos(positive_j, anchor_k)+b at k = j.  Returns per-class loss."""
-    rn = F.row_number().over(Window.partitionBy(cls).orderBy(id_col))
-    lr = (df.withColumn("_rn", rn)
-          .select(cls, "_rn", F.posexplode(vec_col).alias("pos", "x")).withColumn("x", F.col("x").cast("double")))
-    pos_v = lr.where(F.col("_rn") == 1).select(F.col(cls).alias("cj"), "pos", F.col("x").alias("p"))
-    anc = lr.where(F.col("_rn") > 1).groupBy(cls, "pos").agg(F.avg("x").alias("a")).withColumnRenamed(cls, "ck")
+    first = df.groupBy(cls).agg(F.min_by(vec_col, id_col).alias("_v"))           # a class of any size: partial step
+    pos_v = first.select(F.col(cls).alias("cj"), F.posexplode("_v").alias("pos", "p")).withColumn("p", F.col("p").cast("double"))
+    sums = df.select(cls, F.posexplode(vec_col).alias("pos", "x")).groupBy(cls, "pos").agg(
+        F.sum(F.col("x").cast("double")).alias("_s"), F.count("x").alias("_n"))
+    anc = sums.join(pos_v, (F.col(cls) == F.col("cj")) & (sums["pos"] == pos_v["pos"])).where("_n > 1").select(
+        F.col(cls).alias("ck"), sums["pos"], ((F.col("_s") - F.col("p")) / (F.col("_n") - 1)).alias("a"))
     j = pos_v.join(anc, "pos")
     g = j.groupBy("cj", "ck").agg(F.sum(F.col("p") * F.col("a")).alias("_d"), F.sum(F.col("p") ** 2).alias("_pp"),
                                   F.sum(F.col("a") ** 2).alias("_aa"))
