@@ -93,6 +93,21 @@ def n7s(spark, sf):
                        F.round("cluster_size", 6).alias("cluster_size"), F.round("v", 4).alias("v"))
 
 
+@register("k8_online_codebook", ORACLE["k7_ema_codebook_update"])
+def k8_online(spark, sf):
+    """One step of the versioned codebook over a stream of the embeddings; no window is full yet, so no code is reset."""
+    from vocable.plans.catalog.vectors import codebook
+    from vocable.streaming import codebook as CB
+    stream = (spark.readStream.schema("vec_id long, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    state = CB.CodebookState(spark, N.scratch(spark, "k8-state"), codebook(spark, sf))
+    N.run_foreach(CB.online_codebook(stream, state, N.scratch(spark, "k8-chk"), "vec_id", "embedding"))
+    book = state.at(state.last())[0]
+    v = book.select("code", F.col("size").alias("s"), F.posexplode("centroid").alias("pos", "v"))
+    return v.select(F.col("code").cast("bigint").alias("code"), F.col("pos").cast("long").alias("pos"), F.round("s", 6).alias("cluster_size"),
+                    F.round("v", 4).alias("v"))
+
+
 @register("n8s_log_every_k", """
 WITH s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 c AS (SELECT user_id, ((k - 1) // 10 + 1) * 10 AS step, sum(value) AS s, count(*) AS n FROM s GROUP BY 1, 2)
