@@ -10,13 +10,14 @@ delimiter), so a file is split across tasks like any text input.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vocable.plans.position import with_position
-from vocable.session import path_exists
+from vocable.plans.position import keyed_running, with_position
+from vocable.session import path_exists, written
 
 SAMPLE_COLUMNS = ["text", "audio_file", "speaker_name", "root_path", "emotion_name"]
 
@@ -497,14 +498,10 @@ def voice_folders(spark, root: str) -> DataFrame:
 
 
 def load_embedding_map(spark, path: str) -> DataFrame:
-    """``{clip: {name, embedding}}`` JSON → ``(clip, name, embedding)``.
-    The format is one JSON object per file; for large maps write records
-    (``save_embedding_records``) instead."""
+    """``{clip: {name, embedding}}`` JSON → ``(clip, name, embedding)``."""
     if not path.endswith(".json"):
         raise ValueError(f"unsupported embedding file {path!r}")
-    t = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", "map<string, struct<name: string, embedding: array<float>>>")
-    return t.select(F.explode(m).alias("clip", "v")).select("clip", "v.name", "v.embedding")
+    return read_embedding_map(spark, path)
 
 
 def write_id_map(ids: DataFrame, path: str, name: str = "name", id_col: str = "id") -> None:
@@ -533,3 +530,118 @@ def load_embedding_maps(spark, paths: list[str]) -> DataFrame:
     names = u.groupBy("name").agg(F.min("file_no").alias("_f"))
     ids = with_position(names, ["_f", "name"], "name_id").drop("_f")
     return u.join(ids, "name")
+
+
+# ---------------------------------------------------------------- folder layouts, single files, one-object maps
+def plain(path: str) -> str:
+    """A local path without its scheme; other locations as they are."""
+    return re.sub("^file:/+", "/", path)
+
+
+def _file_writer(root: str):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+://", root) else (fs.LocalFileSystem(), plain(root))
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}", compression=None) as f:
+                    f.write(content or b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
+    return run
+
+
+def write_files(df: DataFrame, root: str, name: str = "name", content: str = "content") -> int:
+    """One file per row, for corpus layouts that keep a text or recording per file: ``name`` below ``root``, written by
+    the tasks; an attempt that runs again writes the same file.  Returns the number of files."""
+    rows = df.select(F.col(name).alias("name"), F.col(content).cast("binary").alias("content"))
+    return rows.mapInArrow(_file_writer(root), "name string").count()
+
+
+def write_single_file(df: DataFrame, path: str, cols: list[str], order: list[str], sep: str = "|") -> dict:
+    """One delimited file of exactly this name, rows in ``order``, with a header.
+
+    Sorted by ranges on the cluster, written by one last task under a temporary name and moved once; a manifest
+    beside it (``<path>.manifest``) has the rows and an order-free checksum of them.  A failed attempt leaves
+    neither file nor manifest."""
+    spark = df.sparkSession
+    clean = [F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), re.escape(sep), "/"), "[\r\n]", " ").alias(c) for c in cols]
+    ranged = written(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(*clean).withColumn(
+        "_p", F.spark_partition_id()).withColumn("_o", F.monotonically_increasing_id()), "single-file")
+    line = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in cols])
+    rows, checksum = ranged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.crc32(line.cast("binary"))), F.lit(0))).first()
+    temp = f"{path}.tmp-{uuid.uuid4().hex}"
+    (ranged.orderBy("_o").select(*cols).coalesce(1).write.option("header", True).option("sep", sep).option("quote", "")
+     .option("escape", "").option("emptyValue", "").csv(temp))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = store.globStatus(hadoop.Path(f"{temp}/part-*"))
+    if len(parts) != 1:
+        raise RuntimeError(f"{len(parts)} files below {temp}")
+    store.delete(target, False)
+    if not store.rename(parts[0].getPath(), target):
+        raise RuntimeError(f"{path} could not be moved into place")
+    store.delete(hadoop.Path(temp), True)
+    manifest = {"rows": rows, "checksum": checksum}
+    spark.createDataFrame([(path, rows, checksum)], "path string, rows long, checksum long").coalesce(1).write.mode("overwrite").json(f"{path}.manifest")
+    return manifest
+
+
+def read_single_file(spark, path: str, sep: str = "|") -> DataFrame:
+    """The rows of a file written by :func:`write_single_file`; raises if its manifest does not hold."""
+    m = spark.read.schema("path string, rows long, checksum long").json(f"{path}.manifest").first()
+    df = spark.read.option("header", True).option("sep", sep).option("quote", "").option("escape", "").csv(path)
+    line = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in df.columns])
+    rows, checksum = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.crc32(line.cast("binary"))), F.lit(0))).first()
+    if (rows, checksum) != (m.rows, m.checksum):
+        raise RuntimeError(f"{path} does not match its manifest")
+    return df
+
+
+def write_train_eval(df: DataFrame, folder: str, cols: list[str], order: list[str], is_eval: Column, rejected: Column) -> dict[str, dict]:
+    """``train.csv``, ``eval.csv`` and ``rejected.csv`` of one table; returns their manifests by name."""
+    bad = F.coalesce(rejected, F.lit(False))
+    parts = {"train.csv": ~bad & ~is_eval, "eval.csv": ~bad & is_eval, "rejected.csv": bad}
+    return {name: write_single_file(df.where(cond), f"{folder}/{name}", cols, order) for name, cond in parts.items()}
+
+
+MAP_ENTRY = "struct<name: string, embedding: array<float>>"
+
+
+def save_embedding_map(df: DataFrame, path: str) -> None:
+    """``(clip, name, embedding)`` as one JSON object per part file, entry after entry on one line each."""
+    body = F.concat(F.to_json(F.struct(F.col("clip").alias("k"))), F.lit("\t"), F.to_json(F.struct("name", "embedding")))
+    key, value = F.split(body, "\t", 2)[0], F.split(body, "\t", 2)[1]
+    entry = F.concat(F.regexp_extract(key, r"^\{\"k\":(.*)\}$", 1), F.lit(": "), value)
+    tagged = df.select(entry.alias("e"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("o"))
+    tagged = written(tagged, "embedding-map")
+    ends = tagged.groupBy("p").agg(F.min("o").alias("_a"), F.max("o").alias("_b"))          # one row per partition
+    lines_ = tagged.join(F.broadcast(ends), "p").select("p", "o", F.concat(
+        F.when(F.col("o") == F.col("_a"), F.lit("{")).otherwise(F.lit("")), "e",
+        F.when(F.col("o") == F.col("_b"), F.lit("}")).otherwise(F.lit(","))).alias("value"))
+    lines_.repartition(F.col("p")).sortWithinPartitions("p", "o").select("value", "p").write.partitionBy("p").text(path)
+
+
+def read_embedding_map(spark, path: str) -> DataFrame:
+    """``(clip, name, embedding)`` of one or more JSON objects of any size and layout.
+
+    Files are cut at every closing brace, which Spark's text source can split among tasks.  A brace inside a
+    string ends a piece too early: quotes counted up to each piece tell, and such pieces are joined again in
+    file order.  No task reads a whole object."""
+    t = spark.read.option("lineSep", "}").text(path).withColumn("_f", F.col("_metadata.file_path")).withColumn("_o", F.monotonically_increasing_id())
+    bare = F.regexp_replace("value", r"\\.", "")
+    t = t.withColumn("_q", F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit(""))))
+    r = keyed_running(t, ["_f"], ["_o"], [("_q", "sum", "_quotes")])
+    r = r.withColumn("_whole", F.when(F.pmod(F.col("_quotes").cast("long"), F.lit(2)) == 0, 1).otherwise(0))
+    r = keyed_running(r, ["_f"], ["_o"], [("_whole", "sum", "_done")])
+    entry = r.withColumn("_k", (F.col("_done") - F.col("_whole")).cast("long")).groupBy("_f", "_k").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "value"))), lambda s: s["value"]), "}").alias("e"))
+    e = F.regexp_replace("e", r"^[\s{,]+", "")
+    whole = entry.select(e.alias("e"))
+    m = F.from_json(F.concat(F.lit("{"), F.col("e"), F.lit("}}")), f"map<string, {MAP_ENTRY}>")
+    # what stands behind the last entry is empty; no filter, as it could be put behind the check below
+    ok = whole.select(F.when(F.col("e") == "", F.create_map().cast(f"map<string, {MAP_ENTRY}>")).when(F.size(m) == 1, m).otherwise(F.raise_error(F.concat(F.lit("not an entry of a map: "), F.substring("e", 1, 80)))).alias("m"))
+    return ok.select(F.explode("m").alias("clip", "v")).select("clip", "v.name", "v.embedding")
