@@ -126,3 +126,16 @@ def test_punctuation_strip_docstring(spark):
 
     r = spark.createDataFrame([("This is. example !",)], "t string").select(strip_punctuation("t").alias("s")).first()
     assert r.s == "This is example"
+
+
+def test_fold_ascii_of_every_code_point(spark):
+    """Equal to the library's NFKD, for single code points, for all of them in a row, and in front of a combining mark."""
+    from vocable.functions.folding import fold_ascii
+
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c]
+    texts = [chr(c) for c in codes] + ["".join(map(chr, codes[i:i + 997])) for i in range(0, len(codes), 997)]
+    texts += [f"a{chr(c)}\u0301\u0323b" for c in codes[::37]] + ["", "plain", "ﬁne ½ №5 ㎏ Ⅷ é😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(8)
+    got = df.select("i", fold_ascii(F.col("t")).alias("o")).toPandas().sort_values("i").o.tolist()
+    want = [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode() for t in texts]
+    assert [i for i, (a, b) in enumerate(zip(got, want)) if a != b] == []

@@ -8,13 +8,12 @@ class because ``\\s`` differs between Python, Java and RE2.
 from __future__ import annotations
 
 import re
-import unicodedata
 from typing import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from vocable.functions.folding import fold_ascii
 
 # Fixed value: the characters Python's str.isspace()/re "\s" treat as whitespace.
 WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -218,14 +217,6 @@ CORPUS_TAGS = [("<COMMA>", ","), ("<PERIOD>", "."), ("<QUESTIONMARK>", "?"), ("<
 CORPUS_ALLOWED = r"A-Za-z0-9!" + '"' + r"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~ "
 
 
-@F.pandas_udf(T.StringType())
-def nfkd_ascii(s: pd.Series) -> pd.Series:
-    """NFKD decomposition, then every non-ASCII code point dropped (Arrow batches;
-    Spark SQL has no Unicode normalisation function)."""
-    return s.map(lambda t: None if t is None else
-                 unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode("ascii"))
-
-
 def corpus_normalise(t, lower: bool = True, remove_non_english: bool = True, abbreviate: bool = True,
                      mode: str = "strict") -> Column:
     """Strip → collapse → NFKD+ASCII → disallowed runs → ``[UNK]`` (or
@@ -234,7 +225,7 @@ def corpus_normalise(t, lower: bool = True, remove_non_english: bool = True, abb
     ``mode="compat"`` keeps the reference's trailing ``\\b`` after the
     abbreviations (so ``Mr. Smith`` is left unchanged)."""
     x = F.regexp_replace(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""), WS + "+", " ")
-    x = nfkd_ascii(x)
+    x = fold_ascii(x)
     x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
     x = F.regexp_replace(x, WS + "+", " ")
     if abbreviate:
@@ -259,7 +250,7 @@ def txt_normalise(t, remove_non_english: bool = True) -> Column:
     """Strip and lower first, NFKD+ASCII, disallowed → ``[UNK]``, collapse
     (its abbreviation step cannot fire on lower-cased text and is not applied)."""
     x = F.lower(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""))
-    x = nfkd_ascii(x)
+    x = fold_ascii(x)
     x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
     return F.regexp_replace(x, WS + "+", " ")
 

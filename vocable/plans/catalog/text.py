@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vocable.functions import text as J
+from vocable.functions.folding import fold_sql
 from vocable.operators import lexicon as LX
 from vocable.operators.vocab import DEFAULT_PUNCTUATIONS, build_vocabulary, encode_chars_lut, vocab_lut
 from vocable.plans.catalog.sqlbits import SQL_WS, sql_basic_clean
@@ -137,14 +138,28 @@ def j13n(spark, sf):
 _PCLS = "[;:,.!?¡¿—…\"«»“”]"
 
 
-@register("j14_corpus_normaliser")
+def _normaliser_sql(start: str, abbreviations: bool) -> str:
+    """Strip and collapse (or lower), fold, mark what is not allowed; then the abbreviations and tags of J14."""
+    x = f"regexp_replace(f, '[^{J.CORPUS_ALLOWED.replace("'", "''")}]+', '[UNK]', 'g')"
+    x = f"regexp_replace({x}, '{SQL_WS}+', ' ', 'g')"
+    if abbreviations:
+        for k, v in J.CORPUS_ABBREVIATIONS:
+            x = f"regexp_replace({x}, '\\b{k.replace('.', '[.]')}', '{v}', 'g')"
+        for k, v in J.CORPUS_TAGS:
+            x = f"replace({x}, '{k}', '{v}')"
+        x = f"lower({x})"
+    return f"WITH s AS (SELECT doc_id, {start} AS s FROM documents), f AS (SELECT doc_id, {fold_sql('s')} AS f FROM s) SELECT doc_id, {x} AS normalised FROM f"
+
+
+_STRIPPED = f"regexp_replace(text, '^{SQL_WS}+|{SQL_WS}+$', '', 'g')"
+
+
+@register("j14_corpus_normaliser", _normaliser_sql(f"regexp_replace({_STRIPPED}, '{SQL_WS}+', ' ', 'g')", True))
 def j14(spark, sf):
-    """Rows-only here (no NFKD in the oracle engine); tests compare every
-    document with a Python re-computation, strict and compat."""
     return docs(spark, sf).select("doc_id", J.corpus_normalise(F.col("text")).alias("normalised"))
 
 
-@register("j15_txt_normaliser")
+@register("j15_txt_normaliser", _normaliser_sql(f"lower({_STRIPPED})", False))
 def j15(spark, sf):
     return docs(spark, sf).select("doc_id", J.txt_normalise(F.col("text")).alias("normalised"))
 
