@@ -135,3 +135,38 @@ def test_table_form_and_other_languages(spark):
     assert got == {1: "a seven b eighth seven", 2: "septem", 3: None, 4: "none", 5: "seven 9"}
     with pytest.raises(ValueError, match="xx"):
         V.expand_numbers("t", "xx")
+
+
+def test_chinese_numerals(spark):
+    """Every number to 11,000 and larger ones, against a digit-by-digit reading."""
+    from vocable.functions.scripts import chinese_numbers
+
+    cases = {"0": "零", "10": "十", "14": "十四", "3014": "三千零十四", "3314": "三千三百一十四", "20000": "二万", "100020000": "一亿二万",
+             "100030000": "一亿零三万", "2000000000000": "二兆", "10000": "一万", "10010": "一万零十", "007": "七", "00": "零", "123456789012": "一千二百三十四亿五千六百七十八万九千零十二",
+             "a1b22": "a一b二十二", "x": "x", "": "", "9" * 49: "9" * 49}
+    df = spark.createDataFrame(list(enumerate(cases)), "i long, t string")
+    assert [r.o for r in df.select("i", chinese_numbers("t").alias("o")).orderBy("i").collect()] == list(cases.values())
+    value = {c: i for i, c in enumerate("零一二三四五六七八九")}
+
+    def read(s):
+        total = part = digit = 0
+        for c in s:
+            if c in value:
+                digit = value[c]
+            elif c == "万":
+                total, part, digit = (total + part + digit) * 10_000, 0, 0
+            else:
+                part, digit = part + (digit or 1) * {"十": 10, "百": 100, "千": 1000}[c], 0
+        return total + part + digit
+    got = spark.range(11_000).select("id", chinese_numbers(F.col("id").cast("string")).alias("o")).collect()
+    assert all(read(r.o) == r.id for r in got)
+
+
+def test_dictionary_normalisers(spark):
+    from vocable.functions import scripts as S
+
+    df = spark.createDataFrame([(1, " 漢字 2 KB of TV and tv漢, AB.C "), (2, None), (3, "AB"), (4, "")], "k long, t string")
+    words = spark.createDataFrame([("ko", "TV", "티비"), ("ko", "KB", "케이비"), ("en", "and", "x")], "lang string, token string, words string")
+    got = {r.k: r.normalised for r in S.korean_normalise(df, "k", "t", {"AB.C": "Long", "AB": "Short", "2 KB": "two KB"}, words).collect()}
+    assert got == {1: " two 케이비 of 티비 and tv, long", 2: None, 3: "short", 4: ""}
+    assert df.select(S.bangla_digits(F.lit("10:45 a:5 7")).alias("o")).first().o == "১০ এর ৪৫ a:৫ ৭"

@@ -109,3 +109,41 @@ def j9_table(spark, sf):
     for lang in V.LANGUAGES:
         words = F.when(F.col("lang") == lang, V.verbalised(F.col("token"), lang)).otherwise(words)
     return V.rewrite_by_table(d, "doc_id", "text", "lang", token.withColumn("words", words), pattern=pattern).select("doc_id", "expanded")
+
+
+@register("j10_chinese_numerals", """
+WITH t AS (SELECT n, regexp_replace(regexp_replace(regexp_replace(
+             list_aggregate(list_transform(range(1, 5), lambda i: CASE substr(lpad(n::varchar, 4, '0'), i, 1) WHEN '0' THEN '零'
+               ELSE substr('零一二三四五六七八九', substr(lpad(n::varchar, 4, '0'), i, 1)::int + 1, 1) || ['千', '百', '十', ''][i] END), 'string_agg', ''),
+             '零+', '零', 'g'), '零+$', ''), '零一十', '零十') AS w FROM (SELECT unnest(range(10000))::INT AS n)),
+d AS (SELECT doc_id, regexp_replace(text, '[0-9]', '', 'g') AS rest, doc_id * 104729 * 7919 % 1000000000000 AS m FROM documents),
+g AS (SELECT doc_id, rest, m, (m // 100000000)::INT AS a, (m // 10000 % 10000)::INT AS b, (m % 10000)::INT AS c FROM d),
+p AS (SELECT doc_id, rest, m, CASE WHEN a = 0 THEN '' WHEN a = 2 THEN '二亿' ELSE x.w || '亿' END AS pa,
+             CASE WHEN b = 0 AND a > 0 THEN '零' WHEN b = 0 THEN '' WHEN b = 2 THEN '二万' ELSE y.w || '万' END AS pb,
+             CASE WHEN c = 0 THEN CASE WHEN b = 0 AND a > 0 THEN '' ELSE '零' END ELSE z.w END AS pc
+      FROM g JOIN t x ON x.n = a JOIN t y ON y.n = b JOIN t z ON z.n = c)
+SELECT doc_id, CASE WHEN m = 0 THEN '零' ELSE regexp_replace(pa || pb || pc, '^零+|零+$', '', 'g') END || ' ' || rest AS numerals FROM p
+""")
+def j10(spark, sf):
+    from vocable.functions.scripts import chinese_numbers
+    d = table(spark, sf, "documents")
+    m = (F.col("doc_id") * 104729 * 7919 % 1000000000000).cast("string")
+    return d.select("doc_id", chinese_numbers(F.concat_ws(" ", m, F.regexp_replace("text", "[0-9]", ""))).alias("numerals"))
+
+
+@register("j12_word_maps", """
+WITH w AS (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS token FROM documents),
+m AS (SELECT lang, token, '<' || upper(token) || '>' AS words FROM w GROUP BY lang, token HAVING count(*) >= 20),
+p AS (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z]+') AS ts, string_split_regex(text, '[A-Za-z]+') AS gaps FROM documents),
+e AS (SELECT doc_id, lang, unnest(ts) AS token, unnest(range(len(ts))) AS k FROM p),
+r AS (SELECT doc_id, list(coalesce(words, e.token) ORDER BY k) AS ws FROM e LEFT JOIN m ON m.lang = e.lang AND m.token = e.token GROUP BY doc_id)
+SELECT p.doc_id, array_to_string(list_transform(range(len(gaps)), lambda i: gaps[i + 1] || coalesce(ws[i + 1], '')), '') AS mapped
+FROM p LEFT JOIN r ON r.doc_id = p.doc_id
+""")
+def j12(spark, sf):
+    """The frequent words of each language, a table of the corpus itself, mapped in every text."""
+    from vocable.functions.scripts import LATIN_WORD, map_words
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    words = d.select("lang", F.explode(F.regexp_extract_all("text", F.lit(LATIN_WORD), 0)).alias("token")).groupBy("lang", "token").agg(
+        F.count(F.lit(1)).alias("n")).where("n >= 20").select("lang", "token", F.concat(F.lit("<"), F.upper("token"), F.lit(">")).alias("words"))
+    return map_words(d, "doc_id", "text", "lang", words).select("doc_id", "mapped")
