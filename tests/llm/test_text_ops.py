@@ -312,7 +312,7 @@ def test_words_are_looked_up_as_the_tokenizer_encodes_texts():
     texts = ["It's we'll 'tis x's. U.S.A., end.", "İstanbul ΣΑΣ é. Å x́.", "<|endoftext|>. <|ENDOFTEXT|>, a<|startoftext|>b",
              "…. a…. 12.5, 3.", " a b.　c", "漢字。 😀!! :-) a.b.c ...", "", None, "Straße. ÀÉ, ﬁ. KK."]
     for chunk in ([t] for t in texts):
-        ids, n, _ = bm25_packing.WordCache(WORD_BPE).encode(pa.array(chunk, pa.string()))
+        ids, n = bm25_packing.WordCache(WORD_BPE).encode(pa.array(chunk, pa.string()))
         assert ids.tolist() == tok.encode(chunk[0] or "", add_special_tokens=False).ids
 
 
@@ -330,6 +330,24 @@ def test_bm25_scores():
         assert got == pytest.approx(want)
 
 
+def test_term_counts_are_those_of_all_documents(spark):
+    """Counts and mean length against plain counting; a text draws the same term in any chunk."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD_BPE)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    ids = [np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in docs.collect()]
+    table, corpus = bm25_packing.tokenised(docs.repartition(5), WORD_BPE, 2)
+    n, tokens, df = corpus.n, corpus.tokens, corpus.df
+    assert table.count() == n
+    want = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=len(df))
+    assert (n, tokens) == (len(ids), sum(map(len, ids))) and df.tolist() == want.tolist()
+    sig = corpus.signatures(np.concatenate(ids), np.array([len(x) for x in ids]))
+    one = [corpus.signatures(x, np.array([len(x)]))[0] for x in ids]
+    assert sig.tolist() == one and len(set(one)) > len(ids) // 4
+    assert corpus.signatures(np.zeros(0, np.int64), np.zeros(3, np.int64)).tolist() == [np.iinfo(np.int64).max] * 3
+
+
 def test_packer_prefers_lexical_neighbours():
     a, b = np.arange(100, 400, dtype=np.uint32), np.arange(5000, 5300, dtype=np.uint32)
     docs = [a, b, a[:200], b[:200], a[100:], b[50:], np.arange(9000, 9100, dtype=np.uint32), np.arange(9200, 9300, dtype=np.uint32)]
