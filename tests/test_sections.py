@@ -378,3 +378,35 @@ def test_crossfade_holds_back_and_ends_on_short_chunks():
     first, held = crossfaded([a], None, 2)
     second, _ = crossfaded([b], held, 2)
     assert first[0].tolist() + second[0].tolist() == [0, 1, 2, 3, 4, 11, 12, 13]
+
+
+def test_rotating_classes_end_at_the_first_exhausted_class(spark):
+    """Replayed one row at a time from the drawn classes."""
+    import pytest
+
+    from vocable.functions.hashing import hash52
+    from vocable.operators.batching import rotating_class_batches
+
+    sizes = {f"c{k}": n for k, n in enumerate([9, 30, 12, 25, 17, 8])}
+    rows = [(f"{c}-{i}", c) for c, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, cls string").repartition(4)
+    order = {c: [r.k for r in df.where(F.col("cls") == c).orderBy(hash52(0, "g5r", F.col("k")), "k").collect()] for c in sizes}
+    draws = spark.range(60).select("id", F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda c: F.struct(
+        hash52(0, "g5r-class", F.col("id"), c).alias("h"), c.alias("c")))).alias("d")).orderBy("id").collect()
+    want, taken, done = [], dict.fromkeys(sizes, 0), False
+    for d in draws:
+        chosen = [f"c{x.c}" for x in d.d[:3]]
+        for turn in range(2):
+            if done or any(taken[c] >= sizes[c] for c in chosen):
+                done = True
+                break
+            for c in chosen:
+                want.append((order[c][taken[c]], d.id, turn))
+                taken[c] += 1
+    got = rotating_class_batches(df, "k", "cls", 6, 3)
+    assert sorted((r.k, r.batch_id, r["round"]) for r in got.collect()) == sorted(want)
+    full = rotating_class_batches(df, "k", "cls", 6, 3, drop_last=True)
+    assert sorted((r.k, r.batch_id, r["round"]) for r in full.collect()) == sorted(
+        w for w in want if sum(x[1] == w[1] for x in want) == 6)
+    with pytest.raises(ValueError):
+        rotating_class_batches(df, "k", "cls", 7, 3)

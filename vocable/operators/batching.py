@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vocable.functions.hashing import hash52
 from vocable.operators.common import attach_scalars, col
-from vocable.plans.position import with_position
+from vocable.plans.position import keyed_running, with_position
 
 
 def floor_div(a, b) -> Column:
@@ -102,6 +102,43 @@ def class_balanced_batches(df: DataFrame, key: str, cls: str, batch_size: int, d
     return p.drop("_h", "_pos", "_start", "_cnt", "_min", "_ncls")
 
 
+def rotating_class_batches(df: DataFrame, key: str, cls: str, batch_size: int, classes_in_batch: int, drop_last: bool = False,
+                           seed: int = 0, op: str = "g5r") -> DataFrame:
+    """G5 with fewer classes in a batch than there are: each batch draws its classes by hash and takes
+    batch_size / classes_in_batch rounds from them, until a drawn class has run out; that batch keeps its full
+    rounds or, with ``drop_last``, is left out.  Adds ``batch_id``, ``round`` (in the batch) and ``class_rank``.
+
+    A table of choices (batch, class) with running counts says what each class has given before a batch; the
+    first batch that a class can't serve is a minimum over it.  Rows find their batch by (class, how many of the
+    class's batches come before), so no class is one task.
+    """
+    if batch_size % classes_in_batch:
+        raise ValueError("batch size must be divisible by the number of classes in a batch")
+    per_class = batch_size // classes_in_batch
+    p = with_position(df.withColumn("_h", hash52(seed, op, F.col(key))), [cls, "_h", key], "_pos")
+    st = p.groupBy(cls).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
+    st = with_position(st, [cls], "class_rank")
+    meta = st.agg(F.count(F.lit(1)).alias("_ncls"), F.sum("_cnt").alias("_rows")).first()
+    if meta._ncls < classes_in_batch:
+        raise ValueError(f"{meta._ncls} classes, {classes_in_batch} wanted in a batch")
+    batches = df.sparkSession.range(meta._rows // batch_size + 1).select(F.col("id").alias("batch_id"))
+    drawn = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(meta._ncls - 1)), lambda c: F.struct(
+        hash52(seed, op + "-class", F.col("batch_id"), c).alias("h"), c.cast("long").alias("c")))), 1, classes_in_batch)
+    choice = batches.select("batch_id", F.explode(drawn).alias("d")).select("batch_id", F.col("d.c").alias("class_rank"), F.lit(1).alias("_one"))
+    choice = keyed_running(choice, ["class_rank"], ["batch_id"], [("_one", "sum", "_nth")])
+    choice = choice.select("batch_id", "class_rank", (F.col("_nth").cast("long") - 1).alias("_nth"))
+    left = choice.join(st.select("class_rank", "_cnt"), "class_rank").withColumn(
+        "_left", F.greatest(F.lit(0), F.least(F.lit(per_class), F.col("_cnt") - F.col("_nth") * per_class)))
+    last = left.where(F.col("_left") < per_class).groupBy("batch_id").agg(F.min("_left").alias("rounds")).agg(
+        F.min(F.struct("batch_id", "rounds")).alias("_end")).select("_end.*")
+    end = last.first()
+    stop, rounds = (end.batch_id, 0 if drop_last else end.rounds) if end and end.batch_id is not None else (meta._rows, 0)
+    rows = p.join(st, cls).withColumn("_place", F.col("_pos") - F.col("_start")).withColumn(
+        "_nth", F.floor(F.col("_place") / per_class)).withColumn("round", F.pmod("_place", F.lit(per_class)))
+    out = rows.join(choice, ["class_rank", "_nth"]).where((F.col("batch_id") < stop) | ((F.col("batch_id") == stop) & (F.col("round") < rounds)))
+    return out.drop("_h", "_pos", "_start", "_cnt", "_place", "_nth")
+
+
 def order_in_batch(df: DataFrame, batch: str, order: list, out: str = "pos_in_batch") -> DataFrame:
     """Position inside a (bounded) batch by the given order."""
     return df.withColumn(out, (F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1).cast("long"))

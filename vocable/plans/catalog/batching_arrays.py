@@ -79,6 +79,24 @@ def g5(spark, sf):
     return G.class_balanced_batches(d, "doc_id", "lang", 8).select("doc_id", "round", "batch_id", "class_rank")
 
 
+@register("g5_rotating_classes", f"""
+WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_h('g5r', 'doc_id')}, doc_id) - 1 AS place FROM documents),
+st AS (SELECT source, count(*) AS cnt, row_number() OVER (ORDER BY source) - 1 AS class_rank FROM documents GROUP BY source),
+b AS (SELECT unnest(range((SELECT count(*) FROM documents) // 10 + 1)) AS batch_id),
+c AS (SELECT batch_id, class_rank FROM b, st QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY {_h('g5r-class', 'batch_id', 'class_rank')}, class_rank) <= 5),
+u AS (SELECT *, row_number() OVER (PARTITION BY class_rank ORDER BY batch_id) - 1 AS nth FROM c),
+l AS (SELECT u.*, greatest(0, least(2, cnt - nth * 2)) AS lft FROM u JOIN st USING (class_rank)),
+e AS (SELECT batch_id AS stop, min(lft) AS rounds FROM l WHERE lft < 2 GROUP BY batch_id ORDER BY batch_id LIMIT 1)
+SELECT p.doc_id, u.batch_id, p.place % 2 AS round, st.class_rank
+FROM p JOIN st ON st.source = p.source JOIN u ON u.class_rank = st.class_rank AND u.nth = p.place // 2, e
+WHERE u.batch_id < stop OR (u.batch_id = stop AND p.place % 2 < rounds)
+""")
+def g5r(spark, sf):
+    """Batches of ten from five of the twenty sources, drawn anew for every batch."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return G.rotating_class_batches(d, "doc_id", "source", 10, 5).select("doc_id", "batch_id", "round", "class_rank")
+
+
 @register("g6_regroup_batch", f"""WITH {G5_SQL}
 SELECT doc_id, batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY class_rank, round) - 1 AS pos_in_batch FROM g
 """)
