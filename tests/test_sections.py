@@ -410,3 +410,15 @@ def test_rotating_classes_end_at_the_first_exhausted_class(spark):
         w for w in want if sum(x[1] == w[1] for x in want) == 6)
     with pytest.raises(ValueError):
         rotating_class_batches(df, "k", "cls", 7, 3)
+
+
+def test_mean_of_n_vectors_needs_n(spark):
+    import pytest
+
+    from vocable.operators.stats import mean_vectors
+
+    df = spark.createDataFrame([(i, "ab"[i > 5], [float(i), 1.0]) for i in range(9)], "k long, name string, v array<double>")
+    assert mean_vectors(df, "name", "v", "k", first_n=3).count() == 4 and mean_vectors(df, "name", "v", "k", random_n=2).count() == 4
+    for option in ("first_n", "random_n"):
+        with pytest.raises(Exception, match="fewer than 4 vectors of b"):
+            mean_vectors(df, "name", "v", "k", **{option: 4}).collect()

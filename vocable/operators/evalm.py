@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,9 +34,11 @@ def minmax_scale(long_x: DataFrame, seq: str, pos: str, x: str, length: str) ->
     return v.join(mm, seq).withColumn("scaled", (F.col(x) - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + 1e-8))
 
 
-def diagonality(att: DataFrame, clip: str, frame: str, token: str, p: str) -> DataFrame:
-    """M3: mean over clips and tokens of the max over frames."""
+def diagonality(att: DataFrame, clip: str, frame: str, token: str, p: str, binary: bool = False) -> DataFrame:
+    """M3: mean over clips and tokens of the max over frames; ``binary`` takes attention as a mask."""
     m = att.groupBy(clip, token).agg(F.max(p).alias("_m"))
+    if binary:
+        m = m.withColumn("_m", F.when(F.col("_m") > 0, 1.0).otherwise(F.col("_m")))
     return m.agg(F.avg("_m").alias("diagonality"))
 
 
@@ -47,9 +49,10 @@ def alignment_entropy(att: DataFrame, clip: str, frame: str, token: str, p: str,
     return h.agg((F.avg("_h") / math.log(n_tokens)).alias("entropy"))
 
 
-def guided_attention(att: DataFrame, frame: str, token: str, p: str, n_frames: int, n_tokens: int,
+def guided_attention(att: DataFrame, frame: str, token: str, p: str, n_frames: int | Column, n_tokens: int | Column,
                      sigma: float = 0.4) -> DataFrame:
-    """M5: mean over cells of p · (1 − exp(−(t/T − f/F)² / 2σ²))."""
+    """M5: mean over cells of p · (1 − exp(−(t/T − f/F)² / 2σ²)); lengths may be columns, cells beyond them don't count."""
+    att = att.where((F.col(frame) < n_frames) & (F.col(token) < n_tokens))
     w = 1 - F.exp(-((F.col(token) / n_tokens - F.col(frame) / n_frames) ** 2) / (2 * sigma * sigma))
     return att.agg(F.avg(F.col(p) * w).alias("guided_attention"))
 

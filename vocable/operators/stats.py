@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vocable.functions.hashing import hash52
+
 from vocable.operators.common import attach_scalars, col
 
 
@@ -48,18 +50,24 @@ def nonzero_mean_std(df: DataFrame, key_cols: list[str], x: str) -> DataFrame:
 
 
 def mean_vectors(vectors: DataFrame, name_col: str, vec_col: str, order_col: str | None = None,
-                 first_n: int | None = None) -> DataFrame:
+                 first_n: int | None = None, random_n: int | None = None, seed: int = 0) -> DataFrame:
     """Mean vector per name, long form ``(name, pos, mean)``.
 
-    With ``first_n``: only the first n vectors of each name in ``order_col``
-    (a per-name top-n: Catalyst plans a WindowGroupLimit below the window).
+    With ``first_n``: only the first n vectors of each name in ``order_col``, with
+    ``random_n`` n of them by keyed hash (a per-name top-n: Catalyst plans a
+    WindowGroupLimit below the window).  A name with fewer vectors is an error.
     """
-    v = vectors
-    if first_n is not None:
-        w = Window.partitionBy(name_col).orderBy(order_col)
-        v = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= first_n)
+    v, n = vectors, random_n if random_n is not None else first_n
+    if n is not None:
+        order = [F.col(order_col)] if random_n is None else [hash52(seed, "e7", F.col(order_col)), F.col(order_col)]
+        w = Window.partitionBy(name_col).orderBy(*order)
+        v = v.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     lf = long_form(v, [name_col], vec_col)
-    return lf.groupBy(name_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    m = lf.groupBy(name_col, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("_n"))
+    if n is not None:
+        few = F.concat(F.lit(f"fewer than {n} vectors of "), F.col(name_col).cast("string"))
+        m = m.withColumn("mean", F.when(F.col("_n") < n, F.raise_error(few).cast("double")).otherwise(F.col("mean")))
+    return m.drop("_n")
 
 
 def normalised_mean_vectors(vectors: DataFrame, name_col: str, vec_col: str) -> DataFrame:

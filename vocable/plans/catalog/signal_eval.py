@@ -330,18 +330,19 @@ def l18(spark, sf):
     return sp.select("user_id", "token", F.col("dur").alias("n_frames"), F.col("lo").alias("first_frame"))
 
 
+N_FRAMES, N_TOKENS = 32, 32
 ATT_SQL = """att AS (
   SELECT vec_id, f, t, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id, f) AS p FROM (
     SELECT vec_id, f.f, t.t, embedding[f.f + 1]::DOUBLE * embedding[33 + t.t]::DOUBLE * 10.0 AS s
-    FROM embeddings, range(16) f(f), range(8) t(t)))"""
+    FROM embeddings, range(32) f(f), range(32) t(t)))"""
 
 
 def attention(spark, sf):
-    """Alignment matrices: frames = first 16 values, tokens = values 33..40 of
+    """Alignment matrices: frames = the first 32 values, tokens = the other 32 of
     each embedding; score = a·b·10, softmax over tokens per frame."""
     e = table(spark, sf, "embeddings")
-    fr = e.select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("f", "a"))
-    tk = e.select("vec_id", F.posexplode(F.slice("embedding", 33, 8)).alias("t", "b"))
+    fr = e.select("vec_id", F.posexplode(F.slice("embedding", 1, N_FRAMES)).alias("f", "a"))
+    tk = e.select("vec_id", F.posexplode(F.slice("embedding", N_FRAMES + 1, N_TOKENS)).alias("t", "b"))
     s = fr.join(tk, "vec_id").withColumn("s", F.col("a").cast("double") * F.col("b").cast("double") * 10.0)
     w = Window.partitionBy("vec_id", "f")
     s = s.withColumn("_e", F.exp(F.col("s") - F.max("s").over(w)))
@@ -351,16 +352,16 @@ def attention(spark, sf):
 @register("l17_durations_from_alignment", f"""WITH {ATT_SQL},
 best AS (SELECT vec_id, f, arg_max(t, (p, -t)) AS t FROM att GROUP BY vec_id, f),
 cnt AS (SELECT vec_id, t, count(*) AS c FROM best GROUP BY vec_id, t),
-tok AS (SELECT vec_id, t.t FROM embeddings, range(8) t(t)),
+tok AS (SELECT vec_id, t.t FROM embeddings, range(32) t(t)),
 d AS (SELECT tok.vec_id, tok.t, coalesce(cnt.c, 1) AS d FROM tok LEFT JOIN cnt ON tok.vec_id = cnt.vec_id AND tok.t = cnt.t),
-x AS (SELECT *, sum(d) OVER (PARTITION BY vec_id) - 16 AS extra,
+x AS (SELECT *, sum(d) OVER (PARTITION BY vec_id) - 32 AS extra,
              row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, t) AS r FROM d)
 SELECT vec_id, t AS token, CAST(d - CASE WHEN r <= extra THEN 1 ELSE 0 END AS BIGINT) AS duration FROM x
 """)
 def l17(spark, sf):
     att = attention(spark, sf)
-    toks = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("t"),
-                                                 F.lit(16).alias("n_frames"))
+    toks = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(N_TOKENS - 1))).alias("t"),
+                                                 F.lit(N_FRAMES).alias("n_frames"))
     d = L.durations_from_alignment(att, "vec_id", "f", "t", "p", toks)
     return d.select("vec_id", F.col("t").cast("long").alias("token"), "duration")
 
@@ -443,23 +444,43 @@ def m3(spark, sf):
         F.round("diagonality", 6).alias("diagonality"))
 
 
+@register("m3_diagonality_binary", f"""WITH {ATT_SQL}
+SELECT round(avg(m), 6) AS diagonality FROM (SELECT vec_id, t, CAST(max(CASE WHEN p >= 0.05 THEN p ELSE 0 END) > 0 AS INTEGER) AS m FROM att GROUP BY vec_id, t)
+""")
+def m3_binary(spark, sf):
+    """Attention below 0.05 counts as none, the rest as a mask."""
+    att = attention(spark, sf).withColumn("p", F.when(F.col("p") >= 0.05, F.col("p")).otherwise(0.0))
+    return M.diagonality(att, "vec_id", "f", "t", "p", binary=True).select(F.round("diagonality", 6).alias("diagonality"))
+
+
 @register("m4_alignment_entropy", f"""WITH {ATT_SQL}
-SELECT round(avg(h) / ln(8), 6) AS entropy FROM (SELECT vec_id, f, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h
+SELECT round(avg(h) / ln(32), 6) AS entropy FROM (SELECT vec_id, f, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h
                                                  FROM att GROUP BY vec_id, f)
 """)
 def m4(spark, sf):
-    return M.alignment_entropy(attention(spark, sf), "vec_id", "f", "t", "p", 8).select(
+    return M.alignment_entropy(attention(spark, sf), "vec_id", "f", "t", "p", N_TOKENS).select(
         F.round("entropy", 6).alias("entropy"))
 
 
 @register("m5_guided_attention", f"""WITH {ATT_SQL}
-SELECT round(avg(p * (1 - exp(-((t / 8.0 - f / 16.0) * (t / 8.0 - f / 16.0)) / (2 * 0.4 * 0.4)))), 6) AS guided_attention FROM att
+SELECT round(avg(p * (1 - exp(-((t / 32.0 - f / 32.0) * (t / 32.0 - f / 32.0)) / (2 * 0.4 * 0.4)))), 6) AS guided_attention FROM att
 """)
 def m5(spark, sf):
-    return M.guided_attention(attention(spark, sf), "f", "t", "p", 16, 8).select(
+    return M.guided_attention(attention(spark, sf), "f", "t", "p", N_FRAMES, N_TOKENS).select(
         F.round("guided_attention", 6).alias("guided_attention"))
 
 
+@register("m5_guided_attention_masked", f"""WITH {ATT_SQL},
+l AS (SELECT *, 16 + vec_id % 17 AS n_f, 8 + vec_id % 25 AS n_t FROM att)
+SELECT round(avg(p * (1 - exp(-((t / n_t::DOUBLE - f / n_f::DOUBLE) * (t / n_t::DOUBLE - f / n_f::DOUBLE)) / (2 * 0.4 * 0.4)))), 6) AS guided_attention
+FROM l WHERE f < n_f AND t < n_t
+""")
+def m5_masked(spark, sf):
+    """Clips of their own lengths: cells beyond them don't count."""
+    att = attention(spark, sf).withColumn("n_f", 16 + F.pmod("vec_id", F.lit(17))).withColumn("n_t", 8 + F.pmod("vec_id", F.lit(25)))
+    return M.guided_attention(att, "f", "t", "p", F.col("n_f"), F.col("n_t")).select(F.round("guided_attention", 6).alias("guided_attention"))
+
+
 @register("m6_spectral_losses", f"""WITH {PT_SQL},
 m AS (SELECT abs(p) + 1e-5 AS x, abs(t) + 1e-5 AS y FROM pt)
 SELECT round(sqrt(sum((y - x) * (y - x))) / sqrt(sum(y * y)), 6) AS spectral_convergence,

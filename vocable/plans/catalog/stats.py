@@ -7,6 +7,7 @@ from vocable.operators import stats as E
 from vocable.operators.filters import length_ok
 from vocable.operators.vocab import DEFAULT_PUNCTUATIONS, distinct_chars
 from vocable.plans.catalog.sqlbits import SAMPLES, sql_basic_clean
+from vocable.functions.hashing import sql_hash52
 from vocable.plans.registry import register
 from vocable.sources.tables import samples, table
 
@@ -112,6 +113,16 @@ def e7n(spark, sf):
     return m.select("name", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
 
 
+@register("e7_mean_vector_random_n", f"""
+WITH r AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_hash52(0, 'e7', 'vec_id')}, vec_id) AS rn FROM embeddings)
+SELECT l.name, CAST(l.pos AS BIGINT) AS pos, round(avg(l.x), 6) AS mean
+FROM {EMB_LONG} l JOIN r ON l.vec_id = r.vec_id WHERE r.rn <= 7 GROUP BY l.name, l.pos
+""")
+def e7r(spark, sf):
+    m = E.mean_vectors(clip_vectors(spark, sf), "name", "embedding", order_col="vec_id", random_n=7)
+    return m.select("name", F.col("pos").cast("long").alias("pos"), F.round("mean", 6).alias("mean"))
+
+
 @register("e8_normalised_mean_vector", f"""
 WITH m AS (SELECT name, pos, avg(x) AS mean FROM {EMB_LONG} GROUP BY name, pos),
 n AS (SELECT name, sqrt(sum(mean * mean)) AS nn FROM m GROUP BY name)
