@@ -22,6 +22,19 @@ def n1s(spark, sf):
     return N.latest_chunks(spark.read.schema(N.CHUNK_OUT).parquet(out))
 
 
+def _split_chunks(spark, sf, name: str, n: int):
+    from vocable.streaming import split as S
+    state = S.ChunkState(spark, N.scratch(spark, name))
+    N.run_foreach(S.chunk_sink(N.event_stream(spark, sf), state, N.scratch(spark, name + "-chk"), "user_id", ["ts", "event_id"], "value", n))
+    return S.longest(state.chunks()).withColumnRenamed("key", "user_id")
+
+
+@register("n1s_chunks_of_hot_keys", ORACLE["n1s_chunk_every_n"])
+def n1s_split(spark, sf):
+    """The chunks of N1s by steps that spread a key over all tasks."""
+    return _split_chunks(spark, sf, "n1s-split", CHUNK).select("user_id", "chunk_idx", "n", "chunk")
+
+
 OVERLAP = 2
 
 
@@ -119,6 +132,14 @@ def n8s(spark, sf):
     return r.select("user_id", "step", F.round("mean", 6).alias("mean"))
 
 
+@register("n8s_means_of_hot_keys", ORACLE["n8s_log_every_k"])
+def n8s_split(spark, sf):
+    """The means of N8s from the full chunks of the same steps."""
+    c = _split_chunks(spark, sf, "n8s-split", 10).where("n = 10")
+    mean = F.aggregate("chunk", F.lit(0.0), lambda a, x: a + x) / 10.0
+    return c.select("user_id", ((F.col("chunk_idx") + 1) * 10).alias("step"), F.round(mean, 6).alias("mean"))
+
+
 @register("n5s_quarantine", """
 WITH fb AS (SELECT user_id, min((ts, event_id)) AS fb FROM events WHERE event_type = 'error' GROUP BY user_id)
 SELECT e.event_id, e.user_id FROM events e LEFT JOIN fb ON e.user_id = fb.user_id
