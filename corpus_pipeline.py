@@ -6,6 +6,14 @@ DataFrame; :func:`run` writes each result as Parquet to the shared folder and
 reads it back as the next stage's input, so an executor that is lost costs the
 stage it was working on at most.  All stages but the last return the columns of
 ``documents``.
+
+Edge cases: a null text counts as empty and fails the rule of fewest words, so it
+goes in the first stage; of rows that repeat an id and text one stays (exact
+dedup), rows that repeat an id with other texts are documents of their own; a
+document without id stays unless an equal text has one, and is linked with no near
+duplicate; texts of any length are read whole; of copies the smallest id stays, its
+columns as they were; further columns are carried along, whatever their names; an
+empty table gives no pieces.
 """
 
 from __future__ import annotations
