@@ -34,8 +34,10 @@ shingle sets; a document with many partners is spread over several groups.
 
 Edge cases: null text counts as empty; a text without words links with nothing,
 not even with another empty text; fewer than ``n`` words make one shingle of
-the whole sequence; rows that repeat an id take part each with its own text; an
-empty table gives an empty result.
+the whole sequence; rows that repeat an id take part each with its own text; a row
+without id takes the component of a row with an equal set, else none (null): it
+joins no two others, and ``keep_one`` keeps it; an empty table gives an empty
+result; other columns are not read, or carried along whole.
 """
 
 from __future__ import annotations
