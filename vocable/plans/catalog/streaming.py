@@ -91,16 +91,19 @@ def n4s(spark, sf):
     return ring.groupBy(F.col("code").cast("long").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _embedding_stream(spark, sf):
+    """The embeddings, one file or a folder of them, as one micro-batch.  The pattern names either; a plain path to
+    a file would not do, as a stream takes its path for a folder."""
+    return spark.readStream.schema("vec_id long, embedding array<float>, label int").parquet(f"{sf.rstrip('/')}/embeddings.parque[t]")
+
+
 @register("n7s_online_codebook", ORACLE["k7_ema_codebook_update"])
 def n7s(spark, sf):
     """One micro-batch of embeddings → K5 assignment + K7 update of the codebook
     (the batch form is k7_ema_codebook_update)."""
     from vocable.plans.catalog.vectors import codebook
-    emb_schema = "vec_id long, embedding array<float>, label int"
-    stream = (spark.readStream.schema(emb_schema).option("pathGlobFilter", "embeddings.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
     root = N.scratch(spark, "n7s-book")
-    N.run_foreach(N.online_codebook_sink(stream, root, N.scratch(spark, "n7s-chk"), "embedding", codebook(spark, sf)))
+    N.run_foreach(N.online_codebook_sink(_embedding_stream(spark, sf), root, N.scratch(spark, "n7s-chk"), "embedding", codebook(spark, sf)))
     book = N.latest_version(spark, root)
     return book.select(F.col("code").cast("bigint").alias("code"), F.col("pos").cast("long").alias("pos"),
                        F.round("cluster_size", 6).alias("cluster_size"), F.round("v", 4).alias("v"))
@@ -111,10 +114,8 @@ def k8_online(spark, sf):
     """One step of the versioned codebook over a stream of the embeddings; no window is full yet, so no code is reset."""
     from vocable.plans.catalog.vectors import codebook
     from vocable.streaming import codebook as CB
-    stream = (spark.readStream.schema("vec_id long, embedding array<float>, label int").option("pathGlobFilter", "embeddings.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
     state = CB.CodebookState(spark, N.scratch(spark, "k8-state"), codebook(spark, sf))
-    N.run_foreach(CB.online_codebook(stream, state, N.scratch(spark, "k8-chk"), "vec_id", "embedding"))
+    N.run_foreach(CB.online_codebook(_embedding_stream(spark, sf), state, N.scratch(spark, "k8-chk"), "vec_id", "embedding"))
     book = state.at(state.last())[0]
     v = book.select("code", F.col("size").alias("s"), F.posexplode("centroid").alias("pos", "v"))
     return v.select(F.col("code").cast("bigint").alias("code"), F.col("pos").cast("long").alias("pos"), F.round("s", 6).alias("cluster_size"),

@@ -28,8 +28,9 @@ EVENTS_SCHEMA = ("event_id long, ts timestamp_ntz, user_id long, event_type stri
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """Files ``events*.parquet`` of a folder; a table kept as a folder of that name counts with all its files."""
+    return (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
+            .parquet(f"{sf_dir.rstrip('/')}/events*.parquet"))
 
 
 def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> str:
