@@ -9,11 +9,14 @@ delimiter), so a file is split across tasks like any text input.
 
 from __future__ import annotations
 
+import fnmatch
+import os
 import re
+import stat
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vocable.plans.position import keyed_running, with_position
@@ -281,6 +284,10 @@ def sam_accenture(spark, root: str, meta_file: str, **_) -> DataFrame:
 
 def crawl_text_files(spark, root: str, glob: str = "*.txt") -> DataFrame:
     """A5 base: one row per text file: path parts and the first line."""
+    if _is_local_folder(root):
+        files = _crawl(spark, root).select("path").where(F.element_at(F.split("path", "/"), -1).rlike("^" + fnmatch.translate(glob)))
+        heads = files.repartition(_tasks(spark)).mapInArrow(_first_lines, "path string, line binary")
+        return heads.select("path", F.col("line").cast("string").alias("first_line"))
     # (``text()`` has its own wholetext argument, which would override an option.)
     t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root, wholetext=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^file:", "")
@@ -442,11 +449,72 @@ def write_pipe_metadata(df: DataFrame, path: str, cols: list[str], partition_by:
     w.text(path)
 
 
+def _is_local_folder(root: str) -> bool:
+    """Whether ``root`` is a mounted folder, no pattern and on no other store; Spark's readers list the others."""
+    return not re.search(r"[*?\[{]", root) and not re.match("[a-z0-9]+:", plain(root)) and os.path.isdir(plain(root))
+
+
+def _tasks(spark) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
+def _entries(batches):
+    """What lies in each folder, in pieces; hidden names are left out, as Spark's readers do."""
+    import pyarrow as pa
+
+    names = ["path", "folder", "length", "modified"]
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            rows = []
+            with os.scandir(folder) as found:
+                for entry in found:
+                    if entry.name.startswith(".") or entry.name.endswith("._COPYING_") or entry.name.startswith("_") and "=" not in entry.name:
+                        continue
+                    try:
+                        s = entry.stat()
+                    except FileNotFoundError:
+                        continue
+                    rows.append((f"{folder.rstrip('/')}/{entry.name}", stat.S_ISDIR(s.st_mode), s.st_size, s.st_mtime_ns // 1_000_000))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
+
+
+def _crawl(spark, root: str) -> DataFrame:
+    """``(path, length, modificationTime)`` of the files below a folder that are not empty.  Folders are listed by the
+    tasks, a job for each level, so the driver holds no file's name."""
+    folders, files = spark.createDataFrame([(os.path.abspath(plain(root)),)], "path string"), None
+    while True:
+        found = written(folders.repartition(_tasks(spark), "path").mapInArrow(
+            _entries, "path string, folder boolean, length long, modified long"), "listing")
+        part = found.where("NOT folder AND length > 0").select("path", "length", F.timestamp_millis("modified").alias("modificationTime"))
+        files = part if files is None else files.unionByName(part)
+        folders = found.where("folder").select("path")
+        if folders.isEmpty():
+            return files
+
+
+def _first_lines(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        heads = []
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as f:
+                heads.append(f.readline().removesuffix(b"\n"))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["path", "line"])
+
+
 def list_files(spark, root: str, extensions=(".wav", ".mp3", ".flac"), contains: str | None = None) -> DataFrame:
     """Recursive listing; only path, length and modification time are
     selected, so file contents are never read."""
-    b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    out = b.select(F.regexp_replace("path", "^file:", "").alias("path"), "length", "modificationTime")
+    if _is_local_folder(root):
+        out = _crawl(spark, root)
+    else:
+        b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        out = b.select(F.regexp_replace("path", "^file:", "").alias("path"), "length", "modificationTime")
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     out = out.where(ext.isin([e.lower() for e in extensions]))
     if contains:
@@ -544,9 +612,13 @@ def _file_writer(root: str):
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root) if re.match(r"[a-z0-9]+://", root) else (fs.LocalFileSystem(), plain(root))
+        made = None
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                folder = f"{base}/{name}".rpartition("/")[0]
+                if folder != made:
+                    store.create_dir(folder, recursive=True)
+                    made = folder
                 with store.open_output_stream(f"{base}/{name}", compression=None) as f:
                     f.write(content or b"")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["name"])
@@ -560,29 +632,82 @@ def write_files(df: DataFrame, root: str, name: str = "name", content: str = "co
     return rows.mapInArrow(_file_writer(root), "name string").count()
 
 
+def _line_places(batches):
+    """Lines of a sorted partition with the number of bytes before them, line ends included."""
+    import pyarrow as pa
+
+    at = 0
+    for batch in batches:
+        places = []
+        for line in batch.column(1).to_pylist():
+            places.append(at)
+            at += len(line) + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.int64()), batch.column(1)], names=["_p", "_at", "_line"])
+
+
+def _line_writer(path: str):
+    """Writes each line at its place in the file; a task that runs again writes the same bytes."""
+    def run(batches):
+        import pyarrow as pa
+
+        with open(path, "r+b") as f:
+            for batch in batches:
+                end = None
+                for at, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if at != end:
+                        f.seek(at)
+                    f.write(line + b"\n")
+                    end = at + len(line) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+    return run
+
+
 def write_single_file(df: DataFrame, path: str, cols: list[str], order: list[str], sep: str = "|") -> dict:
     """One delimited file of exactly this name, rows in ``order``, with a header.
 
-    Sorted by ranges on the cluster, written by one last task under a temporary name and moved once; a manifest
+    Sorted by ranges on the cluster and written under a temporary name that is moved once: on a mounted folder by
+    all tasks, each at the place of its lines, on other stores by one last task.  A manifest
     beside it (``<path>.manifest``) has the rows and an order-free checksum of them.  A failed attempt leaves
     neither file nor manifest."""
     spark = df.sparkSession
     clean = [F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), re.escape(sep), "/"), "[\r\n]", " ").alias(c) for c in cols]
-    ranged = written(df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(*clean).withColumn(
-        "_p", F.spark_partition_id()).withColumn("_o", F.monotonically_increasing_id()), "single-file")
-    line = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in cols])
-    rows, checksum = ranged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.crc32(line.cast("binary"))), F.lit(0))).first()
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(*clean).withColumn(
+        "_p", F.spark_partition_id()).withColumn("_o", F.monotonically_increasing_id())
+    line = F.concat_ws(sep, *[F.coalesce(F.col(c), F.lit("")) for c in cols]).cast("binary")
     temp = f"{path}.tmp-{uuid.uuid4().hex}"
-    (ranged.orderBy("_o").select(*cols).coalesce(1).write.option("header", True).option("sep", sep).option("quote", "")
-     .option("escape", "").option("emptyValue", "").csv(temp))
+    mounted = not re.match("[a-z0-9]+:", plain(path))
+    if mounted:
+        ranged = written(ranged.select("_p", line.alias("_line")).mapInArrow(_line_places, "_p int, _at long, _line binary"), "single-file")
+        line = F.col("_line")
+    else:
+        ranged = written(ranged, "single-file")
+    rows, checksum = ranged.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.crc32(line)), F.lit(0))).first()
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = store.globStatus(hadoop.Path(f"{temp}/part-*"))
-    if len(parts) != 1:
-        raise RuntimeError(f"{len(parts)} files below {temp}")
+    if mounted:
+        store.mkdirs(target.getParent())
+        head = (sep.join(cols) + "\n").encode()
+        with open(plain(temp), "wb") as f:
+            f.write(head)
+        # one row per partition: where its lines begin
+        ends = ranged.groupBy("_p").agg(F.sum(F.length("_line") + 1).alias("_n"))
+        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.select("_p", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + len(head)).alias("_start"))
+        placed = ranged.join(F.broadcast(starts), "_p").select((F.col("_start") + F.col("_at")).alias("_at"), "_line")
+        done = placed.mapInArrow(_line_writer(plain(temp)), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if done != rows:
+            raise RuntimeError(f"{done} of {rows} lines were written to {temp}")
+        made = hadoop.Path(temp)
+    else:
+        (ranged.orderBy("_o").select(*cols).coalesce(1).write.option("header", True).option("sep", sep).option("quote", "")
+         .option("escape", "").option("emptyValue", "").csv(temp))
+        parts = store.globStatus(hadoop.Path(f"{temp}/part-*"))
+        if len(parts) != 1:
+            raise RuntimeError(f"{len(parts)} files below {temp}")
+        made = parts[0].getPath()
     store.delete(target, False)
-    if not store.rename(parts[0].getPath(), target):
+    if not store.rename(made, target):
         raise RuntimeError(f"{path} could not be moved into place")
     store.delete(hadoop.Path(temp), True)
     manifest = {"rows": rows, "checksum": checksum}
