@@ -103,7 +103,9 @@ SELECT doc_id, {sql_basic_clean('text')} AS text, 'sam_accenture' AS speaker_nam
 def a6(spark, sf):
     root = _folder(spark, "a6")
     d = table(spark, sf, "documents").select("doc_id", basic_cleaners(F.col("text")).alias("text"))
-    d.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_VALUE")).write.format("xml").option(
+    # parts of an even size: a reader takes a part of an XML corpus whole
+    script = d.select(F.col("doc_id").cast("string").alias("_id"), F.col("text").alias("_VALUE")).hint("rebalance")
+    script.write.format("xml").option(
         "rowTag", "fileid").option("rootTag", "recordings").save(f"{root}/voice_over_recordings/recording_script.xml")
     A.write_files(d.select(F.concat(F.lit("vo_voice_quality_transformation/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("name"),
                            F.lit("x").alias("content")), root)
