@@ -1,7 +1,8 @@
 """Pronunciation lexicon parse, lookup and re-assembly.
 
-Words are exploded with their position, looked up with a join on the
-upper-cased word, and re-assembled per document in position order.
+Distinct words are looked up with a join on the upper-cased word; words exploded
+with their position take their tokens from that table and are re-assembled per
+document in position order.
 """
 
 from __future__ import annotations
@@ -9,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vocable.session import written
+
+#: Distinct words up to this many are broadcast to the words of the corpus; more are joined by a shuffle.
+BROADCAST_WORDS = 1_000_000
+
 
 # Fixed value: punctuation kept outside a looked-up word (one leading, one trailing).
 LEXICON_PUNCTUATION = "!'(),-.:;? "
@@ -47,7 +53,8 @@ def lookup_words(df: DataFrame, doc: str, text: str, lex_first: DataFrame,
     upper-cased word (one leading/trailing punctuation mark removed) is in the
     lexicon, the word unchanged otherwise."""
     cls = "[" + "".join("\\" + c if c in r"\^]-[" else c for c in puncs) + "]"
-    w = df.select(doc, F.posexplode(F.split(F.col(text), " ", -1)).alias("idx", "w"))
+    words = df.select(doc, F.posexplode(F.split(F.col(text), " ", -1)).alias("idx", "w"))
+    w = words.select("w").distinct()
     first = F.when(F.col("w").rlike("^" + cls), F.substring("w", 1, 1)).otherwise(F.lit(""))
     rest = F.when(F.length(first) > 0, F.expr("substring(w, 2)")).otherwise(F.col("w"))
     w = w.withColumn("_first", first).withColumn("_rest", rest)
@@ -57,7 +64,10 @@ def lookup_words(df: DataFrame, doc: str, text: str, lex_first: DataFrame,
     j = w.join(lex_first, "word", "left")
     tok = F.when(F.col("pron").isNotNull(), F.concat("_first", F.lit("{"), F.col("pron"), F.lit("}"), "_last")) \
         .otherwise(F.concat("_first", "_core", "_last"))
-    return j.select(doc, "idx", tok.alias("token"))
+    tokens = written(j.select("w", tok.alias("token")), "lexicon-tokens")
+    if tokens.count() <= BROADCAST_WORDS:
+        tokens = F.broadcast(tokens)
+    return words.join(tokens, "w").select(doc, "idx", "token")
 
 
 def reassemble(tokens: DataFrame, doc: str, idx: str = "idx", token: str = "token", sep: str = " ") -> DataFrame:

@@ -341,7 +341,8 @@ def j25(spark, sf):
 def j23(spark, sf):
     d = docs(spark, sf)
     lex = LX.first_pronunciations(LX.lexicon_from_corpus(d, "text"))
-    return LX.reassemble(LX.lookup_words(d, "doc_id", "text", lex), "doc_id")
+    # whole texts are brought together by document, so that their words need no shuffle
+    return LX.reassemble(LX.lookup_words(d.repartition("doc_id"), "doc_id", "text", lex), "doc_id")
 
 
 @register("e3_phoneme_inventory", f"""WITH {LEX_SQL},
@@ -352,5 +353,5 @@ def e3(spark, sf):
     from vocable.operators.vocab import distinct_chars
     d = docs(spark, sf)
     lex = LX.first_pronunciations(LX.lexicon_from_corpus(d, "text"))
-    ph = LX.reassemble(LX.lookup_words(d, "doc_id", "text", lex), "doc_id")
+    ph = LX.reassemble(LX.lookup_words(d.repartition("doc_id"), "doc_id", "text", lex), "doc_id")
     return distinct_chars(ph.select(F.replace("phonemes", F.lit("|"), F.lit("")).alias("t")), "t")
