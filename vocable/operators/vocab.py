@@ -87,5 +87,6 @@ def decode_ids(ids: Column, inv_map: Column) -> Column:
 def oov_report(df: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
     """Characters the encoder would drop, with their counts."""
     exploded = df.select(F.explode(chars(F.col(text_col))).alias("ch")).where(F.col("ch") != "")
-    missing = exploded.join(vocab.select("ch"), "ch", "left_anti")
-    return missing.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    # counted first: what is joined is one row per character, not the corpus
+    counted = exploded.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(vocab.select("ch"), "ch", "left_anti")
