@@ -1,7 +1,7 @@
-"""Compatibility decomposition to ASCII as Column expressions.
+"""Compatibility decomposition to ASCII, as a Column and as SQL.
 
-The table of code points whose NFKD form holds ASCII characters is made once from
-the interpreter's Unicode data and is bounded by Unicode: those with one such
+The SQL has a table of the code points whose NFKD form holds ASCII characters, made
+once from the interpreter's Unicode data and bounded by Unicode: those with one such
 character go through ``translate``, the few with several through a map that is
 looked at only where a text holds one of them.  Everything else beyond ASCII is
 dropped, as the decomposition's other parts are.
@@ -9,12 +9,13 @@ dropped, as the decomposition's other parts are.
 
 from __future__ import annotations
 
-import json
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @cache
@@ -48,13 +49,14 @@ def char_class(chars) -> str:
     return "[" + "".join(out) + "]"
 
 
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
+
+
 def fold_ascii(text: Column) -> Column:
-    """NFKD decomposition, then every code point beyond ASCII dropped."""
-    source, target, several = tables()
-    names = F.from_json(F.lit(json.dumps(several)), "map<string, string>")
-    wide = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), lambda c: F.coalesce(F.try_element_at(names, c), c)), "")
-    spread = F.when(text.rlike(char_class(several)), wide).otherwise(text)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spread, source, target), r"[^\x00-\x7F]+", "")).otherwise(text)
+    """NFKD decomposition, then every code point beyond ASCII dropped; a text is decomposed once, in its task."""
+    return _folded(text)
 
 
 def fold_sql(text: str) -> str:

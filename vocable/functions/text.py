@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from vocable.functions.folding import fold_ascii
 
 # Fixed value: the characters Python's str.isspace()/re "\s" treat as whitespace.
+WS_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 WS = r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 # Symbol replacement by language (replace_symbols).
@@ -214,6 +215,8 @@ CORPUS_TAGS = [("<COMMA>", ","), ("<PERIOD>", "."), ("<QUESTIONMARK>", "?"), ("<
                ("<SIL>", ""), ("<MUSIC>", ""), ("<NOISE>", ""), ("<OTHER>", "")]
 # Allowed characters: ASCII letters, digits, space and the punctuation string of
 # the reference, where "\]" is an escape, so a backslash is *not* allowed.
+#: Runs of what :data:`CORPUS_ALLOWED` does not name, in two ranges: from the space to the tilde it lacks the backslash only.
+CORPUS_OTHERS = r"[^ -\[\]-~]+"
 CORPUS_ALLOWED = r"A-Za-z0-9!" + '"' + r"#$%&'()*+,\-./:;<=>?@\[\]^_`{|}~ "
 
 
@@ -226,8 +229,8 @@ def corpus_normalise(t, lower: bool = True, remove_non_english: bool = True, abb
     abbreviations (so ``Mr. Smith`` is left unchanged)."""
     x = F.regexp_replace(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""), WS + "+", " ")
     x = fold_ascii(x)
-    x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
-    x = F.regexp_replace(x, WS + "+", " ")
+    x = F.regexp_replace(x, CORPUS_OTHERS, "[UNK]" if remove_non_english else "")
+    x = F.regexp_replace(x, " {2,}", " ")           # no other whitespace is left
     if abbreviate:
         tail = r"\b" if mode == "compat" else ""
         x = _replace_alternation(x, CORPUS_ABBREVIATIONS, r"\b", tail)
@@ -249,10 +252,9 @@ def _replace_alternation(x: Column, pairs, head: str, tail: str) -> Column:
 def txt_normalise(t, remove_non_english: bool = True) -> Column:
     """Strip and lower first, NFKD+ASCII, disallowed → ``[UNK]``, collapse
     (its abbreviation step cannot fire on lower-cased text and is not applied)."""
-    x = F.lower(F.regexp_replace(_c(t), f"^{WS}+|{WS}+$", ""))
-    x = fold_ascii(x)
-    x = F.regexp_replace(x, f"[^{CORPUS_ALLOWED}]+", "[UNK]" if remove_non_english else "")
-    return F.regexp_replace(x, WS + "+", " ")
+    x = fold_ascii(F.lower(F.btrim(_c(t), F.lit(WS_CHARS))))
+    x = F.regexp_replace(x, CORPUS_OTHERS, "[UNK]" if remove_non_english else "")
+    return F.regexp_replace(x, " {2,}", " ")        # no other whitespace is left
 
 
 # ---------------------------------------------------------------- J17 punctuation split / restore
