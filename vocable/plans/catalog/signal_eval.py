@@ -1,13 +1,12 @@
 """L (signal and alignment tables) and M (evaluation)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vocable.functions.hashing import sql_hash52, sql_uniform
 from vocable.operators import clips as C
 from vocable.operators import evalm as M
 from vocable.operators import signal as L
-from vocable.operators.common import attach_scalars
+from vocable.operators.common import attach_scalars, let
 from vocable.plans.catalog.stats import E6_V
 from vocable.plans.catalog.vectors import SERIES_SQL, series, series_lengths
 from vocable.plans.registry import register
@@ -331,6 +330,8 @@ def l18(spark, sf):
 
 
 N_FRAMES, N_TOKENS = 32, 32
+#: Clips whose cells (a thousand each) one task makes; the number of tasks follows from it.
+CLIPS_A_TASK = 2500
 ATT_SQL = """att AS (
   SELECT vec_id, f, t, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id, f) AS p FROM (
     SELECT vec_id, f.f, t.t, embedding[f.f + 1]::DOUBLE * embedding[33 + t.t]::DOUBLE * 10.0 AS s
@@ -339,14 +340,30 @@ ATT_SQL = """att AS (
 
 def attention(spark, sf):
     """Alignment matrices: frames = the first 32 values, tokens = the other 32 of
-    each embedding; score = a·b·10, softmax over tokens per frame."""
-    e = table(spark, sf, "embeddings")
-    fr = e.select("vec_id", F.posexplode(F.slice("embedding", 1, N_FRAMES)).alias("f", "a"))
-    tk = e.select("vec_id", F.posexplode(F.slice("embedding", N_FRAMES + 1, N_TOKENS)).alias("t", "b"))
-    s = fr.join(tk, "vec_id").withColumn("s", F.col("a").cast("double") * F.col("b").cast("double") * 10.0)
-    w = Window.partitionBy("vec_id", "f")
-    s = s.withColumn("_e", F.exp(F.col("s") - F.max("s").over(w)))
-    return s.select("vec_id", "f", "t", (F.col("_e") / F.sum("_e").over(w)).alias("p"))
+    each embedding; score = a·b·10, softmax over tokens per frame.
+
+    Only the embeddings are shuffled: a frame's cells are made where its vector is, so
+    the measures by clip need no shuffle of cells.  Rows that share an id are one clip,
+    each frame of which meets the tokens of all."""
+    e = table(spark, sf, "embeddings").where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    g = e.repartition(e.count() // CLIPS_A_TASK + 1, "vec_id").groupBy("vec_id").agg(F.collect_list("embedding").alias("_e"))
+    tokens = F.flatten(F.transform("_e", lambda e: F.transform(F.slice(e, N_FRAMES + 1, N_TOKENS), lambda b, t: F.named_struct(
+        F.lit("t"), t, F.lit("b"), b.cast("double")))))
+    frames = F.sequence(F.lit(0), F.lit(N_FRAMES - 1))
+    fr = g.select("vec_id", "_e", tokens.alias("_tk"), F.explode(frames).alias("f"))
+    has = F.filter("_e", lambda e: F.size(e) > F.col("f"))
+    values = F.transform(has, lambda e: F.element_at(e, F.col("f") + 1).cast("double"))
+    scores = F.flatten(F.transform(values, lambda a: F.transform("_tk", lambda k: F.named_struct(F.lit("t"), k["t"], F.lit("v"), a * k["b"] * 10.0))))
+
+    def powers(sc):
+        top = F.array_max(F.transform(sc, lambda c: c["v"]))
+        return let(top, lambda m: F.transform(sc, lambda c: F.named_struct(F.lit("t"), c["t"], F.lit("v"), F.exp(c["v"] - m))))
+
+    def shares(ex):
+        total = F.aggregate(ex, F.lit(0.0), lambda a, c: a + F.coalesce(c["v"], F.lit(0.0)))
+        return let(total, lambda n: F.transform(ex, lambda c: F.named_struct(F.lit("t"), c["t"], F.lit("v"), c["v"] / n)))
+    cells = let(let(scores, powers), shares)
+    return fr.select("vec_id", "f", F.inline(cells).alias("t", "p"))
 
 
 @register("l17_durations_from_alignment", f"""WITH {ATT_SQL},
