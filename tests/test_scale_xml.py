@@ -9,7 +9,8 @@ def test_xml_parts_are_even(spark, tmp_path):
     from vocable.plans.catalog import sources as S
     from vocable.session import ensure_checkpoint_dir
 
-    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.md5(F.col("id").cast("string")), 20).alias("text"))
+    d = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(*[
+        F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"-{k}")), 512) for k in range(16)]).alias("text"))
     d.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     parts = ensure_checkpoint_dir(spark).removeprefix("file:") + "/a6-*/voice_over_recordings/recording_script.xml/part-*"
