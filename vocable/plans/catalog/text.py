@@ -340,9 +340,10 @@ def j25(spark, sf):
 @register("j23_phonemise_lexicon", f"WITH {LEX_SQL} SELECT doc_id, string_agg(token, ' ' ORDER BY idx) AS phonemes FROM tok GROUP BY doc_id")
 def j23(spark, sf):
     d = docs(spark, sf)
-    lex = LX.first_pronunciations(LX.lexicon_from_corpus(d, "text"))
-    # whole texts are brought together by document, so that their words need no shuffle
-    return LX.reassemble(LX.lookup_words(d.repartition("doc_id"), "doc_id", "text", lex), "doc_id")
+    # whole texts are brought together in blocks, so that their words need no shuffle
+    blocks = LX.in_blocks(d, "doc_id", "text")
+    lex = LX.first_pronunciations(LX.lexicon_from_corpus(blocks, "text", block="_block"))
+    return LX.reassemble(LX.lookup_words(blocks, "doc_id", "text", lex, block="_block"), "doc_id", lists="tokens")
 
 
 @register("e3_phoneme_inventory", f"""WITH {LEX_SQL},
