@@ -44,6 +44,16 @@ def test_phonemes_without_a_shuffle_of_words(spark, corpus, monkeypatch, slice_b
     assert not any(x.startswith(("hashpartitioning(w#", "hashpartitioning(doc_id#")) for x in shuffled(out))
 
 
+def test_inventory_over_blocks(spark, corpus, monkeypatch):
+    from vocable.operators import lexicon as LX
+    from vocable.plans.catalog import text as T
+
+    monkeypatch.setattr(LX, "BROADCAST_WORDS", 0)
+    out = T.e3(spark, corpus)
+    assert sorted(r.ch for r in out.collect()) == sorted(set("".join(plain(ROWS).values())) - {"|"})
+    assert not any(x.startswith(("hashpartitioning(w#", "hashpartitioning(doc_id#")) for x in shuffled(out))
+
+
 def test_a_block_holds_whole_documents(spark, monkeypatch):
     from pyspark.sql import functions as F
 

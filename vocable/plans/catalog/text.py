@@ -353,6 +353,7 @@ SELECT DISTINCT c AS ch FROM (SELECT unnest(string_split(ph, '')) AS c FROM p) W
 def e3(spark, sf):
     from vocable.operators.vocab import distinct_chars
     d = docs(spark, sf)
-    lex = LX.first_pronunciations(LX.lexicon_from_corpus(d, "text"))
-    ph = LX.reassemble(LX.lookup_words(d.repartition("doc_id"), "doc_id", "text", lex), "doc_id")
+    blocks = LX.in_blocks(d, "doc_id", "text")
+    lex = LX.first_pronunciations(LX.lexicon_from_corpus(blocks, "text", block="_block"))
+    ph = LX.reassemble(LX.lookup_words(blocks, "doc_id", "text", lex, block="_block"), "doc_id", lists="tokens")
     return distinct_chars(ph.select(F.replace("phonemes", F.lit("|"), F.lit("")).alias("t")), "t")
